@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .chat import op8_chat_format
+from .packing import op10_best_fit_pack
+from .shards import op9_jump_shards
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op8_chat_format": op8_chat_format, "op9_jump_shards": op9_jump_shards, "op10_best_fit_pack": op10_best_fit_pack}
 ORACLES: dict[str, str] = {}
