@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 CHUNK, OVERLAP = 65_536, 2_048
+#: Texts whose ids are Python objects at one time.
+ROWS = 64
 
 
 class Coder:
@@ -100,8 +102,10 @@ def encode(docs: DataFrame, vocab: str | None = None, pattern: str | None = None
     def whole(batches):
         c = coder(*where)
         for b in batches:
-            ids = [c.encode(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for at in range(0, b.num_rows, ROWS):
+                own = b.slice(at, ROWS)
+                ids = [c.encode(t) for t in own.column("text").to_pylist()]
+                yield pa.record_batch([own.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     def pieces(batches):
         c = coder(*where)
@@ -141,10 +145,13 @@ def digests(encoded: DataFrame, vocab: str | None = None, pattern: str | None =
     def run(batches):
         c, dec = coder(*where), [str(i) for i in range(1 << 17)]
         for b in batches:
-            lists = b.column("ids").to_pylist()
-            sha = [hashlib.sha256(" ".join([dec[i] for i in x]).encode()).hexdigest() for x in lists]
-            back = [hashlib.sha256(c.decode(x)).hexdigest() for x in lists]
-            yield pa.record_batch([b.column("doc_id"), pa.array(map(len, lists), pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, sha, back = [], [], []
+            for x in b.column("ids"):
+                ids = x.values.to_numpy().tolist()
+                n.append(len(ids))
+                sha.append(hashlib.sha256(" ".join([dec[i] for i in ids]).encode()).hexdigest())
+                back.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
