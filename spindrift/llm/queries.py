@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .chat import op8_chat_format
+from .linedup import OP6_SQL, op6_line_windows
 from .packing import op10_best_fit_pack
+from .quality import OP4_SQL, op4_quality_cascade
 from .shards import op9_jump_shards
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op8_chat_format": op8_chat_format, "op9_jump_shards": op9_jump_shards, "op10_best_fit_pack": op10_best_fit_pack}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op4_quality_cascade": op4_quality_cascade,
+    "op6_line_windows": op6_line_windows,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_chat_format": op8_chat_format,
+    "op9_jump_shards": op9_jump_shards,
+    "op10_best_fit_pack": op10_best_fit_pack,
+}
+ORACLES: dict[str, str] = {"op4_quality_cascade": OP4_SQL, "op6_line_windows": OP6_SQL}
