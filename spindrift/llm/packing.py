@@ -6,6 +6,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ FAN, CARRY, BUFFER = 16, 200_000, 1_000_000
 
 class WordCoder:
     """Ids of a word-end BPE file. Texts that hold only characters below U+0250 whose classes every regular-expression
-    library has alike are split here and each distinct piece is encoded once; all others go to the library whole."""
+    library has alike are split here, first at white space, which no piece holds, and each distinct word is encoded once;
+    all others go to the library whole."""
 
     #: Outside U+024F; the separators FS to US and NEL, which libraries class differently; a letter whose lower case is two.
     _ODD = re.compile("[^\x00-ɏ]|[\x1c-\x1f\x85İ]")
-    CACHE = 400_000
+    CACHE = 1_000_000
 
     def __init__(self, vocab: str):
         import regex
@@ -36,8 +38,8 @@ class WordCoder:
         self.tok = Tokenizer.from_file(vocab)
         self.tok.encode_special_tokens = True
         # Fixed value: the split pattern of the vocabulary file.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.cache = _Pieces(self.tok)
+        split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.cache = _Words(self.tok, split)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -45,18 +47,24 @@ class WordCoder:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.cache) > self.CACHE:
             self.cache.clear()
-        return b"".join(map(self.cache.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.cache.__getitem__, text.lower().split()))
 
 
-class _Pieces(dict):
-    def __init__(self, tok):
+class _Words(dict):
+    """Ids of a word without white space: those of its pieces, each of which is a word as well."""
+
+    def __init__(self, tok, split):
         super().__init__()
-        self.tok = tok
+        self.tok, self.split = tok, split
 
-    def __missing__(self, piece: str) -> bytes:
-        got = np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = got
+    def __missing__(self, word: str) -> bytes:
+        pieces = self.split(word)
+        if len(pieces) == 1:
+            got = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            got = b"".join([self[x] for x in pieces])
+        if len(word) <= 64:
+            self[word] = got
         return got
 
 
