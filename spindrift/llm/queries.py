@@ -8,9 +8,11 @@ from .linedup import OP6_SQL, op6_line_windows
 from .packing import op10_best_fit_pack
 from .quality import OP4_SQL, op4_quality_cascade
 from .shards import op9_jump_shards
+from .simhash import op5_simhash_groups
 
 QUERIES = {
     "op4_quality_cascade": op4_quality_cascade,
+    "op5_simhash_groups": op5_simhash_groups,
     "op6_line_windows": op6_line_windows,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_chat_format": op8_chat_format,
