@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .chat import op8_chat_format
+from .fingerprint import op3_multiset_hash
 from .linedup import OP6_SQL, op6_line_windows
 from .packing import op10_best_fit_pack
 from .quality import OP4_SQL, op4_quality_cascade
@@ -11,6 +12,7 @@ from .shards import op9_jump_shards
 from .simhash import op5_simhash_groups
 
 QUERIES = {
+    "op3_multiset_hash": op3_multiset_hash,
     "op4_quality_cascade": op4_quality_cascade,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_line_windows": op6_line_windows,
