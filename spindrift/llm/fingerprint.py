@@ -123,6 +123,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 STRETCHES, MOST = 4, 16_384
 
 
+def _bisect(cuts, step: int):
+    return lambda p: p + F.when(F.coalesce(F.get(cuts, p + (step - 1)) < F.col("doc_id"), F.lit(False)), step).otherwise(0)
+
+
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     """Runs run(doc_id, text, next text) -> row of `schema` over docs in descending doc_id (null last, ties by text); the
     one after the last is the first.
@@ -141,7 +145,7 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     array, place = F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0)
     step = 1 << max(0, len(cuts).bit_length() - 1)
     while cuts and step:
-        place = F.element_at(F.transform(F.array(place), lambda p, step=step: p + F.when(F.coalesce(F.get(array, p + (step - 1)) < F.col("doc_id"), F.lit(False)), step).otherwise(0)), 1)
+        place = F.element_at(F.transform(F.array(place), _bisect(array, step)), 1)
         step //= 2
     stretch = F.when(F.col("doc_id").isNull(), 0).otherwise(place + 1).cast("int")
     tops = [(r[0], r[1]) for r in ids.groupBy(stretch.alias("s")).agg(F.max("doc_id").alias("top")).orderBy(F.desc("s")).collect()]
