@@ -21,6 +21,8 @@ PLAN_ROWS = 20_000
 #: What a bucket row costs against one comparison in a bucket.
 ROW_COST = 1_000.0
 _TOP = 2**63 - 1
+#: A vertex with more than one in so many of all rows is hot; there are fewer of them than this.
+HOT = 1_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -286,10 +288,16 @@ def groups(prints: DataFrame, tau: int, most: int | None = None) -> DataFrame:
     wide = [f"f{k}" for k in range(WIDE)] if most is not None else []
     prints = shared(prints)
     node: Column = F.xxhash64("fp", *wide) if wide else F.col("fp")
-    nodes = shared(prints.withColumn("node", node).groupBy("node", "fp", *wide).agg(F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("rep")))
+    nodes = shared(prints.withColumn("node", node).groupBy("node", "fp", *wide).agg(F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("rep"), F.count("*").alias("n")))
     roots = components(links(nodes, tau, most)).select(F.col("v.node").alias("node"), F.col("root.rep").alias("root"))
-    named = nodes.select("node", "rep").join(roots, "node", "left").select("node", F.coalesce("root", "rep").alias("c"))
-    return prints.withColumn("node", node).join(named, "node").select("doc_id", "th", "fp", F.when(F.col("c") != _TOP, F.col("c")).alias("component_id"))
+    named = shared(nodes.select("node", "rep", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "rep").alias("c")))
+    # Fewer than HOT vertices can have more than a share of 1 / HOT of the rows: those are broadcast, so that no task gets
+    # all copies of one text; the others are joined by a shuffle.
+    least = F.lit((named.agg(F.sum("n")).first()[0] or 0) / HOT)
+    hot, cold = named.where(F.col("n") > least).drop("n"), named.where(F.col("n") <= least).drop("n")
+    rows = prints.withColumn("node", node).join(F.broadcast(hot.withColumnRenamed("c", "hot")), "node", "left")
+    found = rows.where("hot IS NOT NULL").withColumnRenamed("hot", "c").unionByName(rows.where("hot IS NULL").drop("hot").join(cold, "node"))
+    return found.select("doc_id", "th", "fp", F.when(F.col("c") != _TOP, F.col("c")).alias("component_id"))
 
 
 def link(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
