@@ -6,7 +6,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ SIZE = 4096
 #: Bins at least this full are emitted; the others are items of the next round.
 NEARLY_FULL = 4032
 FAN, CARRY, BUFFER = 16, 200_000, 1_000_000
+#: Texts that are encoded together.
+BLOCK = 256
 
 
 class WordCoder:
@@ -28,8 +30,9 @@ class WordCoder:
     all others go to the library whole."""
 
     #: Outside U+024F; the separators FS to US and NEL, which libraries class differently; a letter whose lower case is two.
-    _ODD = re.compile("[^\x00-ɏ]|[\x1c-\x1f\x85İ]")
-    CACHE = 1_000_000
+    _ODD = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\u0130]")
+    #: Words that are held, and characters of a word that is.
+    CACHE, LONGEST = 400_000, 64
 
     def __init__(self, vocab: str):
         import regex
@@ -38,34 +41,42 @@ class WordCoder:
         self.tok = Tokenizer.from_file(vocab)
         self.tok.encode_special_tokens = True
         # Fixed value: the split pattern of the vocabulary file.
-        split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.cache = _Words(self.tok, split)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self._ODD.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.cache) > self.CACHE:
-            self.cache.clear()
-        return b"".join(map(self.cache.__getitem__, text.lower().split()))
-
-
-class _Words(dict):
-    """Ids of a word without white space: those of its pieces, each of which is a word as well."""
-
-    def __init__(self, tok, split):
-        super().__init__()
-        self.tok, self.split = tok, split
-
-    def __missing__(self, word: str) -> bytes:
-        pieces = self.split(word)
-        if len(pieces) == 1:
-            got = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        names = self.tok.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
+        self.cache: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[str], into: dict[str, bytes]) -> None:
+        """Ids of the words, each of which is the ids of its pieces. The pieces are encoded as one text; each ends with
+        the only token in it that ends a word."""
+        parts = {w: self.split(w) for w in words if not w.isalpha()}
+        pieces = list({w for w in words if w.isalpha()} | {p for ps in parts.values() for p in ps if p not in into})
+        ids = self._ids(" ".join(pieces))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(pieces) and (not len(ids) or cuts[-1] == len(ids)):
+            raw = ids.tobytes()
+            into.update(zip(pieces, (raw[a:e] for a, e in zip([0, *(4 * cuts[:-1]).tolist()], (4 * cuts).tolist()))))
         else:
-            got = b"".join([self[x] for x in pieces])
-        if len(word) <= 64:
-            self[word] = got
-        return got
+            into.update((p, self._ids(p).tobytes()) for p in pieces)
+        into.update((w, b"".join([into[p] for p in ps])) for w, ps in parts.items() if len(ps) != 1)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        words = [None if self._ODD.search(t) else t.lower().split() for t in texts]
+        if len(self.cache) > self.CACHE:  # the words that came first are the frequent ones
+            self.cache = dict(islice(self.cache.items(), self.CACHE // 2))
+        new = {w for ws in words if ws for w in ws if w not in self.cache}
+        if new:
+            self._learn(new, self.cache)
+        out = [self._ids(t).tobytes() if ws is None else b"".join(map(self.cache.__getitem__, ws)) for t, ws in zip(texts, words)]
+        for w in new:
+            if len(w) > self.LONGEST:
+                self.cache.pop(w, None)
+        return out
 
 
 @functools.lru_cache(2)
@@ -121,12 +132,14 @@ def _local(docs: DataFrame, vocab: str, end: int, size: int, with_ids: bool) ->
         first = part << 32
         rows: list[list] = [[], [], [], [], []]
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = c.encode(text) + tail
-                for k in range(0, len(ids), 4 * size):
-                    own = ids[k : k + 4 * size]
-                    for to, x in zip(rows, (doc, k // (4 * size), k // 4, own if with_ids else zlib.crc32(own), len(own) // 4)):
-                        to.append(x)
+            for at in range(0, b.num_rows, BLOCK):
+                some = b.slice(at, BLOCK)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), c.encode(some.column("text").to_pylist())):
+                    ids += tail
+                    for k in range(0, len(ids), 4 * size):
+                        own = ids[k : k + 4 * size]
+                        for to, x in zip(rows, (doc, k // (4 * size), k // 4, own if with_ids else zlib.crc32(own), len(own) // 4)):
+                            to.append(x)
             if len(rows[0]) >= BUFFER:
                 made, got = pack(*rows, first, part)
                 first, rows = first + made, [[], [], [], [], []]
