@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
 _FALLBACK: dict[str, str] = {}
@@ -34,6 +35,23 @@ def shared(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer of them than this.
+HOT = 1_000
+
+
+def hot_join(rows: DataFrame, named: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with named (key, once each, and any columns; n: its rows in `rows`, of which there are `total`).
+
+    Fewer than HOT keys can have more than one in HOT of the rows: those are broadcast, so that no task gets all rows of one
+    key; the others are joined by a shuffle."""
+    columns = [c for c in named.columns if c not in (key, n)]
+    packed = named.select(key, n, F.struct(*columns).alias("named"))
+    hot = packed.where(F.col(n) > total / HOT).select(key, F.col("named").alias("hot"))
+    met = rows.join(F.broadcast(hot), key, "left")
+    cold = met.where("hot IS NULL").drop("hot").join(packed.where(F.col(n) <= total / HOT).drop(n), key)
+    return met.where("hot IS NOT NULL").withColumnRenamed("hot", "named").unionByName(cold).select(*rows.columns, "named.*")
+
+
 def _drop() -> None:
     for spark, path in _OWN:
         try:

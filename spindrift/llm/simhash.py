@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared, table
+from .common import hot_join, shared, table
 
 BITS = 64
 #: Distinct fingerprints on which the partitions and thresholds are chosen; they decide the cost, not the result.
@@ -21,8 +21,6 @@ PLAN_ROWS = 20_000
 #: What a bucket row costs against one comparison in a bucket.
 ROW_COST = 1_000.0
 _TOP = 2**63 - 1
-#: A vertex with more than one in so many of all rows is hot; there are fewer of them than this.
-HOT = 1_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -275,10 +273,10 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("v"), F.col("v").alias("root"))
         seen = tuple(state)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u != v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
+        large = hot_join(both, low, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, "u", "n", 2 * state[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u != v")
         pairs = shared(small.distinct())
 
 
@@ -291,12 +289,8 @@ def groups(prints: DataFrame, tau: int, most: int | None = None) -> DataFrame:
     nodes = shared(prints.withColumn("node", node).groupBy("node", "fp", *wide).agg(F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("rep"), F.count("*").alias("n")))
     roots = components(links(nodes, tau, most)).select(F.col("v.node").alias("node"), F.col("root.rep").alias("root"))
     named = shared(nodes.select("node", "rep", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "rep").alias("c")))
-    # Fewer than HOT vertices can have more than a share of 1 / HOT of the rows: those are broadcast, so that no task gets
-    # all copies of one text; the others are joined by a shuffle.
-    least = F.lit((named.agg(F.sum("n")).first()[0] or 0) / HOT)
-    hot, cold = named.where(F.col("n") > least).drop("n"), named.where(F.col("n") <= least).drop("n")
-    rows = prints.withColumn("node", node).join(F.broadcast(hot.withColumnRenamed("c", "hot")), "node", "left")
-    found = rows.where("hot IS NOT NULL").withColumnRenamed("hot", "c").unionByName(rows.where("hot IS NULL").drop("hot").join(cold, "node"))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    found = hot_join(prints.withColumn("node", node), named, "node", "n", total)
     return found.select("doc_id", "th", "fp", F.when(F.col("c") != _TOP, F.col("c")).alias("component_id"))
 
 
