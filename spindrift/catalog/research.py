@@ -64,8 +64,8 @@ sb AS (SELECT query_id, i, sentence, {_BIG} AS g FROM (SELECT *, {sql.raw('sente
 cg AS (SELECT query_id, place, {_BIG} AS g FROM (SELECT *, {sql.raw('text')} AS ts FROM cx)),
 gt AS (SELECT s.query_id, s.i, s.sentence, c.place, {sql.jaccard('s.g', 'c.g')} AS v FROM sb s JOIN cg c ON c.query_id = s.query_id),
 cl AS (SELECT query_id, i, sentence, round(v, 4) AS support, place, v >= CAST(0.25 AS DOUBLE) AS supported FROM (SELECT *, row_number() OVER (PARTITION BY query_id, i ORDER BY v DESC, place) AS n FROM gt) WHERE n = 1),
-gr AS (SELECT a.query_id, round(coalesce(avg(support), 0), 4) AS grounding_score, round(coalesce(avg(CAST(supported AS INTEGER)), 0), 4) AS support_score, count(c.i) AS n_claims,
-  CASE WHEN coalesce(avg(support), 0) >= 0.5 THEN 'low' WHEN coalesce(avg(support), 0) >= 0.25 THEN 'medium' ELSE 'high' END AS risk FROM an a LEFT JOIN cl c ON c.query_id = a.query_id GROUP BY a.query_id),
+gr0 AS (SELECT a.query_id, coalesce(floor((2 * sum(CAST(round(support * 10000) AS BIGINT)) + count(c.i)) / (2 * count(c.i))) / CAST(10000 AS DOUBLE), 0) AS grounding_score, round(coalesce(avg(CAST(supported AS INTEGER)), 0), 4) AS support_score, count(c.i) AS n_claims FROM an a LEFT JOIN cl c ON c.query_id = a.query_id GROUP BY a.query_id),
+gr AS (SELECT *, CASE WHEN grounding_score >= 0.5 THEN 'low' WHEN grounding_score >= 0.25 THEN 'medium' ELSE 'high' END AS risk FROM gr0),
 st AS (SELECT query_id, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS total_tokens, count(DISTINCT doc_id) AS n_sources, round(CAST(count(DISTINCT doc_id) AS DOUBLE) / count(*), 3) AS diversity, CAST(0 AS DOUBLE) AS redundancy FROM cx GROUP BY query_id)"""
 
 

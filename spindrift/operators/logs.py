@@ -264,7 +264,7 @@ def valid_tokens(tokens: DataFrame, issued: DataFrame, now: str) -> DataFrame:
 def glob_match(topic: Column, pattern: Column) -> Column:
     """fnmatch with * and ? on whole topics."""
     quoted = F.regexp_replace(pattern, r"([.\\+\[\](){}^$|])", r"\\$1")
-    return topic.rlike(F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$")))
+    return F.regexp_like(topic, F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$")))
 
 
 def routed(events: DataFrame, routes: DataFrame) -> DataFrame:

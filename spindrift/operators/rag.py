@@ -147,10 +147,13 @@ def claims(answers: DataFrame, context: DataFrame, least: float = SUPPORT, words
 
 def ground(answers: DataFrame, context: DataFrame, **how) -> DataFrame:
     """query_id, grounding_score, support_score, n_claims, risk; an answer without claims has 0 and high risk."""
-    per = claims(answers, context, **how).groupBy("query_id").agg(F.avg("support").alias("g"), F.avg(F.col("supported").cast("int")).alias("s"), F.count("*").alias("n_claims"))
+    # Support has four places: its mean is made of whole numbers, so the order of summing can't tip a rounding.
+    whole = F.sum(F.round(F.col("support") * 10_000).cast("long"))
+    mean = F.floor((2 * whole + F.count("*")) / (2 * F.count("*"))) / 10_000
+    per = claims(answers, context, **how).groupBy("query_id").agg(mean.alias("g"), F.avg(F.col("supported").cast("int")).alias("s"), F.count("*").alias("n_claims"))
     out = answers.select("query_id").join(per, "query_id", "left").fillna(0.0, ["g", "s"]).fillna(0, ["n_claims"])
     risk = F.when(F.col("g") >= 0.5, "low").when(F.col("g") >= 0.25, "medium").otherwise("high")
-    return out.select("query_id", F.round("g", 4).alias("grounding_score"), F.round("s", 4).alias("support_score"), "n_claims", risk.alias("risk"))
+    return out.select("query_id", F.col("g").alias("grounding_score"), F.round("s", 4).alias("support_score"), "n_claims", risk.alias("risk"))
 
 
 def support_snippet(sentence: str, chunk: str, window: int = 80, chars: int = 200) -> str:
