@@ -188,9 +188,9 @@ def llm_cost(spark, d):
     return logs.llm_cost(_calls(spark, d), _prices(spark))
 
 
-@query("llm_cost_split", f"{_COSTED}, s AS (SELECT *, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(input_tokens AS DOUBLE) / (input_tokens + output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS f, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(output_tokens AS DOUBLE) / (input_tokens + output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS g FROM costed) SELECT call_id, 'llm_input' AS category, CAST(input_tokens AS DOUBLE) AS units, round(round(cost_usd * f, 6), 4) AS cost_usd FROM s UNION ALL SELECT call_id, 'llm_output', CAST(output_tokens AS DOUBLE), round(round(cost_usd * g, 6), 4) FROM s")
+@query("llm_cost_split", f"{_COSTED}, s AS (SELECT *, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(input_tokens AS DOUBLE) / (input_tokens + output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS f, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(output_tokens AS DOUBLE) / (input_tokens + output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS g FROM costed) SELECT call_id, 'llm_input' AS category, CAST(input_tokens AS DOUBLE) AS units, floor(cost_usd * f * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS cost_usd FROM s UNION ALL SELECT call_id, 'llm_output', CAST(output_tokens AS DOUBLE), floor(cost_usd * g * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) FROM s")
 def llm_cost_split(spark, d):
-    return logs.split_cost(logs.llm_cost(_calls(spark, d), _prices(spark))).withColumn("cost_usd", F.round("cost_usd", 4))
+    return logs.split_cost(logs.llm_cost(_calls(spark, d), _prices(spark)))
 
 
 @query("cheapest_model", f"WITH {_PRICES} SELECT provider, model FROM prices WHERE tier >= 1 ORDER BY output_price, provider, model LIMIT 1")

@@ -85,7 +85,9 @@ def split_cost(calls: DataFrame) -> DataFrame:
     """Two rows for each call, its cost shared by tokens; in halves where there are none."""
     n = F.col("input_tokens") + F.col("output_tokens")
     share = lambda c: F.when(n > 0, F.col(c) / n).otherwise(0.5)
-    part = lambda name, c: F.struct(F.lit(name).alias("category"), F.col(c).cast("double").alias("units"), F.round(F.col("cost_usd") * share(c), 6).alias("cost_usd"))
+    # Halves of a cost of six places are halves of the last place as well: both engines must round them alike.
+    six = lambda x: F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    part = lambda name, c: F.struct(F.lit(name).alias("category"), F.col(c).cast("double").alias("units"), six(F.col("cost_usd") * share(c)).alias("cost_usd"))
     return calls.select("call_id", F.explode(F.array(part("llm_input", "input_tokens"), part("llm_output", "output_tokens"))).alias("x")).select("call_id", "x.*")
 
 
