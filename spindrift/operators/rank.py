@@ -79,7 +79,7 @@ def tfidf(corpus: DataFrame, counted: DataFrame, queries: DataFrame, k: int = 10
 def recency(created: Column, as_of: str) -> Column:
     """exp(-0.01 * age in days); 0.5 where the date is missing."""
     age = F.greatest(F.lit(0), F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(created)) / 86400))
-    return F.coalesce(F.exp(F.lit(-0.01) * age), F.lit(0.5))
+    return F.when(created.isNotNull(), F.exp(F.lit(-0.01) * age)).otherwise(0.5)
 
 
 def tuned(corpus: DataFrame, counted: DataFrame, queries: DataFrame, as_of: str, clicks: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, k: int = 10) -> DataFrame:

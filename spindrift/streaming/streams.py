@@ -23,11 +23,11 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def files(spark: SparkSession, folder: str, name: str, schema: str, per_batch: int | None = None) -> DataFrame:
-    """A stream of the Parquet files of one table."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A stream of one table, which is a Parquet file or a folder of such."""
+    reader = spark.readStream.schema(schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern, so that the path may be a file
 
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -62,10 +62,17 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], D
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+    if query.lastProgress is None or not any(p["numInputRows"] for p in query.recentProgress):
+        return put_nothing(each(spark.createDataFrame([], stream.schema)) if each else spark.createDataFrame([], stream.schema))
     read = spark.read.parquet(f"{at}/out")
     return read.drop("batch") if mode != "complete" else read
 
 
+def put_nothing(empty: DataFrame) -> DataFrame:
+    """The result of a stream that had no rows."""
+    return empty.where("false")
+
+
 def volume(stream: DataFrame, width: str = "1 hour") -> DataFrame:
     """window start, event_type, events, total value."""
     got = stream.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
