@@ -65,9 +65,24 @@ def _covered(grams: Column) -> Column:
     return _let(found, lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b))
 
 
+def _grams(text: Column) -> Column:
+    """A hash of each window of three words."""
+    return _let(words(text), lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0))))
+
+
+def _again(grams: Column) -> Column:
+    """How many windows are like an earlier one; at most twice as many are in repeated groups, and each covers three words."""
+    return F.size(grams) - F.size(F.array_distinct(grams))
+
+
 def n_repeat_words(text: Column) -> Column:
-    grams = _let(words(text), lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0))))
-    return _let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_covered(g))).cast("long")
+    return _let(_grams(text), lambda g: F.when(_again(g) == 0, F.lit(0)).otherwise(_covered(g))).cast("long")
+
+
+def repeats_much(text: Column) -> Column:
+    """Whether over three tenths of the words repeat. The bound on what the repeated windows can cover decides for most
+    texts, without a sort."""
+    return _let(_grams(text), lambda g: F.when(10 * 6 * _again(g) <= 3 * (F.size(g) + 2), F.lit(False)).otherwise(10 * _covered(g) > 3 * (F.size(g) + 2)))
 
 
 @dataclass(frozen=True)
@@ -88,7 +103,7 @@ RULES = (
     Rule("exclamations", _ratio(lambda t: (F.length(t) - F.length(_without(t, "!"))).cast("long"), n_words, lambda e, w: 5 * e > w)),
     Rule("upper_case", _ratio(n_upper, word_chars, lambda u, c: 10 * u > 3 * c)),
     Rule("repeated_lines", lambda t: _let(lines(t), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 4 * F.size(x))),
-    Rule("repeated_words", _ratio(n_repeat_words, n_words, lambda r, w: 10 * r > 3 * w)),
+    Rule("repeated_words", repeats_much),
 )
 
 
