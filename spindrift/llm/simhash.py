@@ -69,12 +69,13 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return _bytes(docs).mapInArrow(run, "doc_id long, th long, fp long")
 
 
-WIDE = 4
+#: Words of 64 bits in the fingerprint that similarity is estimated by.
+WIDE = 8
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, th, fp: the SimHash of the text's distinct words, on which near copies differ in few bits, and f0 to f3: a
-    256-bit SimHash of its shingles, by which similarity is estimated."""
+    """doc_id, th, fp: the SimHash of the text's distinct words, on which near copies differ in few bits, and f0 to f7: a
+    512-bit SimHash of its shingles, by which similarity is estimated."""
 
     def run(batches):
         for b in batches:
@@ -200,7 +201,7 @@ def bucket_links(fp: np.ndarray, tau: int, wide: np.ndarray | None = None, most:
 
 
 def links(nodes: DataFrame, tau: int, most: int | None = None) -> DataFrame:
-    """Links (u, v) of vertices, struct<rep, node>, among nodes (rep, node, fp and, with `most`, f0 to f3): as many as
+    """Links (u, v) of vertices, struct<rep, node>, among nodes (rep, node, fp and, with `most`, f0 to f7): as many as
     join what is within tau bits (and within `most` bits of the wide fingerprints)."""
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.select("fp").limit(PLAN_ROWS).collect()], np.int64).view(np.uint64)
@@ -281,7 +282,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(prints: DataFrame, tau: int, most: int | None = None) -> DataFrame:
-    """The rows of prints (doc_id, th, fp and, with `most`, f0 to f3) with component_id, the smallest doc_id that links
+    """The rows of prints (doc_id, th, fp and, with `most`, f0 to f7) with component_id, the smallest doc_id that links
     reach. Equal fingerprints are one vertex, so exact copies cost one row, however many there are."""
     wide = [f"f{k}" for k in range(WIDE)] if most is not None else []
     prints = shared(prints)
@@ -304,15 +305,16 @@ def link(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
     return groups(fingerprints(docs, words), tau)
 
 
-#: Expected differing bits of the 256 at a similarity of 0.8 are 38.8 with a deviation of 5.7; one deviation is added, so
-#: that five pairs of six at exactly 0.8 are linked.
-STAGE_TAU, STAGE_MOST = 8, 44
+#: Texts of which 0.8 of the shingles are shared differ in about 4 bits of the SimHash of their words, seldom in more than
+#: 9, and in 77.5 of the 512 bits with a deviation of 8; one and a quarter deviations are added, so that nine pairs of ten
+#: at exactly 0.8 are linked.
+STAGE_TAU, STAGE_MOST = 9, 88
 
 
 def dedup(docs: DataFrame, words: int = 5, tau: int = STAGE_TAU, most: int = STAGE_MOST) -> DataFrame:
     """The rows of docs (doc_id, text, any more), one of each group of near duplicates: that with the smallest doc_id.
 
-    Candidates are within tau bits of the SimHash of their words; two link if the 256-bit SimHash of their shingles
+    Candidates are within tau bits of the SimHash of their words; two link if the 512-bit SimHash of their shingles
     estimates a similarity of 0.8 or more. Texts without words are one group. Equal rows (doc_id and text) leave one; of
     rows that share a doc_id but not the text, those of other groups stay; a null doc_id stays only if its group has none
     else; no column is added; an empty table gives an empty one."""
