@@ -258,6 +258,17 @@ def trace_spans(spark, d):
     return logs.spans(e.select(F.col("user_id").alias("trace_id"), (F.col("event_id") * 10.0).alias("start_ms"), (F.col("event_id") * 10.0 + F.col("value")).alias("end_ms"), (F.col("event_type") == "error").alias("error")))
 
 
+@query("trace_recent", "SELECT event_id, user_id AS trace_id, value AS ms FROM events WHERE event_id % 4 = 0 ORDER BY ts DESC, event_id LIMIT 25")
+def trace_recent(spark, d):
+    sampled = _events(spark, d).where("event_id % 4 = 0")
+    return logs.newest(sampled, "ts", 25, "event_id").select("event_id", F.col("session_id").alias("trace_id"), F.col("value").alias("ms"))
+
+
+@query("audit_log", f"{_COST} SELECT event_id, category FROM costs WHERE tenant_id = 't1' ORDER BY ts DESC, event_id LIMIT 30")
+def audit_log(spark, d):
+    return logs.newest(S.cost_events(spark, d), "ts", 30, "event_id", where={"tenant_id": "t1"}).select("event_id", "category")
+
+
 @query("cache_stats", "SELECT user_id % 2 AS level, count(CASE WHEN event_type = 'view' THEN 1 END) AS hits, count(CASE WHEN event_type <> 'view' THEN 1 END) AS misses, round(avg(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END), 4) AS hit_rate FROM events GROUP BY 1")
 def cache_stats(spark, d):
     hit = F.col("event_type") == "view"

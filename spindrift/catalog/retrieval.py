@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assist, chunk, evaluate, fusion, index, rank, rerank, vector
+from ..plans import gateway
 from ..sources import tables as S
 from . import search as C
 from . import sql
@@ -143,6 +144,20 @@ def hybrid(spark, d):
     return fusion.hybrid(lexical(spark, d, 20), semantic(spark, d, 20), 10).fillna(0, ["lexical_rank", "semantic_rank"])
 
 
+@query("hybrid_explain", f"{_LISTS} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.score, 0) AS lexical_score, coalesce(b.score, 0) AS semantic_score, round(coalesce(CAST(1 AS DOUBLE) / (60 + a.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.rank), 0), 6) AS score, CASE WHEN a.rank IS NULL THEN 'meaning only' WHEN b.rank IS NULL THEN 'words only' WHEN a.rank <= b.rank THEN 'both, words first' ELSE 'both, meaning first' END AS reason FROM (SELECT * FROM lists WHERE list_id = 1) a FULL OUTER JOIN (SELECT * FROM lists WHERE list_id = 2) b ON b.query_id = a.query_id AND b.doc_id = a.doc_id")
+def hybrid_explain(spark, d):
+    got = gateway.explain(lexical(spark, d, 20), semantic(spark, d, 20)).fillna(0.0, ["lexical_score", "semantic_score"])
+    return got.select("query_id", "doc_id", "lexical_score", "semantic_score", "score", "reason")
+
+
+@query("gateway_search", f"{_LISTS}, {_FUSE.format(_FORMULA['rrf'])} SELECT query_id, 'bm25' AS mode, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 10 AND query_id % 2 = 0 UNION ALL SELECT query_id, 'hybrid', doc_id, score, rank FROM r WHERE rank <= 10 AND query_id % 2 = 1")
+def gateway_search(spark, d):
+    """Every other benchmark query asks to install something, which sends it to the plain ranking."""
+    asked = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("install "), "text")).otherwise(F.col("text")).alias("query"))
+    only = lambda f: lambda q: f.join(q.select("query_id"), "query_id", "left_semi")
+    return gateway.search(asked, {"bm25": only(lexical(spark, d, 10)), "hybrid": only(fusion.hybrid(lexical(spark, d, 20), semantic(spark, d, 20), 10))})
+
+
 # -- reranking
 
 _WORDSET = "list_distinct({})".format
@@ -262,6 +277,13 @@ def system_pivot(spark, d):
     return evaluate.table(systems(spark, d), judged(spark, d), systems=["bm25", "tfidf"])
 
 
+@query("experiment_compare", f"{_SYSTEMS}, {_METRICS}, a AS (SELECT system, {_MEANS} FROM m GROUP BY system), u AS (SELECT metric, max(CASE WHEN system = 'bm25' THEN value END) AS x, max(CASE WHEN system = 'tfidf' THEN value END) AS y FROM (UNPIVOT a ON COLUMNS(* EXCLUDE (system)) INTO NAME metric VALUE value) GROUP BY metric) SELECT metric, round(x - y, 4) AS difference, CASE WHEN x > y THEN 'bm25' WHEN y > x THEN 'tfidf' ELSE 'tie' END AS best FROM u")
+def experiment_compare(spark, d):
+    t = evaluate.table(systems(spark, d), judged(spark, d), systems=["bm25", "tfidf"])
+    best = F.when(F.col("bm25") > F.col("tfidf"), "bm25").when(F.col("tfidf") > F.col("bm25"), "tfidf").otherwise("tie")
+    return t.select("metric", F.round(F.col("bm25") - F.col("tfidf"), 4).alias("difference"), best.alias("best"))
+
+
 # -- query assistance: benchmark words with a letter left out are the misspelt ones
 
 _MISSPELT = f"miss AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4) AS word FROM ({{}}) WHERE length(term) >= 5)".format("SELECT unnest(" + sql.terms("text") + ") AS term FROM benchmark")
