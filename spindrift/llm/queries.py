@@ -11,7 +11,7 @@ from .packing import op10_best_fit_pack
 from .quality import OP4_SQL, op4_quality_cascade
 from .shards import op9_jump_shards
 from .simhash import op5_simhash_groups
-from .substrings import op2_unit_dedup
+from .substrings import OP2_SQL, op2_unit_dedup
 
 QUERIES = {
     "op1_text_density": op1_text_density,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_jump_shards": op9_jump_shards,
     "op10_best_fit_pack": op10_best_fit_pack,
 }
-ORACLES: dict[str, str] = {"op4_quality_cascade": OP4_SQL, "op6_line_windows": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_unit_dedup": OP2_SQL, "op4_quality_cascade": OP4_SQL, "op6_line_windows": OP6_SQL}

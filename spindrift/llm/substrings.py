@@ -97,3 +97,21 @@ def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return got.select("row.doc_id", F.size("spans").cast("long").alias("n_spans"), cut.alias("removed_chars"), F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias("spans"), "text")
+
+
+OP2_SQL = r"""
+WITH m AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?…。！？])(\s+)|([ \t\r\f\v]*\n\s*)', '\1' || chr(1) || '\2\3' || chr(2), 'g'), chr(2)) AS ps FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM m),
+s AS (SELECT doc_id, i, string_split(p, chr(1))[1] AS unit, length(replace(p, chr(1), '')) AS size FROM p),
+o AS (SELECT doc_id, i, unit, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s),
+w AS (SELECT doc_id, i, a, a + length(unit) AS e, list_filter(string_split_regex(lower(unit), '\s+'), lambda x: x <> '') AS ws FROM o),
+u AS (SELECT doc_id, a, e, len(ws) AS n, array_to_string(ws, ' ') AS said, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM w WHERE len(ws) >= 3),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY said ORDER BY doc_id, j) AS seen FROM u) WHERE seen > 1),
+g AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run FROM l),
+r AS (SELECT doc_id, CAST(min(a) AS BIGINT) AS a, CAST(max(e) AS BIGINT) AS e FROM g GROUP BY doc_id, run HAVING sum(n) >= 25),
+k AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM r),
+c AS (SELECT k.doc_id, count(*) AS n_spans, CAST(sum(e - a) AS BIGINT) AS removed_chars, string_agg(a || '-' || e, ',' ORDER BY a) AS spans, string_agg(substr(d.text, b + 1, a - b), '' ORDER BY a) AS head, max(e) AS last
+  FROM k JOIN documents d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, coalesce(n_spans, 0) AS n_spans, coalesce(removed_chars, 0) AS removed_chars, coalesce(spans, '') AS spans, CASE WHEN c.doc_id IS NULL THEN d.text ELSE head || substr(d.text, last + 1) END AS text
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
