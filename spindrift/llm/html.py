@@ -37,7 +37,7 @@ _AROUND = frozenset("nav aside footer form dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TALK = frozenset("comment comments commentlist commentary disqus reply replies respond responses discussion".split())
 _MARKS = _TALK | frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense banner banners breadcrumb breadcrumbs consent cookie cookies copyright "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising advertorial adsense banner banners breadcrumb breadcrumbs consent cookie cookies copyright "
     "disclaimer footer gdpr header login masthead menu menus nav navbar navigation newsletter notice notices notification pager pagination popup popups promo promos promoted promotion "
     "recommended related search share sharing sidebar sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
@@ -132,36 +132,51 @@ class Page:
         return gone
 
 
-def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float], list[int], list[int]]:
-    """Composite text density and sum of the children's, characters and link characters of every node."""
-    n, tag, parent = len(page.tag), page.tag, page.parent
-    c, t, lc, lt = [0] * n, [0] * n, [0] * n, [0] * n
-    linked = [False] * n
-    for i in range(1, n):
-        linked[i] = linked[parent[i]] or tag[i] == "a"
-    for i, text in page.events:
-        if text and not gone[i]:
-            size = len("".join(text.split()))
-            c[i] += size
-            lc[i] += size * linked[i]
-    for i in range(n - 1, 0, -1):
-        if not gone[i]:
-            p = parent[i]
-            c[p] += c[i]
-            lc[p] += lc[i]
-            t[p] += t[i] + 1
-            lt[p] += lt[i] + (tag[i] == "a")
-    body = tag.index("body") if "body" in tag else 0
-    ratio = lc[body] / max(c[body], 1)
-    d, s = [0.0] * n, [0.0] * n
-    for i in range(n - 1, -1, -1):
-        if c[i] and not gone[i]:
-            plain = c[i] / max(t[i], 1)
-            base = math.log(math.log(c[i] / max(c[i] - lc[i], 1) * lc[i] + ratio * c[i] + math.e))
-            d[i] = plain * math.log(max(c[i] / max(lc[i], 1) * max(t[i], 1) / max(lt[i], 1), 1.0)) / base if base > 1e-9 else plain
-        if i:
-            s[parent[i]] += d[i]
-    return d, s, c, lc
+class Density:
+    """Characters, tags, link characters and link tags below every node, its composite density and its children's sum."""
+
+    def __init__(self, page: Page, gone: list[bool]):
+        n, tag, parent = len(page.tag), page.tag, page.parent
+        self.c, self.t, self.lc, self.lt = c, t, lc, lt = [0] * n, [0] * n, [0] * n, [0] * n
+        linked = [False] * n
+        for i in range(1, n):
+            linked[i] = linked[parent[i]] or tag[i] == "a"
+        for i, text in page.events:
+            if text and not gone[i]:
+                size = len("".join(text.split()))
+                c[i] += size
+                lc[i] += size * linked[i]
+        for i in range(n - 1, 0, -1):
+            if not gone[i]:
+                p = parent[i]
+                c[p] += c[i]
+                lc[p] += lc[i]
+                t[p] += t[i] + 1
+                lt[p] += lt[i] + (tag[i] == "a")
+        body = tag.index("body") if "body" in tag else 0
+        self.ratio = lc[body] / max(c[body], 1)
+        self.d = [self.of(c[i], t[i], lc[i], lt[i]) if not gone[i] else 0.0 for i in range(n)]
+        self.s = [0.0] * n
+        for i in range(1, n):
+            self.s[parent[i]] += self.d[i]
+
+    def of(self, c: int, t: int, lc: int, lt: int) -> float:
+        """Characters a tag, times a logarithm that falls with the share of links; its base grows with the page's share."""
+        if not c:
+            return 0.0
+        base = math.log(math.log(c / max(c - lc, 1) * lc + self.ratio * c + math.e))
+        factor = math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / base if base > 1e-9 else 1.0
+        return c / max(t, 1) * factor
+
+    def rest(self, i: int, j: int) -> tuple[float, float]:
+        """Density and share of link characters of what i has beside j below it."""
+        c, lc = self.c[i] - self.c[j], self.lc[i] - self.lc[j]
+        return self.of(c, self.t[i] - self.t[j] - 1, lc, self.lt[i] - self.lt[j]), lc / max(c, 1)
+
+
+#: Beside the best subtree, what is this much thinner than the body, or has more of its characters in links, isn't main text,
+#: unless it has a first heading.
+THIN, LINKED = 0.5, 0.3
 
 
 def extract(html: str) -> str:
@@ -169,35 +184,29 @@ def extract(html: str) -> str:
     page = Page(html)
     tag, parent, n = page.tag, page.parent, len(page.tag)
     gone = page.boilerplate()
-    d, s, c, lc = densities(page, gone)
+    at = Density(page, gone)
+    c, lc = at.c, at.lc
     if not c[0]:
         return ""
-    best = max(range(n), key=lambda i: (s[i], -i))
-    if not s[best]:
-        best = 0
+    best = max(range(n), key=lambda i: (at.s[i], -i))
     path = [best]
     while path[-1]:
         path.append(parent[path[-1]])
-    body = next((i for i in path if tag[i] in ("body", "#root")), 0)
-    inner = path[: path.index(body) + 1]
-    scope = next((i for i in inner if tag[i] == "article"), None)
-    keep = [False] * n
-    if scope is not None:
-        keep[scope] = True
-    else:
-        # Beside the best subtree, those of nodes that are as dense as the thinnest node on its path to the body.
-        scope = next((i for i in inner if tag[i] == "main"), body)
-        least = min(d[i] for i in inner)
-        top, under = s[:], list(range(n))  # the largest sum in each subtree, and where it is
+    if (scope := next((i for i in path if tag[i] == "article"), None)) is None:
+        # From the body down to the best subtree, as long as what stands beside the path is thin or full of links.
+        body = next((i for i in path if tag[i] == "body"), 0)
+        way = path[: path.index(body) + 1][::-1]
+        heads = [tag[i] == "h1" and not gone[i] for i in range(n)]
         for i in range(n - 1, 0, -1):
-            if top[i] > top[parent[i]]:
-                top[parent[i]], under[parent[i]] = top[i], under[i]
-        inside = [False] * n
-        inside[scope] = True
-        for i in range(scope, n):
-            inside[i] = inside[i] or (i > scope and inside[parent[i]])
-            if inside[i] and not gone[i] and d[i] >= least:
-                keep[under[i] if top[i] else i] = True
+            heads[parent[i]] += heads[i]
+        scope = body
+        for i in way[1:]:
+            dense, links = at.rest(scope, i)
+            if c[scope] > c[i] and (heads[scope] > heads[i] or dense >= THIN * at.d[body] and links <= LINKED):
+                break
+            scope = i
+    keep = [False] * n
+    keep[scope] = True
     for i in range(1, n):
         lists = tag[i] in ("ul", "ol", "div", "section", "table", "dl") and c[i] and lc[i] > 0.7 * c[i]
         gone[i] = gone[i] or gone[parent[i]] or lists

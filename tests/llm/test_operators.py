@@ -386,3 +386,15 @@ def test_words_are_encoded_as_the_library_does():
         some = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(5)]
         for t, got in zip(some, c.encode(some)):
             assert np.frombuffer(got, "<u4").tolist() == c.tok.encode(t, add_special_tokens=False).ids
+
+
+def _paragraphs(n, k):
+    return [" ".join(f"word{i}x{j}" for j in range(k)) + "." for i in range(n)]
+
+
+def test_html_keeps_sections_beside_the_densest_one():
+    links = "".join(f"<li><a href=/{i}>link {i} text</a></li>" for i in range(12))
+    a, b = _paragraphs(5, 12), _paragraphs(3, 4)
+    p = lambda ps: "".join(f"<p>{x}</p>" for x in ps)
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Head</h1><div>{p(a)}</div><div>{p(b)}</div></div><div><ul>{links}</ul></div></body>"
+    assert html.extract(page) == "\n\n".join(["Head", *a, *b])
