@@ -32,7 +32,7 @@ class WordCoder:
     #: Outside U+024F; the separators FS to US and NEL, which libraries class differently; a letter whose lower case is two.
     _ODD = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\u0130]")
     #: Words that are held, and characters of a word that is.
-    CACHE, LONGEST = 400_000, 64
+    CACHE, LONGEST = 600_000, 64
 
     def __init__(self, vocab: str):
         import regex
@@ -47,6 +47,9 @@ class WordCoder:
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
 
+    def _odd(self, text: str) -> bool:
+        return any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else self._ODD.search(text) is not None
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -66,10 +69,10 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [None if self._ODD.search(t) else t.lower().split() for t in texts]
+        words = [None if self._odd(t) else t.lower().split() for t in texts]
         if len(self.cache) > self.CACHE:  # the words that came first are the frequent ones
             self.cache = dict(islice(self.cache.items(), self.CACHE // 2))
-        new = {w for ws in words if ws for w in ws if w not in self.cache}
+        new = set().union(*(ws for ws in words if ws)).difference(self.cache)
         if new:
             self._learn(new, self.cache)
         out = [self._ids(t).tobytes() if ws is None else b"".join(map(self.cache.__getitem__, ws)) for t, ws in zip(texts, words)]
