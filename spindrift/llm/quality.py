@@ -24,7 +24,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
 def lines(text: Column) -> Column:
@@ -65,9 +65,9 @@ def _covered(grams: Column) -> Column:
     return _let(found, lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b))
 
 
-def _grams(text: Column) -> Column:
+def _grams(w: Column) -> Column:
     """A hash of each window of three words."""
-    return _let(words(text), lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0))))
+    return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
 
 
 def _again(grams: Column) -> Column:
@@ -75,44 +75,49 @@ def _again(grams: Column) -> Column:
     return F.size(grams) - F.size(F.array_distinct(grams))
 
 
-def n_repeat_words(text: Column) -> Column:
-    return _let(_grams(text), lambda g: F.when(_again(g) == 0, F.lit(0)).otherwise(_covered(g))).cast("long")
+def repeated(w: Column) -> Column:
+    """Of an array of words, those in a window of three that is there twice."""
+    return _let(_grams(w), lambda g: F.when(_again(g) == 0, F.lit(0)).otherwise(_covered(g))).cast("long")
 
 
-def repeats_much(text: Column) -> Column:
+def repeats_much(w: Column) -> Column:
     """Whether over three tenths of the words repeat. The bound on what the repeated windows can cover decides for most
     texts, without a sort."""
-    return _let(_grams(text), lambda g: F.when(10 * 6 * _again(g) <= 3 * (F.size(g) + 2), F.lit(False)).otherwise(10 * _covered(g) > 3 * (F.size(g) + 2)))
+    return _let(_grams(w), lambda g: F.when(10 * 6 * _again(g) <= 3 * (F.size(g) + 2), F.lit(False)).otherwise(10 * _covered(g) > 3 * (F.size(g) + 2)))
+
+
+def n_repeat_words(text: Column) -> Column:
+    return _let(words(text), repeated)
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    #: Whether a text fails; of its own, so that a text which stopped before costs nothing here.
-    fails: Callable[[Column], Column]
+    #: Whether a text, given with its words, fails; of its own, so that a text which stopped before costs nothing here.
+    fails: Callable[[Column, Column], Column]
 
 
-def _ratio(a: Callable, b: Callable, at: Callable) -> Callable[[Column], Column]:
-    return lambda t: at(a(t), b(t))
+def _exclamations(text: Column) -> Column:
+    return F.length(text) - F.length(_without(text, "!"))
 
 
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < 50),
-    Rule("word_length", _ratio(word_chars, n_words, lambda c, w: (10 * c < 25 * w) | (c > 12 * w))),
-    Rule("symbols", _ratio(n_symbols, n_words, lambda s, w: 10 * s > w)),
-    Rule("exclamations", _ratio(lambda t: (F.length(t) - F.length(_without(t, "!"))).cast("long"), n_words, lambda e, w: 5 * e > w)),
-    Rule("upper_case", _ratio(n_upper, word_chars, lambda u, c: 10 * u > 3 * c)),
-    Rule("repeated_lines", lambda t: _let(lines(t), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 4 * F.size(x))),
-    Rule("repeated_words", repeats_much),
+    Rule("few_words", lambda t, w: F.size(w) < 50),
+    Rule("word_length", lambda t, w: (10 * word_chars(t) < 25 * F.size(w)) | (word_chars(t) > 12 * F.size(w))),
+    Rule("symbols", lambda t, w: 10 * n_symbols(t) > F.size(w)),
+    Rule("exclamations", lambda t, w: 5 * _exclamations(t) > F.size(w)),
+    Rule("upper_case", lambda t, w: 10 * n_upper(t) > 3 * word_chars(t)),
+    Rule("repeated_lines", lambda t, w: _let(lines(t), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 4 * F.size(x))),
+    Rule("repeated_words", lambda t, w: repeats_much(w)),
 )
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE) -> list[tuple[Rule, float, float]]:
     """(rule, rejected share, seconds on the sample) for each rule, the most rejections per second first."""
-    spark, text = docs.sparkSession, F.col("text")
+    spark, text, w = docs.sparkSession, F.col("text"), F.col("w")
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     held = source.sample(share, seed=7).limit(rows).collect() or source.limit(rows).collect()
-    sample = spark.createDataFrame(held, "text string").coalesce(1)
+    sample = spark.createDataFrame(held, "text string").coalesce(1).withColumn("w", words(text))
 
     def run(fails: Column) -> tuple[float, float]:
         query, took, hit = sample.agg(F.avg(F.when(fails, 1.0).otherwise(0.0))), [], 0.0
@@ -122,20 +127,26 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE
             took.append(time.perf_counter() - began)
         return hit, min(took)
 
-    idle = run(F.length(text) < 0)[1]
-    found = [(r, hit, max(took - idle, 1e-3)) for r in rules for hit, took in [run(r.fails(text))]]
+    idle = run(F.size(w) < 0)[1]  # the words, which all rules share, and the job itself
+    found = [(r, hit, max(took - idle, 1e-3)) for r in rules for hit, took in [run(r.fails(text, w))]]
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
-def verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The name of the rule that rejects a row of docs, in the measured order; null: kept. CASE evaluates one condition
-    after another, so a rule runs only for texts that all rules before it have passed."""
-    text, out = F.coalesce("text", F.lit("")), None
-    for rule, _, _ in measure(docs, rules):
-        out = (F if out is None else out).when(rule.fails(text), F.lit(rule.name))
+def cascade(rules: list[Rule], text: Column, w: Column) -> Column:
+    """The name of the first of the rules that a text fails, null for none. CASE evaluates one condition after another, so
+    a rule runs only for texts that all rules before it have passed."""
+    out = None
+    for rule in rules:
+        out = (F if out is None else out).when(rule.fails(text, w), F.lit(rule.name))
     return out
 
 
+def verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The name of the rule that rejects a row of docs, in the measured order; null: kept."""
+    order, text = [r for r, _, _ in measure(docs, rules)], F.coalesce("text", F.lit(""))
+    return _let(words(text), lambda w: cascade(order, text, w))
+
+
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs (any columns; text is read) that pass all rules, as they are.
 
@@ -145,9 +156,10 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.select("doc_id", n_words(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"), verdict(docs).isNull().alias("passed"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order, text, w = [r for r, _, _ in measure(docs)], F.col("text"), F.col("w")
+    split = docs.withColumn("w", words(text))
+    counted = split.select("doc_id", F.size(w).cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), repeated(w).alias("n_repeat_words"), cascade(order, text, w).isNull().alias("passed"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("passed")).alias("kept"))
 
