@@ -47,7 +47,7 @@ def clean(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("f_doc")) & (F.col("th") == F.col("f_th")), "left")
     # Every row that had no window before goes through as it is; only the others are split again.
     lines = F.split("row.text", "\n")
-    cut = joined.select("row", lines.alias("lines"), F.when(F.col("starts").isNotNull(), F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda k: F.transform(F.slice(_said(lines), k + 1, size), lambda p: p["i"])))))).alias("removed"))
+    cut = joined.select("row", lines.alias("lines"), F.when(F.col("starts").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.transform("starts", lambda k: F.transform(F.slice(_said(lines), k + 1, size), lambda p: p["i"])))))).alias("removed"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
     return cut.select(
         "row",

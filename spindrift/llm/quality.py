@@ -59,8 +59,8 @@ def _covered(grams: Column) -> Column:
     """Words in windows whose hash is there twice: equal windows meet in the sorted order, and the sorted places of the
     repeated ones are merged."""
     found = _let(
-        F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
-        lambda s: F.array_sort(F.transform(F.filter(s, lambda x, j: F.coalesce((F.get(s, j - 1)["g"] == x["g"]) | (F.get(s, j + 1)["g"] == x["g"]), F.get(s, j - 1)["g"] == x["g"], F.get(s, j + 1)["g"] == x["g"], F.lit(False))), lambda x: x["i"])),
+        F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
+        lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: F.coalesce((F.get(s, j - 1)["g"] == x["g"]) | (F.get(s, j + 1)["g"] == x["g"]), F.get(s, j - 1)["g"] == x["g"], F.get(s, j + 1)["g"] == x["g"], F.lit(False))), lambda x: x["i"])),
     )
     return _let(found, lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b))
 
@@ -157,11 +157,13 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order, text, w = [r for r, _, _ in measure(docs)], F.col("text"), F.col("w")
-    split = docs.withColumn("w", words(text))
-    counted = split.select("doc_id", F.size(w).cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), repeated(w).alias("n_repeat_words"), cascade(order, text, w).isNull().alias("passed"))
+    text, w, counts = F.col("text"), F.col("w"), ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    # The repeated words are counted for every row here, so their rule reads the count.
+    again = Rule("repeated_words", lambda t, w: 10 * F.col("n_repeat_words") > 3 * F.size(w))
+    order = [again if r.name == again.name else r for r, _, _ in measure(docs)]
+    counted = docs.withColumn("w", words(text)).select("doc_id", "text", "w", F.size(w).cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), repeated(w).alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("passed")).alias("kept"))
+    return counted.select("doc_id", *counts, failed.alias("base_failed"), (~failed & cascade(order, text, w).isNull()).alias("kept"))
 
 
 OP4_SQL = r"""
