@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import shared, table
 
-#: Ends of units. Shared passages stand in the middle of lines, so a line is cut into its sentences.
-UNITS = {"sentence": r"(?<=[.!?…。！？])\s+|[^\S\n]*\n\s*", "line": r"[^\S\n]*\n\s*", "paragraph": r"\s*\n[^\S\n]*\n\s*"}
+#: Ends of units. Shared passages stand in the middle of lines, and of sentences, so a line is cut into its sentences, and
+#: these before each capitalised word, where a passage may begin.
+UNITS = {"sentence": r"(?<=[.!?…。！？])\s+|[^\S\n]*\n\s*|[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])", "line": r"[^\S\n]*\n\s*", "paragraph": r"\s*\n[^\S\n]*\n\s*"}
 #: Words in a unit that is hashed (shorter ones go with the units around them), and in a run that is removed.
 UNIT_WORDS, RUN_WORDS = 3, 25
 
@@ -100,7 +101,7 @@ def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH m AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?…。！？])(\s+)|([ \t\r\f\v]*\n\s*)', '\1' || chr(1) || '\2\3' || chr(2), 'g'), chr(2)) AS ps FROM documents WHERE text IS NOT NULL),
+WITH m AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?…。！？])(\s+)|([ \t\r\f\v]*\n\s*)|([ \t\r\f\v]+)([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])', '\1' || chr(1) || '\2\3\4' || chr(2) || '\5', 'g'), chr(2)) AS ps FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM m),
 s AS (SELECT doc_id, i, string_split(p, chr(1))[1] AS unit, length(replace(p, chr(1), '')) AS size FROM p),
 o AS (SELECT doc_id, i, unit, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s),

@@ -85,9 +85,8 @@ def test_substrings_find_a_passage_in_the_middle_of_lines(spark):
     rows = [(i, f"{t[:90]} {passage} {t[90:]}") for i, t in enumerate(own)] + [(9, own[0][:200])]
     got = {r.doc_id: r for r in substrings.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "spans").collect()}
     assert got[0].text == rows[0][1] and not got[0].spans
-    tail = passage.split(". ", 1)[1]
     for i in range(1, 5):
-        assert tail not in got[i].text and len(got[i].spans) == 1 and rows[i][1][got[i].spans[0].start : got[i].spans[0].end] == tail
+        assert passage not in got[i].text and len(got[i].spans) == 1 and rows[i][1][got[i].spans[0].start : got[i].spans[0].end] == passage
 
 
 # -- 3
