@@ -15,9 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores. A small file of one row group is one partition, on which all the
+    work on its texts would wait; a table of many files or row groups is left as it is, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title (first line), body, source, created_at."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     created = F.timestamp_add("DAY", F.pmod("doc_id", F.lit(365)).cast("int"), F.lit("2024-01-01").cast("timestamp"))
     return docs.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "source", created.alias("created_at"))
 
