@@ -71,11 +71,27 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 #: Words of 64 bits in the fingerprint that similarity is estimated by.
 WIDE = 8
+#: Keys of a text, and minima in a key. Two texts of similarity s share a key with probability 1 - (1 - s^5)^20, wherever
+#: they differ: 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
+_ODD = np.random.default_rng(7).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """The keys of a set of shingle hashes, by its least hashes in so many orders; none of an empty set."""
+    if not len(own):
+        return []
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(own), 1 << 12):
+        low = np.minimum(low, (_ODD[:, None] * own[i : i + (1 << 12)]).min(1))
+    return [xxhash.xxh64_intdigest(low[j * ROWS : (j + 1) * ROWS].tobytes(), j) for j in range(BANDS)]
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, th, fp: the SimHash of the text's distinct words, on which near copies differ in few bits, and f0 to f7: a
-    512-bit SimHash of its shingles, by which similarity is estimated."""
+    """doc_id, th, fp: the SimHash of the text's distinct words, on which near copies differ in few bits, f0 to f7: a
+    512-bit SimHash of its shingles, by which similarity is estimated; sid, size and keys: hash, size and band keys of the
+    set of its shingles."""
+    out = ["doc_id long", "th long", "fp long", *(f"f{k} long" for k in range(WIDE)), "sid long", "size int", "keys array<long>"]
 
     def run(batches):
         for b in batches:
@@ -84,10 +100,12 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
                 w = list(set(t.lower().split()))
                 one = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in w), np.uint64, len(w))
                 h = shingle_hashes(t, words)
-                rows.append((majority(one), *(majority(_mixed(h, k + 1)) for k in range(WIDE))))
-            yield pa.record_batch([b.column("doc_id"), b.column("th"), *(_signed(list(x)) for x in zip(*rows))] if rows else [b.column("doc_id"), b.column("th"), *[_signed([])] * (WIDE + 1)], ["doc_id", "th", "fp", *(f"f{k}" for k in range(WIDE))])
+                own = np.unique(h)
+                rows.append((majority(one), *(majority(_mixed(h, k + 1)) for k in range(WIDE)), xxhash.xxh64_intdigest(own.tobytes()), len(own), np.array(band_keys(own), np.uint64).view(np.int64)))
+            cols = list(zip(*rows)) or [()] * (WIDE + 4)
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), *(_signed(list(x)) for x in cols[: WIDE + 2]), pa.array(cols[-2], pa.int32()), pa.array(cols[-1], pa.list_(pa.int64()))], [x.split()[0] for x in out])
 
-    return _bytes(docs).mapInArrow(run, "doc_id long, th long, fp long, " + ", ".join(f"f{k} long" for k in range(WIDE)))
+    return _bytes(docs).mapInArrow(run, ", ".join(out))
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
@@ -281,17 +299,61 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = shared(small.distinct())
 
 
-def groups(prints: DataFrame, tau: int, most: int | None = None) -> DataFrame:
+def shingle_links(docs: DataFrame, prints: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """Links (u, v) of components (named: node, root) that hold texts whose sets of shingles are LIKE or more alike.
+
+    Candidates are texts of different components that share a band key, all of them; each is verified by the sets
+    themselves. prints has node, sid, size and keys. The largest component of a key meets the others only, so near copies
+    that are joined already make no pairs."""
+    made = prints.where("size > 0").groupBy("sid", "node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "th")).alias("doc"))
+    own = shared(made.join(named.select("node", "root"), "node"))
+    sets = shared(own.groupBy("sid").agg(F.min("root").alias("root"), F.max("root").alias("last"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("doc").alias("doc")))
+    same = own.join(sets.where("root != last").select("sid", F.col("root").alias("u")), "sid").select("u", F.col("root").alias("v")).where("u != v")
+    held = sets.select("sid", "root", "size", F.explode("keys").alias("m"))
+    mixed = held.groupBy("m").agg(F.min("root").alias("a"), F.max("root").alias("e")).where("a != e").select("m")
+    held = shared(held.join(mixed, "m"))
+    top = held.groupBy("m", "root").count().groupBy("m").agg(F.max(F.struct("count", "root")).alias("t")).select("m", F.col("t.root").alias("top"))
+    few = held.join(top, "m").where("root != top").select("m", F.struct("sid", "root", "size").alias("p"))
+    met = few.join(held.select("m", F.struct("sid", "root", "size").alias("q")), "m").where("p.root != q.root").where(LIKE[1] * F.least("p.size", "q.size") >= LIKE[0] * F.greatest("p.size", "q.size"))
+    pairs = shared(met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct().select(F.col("p.sid").alias("x"), F.col("p.root").alias("u"), F.col("q.sid").alias("y"), F.col("q.root").alias("v")))
+    total = pairs.count()
+    if not total:
+        return same
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(sets.select("sid", "doc"), "sid").select("sid", F.col("doc.doc_id").alias("a_doc"), F.col("doc.th").alias("a_th"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                got = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.record_batch([part.column("sid"), pa.array(got, pa.list_(pa.int64()))], ["sid", "own"])
+
+    texts = _bytes(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("th") == F.col("a_th"))).select("sid", "text")
+    full = shared(texts.mapInArrow(run, "sid long, own array<long>").dropDuplicates(["sid"]))
+    for end in ("x", "y"):
+        n = pairs.groupBy(end).agg(F.count("*").alias("n")).join(full.select(F.col("sid").alias(end), F.col("own").alias(f"{end}_own")), end)
+        pairs = hot_join(pairs, n, end, "n", total)
+    common = F.size(F.array_intersect("x_own", "y_own"))
+    alike = pairs.where(LIKE[1] * common >= LIKE[0] * (F.size("x_own") + F.size("y_own") - common))
+    return alike.select("u", "v").unionByName(same).distinct()
+
+
+def groups(prints: DataFrame, tau: int, most: int | None = None, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
     """The rows of prints (doc_id, th, fp and, with `most`, f0 to f7) with component_id, the smallest doc_id that links
-    reach. Equal fingerprints are one vertex, so exact copies cost one row, however many there are."""
+    reach. Equal fingerprints are one vertex, so exact copies cost one row, however many there are. With docs, the texts
+    that prints were made of, texts link by their shingles too, however far apart their fingerprints are."""
     wide = [f"f{k}" for k in range(WIDE)] if most is not None else []
     prints = shared(prints)
     node: Column = F.xxhash64("fp", *wide) if wide else F.col("fp")
     nodes = shared(prints.withColumn("node", node).groupBy("node", "fp", *wide).agg(F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("rep"), F.count("*").alias("n")))
-    roots = components(links(nodes, tau, most)).select(F.col("v.node").alias("node"), F.col("root.rep").alias("root"))
-    named = shared(nodes.select("node", "rep", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "rep").alias("c")))
+    roots = components(links(nodes, tau, most)).select(F.col("v.node").alias("node"), "root")
+    named = shared(nodes.select("node", "rep", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", F.struct("rep", "node")).alias("root")))
+    if docs is not None:
+        far = components(shingle_links(docs, prints.withColumn("node", node), named, words)).select(F.col("v").alias("root"), F.col("root").alias("top"))
+        each = named.groupBy("root").agg(F.count("*").alias("m")).join(far, "root", "left").select("root", "m", F.coalesce("top", "root").alias("top"))
+        named = shared(hot_join(named, each, "root", "m", named.count()).select("node", "n", F.col("top").alias("root")))
     total = named.agg(F.sum("n")).first()[0] or 0
-    found = hot_join(prints.withColumn("node", node), named, "node", "n", total)
+    found = hot_join(prints.withColumn("node", node), named.select("node", "n", F.col("root.rep").alias("c")), "node", "n", total)
     return found.select("doc_id", "th", "fp", F.when(F.col("c") != _TOP, F.col("c")).alias("component_id"))
 
 
@@ -307,18 +369,21 @@ def link(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
 
 #: Texts of which 0.8 of the shingles are shared differ in about 4 bits of the SimHash of their words, seldom in more than
 #: 9, and in 77.5 of the 512 bits with a deviation of 8; one and a quarter deviations are added, so that nine pairs of ten
-#: at exactly 0.8 are linked.
+#: at exactly 0.8 are linked. That holds for scattered edits; a block that is put in, cut off or replaced brings many words at
+#: once, and such texts are found by the band keys of their shingles.
 STAGE_TAU, STAGE_MOST = 9, 88
+#: Similarity (shared shingles to all shingles) from which two texts that share a band key link, as a fraction.
+LIKE = (4, 5)
 
 
 def dedup(docs: DataFrame, words: int = 5, tau: int = STAGE_TAU, most: int = STAGE_MOST) -> DataFrame:
     """The rows of docs (doc_id, text, any more), one of each group of near duplicates: that with the smallest doc_id.
 
-    Candidates are within tau bits of the SimHash of their words; two link if the 512-bit SimHash of their shingles
-    estimates a similarity of 0.8 or more. Texts without words are one group. Equal rows (doc_id and text) leave one; of
+    Texts within tau bits of the SimHash of their words link if the 512-bit SimHash of their shingles estimates a
+    similarity of 0.8 or more; texts that share a band key of their shingles link if their similarity is. Texts without words are one group. Equal rows (doc_id and text) leave one; of
     rows that share a doc_id but not the text, those of other groups stay; a null doc_id stays only if its group has none
     else; no column is added; an empty table gives an empty one."""
-    got = groups(wide_fingerprints(docs, words), tau, most)
+    got = groups(wide_fingerprints(docs, words), tau, most, docs, words)
     # One row is left of each group: the first in the order of (doc_id, th), a null doc_id last.
     kept = got.groupBy("component_id", _group_of(got)).agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "th")).alias("k"), F.count("*").alias("n"))
     stay = shared(kept.select(F.col("k.doc_id").alias("k_doc"), F.col("k.th").alias("k_th")).distinct())

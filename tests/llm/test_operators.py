@@ -232,6 +232,20 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in simhash.dedup(d).collect()) == [100 * b for b in range(8)]
 
 
+def test_near_copies_by_a_block_leave_one(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for b in range(40):  # a block appended, cut off or replaced: over 0.8; a longer one appended: 0.57
+        ws, new, far = ([word() for _ in range(n)] for n in (400, 80, 300))
+        rows += [(10 * b + k, " ".join(x)) for k, x in enumerate((ws, [ws + new, ws[:333], ws[:180] + new[:36] + ws[216:]][b % 3], ws + far))]
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(i, i + 1) >= 0.8 > max(like(i, i + 2), like(i + 1, i + 2)) for i in range(0, 400, 10))
+    left = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted([*range(0, 400, 10), *range(2, 400, 10)])
+
+
 # -- 6
 
 
