@@ -1,5 +1,5 @@
 """Retrieval-augmented answers: context, prompt, stand-in model, citations, grounding, confidence, metrics, memory. Inputs
-hold many queries; what is greedy runs for each query over its candidates alone, of which there are at most `POOL`."""
+hold many queries; what is greedy runs for each query over its candidates alone, all of them."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-POOL, BUDGET, CHUNKS, LEAST, SAME, MIX = 100, 3000, 10, 0.05, 0.80, 0.6
+BUDGET, CHUNKS, LEAST, SAME, MIX = 3000, 10, 0.05, 0.80, 0.6
 CITE, SUPPORT, SUPPORT_WORDS = 0.08, 0.25, 4
 
 # -- context
@@ -32,7 +32,7 @@ def diversify(chunks: DataFrame, k: int = CHUNKS, same: float = SAME, mix: float
     relevance: each time the one that is best by score and least like those chosen; the first of equals wins."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "doc_id"], ascending=[False, True], kind="stable").head(POOL)
+        g = g.sort_values(["score", "doc_id"], ascending=[False, True], kind="stable")
         sets = [_tokens(t) for t in g["text"]]
         kept: list[int] = []
         for i in range(len(g)):
