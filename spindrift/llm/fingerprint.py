@@ -3,6 +3,7 @@ doesn't depend on the paragraphs' order, and paragraphs can be put in and taken
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Lanes of 64 bits from each paragraph's digest: equality. Lanes of 16 bits that count its byte shingles with signs: likeness.
+#: Lanes of 64 bits from each paragraph's digest: equality. Lanes of 32 bits that count its byte shingles with signs: likeness.
+#: A cell holds less than 2**31 bytes, so the count of no text leaves the range of a signed lane.
 EXACT, SKETCH = 16, 256
 #: Bytes in a shingle (about three words).
 SHINGLE = 16
@@ -27,7 +29,7 @@ class Fingerprint:
 
     def __init__(self, exact: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.exact = np.zeros(EXACT, np.uint64) if exact is None else exact  # modulo 2**64
-        self.sketch = np.zeros(SKETCH, np.uint16) if sketch is None else sketch  # modulo 2**16
+        self.sketch = np.zeros(SKETCH, np.uint32) if sketch is None else sketch  # modulo 2**32
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.exact + other.exact, self.sketch + other.sketch)
@@ -40,22 +42,23 @@ class Fingerprint:
 
     __hash__ = None
 
-    def hex(self) -> str:
-        return self.exact.astype("<u8").tobytes().hex() + self.sketch.astype("<u2").tobytes().hex()
+    def text(self) -> str:
+        """All lanes in base 64."""
+        return base64.b64encode(self.exact.astype("<u8").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
     @classmethod
     def parse(cls, said: str) -> Fingerprint:
-        raw = bytes.fromhex(said)
-        return cls(np.frombuffer(raw, "<u8", EXACT).astype(np.uint64), np.frombuffer(raw, "<u2", SKETCH, 8 * EXACT).astype(np.uint16))
+        raw = base64.b64decode(said)
+        return cls(np.frombuffer(raw, "<u8", EXACT).astype(np.uint64), np.frombuffer(raw, "<u4", SKETCH, 8 * EXACT).astype(np.uint32))
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal multisets, about 0 for such as share nothing: the lanes' squares estimate the squared sizes of the
         two shingle multisets and of their difference (deviation about the root of 2 / SKETCH)."""
         if self == other:
             return 1.0
-        sq = lambda x: float((x.astype(np.uint16).view(np.int16).astype(np.float64) ** 2).sum())
-        both = sq(self.sketch) + sq(other.sketch)
-        return min(1.0, max(0.0, 1.0 - sq(self.sketch - other.sketch) / both)) if both else 0.0
+        a, b = (x.sketch.view(np.int32).astype(np.float64) for x in (self, other))
+        both = float((a * a).sum() + (b * b).sum())
+        return min(1.0, max(0.0, 1.0 - float(((a - b) ** 2).sum()) / both)) if both else 0.0
 
 
 def paragraphs(text: bytes) -> list[bytes]:
@@ -80,7 +83,7 @@ def _sum(parts: list[bytes]) -> Fingerprint:
             n = len(own) - SHINGLE + 1
             x = (at[:n] * _A) ^ ((at[8 : 8 + n] + _C) * _B)
             lanes += _count(x[_inside(a, n, ends)])
-    return Fingerprint(exact, (lanes + _count(h)).astype(np.uint16))
+    return Fingerprint(exact, (lanes + _count(h)).astype(np.uint32))
 
 
 def _inside(a: int, n: int, ends: np.ndarray) -> np.ndarray:
@@ -114,22 +117,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array([of(t).hex() for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([of(t).text() for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 #: Stretches of doc_id for each shuffle partition, and how many there are at most: their ends are all that is collected.
 STRETCHES, MOST = 4, 16_384
+#: Texts that are Python objects at one time.
+BLOCK = 256
 
 
 def _bisect(cuts, step: int):
     return lambda p: p + F.when(F.coalesce(F.get(cuts, p + (step - 1)) < F.col("doc_id"), F.lit(False)), step).otherwise(0)
 
 
-def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
-    """Runs run(doc_id, text, next text) -> row of `schema` over docs in descending doc_id (null last, ties by text); the
-    one after the last is the first.
+def with_next(docs: DataFrame, made, run, schema: str) -> DataFrame:
+    """Runs run(doc_id, own, next) -> row of `schema` over docs in descending doc_id (null last, ties by text); the one after
+    the last is the first. own and next are what made(text) gives, once for each text.
 
     The ids are cut into stretches at their quantiles. The row behind a stretch is the one with the largest id of the next
     stretch, which one pass over the ids finds; that row alone is dealt out twice. So texts are shuffled once, and a
@@ -164,17 +169,18 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches):
-        held = None  # (stretch, doc_id, text) that waits for the text behind it
+        held = None  # (stretch, doc_id, own) that waits for the text behind it
         for b in batches:
-            out = []
-            for s, g, i, t in zip(*(c.to_pylist() for c in b.columns)):
-                if held is not None and held[0] == s:
-                    out.append(run(held[1], held[2], t))
-                    held = None if g else (s, i, t)
-                elif not g:
-                    held = (s, i, t)
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=kinds)
+            for at in range(0, b.num_rows, BLOCK):
+                out = []
+                for s, g, i, t in zip(*(c.to_pylist() for c in b.slice(at, BLOCK).columns)):
+                    waits = held is not None and held[0] == s
+                    own = made(t) if waits or not g else None
+                    if waits:
+                        out.append(run(held[1], held[2], own))
+                    held = None if g else (s, i, own)
+                if out:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=kinds)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -191,16 +197,19 @@ def edited(docs: DataFrame) -> DataFrame:
     each other; null doc_id: last; a single row is its own next; extra columns are left out; an empty table gives an
     empty one."""
 
-    def run(doc_id, text, after):
+    def made(text):
+        raw = text.encode()
+        return text, raw, of(raw)
+
+    def run(doc_id, own, after):
+        (text, raw, fp), (follows, _, behind) = own, after
         n = len(text)
-        third, raw, last = n // 3, text.encode(), after.encode()
-        new = (text[: n - third] + after[:third]).encode()
-        keep = len(text[: n - third].encode())
-        fp = of(raw)
-        changed, behind = edit(fp, raw, keep, new[keep:]), of(last)
-        return doc_id, n, hashlib.sha256(new).hexdigest(), fp.hex(), changed.hex(), fp.likeness(changed), fp.likeness(behind)
-
-    return with_next(docs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        third = n // 3
+        kept, new = text[: n - third].encode(), follows[:third].encode()
+        changed = edit(fp, raw, len(kept), new)
+        return doc_id, n, hashlib.sha256(kept + new).hexdigest(), fp.text(), changed.text(), fp.likeness(changed), fp.likeness(behind)
+
+    return with_next(docs, made, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
