@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 CHUNK, OVERLAP = 65_536, 2_048
-#: Texts whose ids are Python objects at one time.
-ROWS = 64
+#: Texts, and chunks, whose ids are Python objects at one time.
+ROWS, CHUNKS = 64, 8
 
 
 class Coder:
@@ -110,12 +110,15 @@ def encode(docs: DataFrame, vocab: str | None = None, pattern: str | None = None
     def pieces(batches):
         c = coder(*where)
         for b in batches:
-            got = [c.chunk(t, k, last, chunk, overlap) for t, k, last in zip(b.column("piece").to_pylist(), b.column("k").to_pylist(), b.column("last").to_pylist())]
-            texts = [t[:chunk] for t in b.column("piece").to_pylist()]
-            yield pa.record_batch(
-                [b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("k"), pa.array(texts, pa.string()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.list_(pa.list_(pa.int32())))],
-                ["row", "doc_id", "k", "piece", "sync", "heads", "parts"],
-            )
+            for at in range(0, b.num_rows, CHUNKS):
+                own = b.slice(at, CHUNKS)
+                piece, k, last = (own.column(x).to_pylist() for x in ("piece", "k", "last"))
+                got = [c.chunk(t, i, x, chunk, overlap) for t, i, x in zip(piece, k, last)]
+                sync, heads, parts = ([g[x] for g in got] for x in range(3))
+                yield pa.record_batch(
+                    [own.column("row"), own.column("doc_id").cast(pa.int64()), own.column("k"), pa.array([t[:chunk] for t in piece], pa.string()), pa.array(sync, pa.int32()), pa.array(heads, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.list_(pa.int32())))],
+                    ["row", "doc_id", "k", "piece", "sync", "heads", "parts"],
+                )
 
     def one(t: pa.Table) -> pa.Table:
         r = sorted(t.to_pylist(), key=lambda x: x["k"])
