@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ PRE, MID, END = b"<s>[INST] ", b" [/INST]", b"</s>"
 _ESC, _UNESC = r"([<\[])(\\*)(/?(?:s>|INST\]))", re.compile(r"([<\[])\\(\\*)(/?(?:s>|INST\]))")
 _TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\](.*?)</s>", re.S)
 _BLOCK = 4 << 20
+#: Bytes of conversations in an output batch, unless one alone has more; offsets of 32 bits reach twice as far.
+_BATCH = 1 << 30
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -52,14 +55,13 @@ def _scatter(to: np.ndarray, begin: np.ndarray, src: np.ndarray, at: np.ndarray)
         i = j
 
 
-def assemble(rows: pa.Table) -> pa.RecordBatch:
-    """conv_id, formatted, and the loss mask as byte spans in it, from whole conversations in order (conv_id, role,
-    text)."""
-    rows = rows.combine_chunks()
-    col = lambda c: rows.column(c).chunk(0)
-    ids, roles = col("conv_id"), col("role")
+def assemble(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """conv_id, formatted, and the loss mask as byte spans in it, from whole conversations in order (conv_id, role, text), in
+    batches of a bounded size that share one buffer. One conversation of 2 GiB or more is no string, and an error."""
+    col = lambda c, kind: pa.concat_arrays(rows.column(c).cast(kind).chunks)
+    ids, roles, texts = col("conv_id", pa.int64()), col("role", pa.large_string()), col("text", pa.large_string())
     role, role_at = _bytes(escape(roles))
-    text, text_at = _bytes(escape(col("text")))
+    text, text_at = _bytes(escape(texts))
     n = rows.num_rows
     lens = np.empty((n, 5), np.int64)
     lens[:, 0], lens[:, 2], lens[:, 4] = len(PRE), len(MID), len(END)
@@ -74,13 +76,21 @@ def assemble(rows: pa.Table) -> pa.RecordBatch:
     value, gone = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
     first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (gone[1:] != gone[:-1])])
     starts = begin[first, 0]
-    offsets = np.r_[starts, len(out)].astype(np.int64)
-    formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
+    ends_at = np.r_[starts[1:], len(out)]
     loss = pc.equal(roles, "assistant").to_numpy(zero_copy_only=False).astype(bool)
     conv = np.searchsorted(first, np.arange(n), "right") - 1
-    per = np.r_[0, np.cumsum(np.bincount(conv[loss], minlength=len(first)))].astype(np.int32)
-    spans = [pa.ListArray.from_arrays(pa.array(per), pa.array(x[loss, 3] - starts[conv[loss]])) for x in (begin, ends)]
-    return pa.record_batch([ids.take(pa.array(first)), formatted.cast(pa.string()), *spans], ["conv_id", "formatted", "loss_from", "loss_to"])
+    per = np.r_[0, np.cumsum(np.bincount(conv[loss], minlength=len(first)))]
+    spans = [x[loss, 3] - starts[conv[loss]] for x in (begin, ends)]
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(ends_at, starts[i] + _BATCH, "right")))
+        offsets = np.r_[starts[i:j], ends_at[j - 1]] - starts[i]
+        if offsets[-1] >= 1 << 31:
+            raise ValueError(f"a formatted conversation has {offsets[-1]} bytes; a string holds less than 2 GiB")
+        formatted = pa.StringArray.from_buffers(j - i, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out[starts[i] : ends_at[j - 1]]))
+        mask = [pa.ListArray.from_arrays(pa.array((per[i : j + 1] - per[i]).astype(np.int32)), pa.array(x[per[i] : per[j]])) for x in spans]
+        yield pa.record_batch([ids.take(pa.array(first[i:j])), formatted, *mask], ["conv_id", "formatted", "loss_from", "loss_to"])
+        i = j
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -111,13 +121,13 @@ def format_chats(rows: DataFrame) -> DataFrame:
                 held.append(b)
                 continue
             if held and cut == 0:
-                yield assemble(pa.Table.from_batches(held))
+                yield from assemble(pa.Table.from_batches(held))
                 held = [b]
                 continue
-            yield assemble(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            yield from assemble(pa.Table.from_batches([*held, b.slice(0, cut)]))
             held = [b.slice(cut)]
         if held:
-            yield assemble(pa.Table.from_batches(held))
+            yield from assemble(pa.Table.from_batches(held))
 
     return parted.mapInArrow(run, "conv_id long, formatted string, loss_from array<long>, loss_to array<long>")
 
