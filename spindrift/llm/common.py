@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
-_FALLBACK: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,45 +17,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="spindrift-"))
+    """The folder named in spark.checkpoint.dir. Where that is unset, one machine runs everything (master local) and gets a
+    folder of its own; on a cluster it is an error, since no folder of one machine is read by the others."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="spindrift-"))
+    return at
 
 
 def shared(df: DataFrame) -> DataFrame:
     """df written once as Parquet into the shared folder and read back: later readers start from the files, so a lost
-    executor costs no recomputation of what came before. The folder is removed when the driver's Python ends."""
+    executor costs no recomputation of what came before. The folder is removed by drop_shared(), at the latest when the
+    driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spindrift-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _OWN:
-        atexit.register(_drop)
+        atexit.register(drop_shared)
     _OWN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared() -> None:
+    """Removes what shared() has written so far; for long sessions, once the results that read it are written."""
+    for spark, path in _OWN:
+        try:
+            jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        except Exception:  # the session may have ended already
+            pass
+    _OWN.clear()
+
+
 #: A key with more than one in so many of all rows is hot; there are fewer of them than this.
 HOT = 1_000
 
 
-def hot_join(rows: DataFrame, named: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """rows joined with named (key, once each, and any columns; n: its rows in `rows`, of which there are `total`).
+def hot_join(rows: DataFrame, named: DataFrame, keys: str | list[str], n: str, total: int) -> DataFrame:
+    """rows joined with named (the keys, once each, and any columns; n: its rows in `rows`, of which there are `total`).
 
     Fewer than HOT keys can have more than one in HOT of the rows: those are broadcast, so that no task gets all rows of one
     key; the others are joined by a shuffle."""
-    columns = [c for c in named.columns if c not in (key, n)]
-    packed = named.select(key, n, F.struct(*columns).alias("named"))
-    hot = packed.where(F.col(n) > total / HOT).select(key, F.col("named").alias("hot"))
-    met = rows.join(F.broadcast(hot), key, "left")
-    cold = met.where("hot IS NULL").drop("hot").join(packed.where(F.col(n) <= total / HOT).drop(n), key)
-    return met.where("hot IS NOT NULL").withColumnRenamed("hot", "named").unionByName(cold).select(*rows.columns, "named.*")
+    keys = [keys] if isinstance(keys, str) else keys
+    columns = [c for c in named.columns if c not in (*keys, n)]
+    packed = named.select(*keys, n, F.struct(F.lit(True).alias("met"), *columns).alias("named"))
+    hot = packed.where(F.col(n) > total / HOT).select(*keys, F.col("named").alias("hot"))
+    met = rows.join(F.broadcast(hot), keys, "left")
+    cold = met.where("hot IS NULL").drop("hot").join(packed.where(F.col(n) <= total / HOT).drop(n), keys)
+    both = met.where("hot IS NOT NULL").withColumnRenamed("hot", "named").unionByName(cold)
+    return both.select(*rows.columns, *[F.col("named").getField(c).alias(c) for c in columns])
 
 
-def _drop() -> None:
-    for spark, path in _OWN:
-        try:
-            jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-        except Exception:  # the session may have ended already
-            pass
-    _OWN.clear()
+#: Rows of a side that is broadcast: a bound on its size, with a shuffle beyond it.
+SMALL = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a written table of a few columns of fixed width, broadcast if it has at most SMALL rows."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL else df
