@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -99,31 +100,47 @@ def test_fingerprint_is_homomorphic_and_order_free(texts):
         parts = raw.split(b"\n")
         rnd.shuffle(parts)
         fp = fingerprint.of(raw)
-        assert fingerprint.of(b"\n".join(parts)) == fp == fingerprint.Fingerprint.parse(fp.hex())
+        assert fingerprint.of(b"\n".join(parts)) == fp == fingerprint.Fingerprint.parse(fp.text())
         assert fp - fingerprint.of(parts[0]) + fingerprint.of(parts[0]) == fp
         at = len(t[: rnd.randint(0, len(t))].encode())
         assert fingerprint.edit(fp, raw, at, b"new\nend") == fingerprint.of(raw[:at] + b"new\nend")
     assert fingerprint.of(b"a\nb") != fingerprint.of(b"a\nb\n") and fingerprint.of(b"") == fingerprint.of(b"") != fingerprint.of(b"x")
 
 
-def test_fingerprint_likeness_follows_what_is_shared(texts):
-    long = [t for t in texts.values() if len(t) > 3000][:20]
-    for a, b in itertools.pairwise(long):
-        near = fingerprint.of(a.encode()).likeness(fingerprint.of((a[: 2 * len(a) // 3] + b[: len(a) // 3]).encode()))
-        assert 0.35 < near < 0.95 and fingerprint.of(a.encode()).likeness(fingerprint.of(b.encode())) < near
+def plain_shingles(raw):
+    """The multiset that the likeness is about: byte shingles of each line, and the lines that are shorter than one."""
+    n, got = fingerprint.SHINGLE, Counter()
+    for line in raw.split(b"\n"):
+        got.update(line[i : i + n] for i in range(len(line) - n + 1))
+        if 0 < len(line) < n:
+            got[line] += 1
+    return got
 
 
-def test_edited_texts(spark, docs, texts):
-    order = sorted(texts, reverse=True)
-    after = dict(zip(order, [*order[1:], order[0]]))
-    got = fingerprint.edited(docs).collect()
-    assert len(got) == len(texts)
-    for r in got:
-        t, u = texts[r.doc_id], texts[after[r.doc_id]]
-        new = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert r.fingerprint == fingerprint.of(t.encode()).hex() and r.edited_fingerprint == fingerprint.of(new.encode()).hex()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+def plain_likeness(a, b):
+    x, y = plain_shingles(a), plain_shingles(b)
+    both = sum(v * v for v in x.values()) + sum(v * v for v in y.values())
+    return 1.0 if x == y else 1 - sum((x[k] - y[k]) ** 2 for k in x.keys() | y.keys()) / both
+
+
+def test_fingerprint_is_the_plain_sum_of_lines(texts):
+    for t in list(texts.values())[:20]:
+        raw = t.encode()
+        want = [sum(int.from_bytes(hashlib.shake_128(x).digest(128)[8 * k : 8 * k + 8], "little") for x in raw.split(b"\n")) % 2**64 for k in range(16)]
+        assert fingerprint.of(raw).exact.tolist() == want
+
+
+def test_fingerprint_likeness_estimates_that_of_the_multisets(texts):
+    long = [t.encode() for t in texts.values() if len(t) > 3000][:16]
+    line, tail = b"one line of a text that says little. ", b"the end again "
+    cases = [(a, a[: 2 * len(a) // 3] + b[: len(a) // 3]) for a, b in itertools.pairwise(long)] + list(itertools.pairwise(long))
+    cases += [(line * n, line * (2 * n // 3)) for n in (10, 1000, 70_000)]  # 70,000 times: 2.6 MB
+    cases += [(long[0] + tail * n, long[0] + tail * (2 * n // 3)) for n in (100, 100_000)]
+    cases += [((line + b"\n") * 50_000, (line + b"\n") * 30_000 + tail * 40_000)]
+    for a, b in cases:
+        got, want = fingerprint.of(a).likeness(fingerprint.of(b)), plain_likeness(a, b)
+        assert abs(got - want) < 0.25 and (want < 0.9 or abs(got - want) < 0.1), (len(a), got, want)
+    assert fingerprint.of(line * 70_000).likeness(fingerprint.of(line * 46_666)) > 0.9
 
 
 # -- 4
@@ -291,6 +308,16 @@ def test_bpe_by_chunks_equals_the_library(spark, docs, texts, chunk, overlap):
         assert r.ids == c.encode(want[r.doc_id]) and c.decode(r.ids).decode() == want[r.doc_id]
 
 
+def test_bpe_of_many_long_texts(spark, texts):
+    """200 texts of a megabyte, as few repeated ones, held against the library on one of each."""
+    c, long = bpe.coder(*bpe._where(None, None)), sorted(texts.values(), key=len)[-4:]
+    some = [(t * (1 + 1_000_000 // len(t)))[:1_000_000] for t in long]
+    d = spark.range(200, numPartitions=4).select(F.col("id").alias("doc_id"), (F.col("id") % 4).alias("k")).join(spark.createDataFrame(list(enumerate(some)), "k long, text string"), "k")
+    want = {k: hashlib.sha256(" ".join(map(str, c.encode(t))).encode()).hexdigest() for k, t in enumerate(some)}
+    got = bpe.digests(bpe.encode(d.select("doc_id", "text"))).select("doc_id", "ids_sha256").collect()
+    assert len(got) == 200 and all(r.ids_sha256 == want[r.doc_id % 4] for r in got)
+
+
 # -- 8
 
 PIECE = st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/", "s>", "INST]", " ", "\n", "é", "x"])
@@ -320,9 +347,13 @@ def test_chats_read_back(spark):
 
 def test_scatter_in_blocks(monkeypatch):
     rows = pa.table({"conv_id": [1, 1, 2, None], "role": ["user", "assistant", "assistant", "user"], "text": ["x" * 50, "é" * 30, "", "y"]})
-    want = chat.assemble(rows).to_pylist()
+    said = lambda: [r for b in chat.assemble(rows) for r in b.to_pylist()]
+    want = said()
     monkeypatch.setattr(chat, "_BLOCK", 7)
-    assert chat.assemble(rows).to_pylist() == want and want[2]["conv_id"] is None
+    assert said() == want and want[2]["conv_id"] is None
+    for size, batches in ((1, 3), (200, 2), (10_000, 1)):
+        monkeypatch.setattr(chat, "_BATCH", size)
+        assert said() == want and len(list(chat.assemble(rows))) == batches
 
 
 # -- 9
@@ -348,8 +379,10 @@ def test_jump_hash():
 
 def test_slots_are_gapless(spark, docs, texts):
     got = shards.assign(docs.repartition(5), 24).collect()
+    key = {r[0]: r[1] % 2**64 for r in docs.select("doc_id", F.xxhash64("doc_id")).collect()}
     by = {}
     for r in got:
+        assert (r.shard, r.grown_shard) == (plain_jump(key[r.doc_id], 24), plain_jump(key[r.doc_id], 25))
         by.setdefault(r.shard, []).append(r.slot)
         assert r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
     assert len(got) == len(texts) and all(sorted(s) == list(range(len(s))) for s in by.values())
@@ -368,6 +401,39 @@ def test_best_fit(lengths):
     assert sum(2 * f <= 50 for f in fill) <= 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
+def test_merge_of_counts_is_best_fit(count):
+    lengths = [n for n, k in count.items() for _ in range(k)]
+    runs, bins = packing.merge_counts(count, 50)
+    held, seen = {}, Counter()
+    for n, a, e, first, per, at in runs:
+        assert a == seen[n]
+        seen[n] = e
+        for k in range(a, e):
+            held.setdefault(first + (k - a) // per, []).append((at + (k - a) % per * n, n))
+    assert seen == count
+    for own in held.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+    fill = {b: sum(n for _, n in own) for b, own in held.items()}
+    assert fill == {b: f for a, e, f in bins for b in range(a, e)}
+    assert sorted(fill.values()) == sorted(packing.best_fit(np.array(lengths, np.int64), 50)[2].tolist())
+
+
+@pytest.mark.parametrize("leaf", [50, 1_000_000])
+def test_packing_merges_every_underfull_bin(spark, leaf):
+    """Tasks whose pieces leave all bins underfull apart from tasks whose pieces fit into the room."""
+    rows = [(i, " ".join("w" for _ in range((300 if i % 8 < 4 else 210) - 1))) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, F.col("doc_id") % 8)
+    got = packing.pack(d, size=512, fan=2, leaf=leaf).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) == 4000 and all([o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] for s in by.values())
+    assert len(by) == len(packing.best_fit(np.array([r.length for r in got], np.int64), 512)[2])
+
+
 @pytest.mark.parametrize("parts,fan", [(1, 16), (7, 2), (7, 16)])
 def test_packing_places_every_piece(spark, docs, texts, parts, fan):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
