@@ -421,17 +421,19 @@ def test_merge_of_counts_is_best_fit(count):
     assert sorted(fill.values()) == sorted(packing.best_fit(np.array(lengths, np.int64), 50)[2].tolist())
 
 
-@pytest.mark.parametrize("leaf", [50, 1_000_000])
-def test_packing_merges_every_underfull_bin(spark, leaf):
-    """Tasks whose pieces leave all bins underfull apart from tasks whose pieces fit into the room."""
-    rows = [(i, " ".join("w" for _ in range((300 if i % 8 < 4 else 210) - 1))) for i in range(4000)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, F.col("doc_id") % 8)
-    got = packing.pack(d, size=512, fan=2, leaf=leaf).collect()
+@pytest.mark.parametrize("parts,fan,leaf", [(64, 4, 1_000_000), (8, 2, 50)])
+def test_packing_merges_every_underfull_bin(spark, parts, fan, leaf):
+    """All bins of the tasks are underfull; in the end no two of them fit into one sequence with a light one."""
+    rnd = random.Random(parts)
+    rows = [(i, " ".join(["w"] * rnd.choice([20, 90, 150, 200, 290, 300, 330]))) for i in range(parts * (3 if leaf > 50 else 500))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+    got = packing.pack(d, size=512, fan=fan, leaf=leaf).collect()
     by = {}
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert len(got) == 4000 and all([o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] for s in by.values())
-    assert len(by) == len(packing.best_fit(np.array([r.length for r in got], np.int64), 512)[2])
+    assert len(got) == len(rows) and all([o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] for s in by.values())
+    fill = sorted(sum(n for _, n in s) for s in by.values())
+    assert fill[-1] <= 512 < fill[0] + fill[1]
 
 
 @pytest.mark.parametrize("parts,fan", [(1, 16), (7, 2), (7, 16)])
