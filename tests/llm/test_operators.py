@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -56,6 +58,142 @@ def test_html_takes_the_dense_subtree():
     assert got == "\n\n".join(f"Paragraph {i} has a good deal of running text in it, as articles do." for i in range(6))
 
 
+def _p(n, words, tag="p"):
+    return "".join(f"<{tag}>" + " ".join(f"{tag}{i}x{j}" for j in range(words)) + f".</{tag}>" for i in range(n))
+
+
+def test_html_articles_sections_and_lists_of_the_text_stay():
+    two = html.extract(f"<body><article>{_p(3, 20)}</article><article>{_p(3, 20)}</article></body>")
+    assert two.count("p0x0 ") == 2
+    inside = f'<body><div><h1>T</h1>{_p(4, 30)}<section id="social-history"><p>Its social history.</p></section><div class="related-work"><p>Related work.</p></div>'
+    books = "".join(f"<li><a href=/{i}>Author {i}, a book of some length, 19{i}0</a></li>" for i in range(5))
+    got = html.extract(f"{inside}<h2>References</h2><ul>{books}</ul></div></body>")
+    assert all(x in got for x in ("Its social history.", "Related work.", "References", "Author 4, a book of some length, 1940"))
+    menu = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(9))
+    assert html.extract(f"<body><ul>{menu}</ul>{_p(5, 25)}</body>").startswith("p0x0 ")
+
+
+@pytest.mark.parametrize("piece", ["<a href='", '<a href="', "<div><td></td>", "<", "<a 'x' \"y\" ", "<!-- ", "<li><div>", "<a b='\">", "<p ", "</a href='", "<p class='a' ", "&#", "<table><tr>"])
+def test_html_reads_a_megabyte_of_bad_markup_in_time(piece):
+    began = time.perf_counter()
+    html.extract(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 10
+
+
+def plain_tree(node, linked=False):
+    """Characters, tags, link characters and link tags below a node [tag, child, ...], with those of its children."""
+    tag, *kids = node
+    linked = linked or tag == "a"
+    c = t = lc = lt = 0
+    parts = []
+    for k in kids:
+        if isinstance(k, str):
+            c, lc = c + len("".join(k.split())), lc + linked * len("".join(k.split()))
+        else:
+            parts.append(plain_tree(k, linked))
+            c, t, lc, lt = (x + y for x, y in zip((c, t, lc, lt), parts[-1]["n"]))
+            t, lt = t + 1, lt + (k[0] == "a")
+    return {"tag": tag, "n": (c, t, lc, lt), "kids": parts, "node": node}
+
+
+def plain_density(x, ratio):
+    c, t, lc, lt = x["n"]
+    if not c:
+        return 0.0
+    base = math.log(math.log(c * lc / max(c - lc, 1) + ratio * c + math.e))
+    return c / max(t, 1) * (math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / base if base > 1e-9 else 1.0)
+
+
+def plain_extract(tree):
+    """The texts kept of a tree of plain tags below body: see html.choose."""
+    root = plain_tree(tree)
+    ratio = root["n"][2] / max(root["n"][0], 1)
+    order = []
+
+    def walk(x, path):
+        x["d"], x["path"], x["keep"] = plain_density(x, ratio), [*path, x], False
+        order.append(x)
+        for k in x["kids"]:
+            walk(k, x["path"])
+        x["s"] = sum(k["d"] for k in x["kids"])
+
+    walk(root, [])
+    if not root["n"][0]:
+        return []
+    best = max(order, key=lambda x: x["s"]) if any(x["s"] for x in order) else root
+    least = min(x["d"] for x in best["path"])
+    link = lambda x: 2 * x["n"][2] > x["n"][0]
+    own = lambda x: x["n"][0] - sum(k["n"][0] for k in x["kids"])
+
+    def whole(x):
+        x["keep"] = True
+        for k in x["kids"]:
+            whole(k)
+
+    def beside(x, article):
+        if x["tag"] == "h1" or not link(x) and (x["d"] >= least or article or x["tag"] == "article"):
+            whole(x)
+        else:
+            for k in x["kids"]:
+                beside(k, article or x["tag"] == "article")
+
+    said = lambda x: (x["keep"] and x["n"][0] > 0) or any(said(k) for k in x["kids"])
+    for x in best["path"][:-1]:
+        article = any(p["tag"] == "article" for p in x["path"])
+        x["keep"] = own(x) >= least or article
+        for k in x["kids"]:
+            if k not in best["path"]:
+                beside(k, article)
+    began = False
+    best["keep"] = True
+    for k in best["kids"]:
+        if began or not link(k) or not k["n"][0]:
+            whole(k)
+            began = began or k["n"][0] > 0
+    if not began and not own(best):
+        whole(best)
+    for x in best["path"][:-1]:
+        after = False
+        for k in reversed(x["kids"]):
+            heading = k["tag"] in ("h1", "h2")
+            if heading and after:
+                whole(k)
+            after = said(k) or k["keep"] or heading and after
+    out = []
+
+    def read(x):
+        parts = iter(x["kids"])
+        for k in x["node"][1:]:
+            if isinstance(k, str):
+                out.extend(k.split() if x["keep"] else [])
+            else:
+                read(next(parts))
+
+    read(root)
+    return out
+
+
+def _html(node):
+    return f"<{node[0]}>" + "".join(k if isinstance(k, str) else _html(k) for k in node[1:]) + f"</{node[0]}>"
+
+
+def test_html_equals_a_plain_version_on_random_trees():
+    rnd, names = random.Random(11), itertools.count()
+    text = lambda: " ".join(f"w{next(names)}" + "x" * rnd.randint(0, 9) for _ in range(rnd.choice([1, 2, 8, 30])))
+
+    def tree(depth):
+        tag = rnd.choice(["div", "div", "section", "ul", "article", "blockquote"])
+        kids = [tree(depth - 1) if depth and rnd.random() < 0.4 else leaf() for _ in range(rnd.randint(0, 5))]
+        return [tag, *(["li", k] if tag == "ul" else k for k in kids)]
+
+    def leaf():
+        return rnd.choice([lambda: ["p", text()], lambda: ["p", ["a", text()], " " + text()], lambda: ["div", ["a", text()]], lambda: ["h2", text()], lambda: ["h1", text()], lambda: ["div", text()]])()
+
+    for _ in range(1500):
+        t = ["body", *(rnd.choice([lambda: tree(3), leaf])() for _ in range(rnd.randint(1, 5)))]
+        assert html.extract(_html(t)).split() == plain_extract(t), _html(t)
+
+
 # -- 2
 
 
