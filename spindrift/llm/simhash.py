@@ -10,17 +10,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, shared, table
+from .common import hot_join, shared, small, table
 
 BITS = 64
 #: Distinct fingerprints on which the partitions and thresholds are chosen; they decide the cost, not the result.
 PLAN_ROWS = 20_000
 #: What a bucket row costs against one comparison in a bucket.
 ROW_COST = 1_000.0
-_TOP = 2**63 - 1
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -46,14 +45,6 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of each hash (the finaliser of splitmix64)."""
-    z = h + np.uint64((0x9E3779B97F4A7C15 * k) % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -69,45 +60,6 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return _bytes(docs).mapInArrow(run, "doc_id long, th long, fp long")
 
 
-#: Words of 64 bits in the fingerprint that similarity is estimated by.
-WIDE = 8
-#: Keys of a text, and minima in a key. Two texts of similarity s share a key with probability 1 - (1 - s^5)^20, wherever
-#: they differ: 0.9996 at 0.8.
-BANDS, ROWS = 20, 5
-_ODD = np.random.default_rng(7).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def band_keys(own: np.ndarray) -> list[int]:
-    """The keys of a set of shingle hashes, by its least hashes in so many orders; none of an empty set."""
-    if not len(own):
-        return []
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(own), 1 << 12):
-        low = np.minimum(low, (_ODD[:, None] * own[i : i + (1 << 12)]).min(1))
-    return [xxhash.xxh64_intdigest(low[j * ROWS : (j + 1) * ROWS].tobytes(), j) for j in range(BANDS)]
-
-
-def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, th, fp: the SimHash of the text's distinct words, on which near copies differ in few bits, f0 to f7: a
-    512-bit SimHash of its shingles, by which similarity is estimated; sid, size and keys: hash, size and band keys of the
-    set of its shingles."""
-    out = ["doc_id long", "th long", "fp long", *(f"f{k} long" for k in range(WIDE)), "sid long", "size int", "keys array<long>"]
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                w = list(set(t.lower().split()))
-                one = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in w), np.uint64, len(w))
-                h = shingle_hashes(t, words)
-                own = np.unique(h)
-                rows.append((majority(one), *(majority(_mixed(h, k + 1)) for k in range(WIDE)), xxhash.xxh64_intdigest(own.tobytes()), len(own), np.array(band_keys(own), np.uint64).view(np.int64)))
-            cols = list(zip(*rows)) or [()] * (WIDE + 4)
-            yield pa.record_batch([b.column("doc_id"), b.column("th"), *(_signed(list(x)) for x in cols[: WIDE + 2]), pa.array(cols[-2], pa.int32()), pa.array(cols[-1], pa.list_(pa.int64()))], [x.split()[0] for x in out])
-
-    return _bytes(docs).mapInArrow(run, ", ".join(out))
-
-
 def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
@@ -181,109 +133,118 @@ def masks(parts: list[tuple[list[int], int]]) -> list[int]:
 
 # -- buckets
 
-
-def _near(a: np.ndarray, b: np.ndarray, tau: int, wide: tuple[np.ndarray, np.ndarray, int] | None) -> np.ndarray:
-    hit = np.bitwise_count(a[:, None] ^ b[None, :]) <= tau
-    if wide is not None and hit.any():
-        i, j = np.nonzero(hit)
-        fa, fb, most = wide
-        hit[i, j] = np.bitwise_count(fa[i] ^ fb[j]).sum(1, dtype=np.int64) <= most
-    return hit
+#: Rows of a bucket that one task compares with each other, and those of two blocks of a larger one.
+BLOCK = 16_384
+#: Cells of a matrix of comparisons.
+CELLS = 4_000_000
 
 
-def bucket_links(fp: np.ndarray, tau: int, wide: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Links (root, member) that join exactly what the links within the bucket join: a search from each root compares
-    the members found with those that haven't been yet, so a bucket of b near copies gives b - 1 links, not b * b / 2."""
-    n, step = len(fp), 256
-    pick = lambda i, j: None if wide is None else (wide[i], wide[j], most)
+def bucket_links(fp: np.ndarray, tau: int) -> list[tuple[int, int]]:
+    """Links (near, member), each of two fingerprints at most tau bits apart, that join exactly what all such links within
+    the bucket join: a search from each root compares the members found with those that haven't been yet, so a bucket of b
+    near copies gives b - 1 links, not b * b / 2."""
+    n = len(fp)
+    step = max(1, min(256, CELLS // max(n, 1)))
     some = np.zeros(n, bool)
-    every = np.arange(n)
     for i in range(0, n, step):
-        own = every[i : i + step]
+        own = np.arange(i, min(i + step, n))
         if n <= step or not some[own].all():
-            hit = _near(fp[own], fp, tau, pick(own, every))
+            hit = np.bitwise_count(fp[own][:, None] ^ fp[None, :]) <= tau
             hit[np.arange(len(own)), own] = False
             some |= hit.any(0)
             some[own] |= hit.any(1)
     left, out = np.flatnonzero(some), []
     while len(left):
-        root, left = left[0], left[1:]
-        todo = np.array([root])
+        todo, left = left[:1], left[1:]
         while len(todo) and len(left):
             own, todo = todo[:step], todo[step:]
-            hit = _near(fp[own], fp[left], tau, pick(own, left)).any(0)
-            out += [(root, x) for x in left[hit].tolist()]
-            todo = np.r_[todo, left[hit]]
-            left = left[~hit]
+            hit = np.bitwise_count(fp[own][:, None] ^ fp[left][None, :]) <= tau
+            found = hit.any(0)
+            out += zip(own[hit.argmax(0)[found]].tolist(), left[found].tolist())
+            todo = np.r_[todo, left[found]]
+            left = left[~found]
     return out
 
 
-def links(nodes: DataFrame, tau: int, most: int | None = None) -> DataFrame:
-    """Links (u, v) of vertices, struct<rep, node>, among nodes (rep, node, fp and, with `most`, f0 to f7): as many as
-    join what is within tau bits (and within `most` bits of the wide fingerprints)."""
+def whole_runs(batches, keys: int):
+    """The rows of sorted batches as tables in which every run of equal values of the first `keys` columns is whole."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        other = np.logical_or.reduce([k != k[-1] for k in key])
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        elif held and any(h.column(i)[-1] != b.column(i)[0] for h in held[-1:] for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame, total: int, member: str) -> DataFrame:
+    """rows with p and q: of a key whose rows make more than one block (sizes: keys, n, blocks), a row is dealt to each pair
+    of blocks that has its own, so that any two rows meet and no task holds more than two blocks; else both are 0. Rows
+    whose key isn't in sizes are left out."""
+    met = hot_join(rows, sizes, keys, "n", total)
+    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda x: F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q")))
+    return met.select(*rows.columns, F.explode(pair).alias("b")).select(*rows.columns, "b.p", "b.q")
+
+
+def links(nodes: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) among nodes (node, fp), each once: as many as join what is within tau bits."""
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.select("fp").limit(PLAN_ROWS).collect()], np.int64).view(np.uint64)
     keys = masks(plan(sample, n, tau)) if n > 1 else []
-    wide = [f"f{k}" for k in range(WIDE)] if most is not None else []
-    out = "u struct<rep long, node long>, v struct<rep long, node long>"
     if not keys:
-        return nodes.where("false").select(F.struct("rep", "node").alias("u"), F.struct("rep", "node").alias("v"))
-    held = nodes.select("rep", "node", "fp", *wide, F.explode(F.transform(F.array(*[F.lit(k) for k in keys]), lambda m, j: F.struct(j.alias("j"), F.col("fp").bitwiseAND(m).alias("m")))).alias("k")).select("k.j", "k.m", "rep", "node", "fp", *wide)
-    kind = pa.struct([("rep", pa.int64()), ("node", pa.int64())])
-
-    def made(b: list[np.ndarray], u: list[int], v: list[int]) -> pa.RecordBatch:
-        pair = set(zip(u, v))
-        i, j = (np.array([p[x] for p in pair], np.int64) for x in (0, 1))
-        ends = [pa.StructArray.from_arrays([pa.array(b[2][x]), pa.array(b[3][x])], fields=list(kind)) for x in (i, j)]
-        return pa.record_batch(ends, ["u", "v"])
+        return nodes.where("false").select(F.col("node").alias("u"), F.col("node").alias("v"))
+    place = F.transform(F.array(*[F.lit(k) for k in keys]), lambda m, j: F.struct(j.alias("j"), F.col("fp").bitwiseAND(m).alias("m")))
+    held = nodes.select("node", "fp", F.explode(place).alias("k")).select("k.j", "k.m", "node", "fp")
+    # Every fingerprint is in a bucket of each mask; those that are alone there meet nobody.
+    sizes = held.groupBy("j", "m").agg(F.count("*").alias("n"))
+    big = shared(sizes.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block)))
+    zero = F.lit(0).alias("p"), F.lit(0).alias("q")
+    if big.isEmpty():
+        dealt = held.select("j", "m", *zero, "node", "fp")
+    else:
+        rest = held.join(small(big.select("j", "m")), ["j", "m"], "left_anti")
+        dealt = in_blocks(held, ["j", "m"], big, n * len(keys), "node").select("j", "m", "p", "q", "node", "fp").unionByName(rest.select("j", "m", *zero, "node", "fp"))
 
     def run(batches):
-        rest: list[np.ndarray] | None = None
-
-        def work(b: list[np.ndarray]):
-            j, m, fp = b[0], b[1], b[4].view(np.uint64)
-            f = np.stack([x.view(np.uint64) for x in b[5:]], 1) if wide else None
-            first = np.flatnonzero(np.r_[True, (j[1:] != j[:-1]) | (m[1:] != m[:-1])])
+        for t in whole_runs(batches, 4):
+            j, m, p, q, node, fp = (c.to_numpy() for c in t.columns)
+            fp = fp.view(np.uint64)
+            first = np.flatnonzero(np.r_[True, (j[1:] != j[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
             size = np.diff(np.r_[first, len(j)])
             close = np.zeros(len(first), bool)
             run_of = np.repeat(np.arange(len(first)), size)
             for s in range(1, min(int(size.max()), 33)):  # small buckets: which have a link at all, for all of them at once
                 i = np.flatnonzero((run_of[:-s] == run_of[s:]) & (size[run_of[:-s]] <= 32))
-                hit = i[np.bitwise_count(fp[i] ^ fp[i + s]) <= tau]
-                if f is not None and len(hit):
-                    hit = hit[np.bitwise_count(f[hit] ^ f[hit + s]).sum(1, dtype=np.int64) <= most]
-                close[run_of[hit]] = True
-            u, v = [], []
+                close[run_of[i[np.bitwise_count(fp[i] ^ fp[i + s]) <= tau]]] = True
+            pairs = set()
             for r in np.flatnonzero(close | (size > 32)).tolist():
                 a, e = first[r], first[r] + size[r]
-                for x, y in bucket_links(fp[a:e], tau, None if f is None else f[a:e], most or 0):
-                    u.append(int(a + x))
-                    v.append(int(a + y))
-            if u:
-                yield made(b, u, v)
-
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            b = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
-            if not len(b[0]):
-                continue
-            last = (b[0] != b[0][-1]) | (b[1] != b[1][-1])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            rest = [x[cut:] for x in b]
-            if cut:
-                yield from work([x[:cut] for x in b])
-        if rest is not None and len(rest[0]):
-            yield from work(rest)
-
-    return held.repartition("j", "m").sortWithinPartitions("j", "m", "rep", "node").mapInArrow(run, out).distinct()
+                pairs.update((int(a + x), int(a + y)) for x, y in bucket_links(fp[a:e], tau))
+            if pairs:
+                u, v = (node[[x[k] for x in pairs]] for k in (0, 1))
+                yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    key = ["j", "m", "p", "q"]
+    return dealt.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "u long, v long").distinct()
 
 
 # -- components
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest vertex reachable, for every vertex of the links (u, v). Large-star and small-star steps in
-    turn; every step is an aggregate and a join, and is written to the shared folder."""
+    """(v, root): the smallest vertex reachable, for every vertex of the links (u, v) that has a smaller one. Large-star and
+    small-star steps in turn; every step is an aggregate and a join, and is written to the shared folder."""
     pairs = shared(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
@@ -295,66 +256,17 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
         large = hot_join(both, low, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hot_join(large, low, "u", "n", 2 * state[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u != v")
-        pairs = shared(small.distinct())
-
-
-def shingle_links(docs: DataFrame, prints: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """Links (u, v) of components (named: node, root) that hold texts whose sets of shingles are LIKE or more alike.
-
-    Candidates are texts of different components that share a band key, all of them; each is verified by the sets
-    themselves. prints has node, sid, size and keys. The largest component of a key meets the others only, so near copies
-    that are joined already make no pairs."""
-    made = prints.where("size > 0").groupBy("sid", "node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "th")).alias("doc"))
-    own = shared(made.join(named.select("node", "root"), "node"))
-    sets = shared(own.groupBy("sid").agg(F.min("root").alias("root"), F.max("root").alias("last"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("doc").alias("doc")))
-    same = own.join(sets.where("root != last").select("sid", F.col("root").alias("u")), "sid").select("u", F.col("root").alias("v")).where("u != v")
-    held = sets.select("sid", "root", "size", F.explode("keys").alias("m"))
-    mixed = held.groupBy("m").agg(F.min("root").alias("a"), F.max("root").alias("e")).where("a != e").select("m")
-    held = shared(held.join(mixed, "m"))
-    top = held.groupBy("m", "root").count().groupBy("m").agg(F.max(F.struct("count", "root")).alias("t")).select("m", F.col("t.root").alias("top"))
-    few = held.join(top, "m").where("root != top").select("m", F.struct("sid", "root", "size").alias("p"))
-    met = few.join(held.select("m", F.struct("sid", "root", "size").alias("q")), "m").where("p.root != q.root").where(LIKE[1] * F.least("p.size", "q.size") >= LIKE[0] * F.greatest("p.size", "q.size"))
-    pairs = shared(met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct().select(F.col("p.sid").alias("x"), F.col("p.root").alias("u"), F.col("q.sid").alias("y"), F.col("q.root").alias("v")))
-    total = pairs.count()
-    if not total:
-        return same
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(sets.select("sid", "doc"), "sid").select("sid", F.col("doc.doc_id").alias("a_doc"), F.col("doc.th").alias("a_th"))
+        small_star = hot_join(large, low, "u", "n", 2 * state[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+        pairs = shared(small_star.select("p.u", "p.v").where("u != v").distinct())
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("sid"), pa.array(got, pa.list_(pa.int64()))], ["sid", "own"])
-
-    texts = _bytes(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("th") == F.col("a_th"))).select("sid", "text")
-    full = shared(texts.mapInArrow(run, "sid long, own array<long>").dropDuplicates(["sid"]))
-    for end in ("x", "y"):
-        n = pairs.groupBy(end).agg(F.count("*").alias("n")).join(full.select(F.col("sid").alias(end), F.col("own").alias(f"{end}_own")), end)
-        pairs = hot_join(pairs, n, end, "n", total)
-    common = F.size(F.array_intersect("x_own", "y_own"))
-    alike = pairs.where(LIKE[1] * common >= LIKE[0] * (F.size("x_own") + F.size("y_own") - common))
-    return alike.select("u", "v").unionByName(same).distinct()
-
-
-def groups(prints: DataFrame, tau: int, most: int | None = None, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
-    """The rows of prints (doc_id, th, fp and, with `most`, f0 to f7) with component_id, the smallest doc_id that links
-    reach. Equal fingerprints are one vertex, so exact copies cost one row, however many there are. With docs, the texts
-    that prints were made of, texts link by their shingles too, however far apart their fingerprints are."""
-    wide = [f"f{k}" for k in range(WIDE)] if most is not None else []
-    prints = shared(prints)
-    node: Column = F.xxhash64("fp", *wide) if wide else F.col("fp")
-    nodes = shared(prints.withColumn("node", node).groupBy("node", "fp", *wide).agg(F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("rep"), F.count("*").alias("n")))
-    roots = components(links(nodes, tau, most)).select(F.col("v.node").alias("node"), "root")
-    named = shared(nodes.select("node", "rep", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", F.struct("rep", "node")).alias("root")))
-    if docs is not None:
-        far = components(shingle_links(docs, prints.withColumn("node", node), named, words)).select(F.col("v").alias("root"), F.col("root").alias("top"))
-        each = named.groupBy("root").agg(F.count("*").alias("m")).join(far, "root", "left").select("root", "m", F.coalesce("top", "root").alias("top"))
-        named = shared(hot_join(named, each, "root", "m", named.count()).select("node", "n", F.col("top").alias("root")))
-    total = named.agg(F.sum("n")).first()[0] or 0
-    found = hot_join(prints.withColumn("node", node), named.select("node", "n", F.col("root.rep").alias("c")), "node", "n", total)
-    return found.select("doc_id", "th", "fp", F.when(F.col("c") != _TOP, F.col("c")).alias("component_id"))
+
+def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (node, rep, n) with root: one vertex of each component of the links, and its own where it has none; top: the
+    smallest rep of the component, null if it has none."""
+    roots = components(edges).select(F.col("v").alias("node"), "root")
+    named = shared(nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    tops = named.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("m"))
+    return shared(hot_join(named, tops, "root", "m", named.count()))
 
 
 def link(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
@@ -364,42 +276,11 @@ def link(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
     Null and empty texts have no words and fingerprint 0, which links like any other; a null doc_id is larger than every
     other and stands for a group only where there is none else (component_id null); repeated rows have a row each; extra
     columns are left out; an empty table gives an empty one."""
-    return groups(fingerprints(docs, words), tau)
-
-
-#: Texts of which 0.8 of the shingles are shared differ in about 4 bits of the SimHash of their words, seldom in more than
-#: 9, and in 77.5 of the 512 bits with a deviation of 8; one and a quarter deviations are added, so that nine pairs of ten
-#: at exactly 0.8 are linked. That holds for scattered edits; a block that is put in, cut off or replaced brings many words at
-#: once, and such texts are found by the band keys of their shingles.
-STAGE_TAU, STAGE_MOST = 9, 88
-#: Similarity (shared shingles to all shingles) from which two texts that share a band key link, as a fraction.
-LIKE = (4, 5)
-
-
-def dedup(docs: DataFrame, words: int = 5, tau: int = STAGE_TAU, most: int = STAGE_MOST) -> DataFrame:
-    """The rows of docs (doc_id, text, any more), one of each group of near duplicates: that with the smallest doc_id.
-
-    Texts within tau bits of the SimHash of their words link if the 512-bit SimHash of their shingles estimates a
-    similarity of 0.8 or more; texts that share a band key of their shingles link if their similarity is. Texts without words are one group. Equal rows (doc_id and text) leave one; of
-    rows that share a doc_id but not the text, those of other groups stay; a null doc_id stays only if its group has none
-    else; no column is added; an empty table gives an empty one."""
-    got = groups(wide_fingerprints(docs, words), tau, most, docs, words)
-    # One row is left of each group: the first in the order of (doc_id, th), a null doc_id last.
-    kept = got.groupBy("component_id", _group_of(got)).agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "th")).alias("k"), F.count("*").alias("n"))
-    stay = shared(kept.select(F.col("k.doc_id").alias("k_doc"), F.col("k.th").alias("k_th")).distinct())
-    key = [F.struct("*").alias("row"), F.xxhash64("text").alias("th")]
-    left = docs.select(*key).join(stay, F.col("row.doc_id").eqNullSafe(F.col("k_doc")) & (F.col("th") == F.col("k_th")), "left_semi")
-    many = shared(got.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th")))
-    if many.isEmpty():
-        return left.select("row.*")
-    same = F.col("row.doc_id").eqNullSafe(F.col("m_doc")) & (F.col("th") == F.col("m_th"))
-    once = left.join(many, same, "left_semi").groupBy("row.doc_id", "th").agg(F.first("row").alias("row")).select("row.*")
-    return left.join(many, same, "left_anti").select("row.*").unionByName(once)
-
-
-def _group_of(got: DataFrame) -> Column:
-    """Groups without a doc_id are told apart by the fingerprint."""
-    return F.when(F.col("component_id").isNull(), F.col("fp"))
+    prints = shared(fingerprints(docs, words))
+    nodes = shared(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    named = classes(nodes, links(nodes.select("node", F.col("node").alias("fp")), tau))
+    found = hot_join(prints.withColumn("node", F.col("fp")), named.select("node", "n", F.col("top").alias("component_id")), "node", "n", prints.count())
+    return found.select("doc_id", "th", "fp", "component_id")
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
