@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SMALL, hot_join, shared, small, table
 
 WINDOW = 3
 
@@ -24,17 +24,40 @@ def _hashes(said: Column, size: int) -> Column:
     return F.when(F.size(said) >= size, both)
 
 
+def first_places(windows: DataFrame, keys: list[str], *place: str) -> DataFrame:
+    """The rows of windows (the keys, place, any more), a written table, that aren't the first of their key in the order of
+    the struct of place.
+
+    Keys are counted first, which needs no order and is summed up in each task; only the rows of keys that are there twice
+    or more are put in order. A key with a large share of the rows is joined by broadcast."""
+    twice = shared(windows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
+    rows = twice.count()
+    if rows <= SMALL:
+        again = shared(windows.join(F.broadcast(twice.drop("n")), keys))
+    else:
+        again = shared(hot_join(windows, twice, keys, "n", windows.count()))
+    first = shared(again.groupBy(*keys).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")))
+    return hot_join(again, first, keys, "n", again.count()).where(~F.struct(*place).eqNullSafe(F.col("first"))).drop("first")
+
+
 def find(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, th (hash of the text), starts (array of the places, among the lines with a word, of windows that occurred
     before) for each document of docs (doc_id, text) that has some. The order of occurrences is that of (doc_id, th,
     place), null doc_id first."""
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), _said(F.split(F.coalesce("text", F.lit("")), "\n")).alias("said"))
-    windows = base.select("doc_id", "th", F.posexplode(_hashes(F.col("said"), size)).alias("k", "h")).select("doc_id", "th", "k", "h.h1", "h.h2")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "th", "k").eqNullSafe(F.col("first")))
+    windows = shared(base.select("doc_id", "th", F.posexplode(_hashes(F.col("said"), size)).alias("k", "h")).select("doc_id", "th", "k", "h.h1", "h.h2"))
+    later = first_places(windows, ["h1", "h2"], "doc_id", "th", "k")
     return later.groupBy("doc_id", "th").agg(F.collect_set("k").alias("starts"))
 
 
+def with_found(rows: DataFrame, found: DataFrame, many: str) -> DataFrame:
+    """rows (row, th) with the columns of found (doc_id, th, many: an array), a written table, or nulls. It is broadcast if it
+    and its arrays are small; beyond that the rows meet it by a shuffle."""
+    n = found.agg(F.count("*") + F.coalesce(F.sum(F.size(many)), F.lit(0))).first()[0]
+    named = small(found.select(F.col("doc_id").alias("f_doc"), F.col("th").alias("f_th"), many), n)
+    return rows.join(named, F.col("row.doc_id").eqNullSafe(F.col("f_doc")) & (F.col("th") == F.col("f_th")), "left")
+
+
 def clean(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """row (a struct of all columns of docs), text (without the removed lines), n_lines, n_removed, removed (array of line
     numbers from 0), one for each row of docs (doc_id, text, any more).
@@ -42,9 +65,7 @@ def clean(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     Lines are \\n-separated; lines without a word are in no window and stay. Null text stays null and has no lines; equal
     rows (doc_id and text) count as one document and share their fate, other rows that share a doc_id are told apart by
     their text; a text of fewer lines with a word than a window is unchanged; an empty table gives an empty one."""
-    found = find(docs, size).select(F.col("doc_id").alias("f_doc"), F.col("th").alias("f_th"), "starts")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th"))
-    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("f_doc")) & (F.col("th") == F.col("f_th")), "left")
+    joined = with_found(docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th")), shared(find(docs, size)), "starts")
     # Every row that had no window before goes through as it is; only the others are split again.
     lines = F.split("row.text", "\n")
     cut = joined.select("row", lines.alias("lines"), F.when(F.col("starts").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.transform("starts", lambda k: F.transform(F.slice(_said(lines), k + 1, size), lambda p: p["i"])))))).alias("removed"))
