@@ -1,5 +1,6 @@
-"""Substring dedup by hashing units of text: units are normalised, their digests grouped globally, the earliest occurrence
-in the order of documents stays, and runs of later ones go, with their offsets in the original retained."""
+"""Substring dedup by hashing units of text: lines are normalised, their digests grouped globally, the earliest occurrence in
+the order of documents stays, and every later one goes, with its offsets in the original retained. A further stage does the
+same with runs of parts of sentences, for passages that stand in the middle of lines."""
 
 from __future__ import annotations
 
@@ -12,21 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared, table
+from .linedup import first_places, with_found
 
-#: Ends of units. Shared passages stand in the middle of lines, and of sentences, so a line is cut into its sentences, and
-#: these before each capitalised word, where a passage may begin.
+#: Ends of units. For passages inside lines, a line is cut into its sentences, and these before each capitalised word, where
+#: a passage may begin.
 UNITS = {"sentence": r"(?<=[.!?…。！？])\s+|[^\S\n]*\n\s*|[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])", "line": r"[^\S\n]*\n\s*", "paragraph": r"\s*\n[^\S\n]*\n\s*"}
-#: Words in a unit that is hashed (shorter ones go with the units around them), and in a run that is removed.
-UNIT_WORDS, RUN_WORDS = 3, 25
+#: Words from which a line or paragraph is a passage, and not a phrase that many texts have; words of a part of a sentence
+#: that is hashed (shorter ones go with those around them), and of a run of parts that is removed.
+UNIT_WORDS, PART_WORDS, RUN_WORDS = 15, 3, 25
 
 
-def units(text: str, ends: re.Pattern, least: int) -> list[tuple[int, int, int, int]]:
+def units(text: str, ends: re.Pattern, least: int, seed: int = 0) -> list[tuple[int, int, int, int]]:
     """(start, end, words, 128-bit digest) of every unit of at least so many words."""
     out, at = [], 0
     for a, b in [*((m.start(), m.end()) for m in ends.finditer(text)), (len(text), len(text))]:
         words = text[at:a].lower().split()
         if len(words) >= least:
-            out.append((at, a, len(words), xxhash.xxh3_128_intdigest(" ".join(words).encode())))
+            out.append((at, a, len(words), xxhash.xxh3_128_intdigest(" ".join(words).encode(), seed)))
         at = b
     return out
 
@@ -43,36 +46,51 @@ def runs(found: list[tuple[int, int, int, int]], least: int) -> list[tuple[int,
     return out
 
 
-def find(docs: DataFrame, unit: str = "sentence", unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, e in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
+
+
+def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, parts: bool = True, part_words: int = PART_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), spans array<struct<start, end>> (code points of the original text) for each document
-    of docs (doc_id, text) that repeats an earlier one, or itself. Earlier is in the order of (doc_id, th, place), null
-    doc_id first."""
+    of docs (doc_id, text) that repeats an earlier one, or itself: every later occurrence of a unit and, with parts, runs
+    of later occurrences of parts of sentences. Earlier is in the order of (doc_id, th, place), null doc_id first."""
+    kinds = [(unit, unit_words)] + [("sentence", part_words)] * parts
 
     def cut(batches):
-        ends = re.compile(UNITS[unit])
+        ends = [(re.compile(UNITS[u]), least) for u, least in kinds]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 own = b.slice(at, 256)
-                got = [units(t, ends, unit_words) for t in own.column("text").to_pylist()]
-                n = [len(x) for x in got]
+                got = [[(kind, j, *u) for kind, (pattern, least) in enumerate(ends) for j, u in enumerate(units(t, pattern, least, kind))] for t in own.column("text").to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
                 flat = [u for x in got for u in x]
-                row = np.repeat(np.arange(len(n)), n)
-                digest = np.frombuffer(b"".join(u[3].to_bytes(16, "little") for u in flat), "<i8").reshape(-1, 2)
-                place = np.concatenate([np.arange(k) for k in n]) if n else np.array([], np.int64)
+                digest = np.frombuffer(b"".join(u[5].to_bytes(16, "little") for u in flat), "<i8").reshape(-1, 2)
                 num = lambda k: pa.array([u[k] for u in flat], pa.int32())
-                yield pa.record_batch([own.column("doc_id").take(pa.array(row)), own.column("th").take(pa.array(row)), pa.array(place, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), num(0), num(1), num(2)], ["doc_id", "th", "j", "d1", "d2", "a", "e", "words"])
+                yield pa.record_batch(
+                    [own.column("doc_id").take(row), own.column("th").take(row), num(0), num(1), pa.array(digest[:, 0]), pa.array(digest[:, 1]), num(2), num(3), num(4)],
+                    ["doc_id", "th", "kind", "j", "d1", "d2", "a", "e", "words"],
+                )
 
     def merge(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            got = [[{"start": a, "end": e} for a, e in runs([(x["j"], x["a"], x["e"], x["words"]) for x in found], run_words)] for found in b.column("found").to_pylist()]
+            got = []
+            for found in b.column("found").to_pylist():
+                whole = [(x["a"], x["e"]) for x in found if x["kind"] == 0]
+                got.append([{"start": a, "end": e} for a, e in union(whole + runs([(x["j"], x["a"], x["e"], x["words"]) for x in found if x["kind"] == 1], run_words))])
             yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(got, kind)], ["doc_id", "th", "spans"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    every = shared(base.mapInArrow(cut, "doc_id long, th long, j int, d1 long, d2 long, a int, e int, words int"))
-    first = every.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "j")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = every.join(first, ["d1", "d2"]).where(~F.struct("doc_id", "th", "j").eqNullSafe(F.col("first")))
-    held = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("j", "a", "e", "words")).alias("found"))
+    every = shared(base.mapInArrow(cut, "doc_id long, th long, kind int, j int, d1 long, d2 long, a int, e int, words int"))
+    later = first_places(every, ["d1", "d2"], "doc_id", "th", "j")
+    held = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "j", "a", "e", "words")).alias("found"))
     return held.mapInArrow(merge, "doc_id long, th long, spans array<struct<start: int, end: int>>").where(F.size("spans") > 0)
 
 
@@ -82,9 +100,7 @@ def clean(docs: DataFrame, **how) -> DataFrame:
 
     Null text stays null; a text all of which is repeated is left empty; equal rows (doc_id and text) count as one document
     and share their fate; other rows that share a doc_id are told apart by their text; an empty table gives an empty one."""
-    found = find(docs, **how).select(F.col("doc_id").alias("f_doc"), F.col("th").alias("f_th"), "spans")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th"))
-    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("f_doc")) & (F.col("th") == F.col("f_th")), "left")
+    joined = with_found(docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th")), shared(find(docs, **how)), "spans")
     text, n = F.col("row.text"), F.size("spans")
     # What stands before each span, and after the last.
     begin = lambda i: F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["end"])
@@ -101,16 +117,21 @@ def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH m AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?…。！？])(\s+)|([ \t\r\f\v]*\n\s*)|([ \t\r\f\v]+)([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])', '\1' || chr(1) || '\2\3\4' || chr(2) || '\5', 'g'), chr(2)) AS ps FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM m),
-s AS (SELECT doc_id, i, string_split(p, chr(1))[1] AS unit, length(replace(p, chr(1), '')) AS size FROM p),
-o AS (SELECT doc_id, i, unit, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s),
-w AS (SELECT doc_id, i, a, a + length(unit) AS e, list_filter(string_split_regex(lower(unit), '\s+'), lambda x: x <> '') AS ws FROM o),
-u AS (SELECT doc_id, a, e, len(ws) AS n, array_to_string(ws, ' ') AS said, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM w WHERE len(ws) >= 3),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY said ORDER BY doc_id, j) AS seen FROM u) WHERE seen > 1),
-g AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run FROM l),
-r AS (SELECT doc_id, CAST(min(a) AS BIGINT) AS a, CAST(max(e) AS BIGINT) AS e FROM g GROUP BY doc_id, run HAVING sum(n) >= 25),
-k AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM r),
+WITH m AS (SELECT doc_id, 1 AS kind, text, string_split(regexp_replace(text, '([.!?…。！？])(\s+)|([ \t\r\f\v]*\n\s*)|([ \t\r\f\v]+)([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])', '\1' || chr(1) || '\2\3\4' || chr(2) || '\5', 'g'), chr(2)) AS ps FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 0, text, string_split(regexp_replace(text, '([ \t\r\f\v]*\n\s*)', chr(1) || '\1' || chr(2), 'g'), chr(2)) FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, kind, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM m),
+s AS (SELECT doc_id, kind, i, string_split(p, chr(1))[1] AS unit, length(replace(p, chr(1), '')) AS size FROM p),
+o AS (SELECT doc_id, kind, i, unit, coalesce(sum(size) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s),
+w AS (SELECT doc_id, kind, i, a, a + length(unit) AS e, list_filter(string_split_regex(lower(unit), '\s+'), lambda x: x <> '') AS ws FROM o),
+u AS (SELECT doc_id, kind, a, e, len(ws) AS n, array_to_string(ws, ' ') AS said, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS j FROM w WHERE len(ws) >= CASE kind WHEN 0 THEN 15 ELSE 3 END),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, said ORDER BY doc_id, j) AS seen FROM u) WHERE seen > 1),
+g AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run FROM l WHERE kind = 1),
+r AS (SELECT doc_id, CAST(min(a) AS BIGINT) AS a, CAST(max(e) AS BIGINT) AS e FROM g GROUP BY doc_id, run HAVING sum(n) >= 25
+  UNION ALL SELECT doc_id, CAST(a AS BIGINT), CAST(e AS BIGINT) FROM l WHERE kind = 0),
+x AS (SELECT *, CASE WHEN a <= max(e) OVER (PARTITION BY doc_id ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM r),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM x),
+z AS (SELECT doc_id, min(a) AS a, max(e) AS e FROM y GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM z),
 c AS (SELECT k.doc_id, count(*) AS n_spans, CAST(sum(e - a) AS BIGINT) AS removed_chars, string_agg(a || '-' || e, ',' ORDER BY a) AS spans, string_agg(substr(d.text, b + 1, a - b), '' ORDER BY a) AS head, max(e) AS last
   FROM k JOIN documents d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
 SELECT d.doc_id, coalesce(n_spans, 0) AS n_spans, coalesce(removed_chars, 0) AS removed_chars, coalesce(spans, '') AS spans, CASE WHEN c.doc_id IS NULL THEN d.text ELSE head || substr(d.text, last + 1) END AS text
