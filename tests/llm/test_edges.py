@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindrift.llm import bpe, chat, fingerprint, html, linedup, packing, quality, shards, simhash, substrings
+from spindrift.llm import bpe, chat, fingerprint, html, linedup, neardup, packing, quality, shards, simhash, substrings
 
 CLASH = ["row", "th", "fp", "k", "h", "starts", "spans", "removed", "n", "piece", "bin", "node", "component_id", "s", "first", "n_words", "kept", "hot", "named", "c", "d", "text_crc32", "k_doc", "f_th"]
 LONG = "\n".join(" ".join(f"w{i}x{j}" for j in range(8)) + "." for i in range(6000))
@@ -44,8 +44,8 @@ def test_simhash(docs, empty):
     assert got.count() == docs.count() and simhash.link(empty).count() == 0
     zero = [r.component_id for r in got.collect() if r.fp == 0]
     assert zero == [3] * 4
-    left = simhash.dedup(docs)
-    assert left.columns == docs.columns and simhash.dedup(empty).count() == 0
+    left = neardup.dedup(docs)
+    assert left.columns == docs.columns and neardup.dedup(empty).count() == 0
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 3, 6, 8, 9]
 
 

@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spindrift.llm import bpe, chat, fingerprint, html, linedup, packing, quality, shards, simhash, substrings
+from spindrift.llm import bpe, chat, fingerprint, html, linedup, neardup, packing, quality, shards, simhash, substrings
 
 SF = "/root/testdata/sf0.001"
 
@@ -197,14 +197,47 @@ def test_html_equals_a_plain_version_on_random_trees():
 # -- 2
 
 
+def plain_units(text, kind):
+    """(start, end, words) of the units of a text, by hand: lines, or sentences cut before capitalised words as well."""
+    out, at, i = [], 0, 0
+    while i <= len(text):
+        k = i
+        while k < len(text) and text[k].isspace():
+            k += 1
+        gap = text[i:k]
+        if kind == "line":
+            ends = "\n" in gap
+        else:
+            capital = len(text) > k + 1 and text[k].isupper() and text[k + 1].islower() and text[k] <= "Þ" and text[k + 1] <= "ÿ"
+            ends = gap and (i > 0 and text[i - 1] in ".!?…。！？" or "\n" in gap or capital)
+        if i == len(text) or ends:
+            out.append((at, i, text[at:i].lower().split()))
+            at = i = max(k, i + 1) if i == len(text) else k
+        else:
+            i = k if gap else i + 1
+    return out
+
+
 def plain_substrings(texts):
-    ends, seen, out = re.compile(substrings.UNITS["sentence"]), set(), {}
+    seen, out = set(), {}
     for i in sorted(texts):
-        later = []
-        for j, (a, e, n, d) in enumerate(substrings.units(texts[i], ends, substrings.UNIT_WORDS)):
-            later += [(j, a, e, n)] if d in seen else []
-            seen.add(d)
-        out[i] = substrings.runs(later, substrings.RUN_WORDS)
+        gone = set()
+        for kind, least in (("line", 15), ("sentence", 3)):
+            run = []
+            for a, e, words in [*(u for u in plain_units(texts[i], kind) if len(u[2]) >= least), (0, 0, None)]:
+                key = None if words is None else (kind, *words)
+                if key in seen:
+                    run.append((a, e, len(words)))
+                    if kind == "line":
+                        gone |= set(range(a, e))
+                else:
+                    if kind == "sentence" and sum(n for _, _, n in run) >= 25:
+                        gone |= set(range(run[0][0], run[-1][1]))
+                    run = []
+                seen.add(key)
+            seen.discard(None)
+        at = sorted(gone)
+        out[i] = [(a, e + 1) for a, e in zip([x for x in at if x - 1 not in gone], [x for x in at if x + 1 not in gone])]
     return out
 
 
@@ -228,6 +261,15 @@ def test_substrings_find_a_passage_in_the_middle_of_lines(spark):
         assert passage not in got[i].text and len(got[i].spans) == 1 and rows[i][1][got[i].spans[0].start : got[i].spans[0].end] == passage
 
 
+def test_substrings_of_a_line_in_half_the_documents(spark):
+    """A line in every other document, another twice in each: all but the first go, and few of the rows meet in a task."""
+    often = " ".join(f"often{i}" for i in range(20))
+    rows = [(i, "\n".join([f"own words of document {i}"] + [often] * (i % 2) + [" ".join(f"d{i}w{j}" for j in range(18))] * 2)) for i in range(600)]
+    got = {r.doc_id: r for r in substrings.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "spans").collect()}
+    assert {i: [tuple(s) for s in r.spans] for i, r in got.items()} == plain_substrings(dict(rows))
+    assert sum(often in r.text for r in got.values()) == 1 and all(r.text.count(f"d{i}w0 ") == 1 for i, r in got.items())
+
+
 # -- 3
 
 
@@ -357,10 +399,41 @@ def test_links_join_all_that_is_near(spark, tau):
     base = rng.integers(0, 2**63, 60, np.int64)
     flips = [int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(0, tau + 3), replace=False)) for b in base for _ in range(6)]
     fp = sorted(set(flips))
-    nodes = spark.createDataFrame([(i, x, x) for i, x in enumerate(fp)], "rep long, node long, fp long")
-    roots = {r.v.rep: r.root.rep for r in simhash.components(simhash.links(nodes, tau)).collect()}
+    nodes = spark.createDataFrame(list(enumerate(fp)), "node long, fp long")
     want = plain_components(fp, lambda i, j: (fp[i] ^ fp[j]).bit_count() <= tau)
-    assert [roots.get(i, i) for i in range(len(fp))] == want
+    for block in (simhash.BLOCK, 5):  # with five rows a block, most buckets are dealt in blocks
+        made = simhash.links(nodes, tau, block).collect()
+        assert all((fp[r.u] ^ fp[r.v]).bit_count() <= tau for r in made)
+        roots = {r.v: r.root for r in simhash.components(spark.createDataFrame(made or [(0, 0)], "u long, v long")).collect()}
+        assert [roots.get(i, i) for i in range(len(fp))] == want
+
+
+def test_a_hot_bucket_is_dealt_in_blocks(spark):
+    """40,000 fingerprints that share their upper half: one bucket of a partition in it, above a block."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**31, 39_000, np.int64)
+    near = base[:1000] ^ (1 << rng.integers(0, 31, 1000)) ^ (1 << rng.integers(0, 31, 1000))
+    fp = np.unique(np.r_[base, near]) | (1 << 40)
+    nodes = spark.createDataFrame([(int(x), int(x)) for x in fp], "node long, fp long")
+    roots = {r.v: r.root for r in simhash.components(simhash.links(nodes, 2)).collect()}
+    by, at = {}, {int(x): int(x) for x in fp}
+
+    def top(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for x in at:  # every fingerprint's neighbours, by flipping bits
+        for i in range(31):
+            for j in range(i, 31):
+                y = x ^ (1 << i) ^ ((1 << j) if j > i else 0)
+                if y in at and y > x:
+                    by.setdefault(x, []).append(y)
+    for x, ys in by.items():
+        for y in ys:
+            a, b = sorted((top(x), top(y)))
+            at[b] = a
+    assert {x: roots.get(x, x) for x in at} == {x: top(x) for x in at}
 
 
 def test_a_bucket_of_near_copies_gives_a_link_each():
@@ -378,27 +451,86 @@ def test_plan_obeys_the_pigeonhole():
             assert sorted(b for own, _ in parts for b in own) == list(range(64)) and sum(t + 1 for _, t in parts) == tau + 1
 
 
-def test_near_copies_leave_one(spark):
-    rnd = random.Random(4)
-    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
-    base = [[word() for _ in range(300)] for _ in range(8)]
-    rows = [(100 * b + k, " ".join(w if rnd.random() > 0.008 * min(k, 1) else word() for w in ws)) for b, ws in enumerate(base) for k in range(6)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.dedup(d).collect()) == [100 * b for b in range(8)]
+def plain_shingle_set(t, words=5):
+    w = t.encode().lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def plain_near(texts, words=5):
+    """The smallest doc_id of each text's group, by the similarity of every two sets of shingles."""
+    ids = sorted(texts)
+    sets = [plain_shingle_set(texts[i], words) for i in ids]
+
+    def near(i, j):
+        a, b = sets[i], sets[j]
+        if not a or not b or 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            return not a and not b
+        return 5 * len(a & b) >= 4 * len(a | b)
+
+    return dict(zip(ids, [ids[k] for k in plain_components(sets, near)]))
+
+
+def test_near_dedup_equals_brute_force(spark, docs, texts):
+    got = {r.doc_id: r.component_id for r in neardup.members(docs).collect()}
+    assert got == plain_near(texts)
+
+
+def _planted(kind, like, rnd):
+    """Two texts of 120 to 1500 words whose similarity is `like` or little more."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    a = [word() for _ in range(rnd.randint(120, 1500))]
+    b, k, last = a, 0, a
+    while True:
+        k += 1
+        if kind == "scattered":
+            b = list(last)
+            b[rnd.randrange(len(b))] = word()
+        elif kind == "replaced":
+            b = a[: len(a) // 3] + [word() for _ in range(k)] + a[len(a) // 3 + k :]
+        elif kind == "appended":
+            b = a + [word() for _ in range(k)]
+        else:
+            b = a[: len(a) - k]
+        x, y = plain_shingle_set(" ".join(a)), plain_shingle_set(" ".join(b))
+        if len(x & y) / len(x | y) < like:
+            return " ".join(a), " ".join(last)
+        last = b
+
+
+@pytest.mark.parametrize("kind", ["scattered", "replaced", "appended", "cut"])
+def test_near_dedup_finds_texts_at_the_threshold(spark, kind):
+    """Of 100 pairs just at 0.8 nine in ten are found at least, whatever the edit."""
+    rnd = random.Random(kind)
+    rows = [(2 * i + k, t) for i in range(100) for k, t in enumerate(_planted(kind, 0.8, rnd))]
+    left = neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert left <= 110 and left >= 100
 
 
-def test_near_copies_by_a_block_leave_one(spark):
-    rnd = random.Random(8)
+def test_a_group_of_near_copies_below_the_threshold_stays(spark):
+    """400 texts, each two of which share a little under 0.8 of their shingles, but for some pairs that share more."""
+    rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
-    rows = []
-    for b in range(40):  # a block appended, cut off or replaced: over 0.8; a longer one appended: 0.57
-        ws, new, far = ([word() for _ in range(n)] for n in (400, 80, 300))
-        rows += [(10 * b + k, " ".join(x)) for k, x in enumerate((ws, [ws + new, ws[:333], ws[:180] + new[:36] + ws[216:]][b % 3], ws + far))]
-    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
-    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    assert all(like(i, i + 1) >= 0.8 > max(like(i, i + 2), like(i + 1, i + 2)) for i in range(0, 400, 10))
-    left = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in left.collect()) == sorted([*range(0, 400, 10), *range(2, 400, 10)])
+    base = [word() for _ in range(400)]
+    rows = [(i, " ".join(base + [word() for _ in range(55)])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " " + word()) for i in range(0, 400, 40)]
+    got = {r.doc_id: r.component_id for r in neardup.members(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 for i, _ in rows} == plain_near(dict(rows))
+
+
+def test_alike_joins_what_brute_force_joins():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(2, 40))
+        base = rng.integers(0, 2**62, 60)
+        own = [np.unique(np.r_[rng.choice(base, rng.integers(40, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 9))]) for _ in range(n)]
+        root = rng.integers(0, n, n)
+        links = neardup.alike(np.concatenate(own), np.r_[0, np.cumsum([len(x) for x in own])], root)
+        sets = [set(x.tolist()) for x in own]
+        near = lambda i, j: root[i] == root[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+        want = plain_components(sets, near)
+        ends = [int(r) for r in root]
+        joined = plain_components(ends, lambda i, j: ends[i] == ends[j] or (ends[i], ends[j]) in links or (ends[j], ends[i]) in links)
+        assert joined == want and len(links) == len(set(ends)) - len(set(want))
 
 
 # -- 6
@@ -426,6 +558,13 @@ def test_line_windows_on_small_texts(spark, some):
     assert got == plain_lines(dict(enumerate(some)))
 
 
+def test_line_windows_of_a_notice_in_half_the_documents(spark):
+    notice = "\n".join(["all rights", "are kept", "by nobody", "at all"])
+    rows = [(i, f"own {i}\n" + notice * (i % 2) + f"\nend {i}") for i in range(900)]
+    got = {r.doc_id: (r.text, r.removed) for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "removed").collect()}
+    assert got == plain_lines(dict(rows)) and sum("by nobody" in t for t, _ in got.values()) == 1
+
+
 def test_line_windows_equal_a_plain_version(docs, texts):
     got = {r.doc_id: (r.text, r.removed) for r in linedup.clean(docs).select("row.doc_id", "text", "removed").collect()}
     assert got == plain_lines(texts)

@@ -1,22 +1,11 @@
 """The pipeline against plain Python on the smallest table."""
 
-import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spindrift.llm import simhash
-
-from .test_operators import SF, plain_components, plain_lines, plain_substrings, plain_verdict
-
-
-def wide(text):
-    raw = text.encode()
-    w = list(set(raw.lower().split()))
-    one = simhash.majority(np.array([int(simhash.shingle_hashes(x, 1)[0]) for x in w], np.uint64))
-    h = simhash.shingle_hashes(raw, 5)
-    return one, [simhash.majority(simhash._mixed(h, k + 1)) for k in range(simhash.WIDE)]
+from .test_operators import SF, plain_lines, plain_near, plain_substrings, plain_verdict
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +13,8 @@ def plain(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     texts = {i: t for i, t in texts.items() if plain_verdict(t)}
     texts = {i: t for i, (t, _) in plain_lines(texts).items()}
-    ids = sorted(texts)
-    fp = [wide(texts[i]) for i in ids]
-    near = lambda a, b: (fp[a][0] ^ fp[b][0]).bit_count() <= simhash.STAGE_TAU and sum((x ^ y).bit_count() for x, y in zip(fp[a][1], fp[b][1])) <= simhash.STAGE_MOST
-    texts = {i: texts[i] for k, i in enumerate(ids) if plain_components(fp, near)[k] == k}
+    first = plain_near(texts)
+    texts = {i: t for i, t in texts.items() if first[i] == i}
     out = {}
     for i, spans in plain_substrings(texts).items():
         t, at, own = texts[i], 0, ""
