@@ -17,26 +17,42 @@ def _with_text(cleaned: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep(docs)
+    """Rows that a rule of quality.CORPUS_RULES rejects go, the others stay as they are. Null and empty texts go; repeated
+    rows share their fate; extra columns stay; an empty table gives an empty one."""
+    return quality.keep(docs, quality.CORPUS_RULES)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, without the lines of windows that occurred before. Null text stays null; equal rows count as one
+    document; a text all of which is repeated is left empty; an empty table gives an empty one."""
     return _with_text(linedup.clean(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates stays, as it is: that with the smallest doc_id, null last. Texts without
+    words are one group; equal rows leave one; an empty table gives an empty one."""
     return neardup.dedup(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, without the spans that occurred before. Null text stays null; equal rows count as one document; an
+    empty table gives an empty one."""
     return _with_text(substrings.clean(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece: see packing.pack. Null text: empty, one id; repeated rows: pieces of their own; an empty table
+    gives an empty one."""
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("best-fit packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("best-fit packing", pack),
+]
 
 #: The hashes and token ids of the later stages have no SQL equivalent; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
