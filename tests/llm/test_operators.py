@@ -332,31 +332,53 @@ def plain_counts(t):
     w = SPACE.findall(t)
     lines = [x for x in t.split("\n") if SPACE.search(x)]
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(w) < 3000 else set()
+    times = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(lines), t.count("!"), sum(c.isupper() for c in t)
 
 
-def plain_verdict(t):
+def plain_verdict(t, least=50):
     n, chars, sym, dup, rep, lines, excl, upper = plain_counts(t)
-    return not (n < 50 or 10 * chars < 25 * n or chars > 12 * n or 10 * sym > n or 5 * excl > n or 10 * upper > 3 * chars or 10 * dup > 4 * lines or 10 * rep > 3 * n)
+    return not (n < least or 10 * chars < 25 * n or chars > 12 * n or 10 * sym > n or 5 * excl > n or 10 * upper > 3 * chars or 10 * dup > 4 * lines or 10 * rep > 3 * n)
 
 
 def test_quality_counts_and_verdict(spark, texts):
     odd = ["", "a b c a b c a", "x\x1cy z", "a\n\na\n b \n", "A B C " * 40, "é è # * | <>\t\x0b\x0c\r", "one two three " * 30, " ".join(f"w{i}" for i in range(60))]
-    some = [(i, t) for i, t in enumerate([*odd, *(t for t in texts.values() if len(t) < 6000)])]
+    odd += ["ab cd ef " * 2000 + " ".join(f"v{i}" for i in range(9000)), " ".join(f"u{i % 700} u{i % 11}" for i in range(20_000))]
+    some = list(enumerate([*odd, *texts.values()]))
     d = spark.createDataFrame(some, "doc_id long, text string")
-    c = F.col("text")
-    got = {r[0]: r for r in d.select("doc_id", quality.n_words(c), quality.word_chars(c), quality.n_symbols(c), quality.n_dup_lines(c), quality.n_repeat_words(c)).collect()}
+    got = {r.doc_id: r for r in quality.counts(d).collect()}
+    lazy = {r[0]: r[1] for r in d.select("doc_id", quality.repeated(quality.words(F.col("text")))).collect()}
     for i, t in some:
-        assert tuple(got[i])[1:] == plain_counts(t)[:5], t[:80]
-    want = [i for i, t in some if plain_verdict(t)]
-    assert sorted(r.doc_id for r in quality.keep(d).collect()) == want
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(t)[:5] and lazy[i] == r.n_repeat_words, t[:80]
+    for rules, least in ((quality.RULES, 50), (quality.CORPUS_RULES, 1)):
+        assert sorted(r.doc_id for r in quality.keep(d, rules).collect()) == [i for i, t in some if plain_verdict(t, least)]
+
+
+def test_repeated_words_where_hashes_agree_in_what_is_sorted(spark):
+    """Hashes that differ in their lowest bits alone, between equal ones: the pairs are sorted."""
+    rows = [([5 << 40, 5 << 40 | 1, 9 << 40, 5 << 40], 6), ([7 << 40, 7 << 40 | 3], 0), ([1 << 30, 2 << 30, 1 << 30], 5), ([-1, -1 << 30, -1], 5)]
+    d = spark.createDataFrame([(g, n) for g, n in rows], "g array<long>, n long")
+    got = d.select(quality.covered(F.col("g"), quality.packed(F.col("g"))).alias("c"), quality._slowly(F.col("g")).alias("s"), "n").collect()
+    assert [r.c for r in got] == [r.s for r in got] == [r.n for r in got]
 
 
 def test_cascade_order_follows_rejections_per_cost(docs):
-    found = quality.measure(docs)
-    gain = [hit / took for _, hit, took in found]
-    assert gain == sorted(gain, reverse=True) and {r.name for r, _, _ in found} == {r.name for r in quality.RULES}
+    for counted in (None, quality.counts):
+        found = quality.measure(docs, counted=counted)
+        gain = [hit / took for _, hit, took in found]
+        assert gain == sorted(gain, reverse=True) and {r.name for r, _, _ in found} == {r.name for r in quality.RULES}
+        cost = {r.name: took for r, _, took in found}
+        # What is counted already costs less than what isn't; repeated words cost most where they aren't.
+        assert max(cost, key=cost.get) == "repeated_words" if counted is None else cost["repeated_words"] < cost["upper_case"]
+
+
+def test_sample_is_of_all_rows(spark):
+    d = spark.range(0, 20_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got = [int(r.text[5:]) for r in quality._sample(d, 500).collect()]
+    assert 350 < len(got) < 650 and all(sum(a <= x < a + 5000 for x in got) > 60 for a in range(0, 20_000, 5000))
+    assert quality._sample(spark.createDataFrame([(1, "x" * 40_000), (2, None)], "doc_id long, text string"), 500).count() == 1
 
 
 # -- 5

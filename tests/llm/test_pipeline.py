@@ -11,7 +11,7 @@ from .test_operators import SF, plain_lines, plain_near, plain_substrings, plain
 @pytest.fixture(scope="module")
 def plain(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    texts = {i: t for i, t in texts.items() if plain_verdict(t)}
+    texts = {i: t for i, t in texts.items() if plain_verdict(t, 1)}
     texts = {i: t for i, (t, _) in plain_lines(texts).items()}
     first = plain_near(texts)
     texts = {i: t for i, t in texts.items() if first[i] == i}
