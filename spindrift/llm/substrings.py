@@ -9,11 +9,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared, table
-from .linedup import first_places, with_found
+from .linedup import with_found
 
 #: Ends of units. For passages inside lines, a line is cut into its sentences, and these before each capitalised word, where
 #: a passage may begin.
@@ -21,6 +21,8 @@ UNITS = {"sentence": r"(?<=[.!?…。！？])\s+|[^\S\n]*\n\s*|[^\S\n]+(?=[A-ZÀ
 #: Words from which a line or paragraph is a passage, and not a phrase that many texts have; words of a part of a sentence
 #: that is hashed (shorter ones go with those around them), and of a run of parts that is removed.
 UNIT_WORDS, PART_WORDS, RUN_WORDS = 15, 3, 25
+#: Units that a task puts in order at a time.
+HELD = 500_000
 
 
 def units(text: str, ends: re.Pattern, least: int, seed: int = 0) -> list[tuple[int, int, int, int]]:
@@ -64,7 +66,24 @@ def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, part
     kinds = [(unit, unit_words)] + [("sentence", part_words)] * parts
 
     def cut(batches):
+        """The units, those of HELD at a time in order: what has an earlier one among them is later for sure, so at most one row
+        of a digest, however frequent, is left of them to be compared with those of other tasks."""
         ends = [(re.compile(UNITS[u]), least) for u, least in kinds]
+        held: list[pa.RecordBatch] = []
+        names = ["doc_id", "th", "kind", "j", "d1", "d2", "a", "e", "words"]
+
+        def flush():
+            t = pa.Table.from_batches(held).combine_chunks()
+            doc, th, _, j, d1, d2 = (t.column(i).chunk(0) if t.num_rows else pa.array([], pa.int64()) for i in range(6))
+            key = [x.to_numpy() for x in (d1, d2)]
+            order = np.lexsort((j.to_numpy(), th.to_numpy(), doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False), *key[::-1]))
+            same = np.zeros(len(order), bool)
+            same[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in key])
+            sure = np.empty(len(order), bool)
+            sure[order] = same
+            t = t.append_column("sure", pa.array(sure))
+            yield from t.to_batches(10_000)
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 own = b.slice(at, 256)
@@ -73,10 +92,12 @@ def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, part
                 flat = [u for x in got for u in x]
                 digest = np.frombuffer(b"".join(u[5].to_bytes(16, "little") for u in flat), "<i8").reshape(-1, 2)
                 num = lambda k: pa.array([u[k] for u in flat], pa.int32())
-                yield pa.record_batch(
-                    [own.column("doc_id").take(row), own.column("th").take(row), num(0), num(1), pa.array(digest[:, 0]), pa.array(digest[:, 1]), num(2), num(3), num(4)],
-                    ["doc_id", "th", "kind", "j", "d1", "d2", "a", "e", "words"],
-                )
+                held.append(pa.record_batch([own.column("doc_id").take(row), own.column("th").take(row), num(0), num(1), pa.array(digest[:, 0]), pa.array(digest[:, 1]), num(2), num(3), num(4)], names))
+                if sum(x.num_rows for x in held) >= HELD:
+                    yield from flush()
+                    held = []
+        if held:
+            yield from flush()
 
     def merge(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -88,8 +109,10 @@ def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, part
             yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(got, kind)], ["doc_id", "th", "spans"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    every = shared(base.mapInArrow(cut, "doc_id long, th long, kind int, j int, d1 long, d2 long, a int, e int, words int"))
-    later = first_places(every, ["d1", "d2"], "doc_id", "th", "j")
+    every = shared(base.mapInArrow(cut, "doc_id long, th long, kind int, j int, d1 long, d2 long, a int, e int, words int, sure boolean"))
+    place = Window.partitionBy("d1", "d2").orderBy("doc_id", "th", "j")
+    open_ = every.where("NOT sure").withColumn("place", F.row_number().over(place)).where("place > 1").drop("place")
+    later = every.where("sure").unionByName(open_)
     held = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "j", "a", "e", "words")).alias("found"))
     return held.mapInArrow(merge, "doc_id long, th long, spans array<struct<start: int, end: int>>").where(F.size("spans") > 0)
 
