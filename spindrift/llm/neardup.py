@@ -156,7 +156,7 @@ def members(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
     made = shared(prints(docs, words))
     nodes = shared(made.groupBy(F.col("sid").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("fp").alias("fp")))
     one = made.groupBy("sid").agg(F.first(F.struct("size", "keys", "doc_id", "th")).alias("x")).select("sid", "x.*")
-    near = shared(links(nodes.select("node", "fp"), tau))
+    near = shared(links(nodes.select("node", "fp"), tau, direct=True))
     ends = near.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
     held = sets(docs, one.join(ends, "sid", "left_semi"), words)
     sure = shared(verified(near, held))

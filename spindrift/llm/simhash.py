@@ -139,10 +139,10 @@ BLOCK = 16_384
 CELLS = 4_000_000
 
 
-def bucket_links(fp: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Links (near, member), each of two fingerprints at most tau bits apart, that join exactly what all such links within
-    the bucket join: a search from each root compares the members found with those that haven't been yet, so a bucket of b
-    near copies gives b - 1 links, not b * b / 2."""
+def bucket_links(fp: np.ndarray, tau: int, direct: bool = False) -> list[tuple[int, int]]:
+    """Links (root, member) that join exactly what is within tau bits in the bucket: a search from each root compares the
+    members found with those that haven't been yet, so a bucket of b near copies gives b - 1 links, not b * b / 2. With
+    direct, each link is of two fingerprints that are within tau bits themselves."""
     n = len(fp)
     step = max(1, min(256, CELLS // max(n, 1)))
     some = np.zeros(n, bool)
@@ -156,11 +156,13 @@ def bucket_links(fp: np.ndarray, tau: int) -> list[tuple[int, int]]:
     left, out = np.flatnonzero(some), []
     while len(left):
         todo, left = left[:1], left[1:]
+        root = int(todo[0])
         while len(todo) and len(left):
             own, todo = todo[:step], todo[step:]
             hit = np.bitwise_count(fp[own][:, None] ^ fp[left][None, :]) <= tau
             found = hit.any(0)
-            out += zip(own[hit.argmax(0)[found]].tolist(), left[found].tolist())
+            near = own[hit.argmax(0)[found]].tolist() if direct else [root] * int(found.sum())
+            out += zip(near, left[found].tolist())
             todo = np.r_[todo, left[found]]
             left = left[~found]
     return out
@@ -197,8 +199,9 @@ def in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame, total: int, me
     return met.select(*rows.columns, F.explode(pair).alias("b")).select(*rows.columns, "b.p", "b.q")
 
 
-def links(nodes: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) among nodes (node, fp), each once: as many as join what is within tau bits."""
+def links(nodes: DataFrame, tau: int, block: int = BLOCK, direct: bool = False) -> DataFrame:
+    """Links (u, v) among nodes (node, fp), each once: as many as join what is within tau bits; with direct, each of two that
+    are."""
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.select("fp").limit(PLAN_ROWS).collect()], np.int64).view(np.uint64)
     keys = masks(plan(sample, n, tau)) if n > 1 else []
@@ -230,7 +233,7 @@ def links(nodes: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
             pairs = set()
             for r in np.flatnonzero(close | (size > 32)).tolist():
                 a, e = first[r], first[r] + size[r]
-                pairs.update((int(a + x), int(a + y)) for x, y in bucket_links(fp[a:e], tau))
+                pairs.update((int(a + x), int(a + y)) for x, y in bucket_links(fp[a:e], tau, direct))
             if pairs:
                 u, v = (node[[x[k] for x in pairs]] for k in (0, 1))
                 yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
