@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import index, rank
 from ..plans import query_language as Q
+from ..sources import store
 from ..sources import tables as S
 from . import sql
 
@@ -38,6 +39,11 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return c, index.with_counts(c)
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the documents: built by the first query of an application that needs it, read by the others."""
+    return store.held(spark, "index", sf_dir, lambda: index.Index.store(S.corpus(spark, sf_dir), store.new_dir(spark, "index")))
+
+
 # -- index
 
 
@@ -80,8 +86,12 @@ def index_stats(spark, d):
 
 @query("term_postings", f"WITH {sql.INDEX} SELECT doc_id, field, tf FROM posts WHERE term = 'tion' AND field = 'body'")
 def term_postings(spark, d):
-    only = spark.createDataFrame([("tion",)], "term string")
-    return index.postings(S.corpus(spark, d), only).where("field = 'body'").select("doc_id", "field", "tf")
+    return index_of(spark, d).posts("tion").where("field = 'body'").select("doc_id", "field", "tf")
+
+
+@query("document_postings", f"WITH {sql.INDEX} SELECT term, field, tf FROM posts WHERE doc_id = 17")
+def document_postings(spark, d):
+    return index_of(spark, d).posts_of_document(17).select("term", "field", "tf")
 
 
 @query("reindex_delete", f"WITH {sql.INDEX} SELECT term, count(DISTINCT doc_id) AS df FROM posts WHERE doc_id % 7 <> 3 GROUP BY term")
@@ -95,8 +105,7 @@ def reindex_delete(spark, d):
 
 def _boolean(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = S.corpus(spark, sf_dir)
-        return Q.evaluate(Q.parse(text), c, index.postings(c))
+        return Q.evaluate(Q.parse(text), index_of(spark, sf_dir))
 
     return run
 
@@ -123,8 +132,7 @@ for _name, _text, _sql in (
 
 @query("bool_left_fold", f"WITH {sql.INDEX} SELECT DISTINCT doc_id FROM ((({_has('tion')} EXCEPT {_has('ther')}) INTERSECT {_has('ing')}) UNION (({_ALL} EXCEPT {_has('ble')}) INTERSECT {_has('thon')}))")
 def bool_left_fold(spark, d):
-    c = S.corpus(spark, d)
-    return Q.left_fold("tion NOT ther ing OR NOT ble thon", c, index.postings(c))
+    return Q.left_fold("tion NOT ther ing OR NOT ble thon", index_of(spark, d))
 
 
 # -- ranking
@@ -134,20 +142,17 @@ _RANK = f"WITH {sql.INDEX}, {sql.STATS}"
 
 @query("bm25_top10", f"{_RANK}, {TOPICS_SQL}, {sql.BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 10")
 def bm25_top10(spark, d):
-    c, n = _base(spark, d)
-    return rank.bm25(c, n, topics(spark), 10)
+    return rank.bm25(index_of(spark, d), topics(spark), 10)
 
 
 @query("batch_bm25", f"{_RANK}, {sql.queries()}, {sql.BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 10")
 def batch_bm25(spark, d):
-    c, n = _base(spark, d)
-    return rank.bm25(c, n, S.query_set(spark, d), 10)
+    return rank.bm25(index_of(spark, d), S.query_set(spark, d), 10)
 
 
 @query("bm25_explain", f"{_RANK}, {TOPICS_SQL}, {sql.BM25} SELECT query_id, doc_id, term, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, round(idf, 6) AS idf, round(tf_weight, 6) AS tf_weight, round(idf * tf_weight, 6) AS contribution FROM parts")
 def bm25_explain(spark, d):
-    c, n = _base(spark, d)
-    p = rank.bm25_parts(c, n, topics(spark))
+    p = rank.bm25_terms(index_of(spark, d), topics(spark))
     return p.select("query_id", "doc_id", "term", "df", "tf", F.round("idf", 6).alias("idf"), F.round("tf_weight", 6).alias("tf_weight"), F.round("score", 6).alias("contribution"))
 
 
@@ -164,8 +169,7 @@ tfidf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 @query("tfidf_cosine", f"{_RANK}, {sql.queries()}, {_TFIDF} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM tfidf WHERE rank <= 10")
 def tfidf_cosine(spark, d):
-    c, n = _base(spark, d)
-    return rank.tfidf(c, n, S.query_set(spark, d), 10)
+    return rank.tfidf(index_of(spark, d), S.query_set(spark, d), 10)
 
 
 _TUNED = """cl AS (SELECT CAST(substr(query, 2) AS BIGINT) AS doc_id, count(*) AS clicks FROM clicks GROUP BY 1),
@@ -186,8 +190,7 @@ def click_counts(spark, d):
 
 @query("relevance_tuned", f"{_RANK}, {sql.queries()}, {sql.BM25}, {sql.EVENTS}, {_TUNED} SELECT * FROM tuned WHERE rank <= 10")
 def relevance_tuned(spark, d):
-    c, n = _base(spark, d)
-    return rank.tuned(c, n, S.query_set(spark, d), S.AS_OF, click_counts(spark, d))
+    return rank.tuned(index_of(spark, d), S.query_set(spark, d), S.AS_OF, click_counts(spark, d))
 
 
 @query("personal_boost", f"WITH {sql.EVENTS} SELECT DISTINCT session_id, query, CAST(0.5 AS DOUBLE) AS boost FROM clicks")

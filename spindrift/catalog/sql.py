@@ -49,9 +49,9 @@ clicks AS (SELECT event_id, ts, session_id, query, position FROM ev WHERE event_
 COSTS = "costs AS (SELECT event_id, ts, event_type AS category, 't' || (user_id % 5) AS tenant_id, 'p' || (user_id % 3) AS provider, value / 1000 AS cost_usd FROM events)"
 
 
-def queries(n: int = 5) -> str:
-    """query_id, place, term: the first n terms of each benchmark text."""
-    return f"queries AS (SELECT query_id, unnest(range(len(ts))) AS place, unnest(ts) AS term FROM (SELECT item_id AS query_id, {terms('text')}[1:{n}] AS ts FROM benchmark))"
+def queries() -> str:
+    """query_id, place, term: all terms of each benchmark text."""
+    return f"queries AS (SELECT query_id, unnest(range(len(ts))) AS place, unnest(ts) AS term FROM (SELECT item_id AS query_id, {terms('text')} AS ts FROM benchmark))"
 
 
 #: Needs INDEX, STATS and queries(): every query term's weight in each document.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_LENGTH, MIN_LENGTH, STOP_WORDS
+from ..operators.index import Index
 
 _STOP = frozenset(STOP_WORDS)
 _LEX = re.compile(r'\s*(?:(\()|(\))|"([^"]*)(?:"|$)|([A-Za-z_]\w*):(?=\S)|([^\s()"]+))')
@@ -148,35 +149,35 @@ def positive_terms(node) -> list[str]:
     return []
 
 
-def evaluate(node, docs: DataFrame, posts: DataFrame) -> DataFrame:
-    """doc_id of each match, once. AND is a chain of semi joins, AND NOT an anti join; only a NOT that stands alone reads
-    all documents."""
+def evaluate(node, ix: Index) -> DataFrame:
+    """doc_id of each match, once. A term reads its own postings; AND is a chain of semi joins, AND NOT an anti join; only a
+    NOT that stands alone reads all documents."""
     ids = lambda df: df.select("doc_id").distinct()
     match node:
         case None:
-            return ids(docs).limit(0)
+            return ids(ix.docs).limit(0)
         case Term(term, field) if field in ("source", "url", "site"):
-            return ids(docs.where(F.lower("source") == term))
+            return ids(ix.docs.where(F.lower("source") == term))
         case Term(term, field):
-            return ids(_field(posts.where(F.col("term") == term), field))
+            return ids(_field(ix.posts(term), field))
         case Prefix(prefix, field) if field in ("source", "url", "site"):
-            return ids(docs.where(F.lower("source").startswith(prefix)))
+            return ids(ix.docs.where(F.lower("source").startswith(prefix)))
         case Prefix(prefix, field):
-            return ids(_field(posts.where(F.col("term").startswith(prefix)), field))
+            return ids(_field(ix.postings.where(F.col("term").startswith(prefix)), field))
         case Phrase(terms, field):
-            return ids(phrase(posts, terms, field))
+            return ids(phrase(ix, terms, field))
         case Or(parts):
-            return ids(reduce(DataFrame.unionByName, [evaluate(p, docs, posts) for p in parts]))
+            return ids(reduce(DataFrame.unionByName, [evaluate(p, ix) for p in parts]))
         case Not(of):
-            return ids(docs).join(evaluate(of, docs, posts), "doc_id", "left_anti")
+            return ids(ix.docs).join(evaluate(of, ix), "doc_id", "left_anti")
         case And(parts):
             yes = [p for p in parts if not isinstance(p, Not)]
-            got = evaluate(yes[0], docs, posts) if yes else ids(docs)
+            got = evaluate(yes[0], ix) if yes else ids(ix.docs)
             for p in yes[1:]:
-                got = got.join(evaluate(p, docs, posts), "doc_id", "left_semi")
+                got = got.join(evaluate(p, ix), "doc_id", "left_semi")
             for p in parts:
                 if isinstance(p, Not):
-                    got = got.join(evaluate(p.of, docs, posts), "doc_id", "left_anti")
+                    got = got.join(evaluate(p.of, ix), "doc_id", "left_anti")
             return got
     raise TypeError(f"no such node: {node!r}")
 
@@ -185,22 +186,22 @@ def _field(posts: DataFrame, field: str | None) -> DataFrame:
     return posts if field is None else posts.where(F.col("field") == field)
 
 
-def phrase(posts: DataFrame, terms: tuple[str, ...], field: str | None = None) -> DataFrame:
+def phrase(ix: Index, terms: tuple[str, ...], field: str | None = None) -> DataFrame:
     """doc_id, field of texts that hold the terms at adjacent positions: positions are shifted to the phrase's start, and a
     start that every term has is a match."""
-    wanted = dict(enumerate(terms))
-    mine = _field(posts, field).where(F.col("term").isin(*set(terms))).select("doc_id", "field", "term", F.explode("positions").alias("pos"))
-    shifts = F.explode(F.filter(F.array(*[F.when(F.col("term") == t, F.lit(i)) for i, t in wanted.items()]), lambda x: x.isNotNull()))
-    starts = mine.select("doc_id", "field", "pos", shifts.alias("i")).select("doc_id", "field", "i", (F.col("pos") - F.col("i")).alias("start"))
+    mine = reduce(DataFrame.unionByName, [ix.posts(t) for t in sorted(set(terms))])
+    places = F.create_map(*[x for t in sorted(set(terms)) for x in (F.lit(t), F.array(*[F.lit(i) for i, u in enumerate(terms) if u == t]))])
+    rows = _field(mine, field).select("doc_id", "field", places[F.col("term")].alias("at"), F.explode("positions").alias("pos"))
+    starts = rows.select("doc_id", "field", "pos", F.explode("at").alias("i")).select("doc_id", "field", "i", (F.col("pos") - F.col("i")).alias("start"))
     return starts.groupBy("doc_id", "field", "start").agg(F.countDistinct("i").alias("n")).where(F.col("n") == len(terms)).select("doc_id", "field").distinct()
 
 
-def left_fold(query: str, docs: DataFrame, posts: DataFrame) -> DataFrame:
+def left_fold(query: str, ix: Index) -> DataFrame:
     """The simple language: words and AND, OR, NOT, no precedence but OR between groups, folded from the left."""
     groups: list[list[str]] = [[]]
     for w in query.split():
         groups.append([]) if w.upper() == "OR" else groups[-1].append(w)
-    ids = lambda t: posts.where(F.col("term") == t).select("doc_id").distinct()
+    ids = lambda t: ix.posts(t).select("doc_id").distinct()
 
     def one(ws: list[str]) -> DataFrame | None:
         got, no = None, False
@@ -210,11 +211,11 @@ def left_fold(query: str, docs: DataFrame, posts: DataFrame) -> DataFrame:
                 continue
             for t in split_terms(w):
                 if got is None:
-                    got = docs.select("doc_id").join(ids(t), "doc_id", "left_anti") if no else ids(t)
+                    got = ix.docs.select("doc_id").join(ids(t), "doc_id", "left_anti") if no else ids(t)
                 else:
                     got = got.join(ids(t), "doc_id", "left_anti" if no else "left_semi")
             no = False
         return got
 
     parts = [p for g in groups if (p := one(g)) is not None]
-    return reduce(DataFrame.unionByName, parts).distinct() if parts else docs.select("doc_id").limit(0)
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else ix.docs.select("doc_id").limit(0)

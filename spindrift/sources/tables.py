@@ -49,10 +49,19 @@ def cost_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"), F.concat(F.lit("t"), F.pmod("user_id", F.lit(5)).cast("string")).alias("tenant_id"), F.concat(F.lit("p"), F.pmod("user_id", F.lit(3)).cast("string")).alias("provider"), (F.col("value") / 1000).alias("cost_usd"))
 
 
-def query_set(spark: SparkSession, sf_dir: str, n_terms: int = 5) -> DataFrame:
-    """query_id, place, term: the first terms of each benchmark text."""
-    kept = F.slice(T.terms(F.col("text")), 1, n_terms)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(kept).alias("place", "term"))
+def terms_of(queries: DataFrame) -> DataFrame:
+    """query_id, place, term: what the index would hold of queries (query_id, query)."""
+    return queries.select("query_id", F.posexplode(T.terms(F.col("query"))).alias("place", "term"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query: the benchmark texts are the queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, place, term: all terms of each benchmark text."""
+    return terms_of(asked(spark, sf_dir))
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +91,14 @@ def synonyms(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.explode("m").alias("term", "s")).select(F.lower("term").alias("term"), F.transform("s", F.lower).alias("synonyms"))
 
 
+def cost_log(costs: DataFrame, path: str) -> None:
+    """Cost events as JSON lines, added to what is there."""
+    costs.write.mode("append").json(path)
+
+
+def read_cost_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("event_id long, ts timestamp, category string, tenant_id string, provider string, cost_usd double").json(path)
+
+
 def cost_csv(costs: DataFrame, path: str) -> None:
     costs.select("timestamp", "category", "provider", "model", "cost_usd", "tenant_id").orderBy("timestamp").write.csv(path, header=True)

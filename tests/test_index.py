@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
@@ -31,12 +32,24 @@ def test_upsert_delete_and_snapshot(spark, corpus4):
     assert snap["rust"] == [1, 9] and snap["python"] == [3] and "statistics" not in snap
 
 
-def test_written_index_reads_back(spark, corpus4, tmp_path):
+def test_stored_index_is_that_in_memory(spark, corpus4, tmp_path):
     i = index.Index.build(corpus4)
-    i.write(str(tmp_path / "ix"), buckets=4)
-    back = index.Index.read(spark, str(tmp_path / "ix"))
-    assert sorted(map(str, back.postings.select(*i.postings.columns).collect())) == sorted(map(str, i.postings.collect()))
-    assert back.docs.count() == 4
+    back = index.Index.store(corpus4, str(tmp_path / "ix"), buckets=4)
+    rows = lambda t, like: sorted(map(str, t.select(*like.columns).collect()))
+    assert rows(back.postings, i.postings) == rows(i.postings, i.postings) and rows(back.terms, i.terms) == rows(i.terms, i.terms)
+    assert (back.n, back.avgdl, back.buckets) == (i.n, i.avgdl, 4) and back.docs.count() == 4
+    norms = {r.doc_id: r.norm for r in back.docs.collect()}
+    assert norms == pytest.approx({r.doc_id: r.norm for r in i.docs.collect()}) and all(norms.values())
+    assert [r.doc_id for r in back.posts("java").where("field = 'body'").collect()] == [2]
+
+
+def test_a_query_reads_the_buckets_of_its_terms_alone(spark, corpus4, tmp_path, capsys):
+    back = index.Index.store(corpus4, str(tmp_path / "ix"), buckets=16)
+    back.posts("python").explain()
+    assert "PartitionFilters: [isnotnull(bucket" in capsys.readouterr().out
+    wanted = spark.createDataFrame([("python",)], "term string")
+    back.of_terms(back.postings, wanted).explain()
+    assert "PartitionFilters: [isnotnull(bucket" in capsys.readouterr().out
 
 
 def test_similarity_and_sentences(spark):

@@ -35,8 +35,8 @@ def test_ranking_terms_leave_negated_ones_out():
 
 @pytest.fixture(scope="module")
 def find(spark, corpus4):
-    posts = index.postings(corpus4).cache()
-    return lambda q: sorted(r[0] for r in Q.evaluate(Q.parse(q), corpus4, posts).collect())
+    ix = index.Index.build(corpus4)
+    return lambda q: sorted(r[0] for r in Q.evaluate(Q.parse(q), ix).collect())
 
 
 def test_results(find):
@@ -57,13 +57,13 @@ def test_results(find):
 
 def test_phrase_needs_adjacency_in_one_field(spark):
     d = spark.createDataFrame([(1, "x", "machine learning is powerful", "s"), (2, "x", "machine is used for deep learning", "s"), (3, "learning", "machine vision applications machine", "s"), (4, "x", "go go go", "s")], "doc_id long, title string, body string, source string")
-    p = index.postings(d)
-    run = lambda q: sorted(r[0] for r in Q.evaluate(Q.parse(q), d, p).collect())
+    ix = index.Index.build(d)
+    run = lambda q: sorted(r[0] for r in Q.evaluate(Q.parse(q), ix).collect())
     assert run('"machine learning"') == [1]
     assert run('"go go go"') == [4] and run('"go go go go"') == []
 
 
 def test_left_fold(spark, corpus4):
-    p = index.postings(corpus4)
-    run = lambda q: sorted(r[0] for r in Q.left_fold(q, corpus4, p).collect())
+    ix = index.Index.build(corpus4)
+    run = lambda q: sorted(r[0] for r in Q.left_fold(q, ix).collect())
     assert run("python programming") == [1] and run("NOT python OR web") == [2, 3, 4] and run("programming NOT java") == [1, 4] and run("") == []

@@ -21,15 +21,20 @@ def test_bm25_parts(spark):
 
 def test_ranking_of_many_queries(spark, corpus4):
     q = spark.createDataFrame([(1, 0, "python"), (1, 1, "python"), (1, 2, "learning"), (2, 0, "nothing"), (3, 0, "basics")], "query_id int, place int, term string")
-    n = index.with_counts(corpus4)
-    got = rank.bm25(corpus4, n, q, 10).collect()
+    ix = index.Index.build(corpus4)
+    got = rank.bm25(ix, q, 10).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: (r.query_id, r.rank)) if r.query_id == 1] == [1, 3, 4]
     assert not [r for r in got if r.query_id == 2]
     assert [(r.doc_id, r.score) for r in got if r.query_id == 3] == [(1, 0.0)]
-    t = rank.tuned(corpus4, n, q, "2025-01-01").where("query_id = 1").orderBy("rank").first()
+    t = rank.tuned(ix, q, "2025-01-01").where("query_id = 1").orderBy("rank").first()
     assert t.doc_id == 1 and t.bm25_score == 1.0 and t.title_score == round(1 / 3, 6) and t.recency_score == 0.5
-    c = rank.tfidf(corpus4, n, q).where("query_id = 1").collect()
-    assert all(0 <= r.score <= 1 for r in c)
+    c = rank.tfidf(ix, q).where("query_id = 1").collect()
+    assert c and all(0 <= r.score <= 1 for r in c)
+    syn = spark.createDataFrame([(1, "web"), (2, "java")], "query_id int, term string")
+    w = {(r.query_id, r.doc_id): r.score for r in rank.widened(ix, q, syn).collect()}
+    assert w[2, 2] == 0.0 and {d for i, d in w if i == 1} == {1, 3, 4} and all(w[1, r.doc_id] == r.score for r in got if r.query_id == 1)
+    boost = spark.createDataFrame([(1, 3, 5.0)], "query_id int, doc_id long, boost double")
+    assert rank.tuned(ix, q, "2025-01-01", boosts=boost).where("query_id = 1").orderBy("rank").first().doc_id == 3
 
 
 @pytest.fixture(scope="module")
