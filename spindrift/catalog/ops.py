@@ -51,9 +51,15 @@ def url_dedup(spark, d):
     return web.new_urls(p, p.where("page_id % 10 = 0").select(web.url_norm(F.col("url")).alias("url_norm")))
 
 
-@query("url_allowed", "SELECT page_id, regexp_matches(url, '^https?://') AS allowed FROM pages")
+#: In place of a page's host: names and addresses that may not be fetched, and some that may.
+_HOSTS = ("localhost", "printer.local", "127.0.0.1", "10.1.2.3", "192.168.0.9", "172.20.0.1", "172.32.0.1", "169.254.169.254", "8.8.8.8", "example.org")
+
+
+@query("url_allowed", "WITH h AS (SELECT page_id, page_id % 11 AS k FROM pages) SELECT page_id, k IN (0, 7, 9, 10) AS allowed FROM h")
 def url_allowed(spark, d):
-    return S.table(spark, d, "pages").select("page_id", web.allowed_target(F.col("url")).alias("allowed"))
+    host = F.get(F.array(*[F.lit(h) for h in _HOSTS]), (F.col("page_id") % 11 - 1).cast("int"))
+    url = F.when(F.col("page_id") % 11 == 0, F.col("url")).otherwise(F.concat(F.lit("http://"), host, F.lit("/x")))
+    return S.table(spark, d, "pages").select("page_id", web.allowed_target(url).alias("allowed"))
 
 
 @query("html_title", r"SELECT page_id, trim(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), chr(10), chr(10))) AS title FROM pages")
@@ -100,6 +106,27 @@ def robots(spark, d):
     return web.robots_check(p, web.robots_rules(files))
 
 
+_EXTRA = ROBOTS.replace("\n\nUser", "\nCrawl-delay: 2.5\n\nUser") + "\nCrawl-delay: 9\nSitemap: https://a.example/map.xml\nsitemap: https://a.example/more.xml"
+
+
+@query("robots_directives", f"SELECT {_HOST} AS host, CAST(2.5 AS DOUBLE) AS crawl_delay, 'https://a.example/map.xml https://a.example/more.xml' AS sitemaps FROM pages GROUP BY 1")
+def robots_directives(spark, d):
+    files = S.table(spark, d, "pages").select(web.domain(F.col("url")).alias("host")).distinct().withColumn("content", F.lit(_EXTRA))
+    return web.robots_directives(files).select("host", "crawl_delay", F.array_join("sitemaps", " ").alias("sitemaps"))
+
+
+@query("frontier_enqueue", """WITH f AS (SELECT url, length(url) % 4 AS priority, page_id AS seq, CASE WHEN page_id % 2 = 0 THEN 'done' ELSE 'pending' END AS status FROM pages WHERE page_id % 3 = 0),
+n AS (SELECT url, priority, seq, 'pending' AS status FROM (SELECT url, length(url) % 5 AS priority, page_id AS seq, row_number() OVER (PARTITION BY url ORDER BY length(url) % 5, page_id) AS k FROM pages WHERE page_id % 3 <> 1) WHERE k = 1 AND url NOT IN (SELECT url FROM f) AND url NOT IN (SELECT url FROM pages WHERE page_id % 11 = 2)),
+a AS (SELECT * FROM f UNION ALL SELECT * FROM n), p AS (SELECT * FROM a WHERE status = 'pending' ORDER BY priority, seq, url LIMIT 60)
+SELECT * FROM a WHERE status <> 'pending' UNION ALL SELECT * FROM p""")
+def frontier_enqueue(spark, d):
+    p = S.table(spark, d, "pages")
+    row = lambda n: ["url", F.pmod(F.length("url"), F.lit(n)).cast("long").alias("priority"), F.col("page_id").alias("seq")]
+    held = p.where("page_id % 3 = 0").select(*row(4), F.lit("pending").alias("status"))
+    held = web.mark(held, p.where("page_id % 3 = 0 AND page_id % 2 = 0"), "done")
+    return web.enqueue(held, p.where("page_id % 3 <> 1").select(*row(5)), p.where("page_id % 11 = 2"), 60)
+
+
 # -- search analytics
 
 
@@ -321,9 +348,53 @@ def retry_delays(spark, d):
     return S.table(spark, d, "events").select("event_id", logs.retry_delay(F.col("event_id") % 8).alias("delay"))
 
 
+@query("registry_stats", f"{_EV}, b AS (SELECT session_id % 7 AS service, session_id AS instance, max(ts) AS last, max_by(event_type, ts) = 'purchase' AS draining FROM ev GROUP BY 1, 2) SELECT service, count(*) AS instances, count(CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', last)) <= 86400 THEN 1 END) AS healthy, count(CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', last)) > 86400 AND NOT draining THEN 1 END) AS evicted FROM b GROUP BY service")
+def registry_stats(spark, d):
+    beats = _events(spark, d).select((F.col("session_id") % 7).alias("service"), F.col("session_id").alias("instance"), "ts", (F.col("event_type") == "purchase").alias("draining"))
+    return logs.registry(beats, NOW, 86_400)
+
+
+@query("circuit_breaker")
+def circuit_breaker(spark, d):
+    """Each state depends on those before; tests hold it against a loop."""
+    calls = _events(spark, d).select("event_id", (F.col("session_id") % 13).alias("service"), "ts", (~F.col("event_type").isin("error", "view")).alias("ok"))
+    return logs.breaker(calls, 3, 7200.0)
+
+
+@query("tenant_visible", f"WITH {sql.DOCS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE source END AS source, doc_id % 3 > 0 AS owned FROM docs WHERE doc_id % 3 IN (0, 1)")
+def tenant_visible(spark, d):
+    """A third of the documents is tenant t1's, a third t2's, a third nobody's; t1 looks."""
+    tenant = F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string"))
+    rows = S.corpus(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 > 0, logs.scoped(F.col("source"), tenant)).otherwise(F.col("source")).alias("source"))
+    return logs.visible(rows, "t1").select("doc_id", logs.unscoped(F.col("source")).alias("source"), F.col("source").startswith("tenant:").alias("owned"))
+
+
+@query("event_envelope", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id - 1 AS VARCHAR) END AS causation_id, CAST(event_id - CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS VARCHAR) AS correlation_id FROM events")
+def event_envelope(spark, d):
+    e = S.table(spark, d, "events").select("event_id")
+    return logs.envelope(e, F.when(F.col("event_id") % 4 != 0, F.col("event_id") - 1)).select("event_id", "causation_id", "correlation_id")
+
+
+@query("topics_seen", "SELECT topic, count(e.event_id) AS n FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(logs.TOPICS)) + f") v(i, topic) LEFT JOIN events e ON e.event_id % {len(logs.TOPICS)} = v.i GROUP BY topic")
+def topics_seen(spark, d):
+    named = F.get(F.array(*[F.lit(t) for t in logs.TOPICS]), (F.col("event_id") % len(logs.TOPICS)).cast("int"))
+    return S.table(spark, d, "events").groupBy(named.alias("topic")).agg(F.count("*").alias("n"))
+
+
+@query("prometheus_text", "SELECT 'latency_bucket{le=\"' || le || '\"} ' || n AS line FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS le, (SELECT count(*) FROM events WHERE value <= {b}) AS n" for b in logs.BUCKETS) + " UNION ALL SELECT '+Inf', (SELECT count(*) FROM events))")
+def prometheus_text(spark, d):
+    return logs.prometheus(logs.histogram(S.table(spark, d, "events"), "value"), "latency")
+
+
 # -- relational reads
 
 
+@query("recent_jobs", "SELECT event_id, event_type, status FROM (SELECT *, CASE WHEN value < 50 THEN 'running' ELSE 'done' END AS status FROM events) WHERE status = 'running' ORDER BY ts DESC, event_id LIMIT 15")
+def recent_jobs(spark, d):
+    jobs = _events(spark, d).withColumn("status", F.when(F.col("value") < 50, "running").otherwise("done"))
+    return logs.newest(jobs, "ts", 15, "event_id", where={"status": "running"}).select("event_id", "event_type", "status")
+
+
 @query("recent_documents", f"WITH {sql.DOCS} SELECT doc_id, title FROM docs ORDER BY created_at DESC, doc_id LIMIT 20")
 def recent_documents(spark, d):
     return logs.newest(S.corpus(spark, d), "created_at", 20, "doc_id").select("doc_id", "title")
@@ -381,17 +452,17 @@ def score_tiers(spark, d):
 
 @query("stream_search_volume", f"{_EV} SELECT {_TS('''date_trunc('hour', ts)''')} AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM ev GROUP BY ALL")
 def stream_search_volume(spark, d):
-    return _second(streams.drain(streams.volume(streams.events(spark, d)), "complete"), "start")
+    return _second(streams.drain(streams.volume(streams.events(spark, d)), "update", keys=["start", "event_type"]), "start")
 
 
 @query("stream_topic_counts", f"{_EV} SELECT 'events.' || event_type AS topic, count(*) AS events, {_TS('max(ts)')} AS last FROM ev GROUP BY 1")
 def stream_topic_counts(spark, d):
-    return _second(streams.drain(streams.topic_counts(streams.events(spark, d)), "complete"), "last")
+    return _second(streams.drain(streams.topic_counts(streams.events(spark, d)), "update", keys=["topic"]), "last")
 
 
 @query("stream_sessions", _SESSIONS)
 def stream_sessions(spark, d):
-    return _second(streams.drain(streams.sessions(streams.events(spark, d)), "complete"), "start", "end")
+    return _second(streams.drain(streams.sessions(streams.events(spark, d, ends=True))), "start", "end").where(F.col("session_id") != streams.END)
 
 
 _DLQ = "SELECT event_id, 'events.' || event_type AS topic, CASE WHEN event_type <> 'error' THEN 'delivered' WHEN event_id % 5 < 3 THEN 'failed' ELSE 'dead_lettered' END AS status, CAST(event_id % 5 AS INTEGER) AS retry_count FROM events"

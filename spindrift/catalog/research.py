@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import agents, rag
+from ..functions import text as T
+from ..operators import agents, chunk, logs, rag
+from ..plans import answers as plans
+from ..sources import store
 from ..sources import tables as S
 from . import retrieval as R
 from . import sql
@@ -24,25 +29,37 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-CHARS = 1000
-
-
 def chunks(spark, d) -> DataFrame:
-    """The ten best documents of each benchmark query as chunks: their beginnings, scores over the best."""
-    hits = R.lexical(spark, d, 10)
-    best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
-    texts = S.corpus(spark, d).select("doc_id", "title", F.substring("body", 1, CHARS).alias("text"))
-    return hits.join(best, "query_id").join(texts, "doc_id").select("query_id", F.col("rank").alias("place"), "doc_id", "title", "text", F.round(F.col("score") / F.col("best"), 6).alias("score"))
+    """Of each of the ten best documents of every benchmark text, the chunk that holds the most of its terms (the first of
+    equals), with the document's score over the best."""
+    hits = store.kept(R.lexical(spark, d, 10))
+    terms = S.query_set(spark, d).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    docs = S.corpus(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    parts = chunk.sliding(docs, "body").select("doc_id", "chunk_index", "text").join(docs.select("doc_id", "title"), "doc_id")
+    held = F.size(F.array_intersect(F.array_distinct(T.terms(F.col("text"))), F.col("terms")))
+    met = hits.join(terms, "query_id").join(parts, "doc_id").withColumn("held", held)
+    first = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("held"), "chunk_index")
+    best = met.withColumn("n", F.row_number().over(first)).where("n = 1")
+    most = hits.groupBy("query_id").agg(F.max("score").alias("most"))
+    score = F.round(F.col("score") / F.col("most"), 6).alias("score")
+    return best.join(most, "query_id").select("query_id", F.col("rank").alias("place"), "doc_id", "chunk_index", "title", "text", score)
 
 
 def context(spark, d) -> DataFrame:
-    return rag.in_budget(chunks(spark, d))
+    """The chunks within the budget, written once: answers, citations and scores read them from there."""
+    return store.kept(rag.in_budget(chunks(spark, d)).drop("chunk_index"))
 
 
-def answers(spark, d) -> DataFrame:
-    """The stand-in's answer, with the query's own words behind it, which no source supports."""
-    said = rag.mock_answer(context(spark, d))
-    return said.join(S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id").select("query_id", F.concat_ws(" ", "answer", "text").alias("answer"))
+def answers(spark, d, ctx: DataFrame) -> DataFrame:
+    """The stand-in's answer, with the query's own words behind it, which no source supports; written once."""
+    said = rag.mock_answer(ctx)
+    return store.kept(said.join(S.asked(spark, d), "query_id").select("query_id", F.concat_ws(" ", "answer", "query").alias("answer")))
+
+
+def both(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Answers and their context."""
+    ctx = context(spark, d)
+    return answers(spark, d, ctx), ctx
 
 
 def _sents(text: str) -> str:
@@ -51,7 +68,15 @@ def _sents(text: str) -> str:
 
 _EST = f"greatest(1, CAST(floor(len({sql.words('text')}) * CAST(1.3 AS DOUBLE)) AS INTEGER))"
 _BIG = f"list_distinct(list_transform(range(1, greatest(len(ts), 1)), lambda i: ts[i] || ' ' || ts[i + 1]))"
-_CTX = f"""WITH {R._LEX}, ch AS (SELECT m.query_id, m.rank AS place, m.doc_id, c.title, substr(c.body, 1, {CHARS}) AS text, round(m.score / max(m.score) OVER (PARTITION BY m.query_id), 6) AS score FROM bm25 m JOIN docs c ON c.doc_id = m.doc_id WHERE m.rank <= 10),
+_CTX = f"""WITH {R._LEX}, top AS (SELECT query_id, rank AS place, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM bm25 WHERE rank <= 10),
+hw AS (SELECT doc_id, title, body, {sql.words('body')} AS w FROM docs WHERE doc_id IN (SELECT doc_id FROM top)),
+hc AS (SELECT doc_id, title, w, len(w) AS n, unnest(range(0, len(w), 224)) AS s FROM hw WHERE len(w) > 256),
+hk AS (SELECT *, least(s + 256, n) AS e FROM hc WHERE s = 0 OR s + 32 < n),
+parts_ AS (SELECT doc_id, title, s, array_to_string(w[s + 1:e], ' ') AS text FROM hk WHERE e - s >= 10 UNION ALL SELECT doc_id, title, 0, trim(body) FROM hw WHERE len(w) <= 256),
+pieces AS (SELECT doc_id, title, text, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, list_distinct({sql.terms('text')}) AS ts FROM parts_),
+qt AS (SELECT query_id, list_distinct(list(term)) AS ts FROM queries GROUP BY query_id),
+held AS (SELECT t.query_id, t.place, t.doc_id, p.title, p.text, p.i, t.score, row_number() OVER (PARTITION BY t.query_id, t.doc_id ORDER BY len(list_intersect(p.ts, q.ts)) DESC, p.i) AS k FROM top t JOIN pieces p ON p.doc_id = t.doc_id JOIN qt q ON q.query_id = t.query_id),
+ch AS (SELECT query_id, place, doc_id, i AS chunk_index, title, text, score FROM held WHERE k = 1),
 tk AS (SELECT *, {_EST} AS tokens FROM ch),
 cx0 AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY place) AS used FROM tk),
 cx AS (SELECT * FROM cx0 WHERE used <= 2700),
@@ -103,7 +128,7 @@ def mock_answer(spark, d):
 
 @query("citations", f"{_CTX} SELECT * FROM ci")
 def citations(spark, d):
-    return rag.cite(answers(spark, d), context(spark, d))
+    return rag.cite(*both(spark, d))
 
 
 @query("references", f"""{_CTX} SELECT query_id, string_agg('[' || place || '] ' || title || ' — "' || substr(text, 1, 100) || '"', chr(10) ORDER BY place) AS refs FROM cx GROUP BY query_id""")
@@ -113,12 +138,12 @@ def references(spark, d):
 
 @query("grounding_claims", f"{_CTX} SELECT query_id, CAST(i AS INTEGER) AS i, sentence, support, CAST(place AS INTEGER) AS place, supported FROM cl")
 def grounding_claims(spark, d):
-    return rag.claims(answers(spark, d), context(spark, d))
+    return rag.claims(*both(spark, d))
 
 
 @query("grounding", f"{_CTX} SELECT * FROM gr")
 def grounding(spark, d):
-    return rag.ground(answers(spark, d), context(spark, d))
+    return rag.ground(*both(spark, d))
 
 
 _CONF = rf"""cc AS (SELECT query_id, CAST(len(list_filter(ss, lambda s: regexp_matches(s, '\[\d+\]|\(Source:'))) AS DOUBLE) / len(ss) AS k FROM (SELECT query_id, {_sents('annotated')} AS ss FROM ci)),
@@ -130,7 +155,7 @@ cf AS (SELECT rt.query_id, round(r, 4) AS retrieval_confidence, round((diversity
 
 @query("confidence", f"{_CTX}, {_CONF} SELECT *, CASE WHEN overall >= 0.65 THEN 'high' WHEN overall >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM cf")
 def confidence(spark, d):
-    c, a = context(spark, d), answers(spark, d)
+    a, c = both(spark, d)
     return rag.confidence(c, rag.context_stats(c), rag.ground(a, c), rag.cite(a, c))
 
 
@@ -145,11 +170,11 @@ cs AS (SELECT i.query_id, b.text AS query, i.annotated AS answer, g.support_scor
 rm0 AS (SELECT query_id, {_share('a', 'ctx')} AS faithfulness, support_score AS groundedness, {_share('q', 'a')} AS answer_relevance,
   round(CAST(len(list_filter(sets, lambda s: CAST(len(list_intersect(s, a)) AS DOUBLE) / greatest(len(a), 1) >= CAST(0.05 AS DOUBLE))) AS DOUBLE) / len(sets), 4) AS context_precision, {_share('q', 'ctx')} AS context_recall,
   round(CASE WHEN len(tags) > 0 THEN CAST(len(list_filter(tags, lambda x: x >= 1 AND x <= sources)) AS DOUBLE) / len(tags) ELSE 0.5 END, 4) AS citation_accuracy, round(least(1, CAST(na AS DOUBLE) / (nq * 3)), 4) AS response_completeness FROM cs),
-rm AS (SELECT *, round(CAST(0.25 AS DOUBLE) * faithfulness + CAST(0.2 AS DOUBLE) * groundedness + CAST(0.2 AS DOUBLE) * answer_relevance + CAST(0.1 AS DOUBLE) * context_precision + CAST(0.1 AS DOUBLE) * context_recall + CAST(0.1 AS DOUBLE) * citation_accuracy + CAST(0.05 AS DOUBLE) * response_completeness, 4) AS overall_score FROM rm0)"""
+rm AS (SELECT *, floor(({' + '.join(f'{round(100 * w)} * CAST(round({m} * 10000) AS BIGINT)' for m, w in rag.METRICS.items())} + 50) / 100) / CAST(10000 AS DOUBLE) AS overall_score FROM rm0)"""
 
 
 def _cases(spark, d) -> tuple[DataFrame, DataFrame]:
-    c, a = context(spark, d), answers(spark, d)
+    a, c = both(spark, d)
     q = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("ground_truth"))
     cited = rag.cite(a, c).select("query_id", F.col("annotated").alias("answer"))
     return q.join(cited, "query_id").join(rag.ground(a, c).select("query_id", "support_score"), "query_id"), c
@@ -177,11 +202,13 @@ def memory_summary(spark, d):
 
 # -- evidence: every benchmark query is a session, its chunks the evidence
 
-_EV = f"{_CTX}, ev AS (SELECT query_id AS session_id, 't' || (place % 3) AS topic, place, doc_id, 'doc_' || doc_id || '_0' AS chunk_id, title, substr(text, 1, 500) AS content, score FROM ch)"
+_EV = f"{_CTX}, ev AS (SELECT query_id AS session_id, 't' || (place % 3) AS topic, place, doc_id, 'doc_' || doc_id || '_' || chunk_index AS chunk_id, title, text AS content, score FROM ch)"
 
 
 def evidence(spark, d) -> DataFrame:
-    return chunks(spark, d).select(F.col("query_id").alias("session_id"), F.concat(F.lit("t"), (F.col("place") % 3).cast("string")).alias("topic"), "place", "doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_0")).alias("chunk_id"), "title", F.substring("text", 1, 500).alias("content"), "score")
+    name = F.concat_ws("_", F.lit("doc"), "doc_id", "chunk_index").alias("chunk_id")
+    topic = F.concat(F.lit("t"), (F.col("place") % 3).cast("string")).alias("topic")
+    return store.kept(chunks(spark, d).select(F.col("query_id").alias("session_id"), topic, "place", "doc_id", name, "title", F.col("text").alias("content"), "score"))
 
 
 @query("retrieval_quality", f"{_EV} SELECT session_id, round(CAST(0.3 AS DOUBLE) * least(1, CAST(count(*) AS DOUBLE) / 5) + CAST(0.4 AS DOUBLE) * least(1, avg(score)) + CAST(0.3 AS DOUBLE) * (CAST(count(DISTINCT title) AS DOUBLE) / count(*)), 4) AS quality, count(*) AS evidence_count FROM ev GROUP BY session_id")
@@ -212,7 +239,7 @@ ck AS (SELECT t.session_id, t.i, substr(t.sentence, 1, 200) AS sentence, t.tag,
 
 
 def _cited(spark, d) -> DataFrame:
-    return rag.cite(answers(spark, d), context(spark, d)).select(F.col("query_id").alias("session_id"), F.concat("annotated", F.lit(" See [99].")).alias("answer"))
+    return rag.cite(*both(spark, d)).select(F.col("query_id").alias("session_id"), F.concat("annotated", F.lit(" See [99].")).alias("answer"))
 
 
 @query("citation_validation", f"{_EV}, {_CITED} SELECT session_id, CAST(i AS INTEGER) AS i, sentence, tag, status, overlap FROM ck")
@@ -288,3 +315,113 @@ def task_queue(spark, d):
 def schedules_due(spark, d):
     e = S.log_events(spark, d).select(F.col("event_id").alias("schedule_id"), F.col("ts").alias("next_run"), F.when(F.col("event_type") != "click", 600).alias("interval_s"), (F.col("event_type") != "error").alias("enabled"))
     return agents.due(e, "2024-01-15 00:00:00")
+
+
+# -- whole answers, and reads on grounding, confidence, citations and evidence
+
+
+@query("rag_answers", f"{_CTX}, {_CONF} SELECT b.item_id AS query_id, 'stand-in' AS model, i.annotated AS answer, st.n_chunks, gr.grounding_score, gr.risk, cf.overall AS confidence FROM benchmark b LEFT JOIN ci i ON i.query_id = b.item_id LEFT JOIN st ON st.query_id = b.item_id LEFT JOIN gr ON gr.query_id = b.item_id LEFT JOIN cf ON cf.query_id = b.item_id".replace("concat_ws(' ', array_to_string(" + _sents("x.text") + "[1:3], ' '), b.text)", "array_to_string(" + _sents("x.text") + "[1:3], ' ')"))
+def rag_answers(spark, d):
+    """The whole chain by one call. Chunks are taken in the order of their scores here: no two are alike enough to be dropped
+    (same=2), and relevance alone decides (mmr=False)."""
+    got = plans.ask(S.asked(spark, d), chunks(spark, d), plans.stand_in(), same=2.0, mmr=False, least=-1.0)
+    return got.select("query_id", "model", "answer", "n_chunks", "grounding_score", "risk", "confidence")
+
+
+@query("grounding_stats", f"{_CTX} SELECT count(*) AS n, round(avg(grounding_score), 4) AS avg_score, count(CASE WHEN risk = 'high' THEN 1 END) AS high_risk FROM gr")
+def grounding_stats(spark, d):
+    return rag.ground(*both(spark, d)).agg(F.count("*").alias("n"), F.round(F.avg("grounding_score"), 4).alias("avg_score"), F.count(F.when(F.col("risk") == "high", 1)).alias("high_risk"))
+
+
+@query("confidence_stats", f"{_CTX}, {_CONF} SELECT count(*) AS n, round(avg(overall), 4) AS avg_confidence, count(CASE WHEN overall >= 0.65 THEN 1 END) AS high, count(CASE WHEN overall < 0.4 THEN 1 END) AS low FROM cf")
+def confidence_stats(spark, d):
+    tier = lambda t: F.count(F.when(F.col("tier") == t, 1))
+    return confidence(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("overall"), 4).alias("avg_confidence"), tier("high").alias("high"), tier("low").alias("low"))
+
+
+@query("session_citations", f"{_EV}, {_CITED} SELECT CAST(i AS INTEGER) AS i, tag, status FROM ck WHERE session_id = 3 ORDER BY i, tag")
+def session_citations(spark, d):
+    return citation_validation(spark, d).where("session_id = 3").orderBy("i", "tag").select("i", "tag", "status")
+
+
+@query("session_evidence", f"{_EV} SELECT doc_id, chunk_id, score FROM ev WHERE session_id = 3 ORDER BY score DESC, doc_id LIMIT 5")
+def session_evidence(spark, d):
+    return evidence(spark, d).where("session_id = 3").orderBy(F.desc("score"), "doc_id").limit(5).select("doc_id", "chunk_id", "score")
+
+
+@query("evidence_extract", f"""{_EV}, sx AS (SELECT session_id, place, doc_id, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM (SELECT session_id, place, doc_id, {_sents('content')} AS ss FROM ev)),
+sy AS (SELECT x.*, len(list_intersect({sql.token_set('x.s')}, {sql.token_set('b.text')})) AS n FROM sx x JOIN benchmark b ON b.item_id = x.session_id),
+sz AS (SELECT *, row_number() OVER (PARTITION BY session_id, place ORDER BY n DESC, i) AS k FROM sy WHERE n >= 1)
+SELECT session_id AS query_id, CAST(place AS INTEGER) AS place, doc_id, string_agg(s, ' ' ORDER BY i) AS evidence FROM sz WHERE k <= 3 GROUP BY session_id, place, doc_id""")
+def evidence_extract(spark, d):
+    return agents.extract(chunks(spark, d), S.asked(spark, d)).select("query_id", "place", "doc_id", "evidence")
+
+
+@query("synthesis", rf"""{_EV}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id, topic ORDER BY score DESC, place) AS n FROM ev),
+k AS (SELECT * FROM b WHERE n <= 3),
+t AS (SELECT session_id, topic, '## ' || topic || chr(10) || string_agg('- ' || substr(regexp_replace(trim(content, ' '), '\s+', ' ', 'g'), 1, 200) || ' [' || place || ']', chr(10) ORDER BY n) AS s, count(*) AS c FROM k GROUP BY session_id, topic),
+y AS (SELECT session_id, string_agg(s, chr(10) || chr(10) ORDER BY topic) AS body, count(*) AS n_topics, CAST(sum(c) AS BIGINT) AS n_cited FROM t GROUP BY session_id),
+r AS (SELECT session_id, string_agg('[' || place || '] ' || title, chr(10) ORDER BY place) AS sources FROM k GROUP BY session_id)
+SELECT y.session_id, body || chr(10) || chr(10) || '## Sources' || chr(10) || sources AS report, n_topics, n_cited FROM y JOIN r ON r.session_id = y.session_id""")
+def synthesis(spark, d):
+    return agents.synthesise(evidence(spark, d))
+
+
+@query("research_summary", f"""WITH {_CASE} SELECT count(*) AS n, round(avg(CAST(completed_steps AS DOUBLE) / 5), 4) AS avg_completion, count(CASE WHEN citation_accuracy >= 0.5 THEN 1 END) AS cited_well, count(CASE WHEN grounding_score < 0.3 THEN 1 END) AS ungrounded FROM rc""")
+def research_summary(spark, d):
+    return agents.research_summary(research_metrics(spark, d))
+
+
+# -- runs of workflows, queues and memories, on the event table
+
+_STEPS = "steps AS (SELECT user_id AS execution_id, event_type AS step_id, event_id AS seq, ts, CASE WHEN value < 20 THEN 'failed' ELSE 'done' END AS state, event_id % 3 + 1 AS attempts FROM events)"
+
+
+def _steps(spark, d) -> DataFrame:
+    e = S.log_events(spark, d)
+    state = F.when(F.col("value") < 20, "failed").otherwise("done")
+    return e.select(F.col("session_id").alias("execution_id"), F.col("event_type").alias("step_id"), F.col("event_id").alias("seq"), "ts", state.alias("state"), (F.col("event_id") % 3 + 1).alias("attempts"))
+
+
+@query("workflow_executions", f"WITH {_STEPS} SELECT execution_id, count(DISTINCT step_id) AS steps, count(CASE WHEN state = 'done' THEN 1 END) AS done, count(CASE WHEN state = 'failed' THEN 1 END) AS failed, CAST(sum(attempts - 1) AS BIGINT) AS retries, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds FROM steps GROUP BY execution_id")
+def workflow_executions(spark, d):
+    took = F.round(F.col("ended").cast("double") - F.col("started").cast("double"), 3)
+    return agents.executions(_steps(spark, d)).select("execution_id", "steps", "done", "failed", "retries", took.alias("seconds"))
+
+
+@query("workflow_checkpoints", f"WITH {_STEPS} SELECT execution_id, step_id, state FROM (SELECT *, row_number() OVER (PARTITION BY execution_id, step_id ORDER BY ts DESC, seq DESC) AS n FROM steps) WHERE n = 1")
+def workflow_checkpoints(spark, d):
+    return agents.checkpoints(_steps(spark, d))
+
+
+@query("workflow_runs", f"WITH {_STEPS} SELECT execution_id, step_id, seq FROM steps WHERE state = 'failed' ORDER BY ts DESC, seq LIMIT 20")
+def workflow_runs(spark, d):
+    return logs.newest(_steps(spark, d), "ts", 20, "seq", where={"state": "failed"}).select("execution_id", "step_id", "seq")
+
+
+@query("queue_admitted", "SELECT event_id AS task_id, event_type AS queue, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 100 AS admitted FROM events")
+def queue_admitted(spark, d):
+    e = S.log_events(spark, d).select(F.col("event_id").alias("task_id"), F.col("event_type").alias("queue"), F.col("ts").alias("created_at"))
+    return agents.admitted(e, 100).select("task_id", "queue", "admitted")
+
+
+@query("task_strategies", " UNION ALL ".join(f"SELECT '{s}' AS strategy, * FROM (SELECT event_id AS task_id, CAST(row_number() OVER (ORDER BY {by}, event_id) AS INTEGER) AS place FROM events WHERE event_type <> 'error' ORDER BY place LIMIT 20)" for s, by in (("priority", "user_id % 4 DESC, ts"), ("fifo", "ts"), ("deadline", "event_id % 97, user_id % 4 DESC"), ("shortest", "value, ts"))))
+def task_strategies(spark, d):
+    e = S.log_events(spark, d)
+    tasks = e.select(F.col("event_id").alias("task_id"), (F.col("session_id") % 4).alias("priority"), F.col("ts").alias("created_at"), (F.col("event_id") % 97).alias("deadline"), F.col("value").alias("estimate"), (F.col("event_type") == "error").alias("cancelled"))
+    named = [agents.schedule(tasks, 20, s).select(F.lit(s).alias("strategy"), "task_id", "place") for s in agents.STRATEGIES]
+    return reduce(DataFrame.unionByName, named)
+
+
+@query("session_memory", "SELECT user_id AS session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5")
+def session_memory(spark, d):
+    items = S.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"))
+    return agents.bounded(items, "session_id", 5).select("session_id", F.col("seq").alias("event_id"))
+
+
+@query("support_snippets")
+def support_snippets(spark, d):
+    """The window of a chunk that supports a claim best; found by a scan of the words, which tests hold against closed cases."""
+    a, c = both(spark, d)
+    held = rag.claims(a, c).where("supported").join(c.select("query_id", "place", "text"), ["query_id", "place"])
+    return held.select("query_id", "i", "place", rag.support(F.col("sentence"), F.col("text")).alias("snippet"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import assist, chunk, evaluate, fusion, index, rank, rerank, vector
 from ..plans import gateway
+from ..sources import store
 from ..sources import tables as S
 from . import search as C
 from . import sql
@@ -53,6 +54,19 @@ def vector_index_stats(spark, d):
     return vector.index_stats(S.table(spark, d, "embeddings"))
 
 
+@query("semantic_stats", "SELECT (SELECT count(*) FROM embeddings) AS chunks, (SELECT count(DISTINCT vec_id % (SELECT count(*) FROM documents)) FROM embeddings) AS embedded_docs, (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT label) FROM embeddings) AS cached")
+def semantic_stats(spark, d):
+    e = S.table(spark, d, "embeddings")
+    return vector.chunk_stats(_chunks(spark, d), S.table(spark, d, "documents"), e.select("label").distinct())
+
+
+@query("vector_tenant", f"WITH {_SIM.format('a.vec_id % 100 = 0', ' AND vec_id % 3 = 1')} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10")
+def vector_tenant(spark, d):
+    e, asked = _hundredth(spark, d)
+    owned = e.withColumn("tenant_id", F.concat(F.lit("t"), (F.col("vec_id") % 3).cast("string")))
+    return vector.search(vector.for_tenant(owned, "t1"), asked, k=10)
+
+
 @query("vector_upkeep", "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 10 = 0")
 def vector_upkeep(spark, d):
     e = S.table(spark, d, "embeddings")
@@ -72,8 +86,10 @@ def _asked(spark, d) -> DataFrame:
     return S.table(spark, d, "embeddings").join(ids, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def semantic(spark, d, k: int) -> DataFrame:
-    hits = vector.search(S.table(spark, d, "embeddings"), _asked(spark, d), k=3 * k)
+def semantic(spark, d, k: int, queries: DataFrame | None = None) -> DataFrame:
+    asked = _asked(spark, d)
+    asked = asked if queries is None else asked.join(queries.select("query_id"), "query_id", "left_semi")
+    hits = vector.search(S.table(spark, d, "embeddings"), asked, k=3 * k)
     return vector.best_chunk(hits, _chunks(spark, d), k)
 
 
@@ -102,9 +118,9 @@ _LISTS = f"WITH {_LEX}, {_semantic_sql(20)}, lists AS (SELECT query_id, 1 AS lis
 _FUSE = "f AS (SELECT query_id, doc_id, round({}, 6) AS score FROM nrm GROUP BY query_id, doc_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f)"
 
 
-def lexical(spark, d, k: int) -> DataFrame:
-    c = S.corpus(spark, d)
-    return rank.bm25(c, index.with_counts(c), S.query_set(spark, d), k)
+def lexical(spark, d, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """The k best documents by BM25 of each benchmark text, or of queries (query_id, query)."""
+    return rank.bm25(C.index_of(spark, d), S.query_set(spark, d) if queries is None else S.terms_of(queries), k)
 
 
 def lists(spark, d, k: int = 20) -> DataFrame:
@@ -154,8 +170,12 @@ def hybrid_explain(spark, d):
 def gateway_search(spark, d):
     """Every other benchmark query asks to install something, which sends it to the plain ranking."""
     asked = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("install "), "text")).otherwise(F.col("text")).alias("query"))
-    only = lambda f: lambda q: f.join(q.select("query_id"), "query_id", "left_semi")
-    return gateway.search(asked, {"bm25": only(lexical(spark, d, 10)), "hybrid": only(fusion.hybrid(lexical(spark, d, 20), semantic(spark, d, 20), 10))})
+    text = lambda q: q.select("query_id", F.regexp_replace("query", "^install ", "").alias("query"))
+    engines = {
+        "bm25": lambda q: lexical(spark, d, 10, text(q)),
+        "hybrid": lambda q: fusion.hybrid(lexical(spark, d, 20, q), semantic(spark, d, 20, q), 10),
+    }
+    return gateway.search(asked, engines)
 
 
 # -- reranking
@@ -170,8 +190,7 @@ def _queries(spark, d) -> DataFrame:
 
 @query("jaccard_rerank", f"WITH {_LEX}, s AS (SELECT m.query_id, m.doc_id, round({_RERANK}, 6) AS score FROM bm25 m JOIN benchmark b ON b.item_id = m.query_id JOIN docs c ON c.doc_id = m.doc_id WHERE m.rank <= 50) SELECT query_id, doc_id, score, CASE WHEN score >= 0.8 THEN 'highly_relevant' WHEN score >= 0.6 THEN 'relevant' WHEN score >= 0.4 THEN 'somewhat_relevant' WHEN score >= 0.2 THEN 'marginally_relevant' ELSE 'not_relevant' END AS label FROM s")
 def jaccard_rerank(spark, d):
-    c = S.corpus(spark, d)
-    hits = lexical(spark, d, 50).select("query_id", "doc_id").join(_queries(spark, d), "query_id").join(c, "doc_id")
+    hits = lexical(spark, d, 50).select("query_id", "doc_id").join(_queries(spark, d), "query_id").join(S.corpus(spark, d), "doc_id")
     score = F.round(rerank.jaccard_score(F.col("query"), F.col("title"), F.col("body")), 6)
     return hits.select("query_id", "doc_id", score.alias("score")).withColumn("label", rerank.relevance_label(F.col("score")))
 
@@ -204,9 +223,8 @@ FROM bm25 m JOIN q ON q.query_id = m.query_id JOIN benchmark b ON b.item_id = m.
 LEFT JOIN sem s ON s.query_id = m.query_id AND s.doc_id = m.doc_id LEFT JOIN cl ON cl.doc_id = m.doc_id WHERE m.rank <= 20""",
 )
 def ltr_features(spark, d):
-    c = S.corpus(spark, d)
-    n = index.with_counts(c)
-    hits = rank.bm25(c, n, S.query_set(spark, d), 20).select("query_id", "doc_id", F.col("score").alias("bm25"))
+    n = C.index_of(spark, d).docs.select("doc_id", "title", "created_at", "word_count").join(S.corpus(spark, d).select("doc_id", "body"), "doc_id")
+    hits = lexical(spark, d, 20).select("query_id", "doc_id", F.col("score").alias("bm25"))
     sem = semantic(spark, d, 20).select("query_id", "doc_id", F.col("score").alias("semantic"))
     clicks = C.click_counts(spark, d)
     rows = hits.join(sem, ["query_id", "doc_id"], "left").join(n, "doc_id").join(_queries(spark, d), "query_id").join(clicks, "doc_id", "left").crossJoin(F.broadcast(clicks.agg(F.max("clicks").alias("most_clicks"))))
@@ -214,9 +232,11 @@ def ltr_features(spark, d):
     return rerank.features(rows, S.AS_OF)
 
 
-# -- evaluation: three systems against the documents of good quality that hold a query's terms
+# -- evaluation: two systems against the documents of good quality that hold half of a query's terms or more
 
-_JUDGED = "judged AS (SELECT DISTINCT q.query_id, l.doc_id, CAST(2 - l.toxic AS DOUBLE) AS grade FROM queries q JOIN (SELECT DISTINCT term, doc_id FROM occ) o ON o.term = q.term JOIN labels l ON l.doc_id = o.doc_id WHERE l.quality = 1)"
+_JUDGED = """qn AS (SELECT query_id, count(DISTINCT term) AS n FROM queries GROUP BY query_id),
+has AS (SELECT q.query_id, o.doc_id, count(DISTINCT o.term) AS c FROM (SELECT DISTINCT query_id, term FROM queries) q JOIN (SELECT DISTINCT term, doc_id FROM occ) o ON o.term = q.term GROUP BY q.query_id, o.doc_id),
+judged AS (SELECT h.query_id, h.doc_id, CAST(2 - l.toxic AS DOUBLE) AS grade FROM has h JOIN qn ON qn.query_id = h.query_id JOIN labels l ON l.doc_id = h.doc_id WHERE l.quality = 1 AND 2 * h.c >= qn.n)"""
 _SYSTEMS = f"WITH {_LEX}, {C._TFIDF}, {_JUDGED}, results AS (SELECT 'bm25' AS system, query_id, doc_id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'tfidf', query_id, doc_id, rank FROM tfidf WHERE rank <= 10)"
 
 
@@ -234,15 +254,15 @@ m AS (SELECT m0.*, {_k("dcg_{k} / ideal_{k} AS ndcg_{k}")} FROM m0 JOIN ideal ON
 
 
 def judged(spark, d) -> DataFrame:
-    q = S.query_set(spark, d).select("query_id", "term").distinct()
-    has = index.postings(S.corpus(spark, d), q).select("term", "doc_id").distinct()
-    return q.join(has, "term").select("query_id", "doc_id").distinct().join(S.judgements(spark, d), "doc_id").select("query_id", "doc_id", "grade")
+    q, ix = S.query_set(spark, d).select("query_id", "term").distinct(), C.index_of(spark, d)
+    has = ix.of_terms(ix.postings.select("bucket", "term", "doc_id").distinct(), q).groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
+    half = has.join(q.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").where(2 * F.col("c") >= F.col("n"))
+    return half.join(S.judgements(spark, d), "doc_id").select("query_id", "doc_id", "grade")
 
 
 def systems(spark, d) -> DataFrame:
-    c = S.corpus(spark, d)
-    n, q = index.with_counts(c), S.query_set(spark, d)
-    named = [x.select(F.lit(s).alias("system"), "query_id", "doc_id", "rank") for s, x in (("bm25", rank.bm25(c, n, q, 10)), ("tfidf", rank.tfidf(c, n, q, 10)))]
+    ix, q = C.index_of(spark, d), S.query_set(spark, d)
+    named = [x.select(F.lit(s).alias("system"), "query_id", "doc_id", "rank") for s, x in (("bm25", rank.bm25(ix, q, 10)), ("tfidf", rank.tfidf(ix, q, 10)))]
     return named[0].unionByName(named[1])
 
 
@@ -289,13 +309,23 @@ def experiment_compare(spark, d):
 _MISSPELT = f"miss AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4) AS word FROM ({{}}) WHERE length(term) >= 5)".format("SELECT unnest(" + sql.terms("text") + ") AS term FROM benchmark")
 #: DuckDB counts edits in bytes: letters of two bytes are written as one that lower-case words don't have.
 _ONE = "translate({}, 'éèêëçàâáäñóòôöíìîïúùûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')".format
-_CORRECT = f"""vocab AS (SELECT DISTINCT term FROM posts), unknown AS (SELECT word FROM miss WHERE length(word) >= 3 AND word NOT IN (SELECT term FROM vocab)),
-cand AS (SELECT word, term, levenshtein({_ONE('word')}, {_ONE('term')}) AS distance FROM unknown JOIN vocab ON abs(length(word) - length(term)) <= 2 AND levenshtein({_ONE('word')}, {_ONE('term')}) <= 2),
+#: Two words within two edits share what is left of them after two deletions each.
+_RESTS = """{0}1 AS (SELECT w, w AS rest FROM {0} UNION SELECT w, substr(w, 1, i - 1) || substr(w, i + 1) FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM {0}) WHERE length(w) > 1),
+{0}2 AS (SELECT w, rest FROM {0}1 UNION SELECT w, substr(rest, 1, i - 1) || substr(rest, i + 1) FROM (SELECT w, rest, unnest(range(1, length(rest) + 1)) AS i FROM {0}1) WHERE length(rest) > 1)""".format
+_CORRECT = f"""vocab AS (SELECT DISTINCT term AS w FROM posts), unknown AS (SELECT word AS w FROM miss WHERE length(word) >= 3 AND word NOT IN (SELECT w FROM vocab)),
+{_RESTS('vocab')}, {_RESTS('unknown')},
+pairs AS (SELECT DISTINCT u.w AS word, v.w AS term FROM unknown2 u JOIN vocab2 v ON v.rest = u.rest),
+cand AS (SELECT word, term, levenshtein({_ONE('word')}, {_ONE('term')}) AS distance FROM pairs WHERE levenshtein({_ONE('word')}, {_ONE('term')}) <= 2),
 corr AS (SELECT word, term, distance, round(1 - distance / CAST(3 AS DOUBLE), 4) AS confidence FROM cand)"""
 
 
 def _vocab(spark, d) -> DataFrame:
-    return index.vocabulary(index.postings(S.corpus(spark, d)))
+    return C.index_of(spark, d).terms.select("term")
+
+
+def _rests(spark, d) -> DataFrame:
+    """The deletions of the index's terms, a table made with the first query that needs it."""
+    return store.held(spark, "deletions", d, lambda: store.kept(assist.deletions(_vocab(spark, d))))
 
 
 def _misspelt(spark, d) -> DataFrame:
@@ -305,18 +335,18 @@ def _misspelt(spark, d) -> DataFrame:
 
 @query("spell_candidates", f"WITH {sql.INDEX}, {_MISSPELT}, {_CORRECT} SELECT word, term, CAST(distance AS INTEGER) AS distance, confidence FROM corr")
 def spell_candidates(spark, d):
-    return assist.corrections(_misspelt(spark, d), _vocab(spark, d))
+    return assist.corrections(_misspelt(spark, d), _vocab(spark, d), rests=_rests(spark, d))
 
 
 @query("spell_correct", f"WITH {sql.INDEX}, {_MISSPELT}, {_CORRECT}, b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY confidence DESC, length(term), term) AS n FROM corr) SELECT word, term, confidence FROM b WHERE n = 1 AND confidence >= 0.5")
 def spell_correct(spark, d):
-    return assist.best_corrections(assist.corrections(_misspelt(spark, d), _vocab(spark, d))).where("confidence >= 0.5").select("word", "term", "confidence")
+    return assist.best_corrections(assist.corrections(_misspelt(spark, d), _vocab(spark, d), rests=_rests(spark, d))).where("confidence >= 0.5").select("word", "term", "confidence")
 
 
 @query("spell_query")
 def spell_query(spark, d):
     q = S.query_set(spark, d).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.concat(F.substring("term", 1, 2), F.expr("substr(term, 4)")).alias("t")))), lambda x: x["t"]), " AND ").alias("query"))
-    return assist.correct_queries(q, _vocab(spark, d))
+    return assist.correct_queries(q, _vocab(spark, d), _rests(spark, d))
 
 
 _LEARN = f"""lq AS (SELECT lower(trim(query)) AS q FROM searches WHERE trim(query) <> ''),
@@ -340,6 +370,22 @@ def synonym_expand(spark, d):
     return assist.expand(q, syn).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
+@query(
+    "synonym_search",
+    f"""WITH {_LEX},
+wide AS (SELECT DISTINCT x.query_id, o.doc_id FROM (SELECT query_id, term FROM queries WHERE place < 3 UNION SELECT query_id, substr(term, 1, 4) FROM queries WHERE place < 3 AND length(term) > 4) x JOIN occ o ON o.term = x.term),
+own AS (SELECT q.query_id, p.doc_id, sum(idf * tf_weight) AS score FROM parts p JOIN (SELECT DISTINCT query_id, term FROM queries WHERE place < 3) q ON q.query_id = p.query_id AND q.term = p.term GROUP BY q.query_id, p.doc_id),
+r AS (SELECT w.query_id, w.doc_id, round(coalesce(o.score, 0), 6) AS score FROM wide w LEFT JOIN own o ON o.query_id = w.query_id AND o.doc_id = w.doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 200""",
+)
+def synonym_search(spark, d):
+    """Short queries, the first three terms of each text; a long term's synonym is its first four letters."""
+    q = S.query_set(spark, d).where("place < 3")
+    syn = q.select("term").distinct().where("length(term) > 4").withColumn("synonyms", F.array(F.substring("term", 1, 4)))
+    expanded = assist.expand(q, syn).select("query_id", F.explode("terms").alias("term"))
+    return rank.widened(C.index_of(spark, d), q, expanded, 200)
+
+
 SAID = ("how to fix error in python", "www.example.com login", "download free trial", "api reference guide", "survey of retrieval benchmark comparison", "recent advances overall", "recent", "what is a graph", "", "java tutorial", "it is not here")
 
 
@@ -425,3 +471,39 @@ def embedding_cache_key(spark, d):
 def embed_mock(spark, d):
     """A seeded generator has no SQL equivalent; tests check length, norm and sameness."""
     return S.table(spark, d, "documents").select("doc_id", F.transform(chunk.embed(16)(F.col("text")), lambda x: F.round(x.cast("double"), 6)).alias("embedding")).select("doc_id", F.array_join(F.col("embedding").cast("array<string>"), ",").alias("embedding"))
+
+
+@query("embed_pipeline", f"WITH {_WORDS}, c AS (SELECT doc_id, text, w, len(w) AS n, unnest(range(0, len(w), 256)) AS s FROM w WHERE doc_id % 5 <> 0), k AS (SELECT *, least(s + 256, n) AS e FROM c), f AS (SELECT doc_id, s, array_to_string(w[s + 1:e], ' ') AS text FROM k WHERE e - s >= 10 UNION ALL SELECT doc_id, 0, trim(text) FROM w WHERE len(w) BETWEEN 1 AND 9 AND doc_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM f) SELECT doc_id || '_' || i AS chunk_id, sha256('mock|' || text) AS content_hash, sha256('mock|' || text) IN (SELECT sha256('mock|' || text) FROM documents WHERE doc_id % 3 = 0) AS cached, 16 AS dimension FROM r")
+def embed_pipeline(spark, d):
+    """Every fifth document is stored already; whole texts of every third are in the cache."""
+    docs = S.table(spark, d, "documents")
+    cached = docs.where("doc_id % 3 = 0")
+    cache = cached.select(chunk.content_hash("mock", F.col("text")).alias("content_hash"), chunk.embed(16)(F.col("text")).alias("embedding"))
+    got = chunk.embed_documents(docs, docs.where("doc_id % 5 = 0"), cache, dimension=16)
+    return got.select("chunk_id", "content_hash", "cached", F.size("embedding").alias("dimension"))
+
+
+@query("chunks_of_document", f"WITH {_WORDS}, c AS (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w), 256)) AS s FROM w WHERE doc_id = 17), k AS (SELECT *, least(s + 256, n) AS e FROM c) SELECT CAST(row_number() OVER (ORDER BY s) - 1 AS INTEGER) AS chunk_index, CAST(e - s AS INTEGER) AS word_count, array_to_string(w[s + 1:e], ' ') AS text FROM k WHERE e - s >= 10 OR n < 10")
+def chunks_of_document(spark, d):
+    return chunk.of_document(S.table(spark, d, "documents"), 17, strategy="fixed").select("chunk_index", "word_count", "text")
+
+
+@query("rerank_stats", f"WITH {_LEX}, s AS (SELECT m.query_id, round({_RERANK}, 6) AS score FROM bm25 m JOIN benchmark b ON b.item_id = m.query_id JOIN docs c ON c.doc_id = m.doc_id WHERE m.rank <= 50) SELECT query_id, count(*) AS n, round(avg(score), 4) AS avg_score FROM s GROUP BY query_id ORDER BY avg_score DESC, query_id LIMIT 20")
+def rerank_stats(spark, d):
+    got = jaccard_rerank(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_score"))
+    return got.orderBy(F.desc("avg_score"), "query_id").limit(20)
+
+
+@query("personal_ranking", f"WITH {_LEX}, {sql.EVENTS}, {C._TUNED.replace('CAST(0.3 AS DOUBLE) * d, 6) AS score FROM sig', 'CAST(0.3 AS DOUBLE) * d + CASE WHEN doc_id % 7 = query_id % 7 THEN CAST(0.5 AS DOUBLE) ELSE 0 END, 6) AS score FROM sig')} SELECT query_id, doc_id, score, rank FROM tuned WHERE rank <= 10")
+def personal_ranking(spark, d):
+    """Who asks a query has clicked the documents whose number is like it modulo 7."""
+    asked, docs = S.asked(spark, d).select("query_id"), C.index_of(spark, d).docs.select("doc_id")
+    clicked = asked.withColumn("k", F.col("query_id") % 7).join(docs.withColumn("k", F.col("doc_id") % 7), "k").select("query_id", "doc_id", F.lit(0.5).alias("boost"))
+    got = rank.tuned(C.index_of(spark, d), S.query_set(spark, d), S.AS_OF, C.click_counts(spark, d), boosts=clicked)
+    return got.select("query_id", "doc_id", "score", "rank")
+
+
+@query("profile_clicks", f"WITH {sql.EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM searches), c AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM clicks), a AS (SELECT session_id, string_agg(query, ',' ORDER BY n) AS history FROM r WHERE n <= 20 GROUP BY session_id), b AS (SELECT session_id, string_agg(query, ',' ORDER BY n) AS clicked FROM c WHERE n <= 20 GROUP BY session_id) SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(history, '') AS history, coalesce(clicked, '') AS clicked FROM a FULL OUTER JOIN b ON b.session_id = a.session_id")
+def profile_clicks(spark, d):
+    e = S.log_events(spark, d)
+    return rank.profile(S.searches(e), 20, S.clicks(e)).select("session_id", F.array_join("history", ",").alias("history"), F.array_join("clicked", ",").alias("clicked"))

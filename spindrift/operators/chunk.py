@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import store
 
 SIZE, OVERLAP, LEAST = 256, 32, 10
 
@@ -76,6 +78,45 @@ def embed(dimension: int = 384):
     return run
 
 
-def embed_missing(chunks: DataFrame, cache: DataFrame, model: str = "mock", dimension: int = 384) -> DataFrame:
+# What families of embedding models put before a query and before a passage.
+PREFIXES = {"bge": ("Represent this sentence for searching relevant passages: ", ""), "e5": ("query: ", "passage: ")}
+
+
+def prefixed(text: Column, family: str, query: bool) -> Column:
+    """text as a model of the family (else as it is) reads a query or a passage."""
+    return F.concat(F.lit(PREFIXES.get(family, ("", ""))[0 if query else 1]), text)
+
+
+def model_embed(load: Callable[[], Callable[[list[str]], np.ndarray]], family: str = "", query: bool = False, size: int = 32) -> Callable[[Column], Column]:
+    """An embedding model as a column: loaded once in a task, texts in batches, unit vectors out."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for t in texts:
+            made = [np.asarray(model(t.iloc[at : at + size].tolist()), np.float64) for at in range(0, len(t), size)]
+            x = np.concatenate(made) if made else np.zeros((0, 1))
+            yield pd.Series(list((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)))
+
+    return lambda text: run(prefixed(text, family, query))
+
+
+def embed_missing(chunks: DataFrame, cache: DataFrame, model: str = "mock", dimension: int = 384, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """content_hash, embedding to append to the cache."""
-    return missing(chunks, cache, model).select("content_hash", embed(dimension)(F.col("text")).alias("embedding"))
+    return missing(chunks, cache, model).select("content_hash", (embedder or embed(dimension))(F.col("text")).alias("embedding"))
+
+
+def embed_documents(docs: DataFrame, stored: DataFrame, cache: DataFrame, model: str = "mock", strategy: str = "fixed", dimension: int = 384, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """chunk_id, doc_id, chunk_index, text, content_hash, embedding, cached of the chunks of docs (doc_id, text) that `stored`
+    (doc_id) doesn't have: the vectors to store. A text that the cache (content_hash, embedding) has isn't embedded
+    again, and one that several chunks have is embedded once."""
+    new = docs.join(stored.select("doc_id").distinct(), "doc_id", "left_anti")
+    parts = store.kept(chunk(new, strategy).withColumn("content_hash", content_hash(model, F.col("text"))))
+    made = embed_missing(parts.select("text"), cache, model, dimension, embedder).withColumn("cached", F.lit(False))
+    known = cache.select("content_hash", "embedding").dropDuplicates(["content_hash"]).withColumn("cached", F.lit(True))
+    return parts.join(made.unionByName(known), "content_hash").select("chunk_id", "doc_id", "chunk_index", "text", "content_hash", "embedding", "cached")
+
+
+def of_document(docs: DataFrame, doc_id: int, **how) -> DataFrame:
+    """The chunks of one document, in order."""
+    return chunk(docs.where(F.col("doc_id") == doc_id), **how).orderBy("chunk_index")

@@ -47,3 +47,15 @@ def table(results: DataFrame, judged: DataFrame, ks: tuple[int, ...] = KS, syste
     """metric x system."""
     long = aggregate(results, judged, ks).select("system", F.explode(F.create_map(*[x for m in metrics(ks) for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
     return long.groupBy("metric").pivot("system", systems).agg(F.first("value"))
+
+
+def save(run: str, results: DataFrame, judged: DataFrame, path: str) -> None:
+    """Adds the means of a run's systems to an experiment log: run, system, metric, value."""
+    long = aggregate(results, judged).select(F.lit(run).alias("run"), "system", F.explode(F.create_map(*[x for m in metrics() for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+    long.write.mode("append").parquet(path)
+
+
+def compare(log: DataFrame, first: str, second: str) -> DataFrame:
+    """system, metric, before, after, difference of two runs of a log."""
+    a, b = (log.where(F.col("run") == r).select("system", "metric", F.col("value").alias(n)) for r, n in ((first, "before"), (second, "after")))
+    return a.join(b, ["system", "metric"], "full_outer").select("system", "metric", "before", "after", F.round(F.col("after") - F.col("before"), 4).alias("difference"))

@@ -121,6 +121,21 @@ def for_tenant(rows: DataFrame, tenant: str) -> DataFrame:
     return rows if tenant == "local" else rows.where(F.col("tenant_id") == tenant)
 
 
+def scoped(source: Column, tenant: Column) -> Column:
+    """A tenant's source by the name it has in a store that all tenants share."""
+    return F.concat(F.lit("tenant:"), tenant, F.lit(":"), source)
+
+
+def unscoped(source: Column) -> Column:
+    return F.regexp_replace(source, "^tenant:[^:]*:", "")
+
+
+def visible(rows: DataFrame, tenant: str, source: str = "source") -> DataFrame:
+    """The rows whose source is the tenant's own or that of no tenant; "local" sees all."""
+    own = F.col(source).startswith(f"tenant:{tenant}:") | ~F.col(source).startswith("tenant:")
+    return rows if tenant == "local" else rows.where(own)
+
+
 def quota_check(usage: DataFrame, quotas: DataFrame) -> DataFrame:
     """tenant_id, resource, used, allowed (used < most; without a quota it is)."""
     return usage.join(quotas, ["tenant_id", "resource"], "left").select("tenant_id", "resource", "used", F.coalesce(F.col("used") < F.col("most"), F.lit(True)).alias("allowed"))
@@ -137,7 +152,9 @@ def accepted_per_minute(requests: DataFrame, limit: int, client: str = "session_
 
 def accepted_sliding(requests: DataFrame, limit: int = 60, seconds: float = 60.0, client: str = "session_id") -> DataFrame:
     """event_id, client, accepted under a sliding window of accepted requests. Each decision depends on the ones before, so
-    a client's requests are taken in order, batch by batch; what is held of them is the window alone."""
+    a client's requests are taken in order, batch by batch, in one task; what is held of them is the window alone. A client
+    with a large share of the requests is one long task by that law; add the day to the client to bound it, where a window
+    may begin anew each day."""
 
     def ordered(batches):
         last, held = None, deque()
@@ -160,18 +177,37 @@ def accepted_sliding(requests: DataFrame, limit: int = 60, seconds: float = 60.0
 # -- latency and health
 
 
-def percentiles(rows: DataFrame, by: str, value: str, exact: bool = True) -> DataFrame:
-    """n, mean, p50, p95, p99, min, max for each `by`, by the nearest rank s[int(n * p)].
+def _cuts(rows: DataFrame, by: str, parts: int) -> Column:
+    """The array of quantiles that cut rows into about equal parts by a number."""
+    cuts = rows.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
+    return F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
 
-    The rank is looked up by a window's count, so no group's values are gathered into one array; exact=False sketches."""
+
+RANKS = (0.5, 0.95, 0.99)
+
+
+def percentiles(rows: DataFrame, by: str, value: str, exact: bool = True, parts: int = 256) -> DataFrame:
+    """n, mean, p50, p95, p99, min, max for each `by`, by the nearest rank s[int(n * p)]; exact=False sketches.
+
+    Values are counted, and cut at quantiles into parts; the parts' counts, summed up, say in which part of a group a rank
+    lies, and only these parts are put in order, each apart. So no task sees more than a part of a group's values."""
+    name = {p: f"p{round(p * 100)}" for p in RANKS}
     if not exact:
-        return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 2).alias("mean"), *[F.round(F.percentile_approx(value, p), 2).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)], F.round(F.min(value), 2).alias("min"), F.round(F.max(value), 2).alias("max"))
-    # Distinct values with their counts are far fewer than rows; the running count finds the value at each rank.
-    per = rows.groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    run = per.withColumns({"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(p)), F.col(value)))
-    return run.groupBy(by).agg(F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 2).alias("mean"), *[F.round(at(p), 2).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)], F.round(F.min(value), 2).alias("min"), F.round(F.max(value), 2).alias("max"))
+        sketch = [F.round(F.percentile_approx(value, p), 2).alias(n) for p, n in name.items()]
+        return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 2).alias("mean"), *sketch, F.round(F.min(value), 2).alias("min"), F.round(F.max(value), 2).alias("max"))
+    bounds = _cuts(rows, value, parts)
+    per = rows.groupBy(by, value).agg(F.count("*").alias("c")).withColumn("part", F.size(F.filter(bounds, lambda c: c < F.col(value))))
+    sums = per.groupBy(by, "part").agg(F.sum("c").alias("m"), F.sum(F.col(value) * F.col("c")).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
+    all_ = sums.groupBy(by).agg(F.sum("m").alias("n"), F.round(F.sum("total") / F.sum("m"), 2).alias("mean"), F.round(F.min("low"), 2).alias("min"), F.round(F.max("high"), 2).alias("max"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.floor(F.col("n") * F.lit(p)).alias("at")) for p, n in name.items()]))
+    wanted = all_.select(by, ranks.alias("r")).select(by, "r.name", "r.at")
+    hit = sums.select(by, "part", "m", before.alias("start")).join(wanted, by).where("start <= at AND at < start + m").select(by, "part", "start", "name", "at")
+    inside = per.join(hit.select(by, "part").distinct(), [by, "part"], "left_semi")
+    running = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    found = running.join(hit, [by, "part"]).where(F.col("start") + F.col("upto") > F.col("at")).groupBy(by, "name").agg(F.min(value).alias("v"))
+    wide = found.groupBy(by).agg(*[F.round(F.max(F.when(F.col("name") == n, F.col("v"))), 2).alias(n) for n in name.values()])
+    return all_.join(wide, by).select(by, "n", "mean", *name.values(), "min", "max")
 
 
 BUCKETS = (10, 50, 100, 200, 500, 1000)
@@ -183,6 +219,51 @@ def histogram(rows: DataFrame, value: str, buckets: tuple[float, ...] = BUCKETS)
     return got.select(F.explode(F.create_map(*[x for b in (*map(str, buckets), "+Inf") for x in (F.lit(b), F.col(f"`{b}`"))])).alias("le", "count"))
 
 
+def prometheus(counts: DataFrame, name: str) -> DataFrame:
+    """line: the rows of histogram() as a monitoring system reads them."""
+    return counts.select(F.concat(F.lit(f'{name}_bucket{{le="'), "le", F.lit('"} '), F.col("count").cast("string")).alias("line"))
+
+
+def registry(beats: DataFrame, now: str, stale_s: int) -> DataFrame:
+    """service, instances, healthy, evicted of the last beat (service, instance, ts, draining) of each instance: stale ones are
+    evicted, unless they are draining."""
+    last = beats.groupBy("service", "instance").agg(F.max_by(F.struct("ts", "draining"), "ts").alias("b"))
+    stale = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("b.ts") > stale_s
+    gone = stale & ~F.col("b.draining")
+    return last.groupBy("service").agg(F.count("*").alias("instances"), F.count(F.when(~stale, 1)).alias("healthy"), F.count(F.when(gone, 1)).alias("evicted"))
+
+
+def breaker(calls: DataFrame, failures: int = 5, wait_s: float = 30.0) -> DataFrame:
+    """event_id, service, state (in which the call came: closed, open, half_open), allowed of calls (event_id, service, ts, ok)
+    in order. So many failures on end open a service's breaker; after the wait one call is let through, which closes it
+    or opens it again. Each state depends on the calls before, so a service's calls are taken in order in one task; what
+    is held of them is three numbers."""
+
+    def ordered(batches):
+        name, row, since = None, 0, None
+        for b in batches:
+            state, allowed = [], []
+            for s, t, ok in zip(b["service"], b["t"], b["ok"]):
+                if s != name:
+                    name, row, since = s, 0, None
+                now = "closed" if since is None else "half_open" if t - since >= wait_s else "open"
+                state.append(now)
+                allowed.append(now != "open")
+                if now == "open":
+                    continue
+                if ok:
+                    row, since = 0, None
+                else:
+                    row += 1
+                    if now == "half_open" or row >= failures:
+                        since = t
+            yield b[["event_id", "service"]].assign(state=state, allowed=allowed)
+
+    rows = calls.select("event_id", "service", F.col("ts").cast("double").alias("t"), "ok")
+    kind = dict(rows.dtypes)["service"]
+    return rows.repartition("service").sortWithinPartitions("service", "t", "event_id").mapInPandas(ordered, f"event_id long, service {kind}, state string, allowed boolean")
+
+
 def health(beats: DataFrame, now: str, stale_s: int) -> DataFrame:
     """service, last beat, healthy."""
     last = beats.groupBy("service").agg(F.max("ts").alias("last"), F.countDistinct("instance").alias("instances"))
@@ -198,8 +279,7 @@ def round_robin(requests: DataFrame, instances: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, by: str, name: str = "number", parts: int = 256) -> DataFrame:
     """rows with their place from 1 in the order of `by`. Rows are cut at quantiles into parts that are numbered apart;
     the parts' counts, summed up, are what each begins at. No task sees more than a part."""
-    cuts = rows.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    bounds = _cuts(rows, by, parts)
     cut = rows.withColumn("_p", F.size(F.filter(bounds, lambda c: c < F.col(by))))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
@@ -262,6 +342,23 @@ def valid_tokens(tokens: DataFrame, issued: DataFrame, now: str) -> DataFrame:
 
 # -- bus
 
+# The topics of the platform's events.
+TOPICS = (
+    "document.indexed", "document.deleted", "document.updated", "crawl.started", "crawl.page_fetched", "crawl.completed", "search.executed", "search.click", "embedding.started",
+    "embedding.completed", "chunking.started", "chunking.completed", "agent.task.created", "agent.task.completed", "agent.task.failed", "workflow.started", "workflow.completed",
+    "research.completed", "evaluation.completed", "rag.query.completed", "memory.session.created",
+)
+
+
+def envelope(events: DataFrame, cause: Column | None = None) -> DataFrame:
+    """events (event_id, topic, any more) with correlation_id, that of the first event of a chain, and causation_id, that of the
+    event before (cause, null at the beginning). A chain has one link here; longer ones keep the correlation_id they have."""
+    by = F.lit(None).cast("string") if cause is None else cause.cast("string")
+    own = F.col("event_id").cast("string")
+    known = F.col("correlation_id") if "correlation_id" in events.columns else F.lit(None).cast("string")
+    return events.withColumn("causation_id", by).withColumn("correlation_id", F.coalesce(known, by, own))
+
+
 
 def glob_match(topic: Column, pattern: Column) -> Column:
     """fnmatch with * and ? on whole topics."""
@@ -271,7 +368,8 @@ def glob_match(topic: Column, pattern: Column) -> Column:
 
 def routed(events: DataFrame, routes: DataFrame) -> DataFrame:
     """event_id, handler for each route (pattern, handler) that fits the event's topic. Each distinct topic meets the
-    routes once; events join the result by topic."""
+    routes once, topics (of which a platform has some tens) times routes (of which it has some hundreds); events join the
+    result by topic."""
     topics = events.select("topic").distinct()
     fit = topics.join(routes, glob_match(F.col("topic"), F.col("pattern"))).select("topic", "handler").distinct()
     return events.join(fit, "topic").select("event_id", "handler")

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -167,6 +168,11 @@ def support_snippet(sentence: str, chunk: str, window: int = 80, chars: int = 20
     return " ".join(words[best : best + window])[:chars]
 
 
+@F.pandas_udf(StringType())
+def support(sentence: pd.Series, chunk: pd.Series) -> pd.Series:
+    return pd.Series([support_snippet(s or "", c or "") for s, c in zip(sentence, chunk)])
+
+
 # -- confidence and metrics
 
 TIERS = (0.65, 0.40)
@@ -206,10 +212,11 @@ def rag_metrics(cases: DataFrame, context: DataFrame) -> DataFrame:
         F.round(F.when(F.size(tags) > 0, F.size(F.filter(tags, lambda x: (x >= 1) & (x <= F.col("sources")))) / F.size(tags)).otherwise(0.5), 4).alias("citation_accuracy"),
         F.round(F.when(n_q == 0, 1.0).otherwise(F.least(F.lit(1.0), n_a / (n_q * 3))), 4).alias("response_completeness"),
     )
-    total = F.lit(0.0)
+    # Weights have two places and metrics four: whole numbers are summed up, so no rounding hangs on the order.
+    total = F.lit(0)
     for m, w in METRICS.items():
-        total = total + F.lit(w) * F.col(m)
-    return got.withColumn("overall_score", F.round(total, 4))
+        total = total + F.lit(round(100 * w)) * F.round(F.col(m) * 10_000).cast("long")
+    return got.withColumn("overall_score", F.floor((total + 50) / 100) / 10_000)
 
 
 def rag_report(metrics: DataFrame) -> DataFrame:

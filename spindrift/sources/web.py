@@ -2,43 +2,53 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 from html.parser import HTMLParser
-from urllib.parse import parse_qs, urlencode, urljoin, urlparse, urlunparse
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from . import store
+
 # Query parameters that only track the visitor.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source")
 SKIPPED = ("script", "style", "nav", "footer", "header", "noscript")
 
 
-def normalise_url(url: str | None, base: str | None = None) -> str | None:
-    """The canonical form of an http(s) URL, or None: scheme and host in lower case, no default port, fragment, closing
-    slash or tracking parameter, parameters in order."""
-    if not url or not url.strip():
-        return None
+_URL = r"(?i)^\s*(https?)://(?:[^/?#@\s]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]\s]+)(?::(\d*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
+
+
+def _encoded(text: Column) -> Column:
+    """A name or value of a query as forms write it."""
+    return F.url_encode(F.try_url_decode(text))
+
+
+def url_norm(url: Column) -> Column:
+    """The canonical form of an http(s) URL, or null: scheme and host in lower case, no user, default port, fragment, closing
+    slash or tracking parameter, parameters in order. A column, evaluated in the JVM."""
+    part = lambda i: F.regexp_extract(url, _URL, i)
+    scheme, host, port = F.lower(part(1)), F.lower(part(2)), part(3)
+    number = F.when(port != "", F.try_to_number(port, F.lit("9" * 20)))
+    plain = number.isNull() | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
+    path = F.rtrim(F.when(part(4) == "", "/").otherwise(part(4)), F.lit("/"))
+    pair = lambda p: F.struct(_encoded(F.substring_index(p, "=", 1)).alias("k"), _encoded(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v"))
+    pairs = F.sort_array(F.filter(F.transform(F.filter(F.split(part(5), "&"), lambda p: p != ""), pair), lambda p: ~F.lower(p["k"]).isin(*TRACKING)))
+    query = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    shown = F.concat(scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), number.cast("string"))), F.when(path == "", "/").otherwise(path))
+    valid = url.rlike(_URL) & (number.isNull() | (number <= 65_535))
+    return F.when(valid, F.when(query == "", shown).otherwise(F.concat(shown, F.lit("?"), query)))
+
+
+def resolve(href: str, base: str | None) -> str | None:
+    """An http(s) link against the page it is on; None for other schemes."""
     try:
-        p = urlparse(urljoin(base, url.strip()) if base else url.strip())
-        scheme, host, port = p.scheme.lower(), (p.hostname or "").lower(), p.port
+        full = urljoin(base, href.strip()) if base else href.strip()
     except ValueError:
         return None
-    if scheme not in ("http", "https") or not host:
-        return None
-    if port and (scheme, port) not in (("http", 80), ("https", 443)):
-        host = f"{host}:{port}"
-    path = p.path or "/"
-    path = path if path == "/" else path.rstrip("/")
-    kept = sorted((k, v) for k, v in parse_qs(p.query, keep_blank_values=True).items() if k.lower() not in TRACKING)
-    return urlunparse((scheme, host, path, p.params, urlencode(kept, doseq=True), ""))
-
-
-@F.pandas_udf(StringType())
-def url_norm(url: pd.Series) -> pd.Series:
-    return url.map(normalise_url)
+    return full if full[:8].lower().startswith(("http://", "https://")) else None
 
 
 def domain(url: Column) -> Column:
@@ -87,11 +97,11 @@ class _Reader(HTMLParser):
 
 
 def read_page(html: str | None, base: str | None = None) -> tuple[str, str, list[str]]:
-    """Title (else first heading, else Untitled), text without scripts and page furniture, links in canonical form."""
+    """Title (else first heading, else Untitled), text without scripts and page furniture, links as full addresses."""
     r = _Reader()
     r.feed(html or "")
     r.close()
-    links = [n for h in r.links if not re.match(r"(?i)(javascript|mailto|tel|data|vbscript):|#", h) and (n := normalise_url(h, base))]
+    links = [n for h in r.links if not h.startswith("#") and (n := resolve(h, base))]
     return (r.title or "").strip() or (r.h1 or "").strip() or "Untitled", " ".join(" ".join(r.text).split()), list(dict.fromkeys(links))
 
 
@@ -99,10 +109,17 @@ _PAGE = StructType([StructField("title", StringType()), StructField("text", Stri
 
 
 @F.pandas_udf(_PAGE)
-def page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+def _page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(h, u) for h, u in zip(html, url)], columns=["title", "text", "links"])
 
 
+def page(html: Column, url: Column) -> Column:
+    """title, text and links (canonical, each once) of a page."""
+    read = _page(html, url)
+    links = F.array_distinct(F.filter(F.transform(read["links"], url_norm), lambda x: x.isNotNull()))
+    return F.struct(read["title"].alias("title"), read["text"].alias("text"), links.alias("links"))
+
+
 # -- robots
 
 
@@ -118,6 +135,19 @@ def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
     return rows.select("host", F.col("value").alias("path"), (F.col("key") == "allow").alias("allowed"))
 
 
+def robots_directives(files: DataFrame, agent: str = "*") -> DataFrame:
+    """host, crawl_delay (seconds, null without one that is a number; the longest that holds for the agent), sitemaps."""
+    line = F.posexplode(F.transform(F.split("content", r"\r?\n"), F.trim)).alias("i", "line")
+    rows = files.select("host", line).where(~F.col("line").startswith("#") & F.col("line").contains(":"))
+    rows = rows.select("host", "i", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("value"))
+    before = Window.partitionBy("host").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    who = F.last(F.when(F.col("key") == "user-agent", F.lower("value")), ignorenulls=True).over(before)
+    rows = rows.withColumn("who", who)
+    delay = F.max(F.when((F.col("key") == "crawl-delay") & F.col("who").isin("*", agent.lower()), F.expr("try_cast(value AS double)")))
+    maps = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when((F.col("key") == "sitemap") & (F.col("value") != ""), F.struct("i", "value")))), lambda x: x["value"]))
+    return files.select("host").distinct().join(rows.groupBy("host").agg(delay.alias("crawl_delay"), maps.alias("sitemaps")), "host", "left").select("host", "crawl_delay", F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
+
+
 def robots_check(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, allowed by the longest rule that the path begins with; without one it is. Allow wins between equals."""
     u = urls.select("url", domain(F.col("url")).alias("host"), F.coalesce(F.nullif(F.regexp_extract("url", r"^[^:]+://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/")).alias("p"))
@@ -141,15 +171,36 @@ def next_batch(frontier: DataFrame, n: int) -> DataFrame:
     return frontier.orderBy("priority", "seq").limit(n)
 
 
+def enqueue(frontier: DataFrame, found: DataFrame, seen: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The frontier (url, priority, seq, status) with the URLs found (url, priority, seq) that neither it nor seen (url) has, as
+    pending; each at its smallest priority. Of pending ones the `most` first stay; what was taken or done does."""
+    own = found.groupBy("url").agg(F.min(F.struct("priority", "seq")).alias("x")).select("url", "x.priority", "x.seq", F.lit("pending").alias("status"))
+    new = own.join(seen.select("url"), "url", "left_anti").join(frontier.select("url"), "url", "left_anti")
+    rows = frontier.select("url", "priority", "seq", "status").unionByName(new)
+    pending = rows.where("status = 'pending'").orderBy("priority", "seq", "url").limit(most)
+    return rows.where("status <> 'pending'").unionByName(pending)
+
+
+def mark(frontier: DataFrame, urls: DataFrame, status: str) -> DataFrame:
+    """The frontier with another status for the urls (url)."""
+    hit = urls.select("url", F.lit(status).alias("_s")).distinct()
+    return frontier.join(hit, "url", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+
+
 def crawl(links: DataFrame, roots: DataFrame, depth: int, same_host: bool = True) -> DataFrame:
-    """url, depth of what a breadth-first crawl from roots (url) reaches over links (src, dst); one join a level, against
-    the last level alone."""
-    seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
-    level = seen
+    """url, depth of what a breadth-first crawl from roots (url) reaches over links (src, dst). Each level is a join against
+    the last one alone, and is written, so the plan of a level doesn't hold those before it."""
+    level = store.kept(roots.select("url").distinct().withColumn("depth", F.lit(0)))
+    levels = [level]
     for i in range(1, depth + 1):
         out = links.join(level.select(F.col("url").alias("src")), "src").select("src", "dst")
         if same_host:
             out = out.where(same_domain(F.col("src"), F.col("dst")))
-        level = out.select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(i))
-        seen = seen.unionByName(level)
-    return seen
+        new = out.select(F.col("dst").alias("url")).distinct()
+        for old in levels:
+            new = new.join(old.select("url"), "url", "left_anti")
+        level = store.kept(new.withColumn("depth", F.lit(i)))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)

@@ -3,23 +3,23 @@ stateful rate limits and incremental indexing. A stream's result is a table of f
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_FALLBACK: dict[str, str] = {}
+from ..sources import store
+
 WATERMARK = "1 hour"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below one of its own where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="spindrift-stream-"))
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the folder that the cluster shares."""
+    return store.new_dir(spark, "stream")
 
 
 def files(spark: SparkSession, folder: str, name: str, schema: str, per_batch: int | None = None) -> DataFrame:
@@ -33,9 +33,18 @@ def files(spark: SparkSession, folder: str, name: str, schema: str, per_batch: i
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table as a stream; ts is cast to TIMESTAMP, which watermarks need."""
+#: The event that ends a stream which is drained: later than any other, it closes every window.
+END = -1
+
+
+def events(spark: SparkSession, folder: str, ends: bool = False) -> DataFrame:
+    """The event table as a stream; ts is cast to TIMESTAMP, which watermarks need. With ends, an event of its own (END) follows
+    in the far future, so that a stream in append mode, drained with last=True, gives its last windows as well."""
     raw = files(spark, folder, "events", EVENTS)
+    if ends:
+        at = work_dir(spark)
+        spark.createDataFrame([(END,)], "event_id long").selectExpr("event_id", "TIMESTAMP_NTZ '9000-01-01' AS ts", f"CAST({END} AS BIGINT) AS user_id", "'end' AS event_type", "0D AS value", "'{}' AS props").write.parquet(f"{at}/end.parquet")
+        raw = raw.unionByName(files(spark, at, "end", EVENTS))
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), "event_type", "value", F.concat(F.lit("events."), "event_type").alias("topic")).withWatermark("ts", WATERMARK)
 
 
@@ -51,21 +60,25 @@ def to_kafka(rows: DataFrame, servers: str, topic: str, checkpoint: str):
     return out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns its table. Complete mode replaces the table with each batch; append mode
-    writes a folder for each batch, so a batch that is run again after a failure replaces its own rows."""
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns its table. Each batch writes a folder of its own, so a batch that is run
+    again after a failure replaces its own rows; nothing that is written is written again. In update mode, which gives
+    the rows that a batch has changed, the table has the last row of each of the keys."""
     spark, at = stream.sparkSession, work_dir(stream.sparkSession)
 
     def put(batch: DataFrame, n: int) -> None:
-        out = each(batch) if each else batch
-        out.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={n}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{at}/out/batch={n}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     if query.lastProgress is None or not any(p["numInputRows"] for p in query.recentProgress):
         return put_nothing(each(spark.createDataFrame([], stream.schema)) if each else spark.createDataFrame([], stream.schema))
     read = spark.read.parquet(f"{at}/out")
-    return read.drop("batch") if mode != "complete" else read
+    if mode == "update":
+        rest = [c for c in read.columns if c not in (*keys, "batch")]
+        last = read.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+        return last.select(*[c if c in keys else F.col("_last").getField(c).alias(c) for c in read.columns if c != "batch"])
+    return read.drop("batch")
 
 
 def put_nothing(empty: DataFrame) -> DataFrame:
@@ -74,7 +87,7 @@ def put_nothing(empty: DataFrame) -> DataFrame:
 
 
 def volume(stream: DataFrame, width: str = "1 hour") -> DataFrame:
-    """window start, event_type, events, total value."""
+    """window start, event_type, events, total value; a window's state goes when the watermark has passed it."""
     got = stream.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
     return got.select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
@@ -84,6 +97,7 @@ def topic_counts(stream: DataFrame) -> DataFrame:
 
 
 def sessions(stream: DataFrame, gap: str = "1 hour") -> DataFrame:
+    """session_id, start, end, events, once a session is over; its state goes then."""
     got = stream.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
     return got.select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
@@ -108,19 +122,24 @@ def rate_limit(stream: DataFrame, limit: int, seconds: float) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        held = list(state.get[0]) if state.exists else []
-        out = []
-        for t in rows["t"]:
-            held = [h for h in held if h > t - seconds]
-            out.append(len(held) < limit)
-            if out[-1]:
+        # Of a client's requests in a batch, times and ids are held, as numbers, to be put in order.
+        ids, times = zip(*((b["event_id"].to_numpy(), b["t"].to_numpy()) for b in batches))
+        ids, times = np.concatenate(ids), np.concatenate(times)
+        order = np.lexsort((ids, times))
+        ids, times = ids[order], times[order]
+        held, out = deque(state.get[0] if state.exists else ()), np.empty(len(times), bool)
+        for i, t in enumerate(times.tolist()):
+            while held and held[0] <= t - seconds:
+                held.popleft()
+            out[i] = len(held) < limit
+            if out[i]:
                 held.append(t)
-        state.update((held,))
-        end = int((rows["t"].max() + seconds) * 1000)
+        state.update((list(held),))
+        end = int((times[-1] + seconds) * 1000)
         if end > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(end)
-        yield pd.DataFrame({"event_id": rows["event_id"], "session_id": key[0], "accepted": out})
+        for i in range(0, len(ids), 10_000):
+            yield pd.DataFrame({"event_id": ids[i : i + 10_000], "session_id": key[0], "accepted": out[i : i + 10_000]})
 
     rows = stream.select("event_id", "session_id", "ts", F.col("ts").cast("double").alias("t"))
     return rows.groupBy("session_id").applyInPandasWithState(run, "event_id long, session_id long, accepted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -55,9 +55,35 @@ def test_snippets():
     got = assist.snippet_of(text, ["python", "web"])
     assert "**Python**" in got and "**web**" in got and "w35 " in got and "w34" not in got
     assert assist.snippet_of("nothing here", ["x"]) == "nothing here"
+    assert "**end**" in assist.snippet_of("x " * 60_000 + "the end", ["end"])  # the whole text is looked at
     assert len(assist.snippet_of("long " * 200, ["x"])) <= 302 and assist.snippet_of("", ["x"]) == ""
 
 
+def test_completions_are_kept_removed_and_known(spark, tmp_path):
+    f = spark.createDataFrame([("python", 3), ("pyre", 1)], "word string, frequency long")
+    assist.save(f, str(tmp_path / "trie"))
+    back = assist.remove(assist.load(spark, str(tmp_path / "trie")), spark.createDataFrame([("pyre",)], "word string"))
+    assert {r.word: r.known for r in assist.contains(back, f).collect()} == {"python": True, "pyre": False}
+
+
+def test_spelling_with_stored_deletions(spark):
+    v = spark.createDataFrame([("python",), ("pythons",), ("java",)], "term string")
+    w = spark.createDataFrame([("pyton",), ("jaav",), ("zzz",)], "word string")
+    plain = sorted(assist.corrections(w, v).collect())
+    assert plain == sorted(assist.corrections(w, v, rests=assist.deletions(v)).collect()) and {(r.word, r.term) for r in plain} == {("pyton", "python"), ("pyton", "pythons"), ("jaav", "java")}
+
+
+def test_embedding_of_documents_skips_what_is_known(spark):
+    import numpy as np
+
+    d = spark.createDataFrame([(1, "one text"), (2, "two text"), (3, "one text"), (4, "four")], "doc_id long, text string")
+    cache = d.where("doc_id = 2").select(chunk.content_hash("mock", F.col("text")).alias("content_hash"), chunk.embed(4)(F.col("text")).alias("embedding"))
+    got = {r.doc_id: r for r in chunk.embed_documents(d, d.where("doc_id = 4"), cache, dimension=4).collect()}
+    assert {i: r.cached for i, r in got.items()} == {1: False, 2: True, 3: False} and got[1].embedding == got[3].embedding and got[1].chunk_id == "1_0"
+    e5 = chunk.model_embed(lambda: lambda texts: np.array([[len(t), 0.0] for t in texts]), "e5", query=True)
+    assert spark.createDataFrame([("abc",)], "t string").select(chunk.prefixed(F.col("t"), "e5", False), e5(F.col("t"))).first()[:] == ("passage: abc", [1.0, 0.0])
+
+
 def test_decompose_and_sanitise(spark):
     run = lambda q: spark.createDataFrame([(q,)], "q string").select(assist.decompose(F.col("q"))).first()[0]
     assert run("Compare A, B and C") == ["A", "B", "C"] and run("A vs B") == ["A", "B"] and run("X? Y?") == ["X?", "Y?"] and run("plain") == ["plain"]
