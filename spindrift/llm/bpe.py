@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_arrow, table
 
 CHUNK, OVERLAP = 65_536, 2_048
 #: Texts, and chunks, whose ids are Python objects at one time.
@@ -125,7 +125,7 @@ def encode(docs: DataFrame, vocab: str | None = None, pattern: str | None = None
         ids = stitch(coder(*where), [(x["k"], x["piece"], x["sync"], x["heads"], x["parts"]) for x in r], chunk)
         return pa.table({"doc_id": pa.array([r[0]["doc_id"]], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32()))})
 
-    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, out)
+    short = rows.where(F.length("text") <= chunk).transform(by_arrow, whole, out)
     n = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
     long = (
         rows.where(F.length("text") > chunk)
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, vocab: str | None = None, pattern: str | None = None
         .select("row", "doc_id", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
         .select("row", "doc_id", "k", (F.col("k") == F.col("n") - 1).alias("last"), F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
         .repartition("row", "k")
-        .mapInArrow(pieces, "row long, doc_id long, k int, piece string, sync int, heads array<int>, parts array<array<int>>")
+        .transform(by_arrow, pieces, "row long, doc_id long, k int, piece string, sync int, heads array<int>, parts array<array<int>>")
         .groupBy("row")
         .applyInArrow(one, out)
     )
@@ -156,7 +156,7 @@ def digests(encoded: DataFrame, vocab: str | None = None, pattern: str | None =
                 back.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.transform(by_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

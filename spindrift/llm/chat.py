@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_arrow, table
 
 #: A turn is PRE role MID content END. Inside roles and contents a backslash behind the first bracket keeps a control
 #: string apart; one more is put where there are some already, so that taking one away gives the text back.
@@ -129,7 +129,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
         if held:
             yield from assemble(pa.Table.from_batches(held))
 
-    return parted.mapInArrow(run, "conv_id long, formatted string, loss_from array<long>, loss_to array<long>")
+    return parted.transform(by_arrow, run, "conv_id long, formatted string, loss_from array<long>, loss_to array<long>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.transform(by_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def drop_shared() -> None:
     _OWN.clear()
 
 
+#: Bytes of a batch that goes to Python and back, where the session leaves Spark's own limit, 64 MB, as it is: both sides hold
+#: a batch several times over, and texts may be long.
+BATCH, _LIMIT, _DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def by_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in smaller batches; what Arrow has taken goes back to the system with the task."""
+    spark = df.sparkSession
+    if spark.conf.get(_LIMIT, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_LIMIT, BATCH)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(lean, schema)
+
+
 #: A key with more than one in so many of all rows is hot; there are fewer of them than this.
 HOT = 1_000
 
@@ -58,14 +80,16 @@ HOT = 1_000
 def hot_join(rows: DataFrame, named: DataFrame, keys: str | list[str], n: str, total: int) -> DataFrame:
     """rows joined with named (the keys, once each, and any columns; n: its rows in `rows`, of which there are `total`).
 
-    Fewer than HOT keys can have more than one in HOT of the rows: those are broadcast, so that no task gets all rows of one
-    key; the others are joined by a shuffle."""
+    Keys with more than about one in HOT of the rows, of which there are fewer than twice as many as HOT, are broadcast, so that
+    no task gets all rows of one key; the others are joined by a shuffle. The limit is a power of two over HOT, so that
+    the steps of a loop have the same code."""
+    many = (1 << max(0, total.bit_length() - 1)) / HOT
     keys = [keys] if isinstance(keys, str) else keys
     columns = [c for c in named.columns if c not in (*keys, n)]
     packed = named.select(*keys, n, F.struct(F.lit(True).alias("met"), *columns).alias("named"))
-    hot = packed.where(F.col(n) > total / HOT).select(*keys, F.col("named").alias("hot"))
+    hot = packed.where(F.col(n) > many).select(*keys, F.col("named").alias("hot"))
     met = rows.join(F.broadcast(hot), keys, "left")
-    cold = met.where("hot IS NULL").drop("hot").join(packed.where(F.col(n) <= total / HOT).drop(n), keys)
+    cold = met.where("hot IS NULL").drop("hot").join(packed.where(F.col(n) <= many).drop(n), keys)
     both = met.where("hot IS NOT NULL").withColumnRenamed("hot", "named").unionByName(cold)
     return both.select(*rows.columns, *[F.col("named").getField(c).alias(c) for c in columns])
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_arrow, table
 
 #: Lanes of 64 bits from each paragraph's digest: equality. Lanes of 32 bits that count its byte shingles with signs: likeness.
 #: A cell holds less than 2**31 bytes, so the count of no text leaves the range of a signed lane.
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), pa.array([of(t).text() for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).transform(by_arrow, run, "doc_id long, fingerprint string")
 
 
 #: Stretches of doc_id for each shuffle partition, and how many there are at most: their ends are all that is collected.
@@ -185,7 +185,7 @@ def with_next(docs: DataFrame, made, run, schema: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    return parted.mapInArrow(work, schema)
+    return parted.transform(by_arrow, work, schema)
 
 
 def edited(docs: DataFrame) -> DataFrame:

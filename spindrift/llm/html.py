@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_arrow, table
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _COMMENT_END = re.compile(r"--!?>")
@@ -337,7 +337,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             text = [extract(x or "") for x in b.column("html").to_pylist()]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).transform(by_arrow, run, "page_id long, url string, text string, n_chars long")
 
 
 def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, shared, small
+from .common import by_arrow, hot_join, shared, small
 from .simhash import _bytes, _signed, classes, in_blocks, links, majority, shingle_hashes, whole_runs
 
 #: Words of a shingle, and the similarity (shared shingles to all shingles) from which texts link, as a fraction.
@@ -54,7 +54,7 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
             sid, size, fp, keys = zip(*rows) if rows else ((), (), (), ())
             yield pa.record_batch([b.column("doc_id"), b.column("th"), _signed(list(sid)), pa.array(size, pa.int32()), _signed(list(fp)), pa.array(keys, pa.list_(pa.int64()))], [x.split()[0] for x in out.split(", ")])
 
-    return _bytes(docs).mapInArrow(run, out)
+    return _bytes(docs).transform(by_arrow, run, out)
 
 
 def sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -69,7 +69,7 @@ def sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 
     named = small(shared(asked.select("sid", F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"))))
     texts = _bytes(docs).join(named, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("th") == F.col("a_th"))).select("sid", "text")
-    return shared(texts.mapInArrow(run, "sid long, own array<long>").dropDuplicates(["sid"]))
+    return shared(texts.transform(by_arrow, run, "sid long, own array<long>").dropDuplicates(["sid"]))
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def band_links(docs: DataFrame, own: DataFrame, held: DataFrame, words: int) ->
             if found:
                 yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    return rows.repartition("m", "p", "q").sortWithinPartitions("m", "p", "q").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("m", "p", "q").sortWithinPartitions("m", "p", "q").transform(by_arrow, run, "u long, v long").distinct()
 
 
 def members(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:

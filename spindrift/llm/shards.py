@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared, table
+from .common import by_arrow, shared, table
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
             seen += count
             yield pa.record_batch([b.column("doc_id"), b.column("size"), b.column("text_crc32"), pa.array(shard, pa.int32()), pa.array(grown, pa.int32()), pa.array(np.full(len(key), part), pa.int32()), pa.array(local)], ["doc_id", "size", "text_crc32", "shard", "grown_shard", "part", "local"])
 
-    rows = shared(slim.mapInArrow(run, "doc_id long, size long, text_crc32 long, shard int, grown_shard int, part int, local long"))
+    rows = shared(slim.transform(by_arrow, run, "doc_id long, size long, text_crc32 long, shard int, grown_shard int, part int, local long"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return rows.join(base, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("base") + F.col("local")).alias("slot"))

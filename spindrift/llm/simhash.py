@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, shared, small, table
+from .common import by_arrow, hot_join, shared, small, table
 
 BITS = 64
 #: Distinct fingerprints on which the partitions and thresholds are chosen; they decide the cost, not the result.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fp = [majority(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("th"), _signed(fp)], ["doc_id", "th", "fp"])
 
-    return _bytes(docs).mapInArrow(run, "doc_id long, th long, fp long")
+    return _bytes(docs).transform(by_arrow, run, "doc_id long, th long, fp long")
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def links(nodes: DataFrame, tau: int, block: int = BLOCK, direct: bool = False)
                 yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     key = ["j", "m", "p", "q"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key, "node").transform(by_arrow, run, "u long, v long").distinct()
 
 
 # -- components
@@ -257,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(state)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
-        large = hot_join(both, low, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both, low, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small_star = hot_join(large, low, "u", "n", 2 * state[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
         pairs = shared(small_star.select("p.u", "p.v").where("u != v").distinct())

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared, table
+from .common import by_arrow, shared, table
 from .linedup import with_found
 
 #: Ends of units. For passages inside lines, a line is cut into its sentences, and these before each capitalised word, where
@@ -109,12 +109,12 @@ def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, part
             yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(got, kind)], ["doc_id", "th", "spans"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    every = shared(base.mapInArrow(cut, "doc_id long, th long, kind int, j int, d1 long, d2 long, a int, e int, words int, sure boolean"))
+    every = shared(base.transform(by_arrow, cut, "doc_id long, th long, kind int, j int, d1 long, d2 long, a int, e int, words int, sure boolean"))
     place = Window.partitionBy("d1", "d2").orderBy("doc_id", "th", "j")
     open_ = every.where("NOT sure").withColumn("place", F.row_number().over(place)).where("place > 1").drop("place")
     later = every.where("sure").unionByName(open_)
     held = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "j", "a", "e", "words")).alias("found"))
-    return held.mapInArrow(merge, "doc_id long, th long, spans array<struct<start: int, end: int>>").where(F.size("spans") > 0)
+    return held.transform(by_arrow, merge, "doc_id long, th long, spans array<struct<start: int, end: int>>").where(F.size("spans") > 0)
 
 
 def clean(docs: DataFrame, **how) -> DataFrame:
