@@ -116,7 +116,10 @@ def encode(docs: DataFrame, vocab: str | None = None, pattern: str | None = None
                 got = [c.chunk(t, i, x, chunk, overlap) for t, i, x in zip(piece, k, last)]
                 sync, heads, parts = ([g[x] for g in got] for x in range(3))
                 yield pa.record_batch(
-                    [own.column("row"), own.column("doc_id").cast(pa.int64()), own.column("k"), pa.array([t[:chunk] for t in piece], pa.string()), pa.array(sync, pa.int32()), pa.array(heads, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.list_(pa.int32())))],
+                    [
+                        own.column("row"), own.column("doc_id").cast(pa.int64()), own.column("k"), pa.array([t[:chunk] for t in piece], pa.string()),
+                        pa.array(sync, pa.int32()), pa.array(heads, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.list_(pa.int32())))
+                    ],
                     ["row", "doc_id", "k", "piece", "sync", "heads", "parts"],
                 )
 
@@ -132,7 +135,10 @@ def encode(docs: DataFrame, vocab: str | None = None, pattern: str | None = None
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("n", n)
         .select("row", "doc_id", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-        .select("row", "doc_id", "k", (F.col("k") == F.col("n") - 1).alias("last"), F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
+        .select(
+            "row", "doc_id", "k", (F.col("k") == F.col("n") - 1).alias("last"),
+            F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("piece")
+        )
         .repartition("row", "k")
         .transform(by_arrow, pieces, "row long, doc_id long, k int, piece string, sync int, heads array<int>, parts array<array<int>>")
         .groupBy("row")
@@ -154,7 +160,10 @@ def digests(encoded: DataFrame, vocab: str | None = None, pattern: str | None =
                 n.append(len(ids))
                 sha.append(hashlib.sha256(" ".join([dec[i] for i in ids]).encode()).hexdigest())
                 back.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch(
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
     return encoded.transform(by_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

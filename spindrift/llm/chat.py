@@ -102,7 +102,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
     are left out; an empty table gives an empty one. A conversation is one output cell, so its rows meet in one task; only
     one conversation at a time is held beside the current batch."""
     col = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    parted = rows.select(F.col("conv_id").cast("long"), "turn", col("role"), col("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    parted = rows.select(
+        F.col("conv_id").cast("long"), "turn", col("role"), col("text")
+    ).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -145,9 +147,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
                 out.append((conv, len(turns), said, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.transform(by_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            yield pa.record_batch(
+                [pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds],
+                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            )
+
+    return formatted.transform(
+        by_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,9 +117,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array([of(t).text() for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            yield pa.record_batch(
+                [b.column("doc_id"), pa.array([of(t).text() for t in b.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"]
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).transform(by_arrow, run, "doc_id long, fingerprint string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    ).transform(by_arrow, run, "doc_id long, fingerprint string")
 
 
 #: Stretches of doc_id for each shuffle partition, and how many there are at most: their ends are all that is collected.
@@ -164,7 +168,9 @@ def with_next(docs: DataFrame, made, run, schema: str) -> DataFrame:
     is_top = F.col("doc_id").eqNullSafe(F.get(F.array(*[F.lit(t).cast("long") for t in top]), "s"))
     own = F.struct(F.col("s").alias("s"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.get(F.array(*[F.lit(x) for x in above]), "s").alias("s"), F.lit(True).alias("ghost"))
-    dealt = held.select("doc_id", "text", F.explode(F.when(is_top, F.array(own, ghost)).otherwise(F.array(own))).alias("d")).select("d.s", "d.ghost", "doc_id", "text")
+    dealt = held.select(
+        "doc_id", "text", F.explode(F.when(is_top, F.array(own, ghost)).otherwise(F.array(own))).alias("d")
+    ).select("d.s", "d.ghost", "doc_id", "text")
     parted = dealt.repartition("s").sortWithinPartitions("s", "ghost", F.desc_nulls_last("doc_id"), "text")
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -209,7 +215,10 @@ def edited(docs: DataFrame) -> DataFrame:
         changed = edit(fp, raw, len(kept), new)
         return doc_id, n, hashlib.sha256(kept + new).hexdigest(), fp.text(), changed.text(), fp.likeness(changed), fp.likeness(behind)
 
-    return with_next(docs, made, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(
+        docs, made, run,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    )
 
 
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,9 @@ _COMMENT_END = re.compile(r"--!?>")
 _PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Content that is text, not markup, up to the closing tag.
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in (
+    "script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"
+)}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -335,9 +337,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             text = [extract(x or "") for x in b.column("html").to_pylist()]
-            yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).transform(by_arrow, run, "page_id long, url string, text string, n_chars long")
+            yield pa.record_batch(
+                [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())],
+                ["page_id", "url", "text", "n_chars"]
+            )
+
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
+    ).transform(by_arrow, run, "page_id long, url string, text string, n_chars long")
 
 
 def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,12 @@ def _hashes(said: Column, size: int) -> Column:
     """Two 64-bit hashes of each window of `size` lines."""
     at = F.sequence(F.lit(0), F.size(said) - size)
     line = lambda k, j: F.get(said, k + j)["x"]
-    both = F.transform(at, lambda k: F.struct(F.xxhash64(*[line(k, j) for j in range(size)]).alias("h1"), F.xxhash64(F.lit(1), *[line(k, j) for j in reversed(range(size))]).alias("h2")))
+    both = F.transform(
+        at,
+        lambda k: F.struct(
+            F.xxhash64(*[line(k, j) for j in range(size)]).alias("h1"), F.xxhash64(F.lit(1), *[line(k, j) for j in reversed(range(size))]).alias("h2")
+        )
+    )
     return F.when(F.size(said) >= size, both)
 
 
@@ -41,7 +46,9 @@ def find(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     before) for each document of docs (doc_id, text) that has some. The order of occurrences is that of (doc_id, th,
     place), null doc_id first."""
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), _said(F.split(F.coalesce("text", F.lit("")), "\n")).alias("said"))
-    windows = shared(base.select("doc_id", "th", F.posexplode(_hashes(F.col("said"), size)).alias("k", "h")).select("doc_id", "th", "k", "h.h1", "h.h2"))
+    windows = shared(base.select(
+        "doc_id", "th", F.posexplode(_hashes(F.col("said"), size)).alias("k", "h")
+    ).select("doc_id", "th", "k", "h.h1", "h.h2"))
     later = first_places(windows, ["h1", "h2"], "doc_id", "th", "k")
     return later.groupBy("doc_id", "th").agg(F.collect_set("k").alias("starts"))
 
@@ -64,7 +71,15 @@ def clean(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     joined = with_found(docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th")), shared(find(docs, size)), "starts")
     # Every row that had no window before goes through as it is; only the others are split again.
     lines = F.split("row.text", "\n")
-    cut = joined.select("row", lines.alias("lines"), F.when(F.col("starts").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.transform("starts", lambda k: F.transform(F.slice(_said(lines), k + 1, size), lambda p: p["i"])))))).alias("removed"))
+    cut = joined.select(
+        "row", lines.alias("lines"),
+        F.when(
+            F.col("starts").isNotNull(),
+            F.sort_array(F.array_distinct(F.flatten(F.transform(
+                "starts", lambda k: F.transform(F.slice(_said(lines), k + 1, size), lambda p: p["i"])
+            ))))
+        ).alias("removed")
+    )
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
     return cut.select(
         "row",
@@ -77,7 +92,11 @@ def clean(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("row.doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+    return got.select(
+        "row.doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"),
+        F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines")
+    )
 
 
 OP6_SQL = r"""

@@ -52,7 +52,13 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
                 own = np.unique(shingle_hashes(t, words))
                 rows.append((xxhash.xxh64_intdigest(own.tobytes()), len(own), majority(one), np.array(band_keys(own), np.uint64).view(np.int64)))
             sid, size, fp, keys = zip(*rows) if rows else ((), (), (), ())
-            yield pa.record_batch([b.column("doc_id"), b.column("th"), _signed(list(sid)), pa.array(size, pa.int32()), _signed(list(fp)), pa.array(keys, pa.list_(pa.int64()))], [x.split()[0] for x in out.split(", ")])
+            yield pa.record_batch(
+                [
+                    b.column("doc_id"), b.column("th"), _signed(list(sid)), pa.array(size, pa.int32()), _signed(list(fp)),
+                    pa.array(keys, pa.list_(pa.int64()))
+                ],
+                [x.split()[0] for x in out.split(", ")]
+            )
 
     return _bytes(docs).transform(by_arrow, run, out)
 
@@ -123,7 +129,10 @@ def band_links(docs: DataFrame, own: DataFrame, held: DataFrame, words: int) ->
 
     Only keys that texts of different components share are looked into, and of keys with the same texts one."""
     keyed = own.select("sid", "root", "size", F.explode("keys").alias("m"))
-    mixed = keyed.groupBy("m").agg(F.min("root").alias("a"), F.max("root").alias("e"), F.count("*").alias("n"), F.sum("size").alias("w"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("who"))
+    mixed = keyed.groupBy("m").agg(
+        F.min("root").alias("a"), F.max("root").alias("e"), F.count("*").alias("n"), F.sum("size").alias("w"),
+        F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("who")
+    )
     once = mixed.where("a != e").groupBy("who", "n", "w").agg(F.min("m").alias("m"))
     buckets = shared(once.select("m", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / SHINGLES)).alias("blocks")))
     if buckets.isEmpty():
@@ -163,7 +172,10 @@ def members(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
     named = classes(nodes, sure)
     own = shared(one.join(named.select(F.col("node").alias("sid"), "root"), "sid"))
     named = classes(nodes, sure.unionByName(band_links(docs, own, held, words)))
-    found = hot_join(made.withColumnRenamed("sid", "node"), named.select("node", "n", F.col("root").alias("group"), F.col("top").alias("component_id")), "node", "n", made.count())
+    found = hot_join(
+        made.withColumnRenamed("sid", "node"), named.select("node", "n", F.col("root").alias("group"), F.col("top").alias("component_id")), "node",
+        "n", made.count()
+    )
     return found.select("doc_id", "th", F.col("group").alias("root"), "component_id")
 
 
@@ -182,7 +194,9 @@ def dedup(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
     total = got.count()
     kept = got.groupBy("root").agg(F.min(_first()).alias("k"), F.count("*").alias("n"))
     out = hot_join(got, kept, "root", "n", total).where(~_first().eqNullSafe(F.col("k"))).select(F.col("doc_id").alias("o_doc"), F.col("th").alias("o_th")).distinct()
-    many = shared(got.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th")))
+    many = shared(
+        got.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th"))
+    )
     key = [F.struct("*").alias("row"), F.xxhash64("text").alias("th")]
     left = docs.select(*key).join(small(shared(out)), F.col("row.doc_id").eqNullSafe(F.col("o_doc")) & (F.col("th") == F.col("o_th")), "left_anti")
     if many.isEmpty():

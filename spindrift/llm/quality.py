@@ -94,7 +94,9 @@ def covered(g: Column, p: Column) -> Column:
     at = lambda x: F.get(g, x.bitwiseAND(F.lit(_MASK)).cast("int"))
 
     def count(found: Column) -> Column:
-        mixed = F.exists(F.transform(found, lambda x, j: F.coalesce(_same(x, F.get(found, j + 1)) & (at(x) != at(F.get(found, j + 1))), F.lit(False))), lambda x: x)
+        mixed = F.exists(
+            F.transform(found, lambda x, j: F.coalesce(_same(x, F.get(found, j + 1)) & (at(x) != at(F.get(found, j + 1))), F.lit(False))), lambda x: x
+        )
         places = F.sort_array(F.transform(found, lambda x: x.bitwiseAND(F.lit(_MASK))))
         return F.when(mixed, _slowly(g)).otherwise(_let(places, _merged))
 
@@ -178,7 +180,9 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame:
     return some.where(F.length(text) <= SAMPLE_CHARS).select(text.alias("text")).limit(2 * rows)
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, counted: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple[Rule, float, float]]:
+def measure(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, counted: Callable[[DataFrame], DataFrame] | None = None
+) -> list[tuple[Rule, float, float]]:
     """(rule, rejected share, seconds on the sample) for each rule, the most rejections per second first; in one job, in which
     the clock is read before and after each rule. counted adds the counts that the rules read where they are there
     already; without it they count for themselves."""
@@ -192,7 +196,9 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE
     for i, r in enumerate(rules):
         timed += [F.when(F.rand(i) >= 0, r.fails(facts)).alias(f"v{i}"), clock().alias(f"t{i + 1}")]
     last = F.col("run") == RUNS
-    got = again.select("run", *timed).agg(*[x for i in range(len(rules)) for x in (F.avg(F.when(last, F.col(f"v{i}").cast("int"))), F.sum(F.when(last, F.col(f"t{i + 1}") - F.col(f"t{i}"))))]).first()
+    got = again.select("run", *timed).agg(*[x for i in range(len(rules)) for x in (
+        F.avg(F.when(last, F.col(f"v{i}").cast("int"))), F.sum(F.when(last, F.col(f"t{i + 1}") - F.col(f"t{i}")))
+    )]).first()
     found = [(r, float(got[2 * i] or 0.0), max(got[2 * i + 1] or 0, 1) / 1e9) for i, r in enumerate(rules)]
     return sorted(found, key=lambda x: -x[1] / x[2])
 
@@ -241,7 +247,9 @@ def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [r for r, _, _ in measure(docs, counted=counts)]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & cascade(order, Facts(F.col("text"), F.col("w"), True)).isNull()
-    return counts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
+    return counts(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept")
+    )
 
 
 OP4_SQL = r"""

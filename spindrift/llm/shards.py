@@ -34,7 +34,10 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
     rows of a shard, then the tasks' counts are summed up, so no shard meets in one task, however many rows share a key.
     Null text: no bytes; null doc_id: a key of its own; rows that share a doc_id share a shard and have slots of their
     own; extra columns are left out; an empty table gives an empty one."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64("doc_id").alias("key"))
+    slim = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64("doc_id").alias("key")
+    )
 
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
@@ -46,12 +49,22 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
             local = np.empty(len(key), np.int64)
             local[order] = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(seen, count)
             seen += count
-            yield pa.record_batch([b.column("doc_id"), b.column("size"), b.column("text_crc32"), pa.array(shard, pa.int32()), pa.array(grown, pa.int32()), pa.array(np.full(len(key), part), pa.int32()), pa.array(local)], ["doc_id", "size", "text_crc32", "shard", "grown_shard", "part", "local"])
+            yield pa.record_batch(
+                [
+                    b.column("doc_id"), b.column("size"), b.column("text_crc32"), pa.array(shard, pa.int32()), pa.array(grown, pa.int32()),
+                    pa.array(np.full(len(key), part), pa.int32()), pa.array(local)
+                ],
+                ["doc_id", "size", "text_crc32", "shard", "grown_shard", "part", "local"]
+            )
 
     rows = shared(slim.transform(by_arrow, run, "doc_id long, size long, text_crc32 long, shard int, grown_shard int, part int, local long"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("base") + F.col("local")).alias("slot"))
+    base = rows.groupBy("shard", "part").agg(F.count("*").alias("n")).select(
+        "shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
+    )
+    return rows.join(base, ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("base") + F.col("local")).alias("slot")
+    )
 
 
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

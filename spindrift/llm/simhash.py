@@ -61,7 +61,9 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    )
 
 
 # -- the plan
@@ -195,7 +197,9 @@ def in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame, total: int, me
     whose key isn't in sizes are left out."""
     met = hot_join(rows, sizes, keys, "n", total)
     own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda x: F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q")))
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda x: F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q"))
+    )
     return met.select(*rows.columns, F.explode(pair).alias("b")).select(*rows.columns, "b.p", "b.q")
 
 
@@ -259,7 +263,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
         large = hot_join(both, low, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small_star = hot_join(large, low, "u", "n", 2 * state[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+        small_star = hot_join(large, low, "u", "n", 2 * state[0]).select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
+        )).alias("p"))
         pairs = shared(small_star.select("p.u", "p.v").where("u != v").distinct())
 
 
@@ -282,7 +288,9 @@ def link(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
     prints = shared(fingerprints(docs, words))
     nodes = shared(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     named = classes(nodes, links(nodes.select("node", F.col("node").alias("fp")), tau))
-    found = hot_join(prints.withColumn("node", F.col("fp")), named.select("node", "n", F.col("top").alias("component_id")), "node", "n", prints.count())
+    found = hot_join(
+        prints.withColumn("node", F.col("fp")), named.select("node", "n", F.col("top").alias("component_id")), "node", "n", prints.count()
+    )
     return found.select("doc_id", "th", "fp", "component_id")
 
 

@@ -17,7 +17,9 @@ from .linedup import with_found
 
 #: Ends of units. For passages inside lines, a line is cut into its sentences, and these before each capitalised word, where
 #: a passage may begin.
-UNITS = {"sentence": r"(?<=[.!?…。！？])\s+|[^\S\n]*\n\s*|[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])", "line": r"[^\S\n]*\n\s*", "paragraph": r"\s*\n[^\S\n]*\n\s*"}
+UNITS = {
+    "sentence": r"(?<=[.!?…。！？])\s+|[^\S\n]*\n\s*|[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])", "line": r"[^\S\n]*\n\s*", "paragraph": r"\s*\n[^\S\n]*\n\s*"
+}
 #: Words from which a line or paragraph is a passage, and not a phrase that many texts have; words of a part of a sentence
 #: that is hashed (shorter ones go with those around them), and of a run of parts that is removed.
 UNIT_WORDS, PART_WORDS, RUN_WORDS = 15, 3, 25
@@ -59,7 +61,9 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, parts: bool = True, part_words: int = PART_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+def find(
+    docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, parts: bool = True, part_words: int = PART_WORDS, run_words: int = RUN_WORDS
+) -> DataFrame:
     """doc_id, th (hash of the text), spans array<struct<start, end>> (code points of the original text) for each document
     of docs (doc_id, text) that repeats an earlier one, or itself: every later occurrence of a unit and, with parts, runs
     of later occurrences of parts of sentences. Earlier is in the order of (doc_id, th, place), null doc_id first."""
@@ -87,12 +91,20 @@ def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, part
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 own = b.slice(at, 256)
-                got = [[(kind, j, *u) for kind, (pattern, least) in enumerate(ends) for j, u in enumerate(units(t, pattern, least, kind))] for t in own.column("text").to_pylist()]
+                got = [[
+                    (kind, j, *u) for kind, (pattern, least) in enumerate(ends) for j, u in enumerate(units(t, pattern, least, kind))
+                ] for t in own.column("text").to_pylist()]
                 row = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
                 flat = [u for x in got for u in x]
                 digest = np.frombuffer(b"".join(u[5].to_bytes(16, "little") for u in flat), "<i8").reshape(-1, 2)
                 num = lambda k: pa.array([u[k] for u in flat], pa.int32())
-                held.append(pa.record_batch([own.column("doc_id").take(row), own.column("th").take(row), num(0), num(1), pa.array(digest[:, 0]), pa.array(digest[:, 1]), num(2), num(3), num(4)], names))
+                held.append(pa.record_batch(
+                    [
+                        own.column("doc_id").take(row), own.column("th").take(row), num(0), num(1), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                        num(2), num(3), num(4)
+                    ],
+                    names
+                ))
                 if sum(x.num_rows for x in held) >= HELD:
                     yield from flush()
                     held = []
@@ -105,7 +117,10 @@ def find(docs: DataFrame, unit: str = "line", unit_words: int = UNIT_WORDS, part
             got = []
             for found in b.column("found").to_pylist():
                 whole = [(x["a"], x["e"]) for x in found if x["kind"] == 0]
-                got.append([{"start": a, "end": e} for a, e in union(whole + runs([(x["j"], x["a"], x["e"], x["words"]) for x in found if x["kind"] == 1], run_words))])
+                got.append([
+                    {"start": a, "end": e} for a,
+                    e in union(whole + runs([(x["j"], x["a"], x["e"], x["words"]) for x in found if x["kind"] == 1], run_words))
+                ])
             yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(got, kind)], ["doc_id", "th", "spans"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
@@ -136,7 +151,11 @@ def clean(docs: DataFrame, **how) -> DataFrame:
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return got.select("row.doc_id", F.size("spans").cast("long").alias("n_spans"), cut.alias("removed_chars"), F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias("spans"), "text")
+    return got.select(
+        "row.doc_id", F.size("spans").cast("long").alias("n_spans"), cut.alias("removed_chars"),
+        F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias("spans"),
+        "text"
+    )
 
 
 OP2_SQL = r"""

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from spindrift.llm import bpe, chat, fingerprint, html, linedup, neardup, packing, quality, shards, simhash, substrings
 
-CLASH = ["row", "th", "fp", "k", "h", "starts", "spans", "removed", "n", "piece", "bin", "node", "component_id", "s", "first", "n_words", "kept", "hot", "named", "c", "d", "text_crc32", "k_doc", "f_th"]
+CLASH = [
+    "row", "th", "fp", "k", "h", "starts", "spans", "removed", "n", "piece", "bin", "node", "component_id", "s", "first", "n_words", "kept", "hot",
+    "named", "c", "d", "text_crc32", "k_doc", "f_th"
+]
 LONG = "\n".join(" ".join(f"w{i}x{j}" for j in range(8)) + "." for i in range(6000))
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     good = "\n".join(" ".join(f"good{i}{chr(97 + j)}" for j in range(9)) + "." for i in range(12))
-    rows = [(1, good), (1, good), (1, good + " other"), (2, good), (None, good), (None, None), (3, None), (4, ""), (5, " \n\t "), (6, LONG), (7, LONG), (8, "x"), (9, "x\ny\nz"), (10, "x\ny\nz")]
+    rows = [
+        (1, good), (1, good), (1, good + " other"), (2, good), (None, good), (None, None), (3, None), (4, ""), (5, " \n\t "), (6, LONG), (7, LONG),
+        (8, "x"), (9, "x\ny\nz"), (10, "x\ny\nz")
+    ]
     d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     return d.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH])
 
@@ -73,7 +79,9 @@ def test_bpe(docs, empty):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", "b"), (None, 0, "user", ""), (2, 1, "assistant", LONG)]
+    rows = [
+        (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", "b"), (None, 0, "user", ""), (2, 1, "assistant", LONG)
+    ]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     got = {r.conv_id: r for r in chat.read_back(chat.format_chats(d)).collect()}
     assert {k: r.n_turns for k, r in got.items()} == {1: 3, None: 2, 2: 1} and got[2].loss_chars == len(LONG)
@@ -93,13 +101,18 @@ def test_packing(docs, empty):
 
 
 def test_html(spark):
-    d = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, ""), (2, "u", "<p>" + LONG)], "page_id long, url string, html string").withColumn("text", F.lit("own"))
+    d = spark.createDataFrame(
+        [(1, "u", None), (1, "u", None), (None, None, ""), (2, "u", "<p>" + LONG)], "page_id long, url string, html string"
+    ).withColumn("text", F.lit("own"))
     got = html.extract_pages(d).collect()
     assert len(got) == 4 and {r.n_chars for r in got if r.page_id in (1, None)} == {0} and html.extract_pages(d.where("false")).count() == 0
     assert got[-1].text == " ".join(LONG.split())
 
 
 def test_pipeline_stages(spark, docs, empty):
+    assert sum(
+        r.piece == 0 for r in corpus_pipeline.pack(spark, docs, "").collect()
+    ) == docs.count() and corpus_pipeline.pack(spark, empty, "").count() == 0
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns, name
         assert stage(spark, docs, "").count() <= docs.count() and stage(spark, empty, "").count() == 0

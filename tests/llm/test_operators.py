@@ -46,7 +46,14 @@ def test_html_closed_cases():
     assert html.extract("<article><header><h1>T</h1></header><p>a &lt;b&gt; &#233;&nbsp;c<footer>by x</footer></article><p>other") == "T\n\na <b> é c"
 
 
-@pytest.mark.parametrize("page,want", [("", ""), ("plain", "plain"), ("<p>a", "a"), ("<nav>x</nav>", ""), ("<<<>>> < b", "<<<>>> < b"), ('<a href="un>closed<p>text', "closed\n\ntext"), ("<script>x", ""), ("</p></div>", ""), ("<p>" * 2000 + "x", "x"), ("<div>" * 2000 + "x" + "</b>" * 2000, "x")])
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("", ""), ("plain", "plain"), ("<p>a", "a"), ("<nav>x</nav>", ""), ("<<<>>> < b", "<<<>>> < b"),
+        ('<a href="un>closed<p>text', "closed\n\ntext"), ("<script>x", ""), ("</p></div>", ""), ("<p>" * 2000 + "x", "x"),
+        ("<div>" * 2000 + "x" + "</b>" * 2000, "x")
+    ]
+)
 def test_html_odd_pages(page, want):
     assert html.extract(page) == want
 
@@ -73,7 +80,13 @@ def test_html_articles_sections_and_lists_of_the_text_stay():
     assert html.extract(f"<body><ul>{menu}</ul>{_p(5, 25)}</body>").startswith("p0x0 ")
 
 
-@pytest.mark.parametrize("piece", ["<a href='", '<a href="', "<div><td></td>", "<", "<a 'x' \"y\" ", "<!-- ", "<li><div>", "<a b='\">", "<p ", "</a href='", "<p class='a' ", "&#", "<table><tr>"])
+@pytest.mark.parametrize(
+    "piece",
+    [
+        "<a href='", '<a href="', "<div><td></td>", "<", "<a 'x' \"y\" ", "<!-- ", "<li><div>", "<a b='\">", "<p ", "</a href='", "<p class='a' ",
+        "&#", "<table><tr>"
+    ]
+)
 def test_html_reads_a_megabyte_of_bad_markup_in_time(piece):
     began = time.perf_counter()
     html.extract(piece * (1_000_000 // len(piece)))
@@ -187,7 +200,10 @@ def test_html_equals_a_plain_version_on_random_trees():
         return [tag, *(["li", k] if tag == "ul" else k for k in kids)]
 
     def leaf():
-        return rnd.choice([lambda: ["p", text()], lambda: ["p", ["a", text()], " " + text()], lambda: ["div", ["a", text()]], lambda: ["h2", text()], lambda: ["h1", text()], lambda: ["div", text()]])()
+        return rnd.choice([
+            lambda: ["p", text()], lambda: ["p", ["a", text()], " " + text()], lambda: ["div", ["a", text()]], lambda: ["h2", text()],
+            lambda: ["h1", text()], lambda: ["div", text()]
+        ])()
 
     for _ in range(1500):
         t = ["body", *(rnd.choice([lambda: tree(3), leaf])() for _ in range(rnd.randint(1, 5)))]
@@ -245,7 +261,9 @@ def test_substrings_equal_a_plain_version(spark, docs, texts):
     want = plain_substrings(texts)
     for r in substrings.clean(docs).select("row.doc_id", "text", "spans").collect():
         assert [(s.start, s.end) for s in r.spans] == want[r.doc_id]
-        assert r.text == "".join(texts[r.doc_id][a:b] for a, b in zip([0, *(e for _, e in want[r.doc_id])], [*(s for s, _ in want[r.doc_id]), len(texts[r.doc_id])]))
+        assert r.text == "".join(
+            texts[r.doc_id][a:b] for a, b in zip([0, *(e for _, e in want[r.doc_id])], [*(s for s, _ in want[r.doc_id]), len(texts[r.doc_id])])
+        )
 
 
 def test_substrings_find_a_passage_in_the_middle_of_lines(spark):
@@ -255,7 +273,9 @@ def test_substrings_find_a_passage_in_the_middle_of_lines(spark):
     passage = " ".join(sentence(9) for _ in range(6))
     own = [" ".join(sentence(9) for _ in range(8)) for _ in range(5)]
     rows = [(i, f"{t[:90]} {passage} {t[90:]}") for i, t in enumerate(own)] + [(9, own[0][:200])]
-    got = {r.doc_id: r for r in substrings.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "spans").collect()}
+    got = {
+        r.doc_id: r for r in substrings.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "spans").collect()
+    }
     assert got[0].text == rows[0][1] and not got[0].spans
     for i in range(1, 5):
         assert passage not in got[i].text and len(got[i].spans) == 1 and rows[i][1][got[i].spans[0].start : got[i].spans[0].end] == passage
@@ -265,7 +285,9 @@ def test_substrings_of_a_line_in_half_the_documents(spark):
     """A line in every other document, another twice in each: all but the first go, and few of the rows meet in a task."""
     often = " ".join(f"often{i}" for i in range(20))
     rows = [(i, "\n".join([f"own words of document {i}"] + [often] * (i % 2) + [" ".join(f"d{i}w{j}" for j in range(18))] * 2)) for i in range(600)]
-    got = {r.doc_id: r for r in substrings.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "spans").collect()}
+    got = {
+        r.doc_id: r for r in substrings.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "spans").collect()
+    }
     assert {i: [tuple(s) for s in r.spans] for i, r in got.items()} == plain_substrings(dict(rows))
     assert sum(often in r.text for r in got.values()) == 1 and all(r.text.count(f"d{i}w0 ") == 1 for i, r in got.items())
 
@@ -306,7 +328,9 @@ def plain_likeness(a, b):
 def test_fingerprint_is_the_plain_sum_of_lines(texts):
     for t in list(texts.values())[:20]:
         raw = t.encode()
-        want = [sum(int.from_bytes(hashlib.shake_128(x).digest(128)[8 * k : 8 * k + 8], "little") for x in raw.split(b"\n")) % 2**64 for k in range(16)]
+        want = [sum(int.from_bytes(
+            hashlib.shake_128(x).digest(128)[8 * k : 8 * k + 8], "little"
+        ) for x in raw.split(b"\n")) % 2**64 for k in range(16)]
         assert fingerprint.of(raw).exact.tolist() == want
 
 
@@ -339,11 +363,16 @@ def plain_counts(t):
 
 def plain_verdict(t, least=50):
     n, chars, sym, dup, rep, lines, excl, upper = plain_counts(t)
-    return not (n < least or 10 * chars < 25 * n or chars > 12 * n or 10 * sym > n or 5 * excl > n or 10 * upper > 3 * chars or 10 * dup > 4 * lines or 10 * rep > 3 * n)
+    return not (
+        n < least or 10 * chars < 25 * n or chars > 12 * n or 10 * sym > n or 5 * excl > n or 10 * upper > 3 * chars or 10 * dup > 4 * lines or 10 * rep > 3 * n
+    )
 
 
 def test_quality_counts_and_verdict(spark, texts):
-    odd = ["", "a b c a b c a", "x\x1cy z", "a\n\na\n b \n", "A B C " * 40, "é è # * | <>\t\x0b\x0c\r", "one two three " * 30, " ".join(f"w{i}" for i in range(60))]
+    odd = [
+        "", "a b c a b c a", "x\x1cy z", "a\n\na\n b \n", "A B C " * 40, "é è # * | <>\t\x0b\x0c\r", "one two three " * 30,
+        " ".join(f"w{i}" for i in range(60))
+    ]
     odd += ["ab cd ef " * 2000 + " ".join(f"v{i}" for i in range(9000)), " ".join(f"u{i % 700} u{i % 11}" for i in range(20_000))]
     some = list(enumerate([*odd, *texts.values()]))
     d = spark.createDataFrame(some, "doc_id long, text string")
@@ -375,7 +404,9 @@ def test_cascade_order_follows_rejections_per_cost(docs):
 
 
 def test_sample_is_of_all_rows(spark):
-    d = spark.range(0, 20_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    d = spark.range(0, 20_000, numPartitions=8).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")
+    )
     got = [int(r.text[5:]) for r in quality._sample(d, 500).collect()]
     assert 350 < len(got) < 650 and all(sum(a <= x < a + 5000 for x in got) > 60 for a in range(0, 20_000, 5000))
     assert quality._sample(spark.createDataFrame([(1, "x" * 40_000), (2, None)], "doc_id long, text string"), 500).count() == 1
@@ -460,7 +491,9 @@ def test_a_hot_bucket_is_dealt_in_blocks(spark):
 
 def test_a_bucket_of_near_copies_gives_a_link_each():
     rng = np.random.default_rng(1)
-    fp = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)))
+    fp = np.unique(
+        np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
+    )
     got = simhash.bucket_links(fp, 4)
     assert len(got) == len(fp) - 1
 
@@ -583,7 +616,9 @@ def test_line_windows_on_small_texts(spark, some):
 def test_line_windows_of_a_notice_in_half_the_documents(spark):
     notice = "\n".join(["all rights", "are kept", "by nobody", "at all"])
     rows = [(i, f"own {i}\n" + notice * (i % 2) + f"\nend {i}") for i in range(900)]
-    got = {r.doc_id: (r.text, r.removed) for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "removed").collect()}
+    got = {
+        r.doc_id: (r.text, r.removed) for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "removed").collect()
+    }
     assert got == plain_lines(dict(rows)) and sum("by nobody" in t for t, _ in got.values()) == 1
 
 
@@ -611,7 +646,9 @@ def test_bpe_of_many_long_texts(spark, texts):
     """200 texts of a megabyte, as few repeated ones, held against the library on one of each."""
     c, long = bpe.coder(*bpe._where(None, None)), sorted(texts.values(), key=len)[-4:]
     some = [(t * (1 + 1_000_000 // len(t)))[:1_000_000] for t in long]
-    d = spark.range(200, numPartitions=4).select(F.col("id").alias("doc_id"), (F.col("id") % 4).alias("k")).join(spark.createDataFrame(list(enumerate(some)), "k long, text string"), "k")
+    d = spark.range(200, numPartitions=4).select(F.col("id").alias("doc_id"), (F.col("id") % 4).alias("k")).join(
+        spark.createDataFrame(list(enumerate(some)), "k long, text string"), "k"
+    )
     want = {k: hashlib.sha256(" ".join(map(str, c.encode(t))).encode()).hexdigest() for k, t in enumerate(some)}
     got = bpe.digests(bpe.encode(d.select("doc_id", "text"))).select("doc_id", "ids_sha256").collect()
     assert len(got) == 200 and all(r.ids_sha256 == want[r.doc_id % 4] for r in got)
@@ -761,7 +798,10 @@ def test_packing_places_every_piece(spark, docs, texts, parts, fan):
 def test_words_are_encoded_as_the_library_does():
     c, rnd = packing.WordCoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
     c.CACHE = 50
-    parts = [" ", "\n", "\xa0", "a", "É", "ß", "²", "½", "1", "'s", "'S", "'", "'ll", "DON", "!!'", "漢", "İ", "\x1c", "\x85", "_", "<|endoftext|>", "é", "ab", "µ", "ª", "x" * 70]
+    parts = [
+        " ", "\n", "\xa0", "a", "É", "ß", "²", "½", "1", "'s", "'S", "'", "'ll", "DON", "!!'", "漢", "İ", "\x1c", "\x85", "_", "<|endoftext|>", "é",
+        "ab", "µ", "ª", "x" * 70
+    ]
     for _ in range(300):
         some = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(5)]
         for t, got in zip(some, c.encode(some)):
