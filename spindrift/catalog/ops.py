@@ -52,7 +52,9 @@ def url_dedup(spark, d):
 
 
 #: In place of a page's host: names and addresses that may not be fetched, and some that may.
-_HOSTS = ("localhost", "printer.local", "127.0.0.1", "10.1.2.3", "192.168.0.9", "172.20.0.1", "172.32.0.1", "169.254.169.254", "8.8.8.8", "example.org")
+_HOSTS = (
+    "localhost", "printer.local", "127.0.0.1", "10.1.2.3", "192.168.0.9", "172.20.0.1", "172.32.0.1", "169.254.169.254", "8.8.8.8", "example.org"
+)
 
 
 @query("url_allowed", "WITH h AS (SELECT page_id, page_id % 11 AS k FROM pages) SELECT page_id, k IN (0, 7, 9, 10) AS allowed FROM h")
@@ -62,7 +64,10 @@ def url_allowed(spark, d):
     return S.table(spark, d, "pages").select("page_id", web.allowed_target(url).alias("allowed"))
 
 
-@query("html_title", r"SELECT page_id, trim(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), chr(10), chr(10))) AS title FROM pages")
+@query("html_title",
+    r"SELECT page_id, trim(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), chr(10), chr(10))) "
+    r"AS title FROM pages"
+)
 def html_title(spark, d):
     return S.table(spark, d, "pages").select("page_id", web.page(F.col("html"), F.col("url"))["title"].alias("title"))
 
@@ -88,7 +93,11 @@ def frontier_batch(spark, d):
 _LINKS = "links AS (SELECT user_id AS src, (user_id * 7 + event_id) % 151 AS dst FROM events WHERE event_type = 'click' AND value > 150)"
 
 
-@query("crawl_bfs", f"WITH RECURSIVE {_LINKS}, reach(url, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT l.dst, r.depth + 1 FROM reach r JOIN links l ON l.src = r.url WHERE r.depth < 4) SELECT CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url")
+@query("crawl_bfs",
+    f"WITH RECURSIVE {_LINKS}, reach(url, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT l.dst, r.depth + 1 FROM reach r "
+    f"JOIN links l ON l.src = r.url WHERE r.depth < 4) SELECT CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth "
+    f"FROM reach GROUP BY url"
+)
 def crawl_bfs(spark, d):
     e = S.table(spark, d, "events").where("event_type = 'click' AND value > 150")
     links = e.select(F.col("user_id").cast("string").alias("src"), ((F.col("user_id") * 7 + F.col("event_id")) % 151).cast("string").alias("dst"))
@@ -99,7 +108,10 @@ ROBOTS = "User-agent: *\nDisallow: /de\nAllow: /de/1\nDisallow: /fr/825\n\nUser-
 _PATH = "coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1), ''), '/')"
 
 
-@query("robots", f"SELECT DISTINCT url, CASE WHEN starts_with({_PATH}, '/fr/825') THEN FALSE WHEN starts_with({_PATH}, '/de/1') THEN TRUE WHEN starts_with({_PATH}, '/de') THEN FALSE ELSE TRUE END AS allowed FROM pages")
+@query("robots",
+    f"SELECT DISTINCT url, CASE WHEN starts_with({_PATH}, '/fr/825') THEN FALSE WHEN starts_with({_PATH}, '/de/1') THEN TRUE WHEN "
+    f"starts_with({_PATH}, '/de') THEN FALSE ELSE TRUE END AS allowed FROM pages"
+)
 def robots(spark, d):
     p = S.table(spark, d, "pages")
     files = p.select(web.domain(F.col("url")).alias("host")).distinct().withColumn("content", F.lit(ROBOTS))
@@ -109,7 +121,10 @@ def robots(spark, d):
 _EXTRA = ROBOTS.replace("\n\nUser", "\nCrawl-delay: 2.5\n\nUser") + "\nCrawl-delay: 9\nSitemap: https://a.example/map.xml\nsitemap: https://a.example/more.xml"
 
 
-@query("robots_directives", f"SELECT {_HOST} AS host, CAST(2.5 AS DOUBLE) AS crawl_delay, 'https://a.example/map.xml https://a.example/more.xml' AS sitemaps FROM pages GROUP BY 1")
+@query("robots_directives",
+    f"SELECT {_HOST} AS host, CAST(2.5 AS DOUBLE) AS crawl_delay, 'https://a.example/map.xml https://a.example/more.xml' AS sitemaps "
+    f"FROM pages GROUP BY 1"
+)
 def robots_directives(spark, d):
     files = S.table(spark, d, "pages").select(web.domain(F.col("url")).alias("host")).distinct().withColumn("content", F.lit(_EXTRA))
     return web.robots_directives(files).select("host", "crawl_delay", F.array_join("sitemaps", " ").alias("sitemaps"))
@@ -137,7 +152,10 @@ def _events(spark, d):
 _ROLL = "roll AS (SELECT query, count(*) AS total, round(avg(results_count), 4) AS avg_results, round(avg(latency_ms), 4) AS avg_latency, count(CASE WHEN results_count = 0 THEN 1 END) AS zero_results, max(ts) AS last_searched FROM searches GROUP BY query)"
 
 
-@query("query_rollup", f"{_EV}, {_ROLL} SELECT query, total, avg_results, avg_latency, zero_results, strftime(last_searched, '%Y-%m-%d %H:%M:%S') AS last_searched FROM roll")
+@query("query_rollup",
+    f"{_EV}, {_ROLL} SELECT query, total, avg_results, avg_latency, zero_results, strftime(last_searched, '%Y-%m-%d %H:%M:%S') "
+    f"AS last_searched FROM roll"
+)
 def query_rollup(spark, d):
     return logs.query_rollup(S.searches(_events(spark, d))).withColumn("last_searched", F.date_format("last_searched", "yyyy-MM-dd HH:mm:ss"))
 
@@ -147,17 +165,27 @@ def top_queries(spark, d):
     return logs.top_queries(S.searches(_events(spark, d))).drop("last_searched")
 
 
-@query("failed_queries", f"{_EV}, {_ROLL} SELECT query, total, zero_results, round(CAST(zero_results AS DOUBLE) / total, 4) AS failure_rate FROM roll WHERE zero_results > 0 ORDER BY zero_results DESC, query LIMIT 10")
+@query("failed_queries",
+    f"{_EV}, {_ROLL} SELECT query, total, zero_results, round(CAST(zero_results AS DOUBLE) / total, 4) AS failure_rate FROM roll "
+    f"WHERE zero_results > 0 ORDER BY zero_results DESC, query LIMIT 10"
+)
 def failed_queries(spark, d):
     return logs.failed_queries(S.searches(_events(spark, d)))
 
 
-@query("search_volume", f"{_EV} SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(*) AS searches FROM searches WHERE ts >= (SELECT max(ts) FROM searches) - INTERVAL 24 HOURS GROUP BY 1")
+@query("search_volume",
+    f"{_EV} SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(*) AS searches FROM searches WHERE ts >= (SELECT max(ts) FROM "
+    f"searches) - INTERVAL 24 HOURS GROUP BY 1"
+)
 def search_volume(spark, d):
     return logs.search_volume(S.searches(_events(spark, d)))
 
 
-@query("ctr", f"{_EV} SELECT round((SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT s.session_id, s.query FROM searches s JOIN clicks c ON c.session_id = s.session_id AND c.query = s.query)) / (SELECT count(*) FROM (SELECT DISTINCT session_id, query FROM searches)), 4) AS ctr")
+@query("ctr",
+    f"{_EV} SELECT round((SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT s.session_id, s.query FROM searches s JOIN clicks "
+    f"c ON c.session_id = s.session_id AND c.query = s.query)) / (SELECT count(*) FROM (SELECT DISTINCT session_id, query FROM "
+    f"searches)), 4) AS ctr"
+)
 def ctr(spark, d):
     e = _events(spark, d)
     return logs.click_through(S.searches(e), S.clicks(e))
@@ -177,24 +205,38 @@ def _second(df, *columns):
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
 
 
-@query("cost_summary", f"{_COST} SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(tenant_id) = 0 THEN 'tenant' WHEN grouping(provider) = 0 THEN 'provider' ELSE 'total' END AS dimension, coalesce(category, tenant_id, provider, '') AS value, round(sum(cost_usd), 6) AS cost_usd, count(*) AS n, {_TS('min(ts)')} AS first, {_TS('max(ts)')} AS last FROM costs GROUP BY GROUPING SETS ((category), (tenant_id), (provider), ())")
+@query("cost_summary",
+    f"{_COST} SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(tenant_id) = 0 THEN 'tenant' WHEN grouping(provider) "
+    f"= 0 THEN 'provider' ELSE 'total' END AS dimension, coalesce(category, tenant_id, provider, '') AS value, round(sum(cost_usd), "
+    f"6) AS cost_usd, count(*) AS n, {_TS('min(ts)')} AS first, {_TS('max(ts)')} AS last FROM costs GROUP BY GROUPING SETS ((category), "
+    f"(tenant_id), (provider), ())"
+)
 def cost_summary(spark, d):
     return _second(logs.cost_summary(S.cost_events(spark, d)), "first", "last")
 
 
-@query("tenant_cost_report", f"{_COST} SELECT category, round(sum(cost_usd), 6) AS cost_usd, count(*) AS n FROM costs WHERE tenant_id = 't2' AND ts > TIMESTAMP '2024-01-31' - INTERVAL 168 HOURS AND ts <= TIMESTAMP '2024-01-31' GROUP BY category")
+@query("tenant_cost_report",
+    f"{_COST} SELECT category, round(sum(cost_usd), 6) AS cost_usd, count(*) AS n FROM costs WHERE tenant_id = 't2' AND ts > TIMESTAMP "
+    f"'2024-01-31' - INTERVAL 168 HOURS AND ts <= TIMESTAMP '2024-01-31' GROUP BY category"
+)
 def tenant_cost_report(spark, d):
     own = logs.for_tenant(logs.in_period(S.cost_events(spark, d), 168, NOW), "t2")
     return own.groupBy("category").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count("*").alias("n"))
 
 
-@query("budget", f"{_COST}, s AS (SELECT coalesce(sum(cost_usd), 0) AS spent FROM costs WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '2024-01-31') SELECT round(spent, 6) AS spent, CAST(10 AS DOUBLE) AS budget, round(spent / 10 * 100, 2) AS percentage, spent >= 10 AS over FROM s")
+@query("budget",
+    f"{_COST}, s AS (SELECT coalesce(sum(cost_usd), 0) AS spent FROM costs WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 24 HOURS "
+    f"AND ts <= TIMESTAMP '2024-01-31') SELECT round(spent, 6) AS spent, CAST(10 AS DOUBLE) AS budget, round(spent / 10 * 100, "
+    f"2) AS percentage, spent >= 10 AS over FROM s"
+)
 def budget(spark, d):
     return logs.budget_status(S.cost_events(spark, d), 10.0, 24, NOW)
 
 
 PRICES = (("p0", "small", 0.15, 0.6, 0), ("p0", "large", 2.5, 10.0, 1), ("p1", "small", 0.25, 1.25, 0), ("p1", "large", 3.0, 15.0, 1))
-_PRICES = "prices AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}', CAST({i} AS DOUBLE), CAST({o} AS DOUBLE), {t})" for p, m, i, o, t in PRICES) + ") AS v(provider, model, input_price, output_price, tier))"
+_PRICES = "prices AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{p}', '{m}', CAST({i} AS DOUBLE), CAST({o} AS DOUBLE), {t})" for p, m, i, o, t in PRICES
+) + ") AS v(provider, model, input_price, output_price, tier))"
 _CALLS = "calls AS (SELECT event_id AS call_id, 'p' || (user_id % 3) AS provider, CASE WHEN event_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, event_id % 900 AS input_tokens, user_id * 3 % 400 AS output_tokens FROM events)"
 
 
@@ -204,7 +246,10 @@ def _prices(spark):
 
 def _calls(spark, d):
     i, u = F.col("event_id"), F.col("user_id")
-    return S.table(spark, d, "events").select(i.alias("call_id"), F.concat(F.lit("p"), (u % 3).cast("string")).alias("provider"), F.when(i % 2 == 0, "small").otherwise("large").alias("model"), (i % 900).alias("input_tokens"), (u * 3 % 400).alias("output_tokens"))
+    return S.table(spark, d, "events").select(
+        i.alias("call_id"), F.concat(F.lit("p"), (u % 3).cast("string")).alias("provider"),
+        F.when(i % 2 == 0, "small").otherwise("large").alias("model"), (i % 900).alias("input_tokens"), (u * 3 % 400).alias("output_tokens")
+    )
 
 
 _COSTED = f"WITH {_PRICES}, {_CALLS}, costed AS (SELECT c.*, round(input_tokens / CAST(1000 AS DOUBLE) * coalesce(input_price, 0) + output_tokens / CAST(1000 AS DOUBLE) * coalesce(output_price, 0), 6) AS cost_usd FROM calls c LEFT JOIN prices p ON p.provider = c.provider AND p.model = c.model)"
@@ -215,7 +260,14 @@ def llm_cost(spark, d):
     return logs.llm_cost(_calls(spark, d), _prices(spark))
 
 
-@query("llm_cost_split", f"{_COSTED}, s AS (SELECT *, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(input_tokens AS DOUBLE) / (input_tokens + output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS f, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(output_tokens AS DOUBLE) / (input_tokens + output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS g FROM costed) SELECT call_id, 'llm_input' AS category, CAST(input_tokens AS DOUBLE) AS units, floor(cost_usd * f * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS cost_usd FROM s UNION ALL SELECT call_id, 'llm_output', CAST(output_tokens AS DOUBLE), floor(cost_usd * g * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) FROM s")
+@query("llm_cost_split",
+    f"{_COSTED}, s AS (SELECT *, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(input_tokens AS DOUBLE) / (input_tokens "
+    f"+ output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS f, CASE WHEN input_tokens + output_tokens > 0 THEN CAST(output_tokens AS "
+    f"DOUBLE) / (input_tokens + output_tokens) ELSE CAST(0.5 AS DOUBLE) END AS g FROM costed) SELECT call_id, 'llm_input' AS category, "
+    f"CAST(input_tokens AS DOUBLE) AS units, floor(cost_usd * f * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 "
+    f"AS DOUBLE) AS cost_usd FROM s UNION ALL SELECT call_id, 'llm_output', CAST(output_tokens AS DOUBLE), floor(cost_usd * g "
+    f"* CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) FROM s"
+)
 def llm_cost_split(spark, d):
     return logs.split_cost(logs.llm_cost(_calls(spark, d), _prices(spark)))
 
@@ -225,7 +277,10 @@ def cheapest_model(spark, d):
     return logs.cheapest(_prices(spark), 1).select("provider", "model")
 
 
-@query("tenant_usage", f"{_COST}, u AS (SELECT tenant_id, category AS resource, count(*) AS used FROM costs GROUP BY ALL) SELECT tenant_id, resource, used, CASE resource WHEN 'view' THEN used < 400 WHEN 'click' THEN used < 390 ELSE TRUE END AS allowed FROM u")
+@query("tenant_usage",
+    f"{_COST}, u AS (SELECT tenant_id, category AS resource, count(*) AS used FROM costs GROUP BY ALL) SELECT tenant_id, resource, "
+    f"used, CASE resource WHEN 'view' THEN used < 400 WHEN 'click' THEN used < 390 ELSE TRUE END AS allowed FROM u"
+)
 def tenant_usage(spark, d):
     c = S.cost_events(spark, d)
     usage = c.groupBy("tenant_id", F.col("category").alias("resource")).agg(F.count("*").alias("used"))
@@ -233,15 +288,24 @@ def tenant_usage(spark, d):
     return logs.quota_check(usage, quotas)
 
 
-@query("tenant_stats", f"{_COST} SELECT tenant_id, count(*) AS events, count(CASE WHEN category = 'error' THEN 1 END) AS errors, round(sum(cost_usd), 6) AS cost_usd FROM costs GROUP BY tenant_id")
+@query("tenant_stats",
+    f"{_COST} SELECT tenant_id, count(*) AS events, count(CASE WHEN category = 'error' THEN 1 END) AS errors, round(sum(cost_usd), "
+    f"6) AS cost_usd FROM costs GROUP BY tenant_id"
+)
 def tenant_stats(spark, d):
-    return S.cost_events(spark, d).groupBy("tenant_id").agg(F.count("*").alias("events"), F.count(F.when(F.col("category") == "error", 1)).alias("errors"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return S.cost_events(spark, d).groupBy("tenant_id").agg(
+        F.count("*").alias("events"), F.count(F.when(F.col("category") == "error", 1)).alias("errors"),
+        F.round(F.sum("cost_usd"), 6).alias("cost_usd")
+    )
 
 
 # -- limits, latency, health
 
 
-@query("rate_limit_minute", f"{_EV} SELECT event_id, row_number() OVER (PARTITION BY session_id % 10, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS accepted FROM ev")
+@query("rate_limit_minute",
+    f"{_EV} SELECT event_id, row_number() OVER (PARTITION BY session_id % 10, date_trunc('minute', ts) ORDER BY ts, event_id) "
+    f"<= 1 AS accepted FROM ev"
+)
 def rate_limit_minute(spark, d):
     e = _events(spark, d).withColumn("client", F.col("session_id") % 10)
     return logs.accepted_per_minute(e, 1, "client").select("event_id", "accepted")
@@ -253,7 +317,12 @@ def rate_limit_sliding(spark, d):
     return logs.accepted_sliding(_events(spark, d), 3, 86_400.0)
 
 
-@query("latency_percentiles", "WITH s AS (SELECT event_type, list(value ORDER BY value) AS s FROM events GROUP BY event_type) SELECT event_type, CAST(len(s) AS BIGINT) AS n, round(list_avg(s), 2) AS mean, round(s[CAST(floor(len(s) * CAST(0.5 AS DOUBLE)) AS INTEGER) + 1], 2) AS p50, round(s[CAST(floor(len(s) * CAST(0.95 AS DOUBLE)) AS INTEGER) + 1], 2) AS p95, round(s[CAST(floor(len(s) * CAST(0.99 AS DOUBLE)) AS INTEGER) + 1], 2) AS p99, round(s[1], 2) AS min, round(s[-1], 2) AS max FROM s")
+@query("latency_percentiles",
+    "WITH s AS (SELECT event_type, list(value ORDER BY value) AS s FROM events GROUP BY event_type) SELECT event_type, CAST(len(s) "
+    "AS BIGINT) AS n, round(list_avg(s), 2) AS mean, round(s[CAST(floor(len(s) * CAST(0.5 AS DOUBLE)) AS INTEGER) + 1], 2) AS "
+    "p50, round(s[CAST(floor(len(s) * CAST(0.95 AS DOUBLE)) AS INTEGER) + 1], 2) AS p95, round(s[CAST(floor(len(s) * CAST(0.99 "
+    "AS DOUBLE)) AS INTEGER) + 1], 2) AS p99, round(s[1], 2) AS min, round(s[-1], 2) AS max FROM s"
+)
 def latency_percentiles(spark, d):
     return logs.percentiles(S.table(spark, d, "events"), "event_type", "value")
 
@@ -263,7 +332,10 @@ def histogram(spark, d):
     return logs.histogram(S.table(spark, d, "events"), "value")
 
 
-@query("service_health", f"{_EV} SELECT session_id % 7 AS service, count(DISTINCT session_id) AS instances, {_TS('max(ts)')} AS last, epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', max(ts))) <= 1800 AS healthy FROM ev GROUP BY 1")
+@query("service_health",
+    f"{_EV} SELECT session_id % 7 AS service, count(DISTINCT session_id) AS instances, {_TS('max(ts)')} AS last, epoch(TIMESTAMP "
+    f"'2024-01-31') - epoch(date_trunc('second', max(ts))) <= 1800 AS healthy FROM ev GROUP BY 1"
+)
 def service_health(spark, d):
     beats = _events(spark, d).select((F.col("session_id") % 7).alias("service"), F.col("session_id").alias("instance"), "ts")
     return _second(logs.health(beats, NOW, 1800), "last")
@@ -274,15 +346,26 @@ def round_robin(spark, d):
     return logs.round_robin(S.table(spark, d, "events"), spark.createDataFrame([(f"i{i}", i) for i in range(3)], "instance string, place int"))
 
 
-@query("call_stats", f"{_COST} SELECT provider, count(*) AS calls, count(CASE WHEN category = 'error' THEN 1 END) AS failures, round(avg(CASE WHEN category <> 'error' THEN 1 ELSE 0 END), 4) AS success_rate, round(avg(cost_usd), 4) AS mean_ms FROM costs GROUP BY provider")
+@query("call_stats",
+    f"{_COST} SELECT provider, count(*) AS calls, count(CASE WHEN category = 'error' THEN 1 END) AS failures, round(avg(CASE WHEN "
+    f"category <> 'error' THEN 1 ELSE 0 END), 4) AS success_rate, round(avg(cost_usd), 4) AS mean_ms FROM costs GROUP BY provider"
+)
 def call_stats(spark, d):
-    return logs.call_stats(S.cost_events(spark, d).select("provider", (F.col("category") != "error").alias("ok"), F.col("cost_usd").alias("ms")), "provider")
+    return logs.call_stats(
+        S.cost_events(spark, d).select("provider", (F.col("category") != "error").alias("ok"), F.col("cost_usd").alias("ms")), "provider"
+    )
 
 
-@query("trace_spans", "SELECT user_id AS trace_id, count(*) AS n_spans, round(max(event_id * CAST(10 AS DOUBLE) + value) - min(event_id * CAST(10 AS DOUBLE)), 4) AS duration_ms, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
+@query("trace_spans",
+    "SELECT user_id AS trace_id, count(*) AS n_spans, round(max(event_id * CAST(10 AS DOUBLE) + value) - min(event_id * CAST(10 "
+    "AS DOUBLE)), 4) AS duration_ms, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id"
+)
 def trace_spans(spark, d):
     e = S.table(spark, d, "events")
-    return logs.spans(e.select(F.col("user_id").alias("trace_id"), (F.col("event_id") * 10.0).alias("start_ms"), (F.col("event_id") * 10.0 + F.col("value")).alias("end_ms"), (F.col("event_type") == "error").alias("error")))
+    return logs.spans(e.select(
+        F.col("user_id").alias("trace_id"), (F.col("event_id") * 10.0).alias("start_ms"), (F.col("event_id") * 10.0 + F.col("value")).alias("end_ms"),
+        (F.col("event_type") == "error").alias("error")
+    ))
 
 
 @query("trace_recent", "SELECT event_id, user_id AS trace_id, value AS ms FROM events WHERE event_id % 4 = 0 ORDER BY ts DESC, event_id LIMIT 25")
@@ -296,13 +379,21 @@ def audit_log(spark, d):
     return logs.newest(S.cost_events(spark, d), "ts", 30, "event_id", where={"tenant_id": "t1"}).select("event_id", "category")
 
 
-@query("cache_stats", "SELECT user_id % 2 AS level, count(CASE WHEN event_type = 'view' THEN 1 END) AS hits, count(CASE WHEN event_type <> 'view' THEN 1 END) AS misses, round(avg(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END), 4) AS hit_rate FROM events GROUP BY 1")
+@query("cache_stats",
+    "SELECT user_id % 2 AS level, count(CASE WHEN event_type = 'view' THEN 1 END) AS hits, count(CASE WHEN event_type <> 'view' "
+    "THEN 1 END) AS misses, round(avg(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END), 4) AS hit_rate FROM events GROUP BY 1"
+)
 def cache_stats(spark, d):
     hit = F.col("event_type") == "view"
-    return S.table(spark, d, "events").groupBy((F.col("user_id") % 2).alias("level")).agg(F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit, 1)).alias("misses"), F.round(F.avg(hit.cast("int")), 4).alias("hit_rate"))
+    return S.table(spark, d, "events").groupBy((F.col("user_id") % 2).alias("level")).agg(
+        F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit, 1)).alias("misses"), F.round(F.avg(hit.cast("int")), 4).alias("hit_rate")
+    )
 
 
-@query("probe_latest", "SELECT user_id AS probe, max_by(event_type, event_id) AS result, max_by(event_type, event_id) <> 'error' AS healthy FROM events GROUP BY user_id")
+@query("probe_latest",
+    "SELECT user_id AS probe, max_by(event_type, event_id) AS result, max_by(event_type, event_id) <> 'error' AS healthy FROM "
+    "events GROUP BY user_id"
+)
 def probe_latest(spark, d):
     last = logs.latest(S.table(spark, d, "events"), "user_id", "event_id")
     return last.select(F.col("user_id").alias("probe"), F.col("event_type").alias("result"), (F.col("event_type") != "error").alias("healthy"))
@@ -317,59 +408,96 @@ def session_ttl(spark, d):
     return _second(logs.sessions(_events(spark, d)), "start", "end")
 
 
-@query("role_permissions", "SELECT * FROM (VALUES (1, 'analytics:read,search:read'), (2, 'index:write,search:read'), (3, 'agents:read,agents:write,analytics:read,search:read')) AS v(user_id, permissions)")
+@query("role_permissions",
+    "SELECT * FROM (VALUES (1, 'analytics:read,search:read'), (2, 'index:write,search:read'), (3, 'agents:read,agents:write,analytics:read,search:read')) "
+    "AS v(user_id, permissions)"
+)
 def role_permissions(spark, d):
     users = spark.createDataFrame([(1, ["reader"]), (2, ["indexer"]), (3, ["reader", "agent_user"])], "user_id int, roles array<string>")
     return logs.permissions(users).select("user_id", F.array_join("permissions", ",").alias("permissions"))
 
 
-@query("endpoint_rules", f"SELECT page_id, CASE WHEN {_PATH} = '/en/25' THEN 'public' WHEN starts_with({_PATH}, '/en/') THEN 'reader' WHEN starts_with({_PATH}, '/') THEN 'any' ELSE 'authenticated' END AS rule FROM pages")
+@query("endpoint_rules",
+    f"SELECT page_id, CASE WHEN {_PATH} = '/en/25' THEN 'public' WHEN starts_with({_PATH}, '/en/') THEN 'reader' WHEN starts_with({_PATH}, "
+    f"'/') THEN 'any' ELSE 'authenticated' END AS rule FROM pages"
+)
 def endpoint_rules(spark, d):
     path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[^:]+://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/"))
     rules = spark.createDataFrame([("/en/25", "public"), ("/en/", "reader"), ("/", "any")], "pattern string, rule string")
     return logs.endpoint_rule(S.table(spark, d, "pages").select("page_id", path.alias("path")), rules).select("page_id", "rule")
 
 
-@query("token_validity", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-30 12:00:00' AND user_id % 3 <> 0)")
+@query("token_validity",
+    "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-30 "
+    "12:00:00' AND user_id % 3 <> 0)"
+)
 def token_validity(spark, d):
     e = _events(spark, d).withColumn("token_hash", F.sha2(F.col("session_id").cast("string"), 256))
     issued = e.groupBy("token_hash", "session_id").agg(F.max("ts").alias("expires")).withColumn("enabled", F.col("session_id") % 3 != 0)
     return logs.valid_tokens(e.select("event_id", "token_hash"), issued, "2024-01-30 12:00:00").select("event_id")
 
 
-@query("topic_routing", "SELECT event_id, handler FROM (SELECT event_id, 'events.' || event_type AS topic FROM events) e JOIN (VALUES ('events.*', 'all'), ('events.c*', 'c'), ('events.vie?', 'view'), ('*', 'any')) r(pattern, handler) ON regexp_matches(topic, '^' || replace(replace(replace(pattern, '.', '[.]'), '*', '.*'), '?', '.') || '$')")
+@query("topic_routing",
+    "SELECT event_id, handler FROM (SELECT event_id, 'events.' || event_type AS topic FROM events) e JOIN (VALUES ('events.*', "
+    "'all'), ('events.c*', 'c'), ('events.vie?', 'view'), ('*', 'any')) r(pattern, handler) ON regexp_matches(topic, '^' || replace(replace(replace(pattern, "
+    "'.', '[.]'), '*', '.*'), '?', '.') || '$')"
+)
 def topic_routing(spark, d):
     e = S.table(spark, d, "events").select("event_id", F.concat(F.lit("events."), "event_type").alias("topic"))
-    return logs.routed(e, spark.createDataFrame([("events.*", "all"), ("events.c*", "c"), ("events.vie?", "view"), ("*", "any")], "pattern string, handler string"))
+    return logs.routed(
+        e, spark.createDataFrame([("events.*", "all"), ("events.c*", "c"), ("events.vie?", "view"), ("*", "any")], "pattern string, handler string")
+    )
 
 
-@query("retry_delays", "SELECT event_id, CASE WHEN event_id % 8 = 0 THEN CAST(0 AS DOUBLE) ELSE least(CAST(30 AS DOUBLE), power(CAST(2 AS DOUBLE), event_id % 8 - 1)) END AS delay FROM events")
+@query("retry_delays",
+    "SELECT event_id, CASE WHEN event_id % 8 = 0 THEN CAST(0 AS DOUBLE) ELSE least(CAST(30 AS DOUBLE), power(CAST(2 AS DOUBLE), "
+    "event_id % 8 - 1)) END AS delay FROM events"
+)
 def retry_delays(spark, d):
     return S.table(spark, d, "events").select("event_id", logs.retry_delay(F.col("event_id") % 8).alias("delay"))
 
 
-@query("registry_stats", f"{_EV}, b AS (SELECT session_id % 7 AS service, session_id AS instance, max(ts) AS last, max_by(event_type, ts) = 'purchase' AS draining FROM ev GROUP BY 1, 2) SELECT service, count(*) AS instances, count(CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', last)) <= 86400 THEN 1 END) AS healthy, count(CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', last)) > 86400 AND NOT draining THEN 1 END) AS evicted FROM b GROUP BY service")
+@query("registry_stats",
+    f"{_EV}, b AS (SELECT session_id % 7 AS service, session_id AS instance, max(ts) AS last, max_by(event_type, ts) = 'purchase' "
+    f"AS draining FROM ev GROUP BY 1, 2) SELECT service, count(*) AS instances, count(CASE WHEN epoch(TIMESTAMP '2024-01-31') "
+    f"- epoch(date_trunc('second', last)) <= 86400 THEN 1 END) AS healthy, count(CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', "
+    f"last)) > 86400 AND NOT draining THEN 1 END) AS evicted FROM b GROUP BY service"
+)
 def registry_stats(spark, d):
-    beats = _events(spark, d).select((F.col("session_id") % 7).alias("service"), F.col("session_id").alias("instance"), "ts", (F.col("event_type") == "purchase").alias("draining"))
+    beats = _events(spark, d).select(
+        (F.col("session_id") % 7).alias("service"), F.col("session_id").alias("instance"), "ts", (F.col("event_type") == "purchase").alias("draining")
+    )
     return logs.registry(beats, NOW, 86_400)
 
 
 @query("circuit_breaker")
 def circuit_breaker(spark, d):
     """Each state depends on those before; tests hold it against a loop."""
-    calls = _events(spark, d).select("event_id", (F.col("session_id") % 13).alias("service"), "ts", (~F.col("event_type").isin("error", "view")).alias("ok"))
+    calls = _events(spark, d).select(
+        "event_id", (F.col("session_id") % 13).alias("service"), "ts", (~F.col("event_type").isin("error", "view")).alias("ok")
+    )
     return logs.breaker(calls, 3, 7200.0)
 
 
-@query("tenant_visible", f"WITH {sql.DOCS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE source END AS source, doc_id % 3 > 0 AS owned FROM docs WHERE doc_id % 3 IN (0, 1)")
+@query("tenant_visible",
+    f"WITH {sql.DOCS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE source END AS source, doc_id % 3 > 0 AS owned FROM "
+    f"docs WHERE doc_id % 3 IN (0, 1)"
+)
 def tenant_visible(spark, d):
     """A third of the documents is tenant t1's, a third t2's, a third nobody's; t1 looks."""
     tenant = F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string"))
-    rows = S.corpus(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 > 0, logs.scoped(F.col("source"), tenant)).otherwise(F.col("source")).alias("source"))
-    return logs.visible(rows, "t1").select("doc_id", logs.unscoped(F.col("source")).alias("source"), F.col("source").startswith("tenant:").alias("owned"))
-
-
-@query("event_envelope", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id - 1 AS VARCHAR) END AS causation_id, CAST(event_id - CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS VARCHAR) AS correlation_id FROM events")
+    rows = S.corpus(spark, d).select(
+        "doc_id", F.when(F.col("doc_id") % 3 > 0, logs.scoped(F.col("source"), tenant)).otherwise(F.col("source")).alias("source")
+    )
+    return logs.visible(rows, "t1").select(
+        "doc_id", logs.unscoped(F.col("source")).alias("source"), F.col("source").startswith("tenant:").alias("owned")
+    )
+
+
+@query("event_envelope",
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id - 1 AS VARCHAR) END AS causation_id, CAST(event_id "
+    "- CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS VARCHAR) AS correlation_id FROM events"
+)
 def event_envelope(spark, d):
     e = S.table(spark, d, "events").select("event_id")
     return logs.envelope(e, F.when(F.col("event_id") % 4 != 0, F.col("event_id") - 1)).select("event_id", "causation_id", "correlation_id")
@@ -389,7 +517,10 @@ def prometheus_text(spark, d):
 # -- relational reads
 
 
-@query("recent_jobs", "SELECT event_id, event_type, status FROM (SELECT *, CASE WHEN value < 50 THEN 'running' ELSE 'done' END AS status FROM events) WHERE status = 'running' ORDER BY ts DESC, event_id LIMIT 15")
+@query("recent_jobs",
+    "SELECT event_id, event_type, status FROM (SELECT *, CASE WHEN value < 50 THEN 'running' ELSE 'done' END AS status FROM events) "
+    "WHERE status = 'running' ORDER BY ts DESC, event_id LIMIT 15"
+)
 def recent_jobs(spark, d):
     jobs = _events(spark, d).withColumn("status", F.when(F.col("value") < 50, "running").otherwise("done"))
     return logs.newest(jobs, "ts", 15, "event_id", where={"status": "running"}).select("event_id", "event_type", "status")
@@ -405,25 +536,43 @@ def document_lookup(spark, d):
     return S.corpus(spark, d).where("doc_id = 17").select("doc_id", "title", "source")
 
 
-@query("known_sources", f"WITH {sql.DOCS} SELECT doc_id FROM docs WHERE source IN (SELECT DISTINCT 'src' || (user_id % 20) FROM events WHERE event_type = 'purchase' AND value > 200)")
+@query("known_sources",
+    f"WITH {sql.DOCS} SELECT doc_id FROM docs WHERE source IN (SELECT DISTINCT 'src' || (user_id % 20) FROM events WHERE event_type "
+    f"= 'purchase' AND value > 200)"
+)
 def known_sources(spark, d):
-    seen = S.table(spark, d, "events").where("event_type = 'purchase' AND value > 200").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source"))
+    seen = S.table(spark, d, "events").where("event_type = 'purchase' AND value > 200").select(
+        F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source")
+    )
     return S.corpus(spark, d).join(seen, "source", "left_semi").select("doc_id")
 
 
-@query("source_stats", "SELECT source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars), 4) AS avg_chars, max(n_chars) AS max_chars FROM documents GROUP BY source")
+@query("source_stats",
+    "SELECT source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars), 4) AS avg_chars, max(n_chars) "
+    "AS max_chars FROM documents GROUP BY source"
+)
 def source_stats(spark, d):
-    return S.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 4).alias("avg_chars"), F.max("n_chars").alias("max_chars"))
+    return S.table(spark, d, "documents").groupBy("source").agg(
+        F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 4).alias("avg_chars"),
+        F.max("n_chars").alias("max_chars")
+    )
 
 
 @query("crawl_stats", "SELECT count(*) AS pages, count(html) AS with_html, round(avg(length(html)), 1) AS avg_chars FROM pages")
 def crawl_stats(spark, d):
-    return S.table(spark, d, "pages").agg(F.count("*").alias("pages"), F.count("html").alias("with_html"), F.round(F.avg(F.length("html")), 1).alias("avg_chars"))
+    return S.table(spark, d, "pages").agg(
+        F.count("*").alias("pages"), F.count("html").alias("with_html"), F.round(F.avg(F.length("html")), 1).alias("avg_chars")
+    )
 
 
-@query("conversation_sizes", "SELECT conv_id, count(*) AS messages, count(CASE WHEN role = 'user' THEN 1 END) AS from_user, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+@query("conversation_sizes",
+    "SELECT conv_id, count(*) AS messages, count(CASE WHEN role = 'user' THEN 1 END) AS from_user, max(turn) AS last_turn FROM "
+    "conversations GROUP BY conv_id"
+)
 def conversation_sizes(spark, d):
-    return S.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.count(F.when(F.col("role") == "user", 1)).alias("from_user"), F.max("turn").alias("last_turn"))
+    return S.table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.count("*").alias("messages"), F.count(F.when(F.col("role") == "user", 1)).alias("from_user"), F.max("turn").alias("last_turn")
+    )
 
 
 @query("event_log", f"{_EV} SELECT event_id, value FROM ev WHERE event_type = 'error' AND session_id = 7 ORDER BY ts DESC, event_id LIMIT 10")
@@ -441,16 +590,25 @@ def events_after_delete(spark, d):
     return _events(spark, d).where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("score_tiers", "SELECT CASE WHEN value >= 100 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n, round(avg(value), 4) AS avg_value, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY 1")
+@query("score_tiers",
+    "SELECT CASE WHEN value >= 100 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n, round(avg(value), "
+    "4) AS avg_value, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY 1"
+)
 def score_tiers(spark, d):
     tier = F.when(F.col("value") >= 100, "high").when(F.col("value") >= 40, "medium").otherwise("low")
-    return S.table(spark, d, "events").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors"))
+    return S.table(spark, d, "events").groupBy(tier.alias("tier")).agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value"),
+        F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors")
+    )
 
 
 # -- streams, drained over what is there
 
 
-@query("stream_search_volume", f"{_EV} SELECT {_TS('''date_trunc('hour', ts)''')} AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM ev GROUP BY ALL")
+@query("stream_search_volume",
+    f"{_EV} SELECT {_TS('''date_trunc('hour', ts)''')} AS start, event_type, count(*) AS events, round(sum(value), 4) AS total "
+    f"FROM ev GROUP BY ALL"
+)
 def stream_search_volume(spark, d):
     return _second(streams.drain(streams.volume(streams.events(spark, d)), "update", keys=["start", "event_type"]), "start")
 

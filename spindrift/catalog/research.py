@@ -94,7 +94,10 @@ gr AS (SELECT *, CASE WHEN grounding_score >= 0.5 THEN 'low' WHEN grounding_scor
 st AS (SELECT query_id, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS total_tokens, count(DISTINCT doc_id) AS n_sources, round(CAST(count(DISTINCT doc_id) AS DOUBLE) / count(*), 3) AS diversity, CAST(0 AS DOUBLE) AS redundancy FROM cx GROUP BY query_id)"""
 
 
-@query("context_budget", f"{_CTX} SELECT query_id, CAST(place AS INTEGER) AS place, doc_id, score, CAST(tokens AS INTEGER) AS tokens, CAST(used AS BIGINT) AS used FROM cx")
+@query("context_budget",
+    f"{_CTX} SELECT query_id, CAST(place AS INTEGER) AS place, doc_id, score, CAST(tokens AS INTEGER) AS tokens, CAST(used AS "
+    f"BIGINT) AS used FROM cx"
+)
 def context_budget(spark, d):
     return context(spark, d).select("query_id", "place", "doc_id", "score", "tokens", "used")
 
@@ -104,7 +107,10 @@ def context_stats(spark, d):
     return rag.context_stats(context(spark, d))
 
 
-@query("context_text", f"{_CTX} SELECT query_id, string_agg('[' || place || '] ' || title || ' (doc_id=' || doc_id || ')' || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY place) AS context FROM cx GROUP BY query_id")
+@query("context_text",
+    f"{_CTX} SELECT query_id, string_agg('[' || place || '] ' || title || ' (doc_id=' || doc_id || ')' || chr(10) || trim(text, "
+    f"' '), chr(10) || chr(10) ORDER BY place) AS context FROM cx GROUP BY query_id"
+)
 def context_text(spark, d):
     return rag.assemble(context(spark, d))
 
@@ -115,7 +121,11 @@ def mmr(spark, d):
     return rag.build_context(chunks(spark, d)).select("query_id", "place", "doc_id", F.round("score", 6).alias("score"), "tokens")
 
 
-@query("prompt", f"{_CTX} SELECT x.query_id, 'Context:' || chr(10) || string_agg('[' || place || '] ' || title || ' (doc_id=' || doc_id || ')' || chr(10) || trim(x.text, ' '), chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: ' || max(b.text) || chr(10) || 'Answer:' AS prompt FROM cx x JOIN benchmark b ON b.item_id = x.query_id GROUP BY x.query_id")
+@query("prompt",
+    f"{_CTX} SELECT x.query_id, 'Context:' || chr(10) || string_agg('[' || place || '] ' || title || ' (doc_id=' || doc_id || "
+    f"')' || chr(10) || trim(x.text, ' '), chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: ' || max(b.text) "
+    f"|| chr(10) || 'Answer:' AS prompt FROM cx x JOIN benchmark b ON b.item_id = x.query_id GROUP BY x.query_id"
+)
 def prompt(spark, d):
     rows = rag.assemble(context(spark, d)).join(S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
     return rows.select("query_id", rag.render("qa", F.col("context"), F.col("text")).alias("prompt"))
@@ -153,7 +163,10 @@ cf AS (SELECT rt.query_id, round(r, 4) AS retrieval_confidence, round((diversity
   FROM rt JOIN st ON st.query_id = rt.query_id JOIN gr ON gr.query_id = rt.query_id JOIN cc ON cc.query_id = rt.query_id)"""
 
 
-@query("confidence", f"{_CTX}, {_CONF} SELECT *, CASE WHEN overall >= 0.65 THEN 'high' WHEN overall >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM cf")
+@query("confidence",
+    f"{_CTX}, {_CONF} SELECT *, CASE WHEN overall >= 0.65 THEN 'high' WHEN overall >= 0.4 THEN 'medium' ELSE 'low' END AS tier "
+    f"FROM cf"
+)
 def confidence(spark, d):
     a, c = both(spark, d)
     return rag.confidence(c, rag.context_stats(c), rag.ground(a, c), rag.cite(a, c))
@@ -185,17 +198,31 @@ def rag_metrics(spark, d):
     return rag.rag_metrics(*_cases(spark, d))
 
 
-@query("rag_report", f"{_CTX}, {_RAGM} SELECT count(*) AS total_cases, {', '.join(f'round(avg({m}), 4) AS {m}' for m in [*rag.METRICS, 'overall_score'])} FROM rm")
+@query("rag_report",
+    f"{_CTX}, {_RAGM} SELECT count(*) AS total_cases, {', '.join(f'round(avg({m}), 4) AS {m}' for m in [*rag.METRICS, 'overall_score'])} "
+    f"FROM rm"
+)
 def rag_report(spark, d):
     return rag.rag_report(rag.rag_metrics(*_cases(spark, d)))
 
 
-@query("history_window", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, '### Conversation History' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text, chr(10) ORDER BY turn) || chr(10) || chr(10) AS history FROM r WHERE n <= 4 GROUP BY conv_id")
+@query("history_window",
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, "
+    "'### Conversation History' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || "
+    "text, chr(10) ORDER BY turn) || chr(10) || chr(10) AS history FROM r WHERE n <= 4 GROUP BY conv_id"
+)
 def history_window(spark, d):
     return rag.history(S.table(spark, d, "conversations"), 4)
 
 
-@query("memory_summary", "WITH r AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), o AS (SELECT * FROM r WHERE n >= 6 AND i <= n - 3), u AS (SELECT conv_id, string_agg(chr(10) || '  User asked: ' || substr(text, 1, 100), '' ORDER BY turn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM o WHERE role = 'user') WHERE k <= 3 GROUP BY conv_id) SELECT conv_id, turn, role, text FROM r WHERE n < 6 OR i > n - 3 UNION ALL SELECT o.conv_id, min(turn) - 1, 'system', '[Earlier in this conversation (' || count(*) || ' messages)]' || coalesce(max(u.t), '') FROM o LEFT JOIN u ON u.conv_id = o.conv_id GROUP BY o.conv_id")
+@query("memory_summary",
+    "WITH r AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS "
+    "i FROM conversations), o AS (SELECT * FROM r WHERE n >= 6 AND i <= n - 3), u AS (SELECT conv_id, string_agg(chr(10) || ' "
+    " User asked: ' || substr(text, 1, 100), '' ORDER BY turn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER "
+    "BY turn) AS k FROM o WHERE role = 'user') WHERE k <= 3 GROUP BY conv_id) SELECT conv_id, turn, role, text FROM r WHERE n "
+    "< 6 OR i > n - 3 UNION ALL SELECT o.conv_id, min(turn) - 1, 'system', '[Earlier in this conversation (' || count(*) || ' "
+    "messages)]' || coalesce(max(u.t), '') FROM o LEFT JOIN u ON u.conv_id = o.conv_id GROUP BY o.conv_id"
+)
 def memory_summary(spark, d):
     return rag.summarise(S.table(spark, d, "conversations"), 3, 6)
 
@@ -208,10 +235,16 @@ _EV = f"{_CTX}, ev AS (SELECT query_id AS session_id, 't' || (place % 3) AS topi
 def evidence(spark, d) -> DataFrame:
     name = F.concat_ws("_", F.lit("doc"), "doc_id", "chunk_index").alias("chunk_id")
     topic = F.concat(F.lit("t"), (F.col("place") % 3).cast("string")).alias("topic")
-    return store.kept(chunks(spark, d).select(F.col("query_id").alias("session_id"), topic, "place", "doc_id", name, "title", F.col("text").alias("content"), "score"))
+    return store.kept(chunks(spark, d).select(
+        F.col("query_id").alias("session_id"), topic, "place", "doc_id", name, "title", F.col("text").alias("content"), "score"
+    ))
 
 
-@query("retrieval_quality", f"{_EV} SELECT session_id, round(CAST(0.3 AS DOUBLE) * least(1, CAST(count(*) AS DOUBLE) / 5) + CAST(0.4 AS DOUBLE) * least(1, avg(score)) + CAST(0.3 AS DOUBLE) * (CAST(count(DISTINCT title) AS DOUBLE) / count(*)), 4) AS quality, count(*) AS evidence_count FROM ev GROUP BY session_id")
+@query("retrieval_quality",
+    f"{_EV} SELECT session_id, round(CAST(0.3 AS DOUBLE) * least(1, CAST(count(*) AS DOUBLE) / 5) + CAST(0.4 AS DOUBLE) * least(1, "
+    f"avg(score)) + CAST(0.3 AS DOUBLE) * (CAST(count(DISTINCT title) AS DOUBLE) / count(*)), 4) AS quality, count(*) AS evidence_count "
+    f"FROM ev GROUP BY session_id"
+)
 def retrieval_quality(spark, d):
     return agents.retrieval_quality(evidence(spark, d), "session_id")
 
@@ -225,9 +258,18 @@ pr AS (SELECT a.session_id, round(1 - CAST(sum(CASE WHEN {sql.jaccard('a.w', 'b.
 cr AS (SELECT cv.session_id, coverage, coalesce(quality, 0) AS quality, coalesce(consistency, 1) AS consistency, completeness, items FROM cv LEFT JOIN gd ON gd.session_id = cv.session_id LEFT JOIN pr ON pr.session_id = cv.session_id)"""
 
 
-@query("critic_scores", f"{_EV}, {_CRITIC} SELECT session_id, coverage, quality, consistency, completeness, CASE WHEN items = 0 THEN 0 ELSE round(CAST(0.3 AS DOUBLE) * coverage + CAST(0.3 AS DOUBLE) * quality + CAST(0.2 AS DOUBLE) * consistency + CAST(0.2 AS DOUBLE) * completeness, 4) END AS overall, array_to_string(list_filter([CASE WHEN items = 0 THEN 'no_evidence' END, CASE WHEN coverage < 0.5 THEN 'low_coverage' END, CASE WHEN quality < 0.5 THEN 'low_quality' END, CASE WHEN consistency < 0.8 THEN 'contradictions' END, CASE WHEN completeness < 0.5 THEN 'incomplete' END, CASE WHEN items < 3 THEN 'insufficient_evidence' END], lambda x: x IS NOT NULL), ',') AS issues FROM cr")
+@query("critic_scores",
+    f"{_EV}, {_CRITIC} SELECT session_id, coverage, quality, consistency, completeness, CASE WHEN items = 0 THEN 0 ELSE round(CAST(0.3 "
+    f"AS DOUBLE) * coverage + CAST(0.3 AS DOUBLE) * quality + CAST(0.2 AS DOUBLE) * consistency + CAST(0.2 AS DOUBLE) * completeness, "
+    f"4) END AS overall, array_to_string(list_filter([CASE WHEN items = 0 THEN 'no_evidence' END, CASE WHEN coverage < 0.5 THEN "
+    f"'low_coverage' END, CASE WHEN quality < 0.5 THEN 'low_quality' END, CASE WHEN consistency < 0.8 THEN 'contradictions' END, "
+    f"CASE WHEN completeness < 0.5 THEN 'incomplete' END, CASE WHEN items < 3 THEN 'insufficient_evidence' END], lambda x: x IS "
+    f"NOT NULL), ',') AS issues FROM cr"
+)
 def critic_scores(spark, d):
-    asked = S.table(spark, d, "benchmark").select(F.col("item_id").alias("session_id"), F.explode(F.array(*[F.lit(f"t{i}") for i in range(4)])).alias("topic"))
+    asked = S.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("session_id"), F.explode(F.array(*[F.lit(f"t{i}") for i in range(4)])).alias("topic")
+    )
     return agents.critique(evidence(spark, d), asked).withColumn("issues", F.array_join("issues", ","))
 
 
@@ -247,7 +289,11 @@ def citation_validation(spark, d):
     return agents.check_citations(_cited(spark, d), evidence(spark, d))
 
 
-@query("citation_report", f"{_EV}, {_CITED} SELECT session_id, count(*) AS total, count(CASE WHEN status = 'supported' THEN 1 END) AS supported, count(CASE WHEN status <> 'supported' THEN 1 END) AS unsupported, round(CAST(count(CASE WHEN status = 'supported' THEN 1 END) AS DOUBLE) / count(*), 4) AS accuracy FROM ck GROUP BY session_id")
+@query("citation_report",
+    f"{_EV}, {_CITED} SELECT session_id, count(*) AS total, count(CASE WHEN status = 'supported' THEN 1 END) AS supported, count(CASE "
+    f"WHEN status <> 'supported' THEN 1 END) AS unsupported, round(CAST(count(CASE WHEN status = 'supported' THEN 1 END) AS DOUBLE) "
+    f"/ count(*), 4) AS accuracy FROM ck GROUP BY session_id"
+)
 def citation_report(spark, d):
     a = _cited(spark, d)
     return agents.citation_report(agents.check_citations(a, evidence(spark, d)), a)
@@ -259,12 +305,21 @@ def evidence_validate(spark, d):
     return agents.validate(evidence(spark, d)).select("session_id", "place", "doc_id", "verdict")
 
 
-@query("evidence_memory", f"{_EV}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id, doc_id, chunk_id ORDER BY score DESC, place) AS n FROM ev), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, doc_id, chunk_id) AS m FROM b WHERE n = 1) SELECT session_id, doc_id, chunk_id, score FROM k WHERE m <= 4")
+@query("evidence_memory",
+    f"{_EV}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id, doc_id, chunk_id ORDER BY score DESC, place) AS n FROM "
+    f"ev), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, doc_id, chunk_id) AS m FROM b WHERE "
+    f"n = 1) SELECT session_id, doc_id, chunk_id, score FROM k WHERE m <= 4"
+)
 def evidence_memory(spark, d):
     return agents.remember(evidence(spark, d), 4).select("session_id", "doc_id", "chunk_id", "score")
 
 
-@query("evidence_graph", f"{_EV} SELECT doc_id || ':' || session_id AS evidence_id, score, CAST(sum(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS supports, CAST(sum(CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS contradicts, CAST(sum(CASE WHEN k % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS extends FROM (SELECT e.*, f.place + e.place AS k FROM ev e LEFT JOIN ev f ON f.session_id = e.session_id AND f.place < e.place) GROUP BY ALL")
+@query("evidence_graph",
+    f"{_EV} SELECT doc_id || ':' || session_id AS evidence_id, score, CAST(sum(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) "
+    f"AS supports, CAST(sum(CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS contradicts, CAST(sum(CASE WHEN k % 3 = 2 THEN "
+    f"1 ELSE 0 END) AS BIGINT) AS extends FROM (SELECT e.*, f.place + e.place AS k FROM ev e LEFT JOIN ev f ON f.session_id = "
+    f"e.session_id AND f.place < e.place) GROUP BY ALL"
+)
 def evidence_graph(spark, d):
     e = evidence(spark, d).withColumn("evidence_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("session_id").cast("string")))
     f = e.select("session_id", F.col("place").alias("p2"), F.col("evidence_id").alias("src"))
@@ -282,14 +337,22 @@ SELECT case_id, round(t, 4) AS task_completion, round(f, 4) AS research_complete
   round(CAST(0.2 AS DOUBLE) * t + CAST(0.2 AS DOUBLE) * f + CAST(0.15 AS DOUBLE) * citation_accuracy + CAST(0.15 AS DOUBLE) * e + CAST(0.15 AS DOUBLE) * grounding_score + CAST(0.05 AS DOUBLE) * (1 - l) + CAST(0.1 AS DOUBLE) * q, 4) AS overall_score FROM p""")
 def research_metrics(spark, d):
     i = F.col("item_id")
-    rows = S.table(spark, d, "benchmark").select(i.alias("case_id"), (i % 5).alias("completed_steps"), F.lit(5).alias("total_steps"), (i % 4).alias("topic_count"), F.least(i % 4, F.lit(2)).alias("topics_covered"), (i % 9).alias("evidence_count"), ((i % 11) / 10).alias("citation_accuracy"), ((i % 7) / 7).alias("grounding_score"), F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("## A [1] "), "text")).alias("report_text"))
+    rows = S.table(spark, d, "benchmark").select(
+        i.alias("case_id"), (i % 5).alias("completed_steps"), F.lit(5).alias("total_steps"), (i % 4).alias("topic_count"),
+        F.least(i % 4, F.lit(2)).alias("topics_covered"), (i % 9).alias("evidence_count"), ((i % 11) / 10).alias("citation_accuracy"),
+        ((i % 7) / 7).alias("grounding_score"), F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("## A [1] "), "text")).alias("report_text")
+    )
     return agents.research_metrics(rows)
 
 
 _GOALS = ("compare rust, go and zig", "What is A? How does B work?", "why does the cache miss", "spark")
 
 
-@query("plan_steps", "SELECT * FROM (VALUES (0, 'comparison', 6, 'retrieve_0,retrieve_1,retrieve_2,critic_0,citval_0,synthesis_0'), (1, 'multi_part', 5, 'retrieve_0,retrieve_1,critic_0,citval_0,synthesis_0'), (2, 'investigation', 4, 'retrieve_0,critic_0,citval_0,synthesis_0'), (3, 'simple', 4, 'retrieve_0,critic_0,citval_0,synthesis_0')) AS v(goal_id, strategy, steps, dag_order)")
+@query("plan_steps",
+    "SELECT * FROM (VALUES (0, 'comparison', 6, 'retrieve_0,retrieve_1,retrieve_2,critic_0,citval_0,synthesis_0'), (1, 'multi_part', "
+    "5, 'retrieve_0,retrieve_1,critic_0,citval_0,synthesis_0'), (2, 'investigation', 4, 'retrieve_0,critic_0,citval_0,synthesis_0'), "
+    "(3, 'simple', 4, 'retrieve_0,critic_0,citval_0,synthesis_0')) AS v(goal_id, strategy, steps, dag_order)"
+)
 def plan_steps(spark, d):
     rows = []
     for i, g in enumerate(_GOALS):
@@ -298,29 +361,53 @@ def plan_steps(spark, d):
     return spark.createDataFrame(rows, "goal_id int, strategy string, steps int, dag_order string")
 
 
-@query("workflow_transitions", "WITH l AS (SELECT user_id AS execution_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state FROM events), m AS (SELECT *, lag(state) OVER (PARTITION BY execution_id ORDER BY seq) AS before FROM l) SELECT execution_id, seq, before, state FROM m WHERE before IS NOT NULL AND NOT ((before = 'created' AND state = 'running') OR (before = 'running' AND state IN ('completed', 'failed', 'paused')) OR (before = 'paused' AND state = 'running'))")
+@query("workflow_transitions",
+    "WITH l AS (SELECT user_id AS execution_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN "
+    "'running' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state FROM events), m AS (SELECT "
+    "*, lag(state) OVER (PARTITION BY execution_id ORDER BY seq) AS before FROM l) SELECT execution_id, seq, before, state FROM "
+    "m WHERE before IS NOT NULL AND NOT ((before = 'created' AND state = 'running') OR (before = 'running' AND state IN ('completed', "
+    "'failed', 'paused')) OR (before = 'paused' AND state = 'running'))"
+)
 def workflow_transitions(spark, d):
     e = S.table(spark, d, "events")
     state = F.create_map(*[F.lit(x) for x in ("signup", "created", "view", "running", "click", "paused", "purchase", "completed", "error", "failed")])
-    return agents.invalid_transitions(e.select(F.col("user_id").alias("execution_id"), F.col("event_id").alias("seq"), state[F.col("event_type")].alias("state")))
+    return agents.invalid_transitions(e.select(
+        F.col("user_id").alias("execution_id"), F.col("event_id").alias("seq"), state[F.col("event_type")].alias("state")
+    ))
 
 
-@query("task_queue", "SELECT event_id AS task_id, user_id % 4 AS priority, CAST(row_number() OVER (ORDER BY user_id % 4 DESC, ts, event_id) AS INTEGER) AS place FROM events ORDER BY place LIMIT 50")
+@query("task_queue",
+    "SELECT event_id AS task_id, user_id % 4 AS priority, CAST(row_number() OVER (ORDER BY user_id % 4 DESC, ts, event_id) AS "
+    "INTEGER) AS place FROM events ORDER BY place LIMIT 50"
+)
 def task_queue(spark, d):
-    e = S.log_events(spark, d).select(F.col("event_id").alias("task_id"), (F.col("session_id") % 4).alias("priority"), F.col("ts").alias("created_at"))
+    e = S.log_events(spark, d).select(
+        F.col("event_id").alias("task_id"), (F.col("session_id") % 4).alias("priority"), F.col("ts").alias("created_at")
+    )
     return agents.schedule(e, 50).select("task_id", "priority", "place")
 
 
-@query("schedules_due", "SELECT event_id AS schedule_id, CASE WHEN event_type <> 'click' THEN TIMESTAMP '2024-01-15' + INTERVAL 600 SECONDS END AS next_run, event_type <> 'click' AS enabled FROM events WHERE event_type <> 'error' AND ts <= TIMESTAMP '2024-01-15'")
+@query("schedules_due",
+    "SELECT event_id AS schedule_id, CASE WHEN event_type <> 'click' THEN TIMESTAMP '2024-01-15' + INTERVAL 600 SECONDS END AS "
+    "next_run, event_type <> 'click' AS enabled FROM events WHERE event_type <> 'error' AND ts <= TIMESTAMP '2024-01-15'"
+)
 def schedules_due(spark, d):
-    e = S.log_events(spark, d).select(F.col("event_id").alias("schedule_id"), F.col("ts").alias("next_run"), F.when(F.col("event_type") != "click", 600).alias("interval_s"), (F.col("event_type") != "error").alias("enabled"))
+    e = S.log_events(spark, d).select(
+        F.col("event_id").alias("schedule_id"), F.col("ts").alias("next_run"), F.when(F.col("event_type") != "click", 600).alias("interval_s"),
+        (F.col("event_type") != "error").alias("enabled")
+    )
     return agents.due(e, "2024-01-15 00:00:00")
 
 
 # -- whole answers, and reads on grounding, confidence, citations and evidence
 
 
-@query("rag_answers", f"{_CTX}, {_CONF} SELECT b.item_id AS query_id, 'stand-in' AS model, i.annotated AS answer, st.n_chunks, gr.grounding_score, gr.risk, cf.overall AS confidence FROM benchmark b LEFT JOIN ci i ON i.query_id = b.item_id LEFT JOIN st ON st.query_id = b.item_id LEFT JOIN gr ON gr.query_id = b.item_id LEFT JOIN cf ON cf.query_id = b.item_id".replace("concat_ws(' ', array_to_string(" + _sents("x.text") + "[1:3], ' '), b.text)", "array_to_string(" + _sents("x.text") + "[1:3], ' ')"))
+@query("rag_answers",
+    f"{_CTX}, {_CONF} SELECT b.item_id AS query_id, 'stand-in' AS model, i.annotated AS answer, st.n_chunks, gr.grounding_score, "
+    f"gr.risk, cf.overall AS confidence FROM benchmark b LEFT JOIN ci i ON i.query_id = b.item_id LEFT JOIN st ON st.query_id "
+    f"= b.item_id LEFT JOIN gr ON gr.query_id = b.item_id LEFT JOIN cf ON cf.query_id = b.item_id".replace(
+        "concat_ws(' ', array_to_string(" + _sents("x.text") + "[1:3], ' '), b.text)", "array_to_string(" + _sents("x.text") + "[1:3], ' ')"
+    ))
 def rag_answers(spark, d):
     """The whole chain by one call. Chunks are taken in the order of their scores here: no two are alike enough to be dropped
     (same=2), and relevance alone decides (mmr=False)."""
@@ -328,15 +415,26 @@ def rag_answers(spark, d):
     return got.select("query_id", "model", "answer", "n_chunks", "grounding_score", "risk", "confidence")
 
 
-@query("grounding_stats", f"{_CTX} SELECT count(*) AS n, round(avg(grounding_score), 4) AS avg_score, count(CASE WHEN risk = 'high' THEN 1 END) AS high_risk FROM gr")
+@query("grounding_stats",
+    f"{_CTX} SELECT count(*) AS n, round(avg(grounding_score), 4) AS avg_score, count(CASE WHEN risk = 'high' THEN 1 END) AS high_risk "
+    f"FROM gr"
+)
 def grounding_stats(spark, d):
-    return rag.ground(*both(spark, d)).agg(F.count("*").alias("n"), F.round(F.avg("grounding_score"), 4).alias("avg_score"), F.count(F.when(F.col("risk") == "high", 1)).alias("high_risk"))
+    return rag.ground(*both(spark, d)).agg(
+        F.count("*").alias("n"), F.round(F.avg("grounding_score"), 4).alias("avg_score"),
+        F.count(F.when(F.col("risk") == "high", 1)).alias("high_risk")
+    )
 
 
-@query("confidence_stats", f"{_CTX}, {_CONF} SELECT count(*) AS n, round(avg(overall), 4) AS avg_confidence, count(CASE WHEN overall >= 0.65 THEN 1 END) AS high, count(CASE WHEN overall < 0.4 THEN 1 END) AS low FROM cf")
+@query("confidence_stats",
+    f"{_CTX}, {_CONF} SELECT count(*) AS n, round(avg(overall), 4) AS avg_confidence, count(CASE WHEN overall >= 0.65 THEN 1 END) "
+    f"AS high, count(CASE WHEN overall < 0.4 THEN 1 END) AS low FROM cf"
+)
 def confidence_stats(spark, d):
     tier = lambda t: F.count(F.when(F.col("tier") == t, 1))
-    return confidence(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("overall"), 4).alias("avg_confidence"), tier("high").alias("high"), tier("low").alias("low"))
+    return confidence(spark, d).agg(
+        F.count("*").alias("n"), F.round(F.avg("overall"), 4).alias("avg_confidence"), tier("high").alias("high"), tier("low").alias("low")
+    )
 
 
 @query("session_citations", f"{_EV}, {_CITED} SELECT CAST(i AS INTEGER) AS i, tag, status FROM ck WHERE session_id = 3 ORDER BY i, tag")
@@ -380,16 +478,26 @@ _STEPS = "steps AS (SELECT user_id AS execution_id, event_type AS step_id, event
 def _steps(spark, d) -> DataFrame:
     e = S.log_events(spark, d)
     state = F.when(F.col("value") < 20, "failed").otherwise("done")
-    return e.select(F.col("session_id").alias("execution_id"), F.col("event_type").alias("step_id"), F.col("event_id").alias("seq"), "ts", state.alias("state"), (F.col("event_id") % 3 + 1).alias("attempts"))
+    return e.select(
+        F.col("session_id").alias("execution_id"), F.col("event_type").alias("step_id"), F.col("event_id").alias("seq"), "ts", state.alias("state"),
+        (F.col("event_id") % 3 + 1).alias("attempts")
+    )
 
 
-@query("workflow_executions", f"WITH {_STEPS} SELECT execution_id, count(DISTINCT step_id) AS steps, count(CASE WHEN state = 'done' THEN 1 END) AS done, count(CASE WHEN state = 'failed' THEN 1 END) AS failed, CAST(sum(attempts - 1) AS BIGINT) AS retries, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds FROM steps GROUP BY execution_id")
+@query("workflow_executions",
+    f"WITH {_STEPS} SELECT execution_id, count(DISTINCT step_id) AS steps, count(CASE WHEN state = 'done' THEN 1 END) AS done, "
+    f"count(CASE WHEN state = 'failed' THEN 1 END) AS failed, CAST(sum(attempts - 1) AS BIGINT) AS retries, round(epoch(max(ts)) "
+    f"- epoch(min(ts)), 3) AS seconds FROM steps GROUP BY execution_id"
+)
 def workflow_executions(spark, d):
     took = F.round(F.col("ended").cast("double") - F.col("started").cast("double"), 3)
     return agents.executions(_steps(spark, d)).select("execution_id", "steps", "done", "failed", "retries", took.alias("seconds"))
 
 
-@query("workflow_checkpoints", f"WITH {_STEPS} SELECT execution_id, step_id, state FROM (SELECT *, row_number() OVER (PARTITION BY execution_id, step_id ORDER BY ts DESC, seq DESC) AS n FROM steps) WHERE n = 1")
+@query("workflow_checkpoints",
+    f"WITH {_STEPS} SELECT execution_id, step_id, state FROM (SELECT *, row_number() OVER (PARTITION BY execution_id, step_id "
+    f"ORDER BY ts DESC, seq DESC) AS n FROM steps) WHERE n = 1"
+)
 def workflow_checkpoints(spark, d):
     return agents.checkpoints(_steps(spark, d))
 
@@ -399,21 +507,33 @@ def workflow_runs(spark, d):
     return logs.newest(_steps(spark, d), "ts", 20, "seq", where={"state": "failed"}).select("execution_id", "step_id", "seq")
 
 
-@query("queue_admitted", "SELECT event_id AS task_id, event_type AS queue, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 100 AS admitted FROM events")
+@query("queue_admitted",
+    "SELECT event_id AS task_id, event_type AS queue, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 100 "
+    "AS admitted FROM events"
+)
 def queue_admitted(spark, d):
     e = S.log_events(spark, d).select(F.col("event_id").alias("task_id"), F.col("event_type").alias("queue"), F.col("ts").alias("created_at"))
     return agents.admitted(e, 100).select("task_id", "queue", "admitted")
 
 
-@query("task_strategies", " UNION ALL ".join(f"SELECT '{s}' AS strategy, * FROM (SELECT event_id AS task_id, CAST(row_number() OVER (ORDER BY {by}, event_id) AS INTEGER) AS place FROM events WHERE event_type <> 'error' ORDER BY place LIMIT 20)" for s, by in (("priority", "user_id % 4 DESC, ts"), ("fifo", "ts"), ("deadline", "event_id % 97, user_id % 4 DESC"), ("shortest", "value, ts"))))
+@query("task_strategies", " UNION ALL ".join(
+    f"SELECT '{s}' AS strategy, * FROM (SELECT event_id AS task_id, CAST(row_number() OVER (ORDER BY {by}, event_id) AS INTEGER) "
+    f"AS place FROM events WHERE event_type <> 'error' ORDER BY place LIMIT 20)"
+for s, by in (("priority", "user_id % 4 DESC, ts"), ("fifo", "ts"), ("deadline", "event_id % 97, user_id % 4 DESC"), ("shortest", "value, ts"))))
 def task_strategies(spark, d):
     e = S.log_events(spark, d)
-    tasks = e.select(F.col("event_id").alias("task_id"), (F.col("session_id") % 4).alias("priority"), F.col("ts").alias("created_at"), (F.col("event_id") % 97).alias("deadline"), F.col("value").alias("estimate"), (F.col("event_type") == "error").alias("cancelled"))
+    tasks = e.select(
+        F.col("event_id").alias("task_id"), (F.col("session_id") % 4).alias("priority"), F.col("ts").alias("created_at"),
+        (F.col("event_id") % 97).alias("deadline"), F.col("value").alias("estimate"), (F.col("event_type") == "error").alias("cancelled")
+    )
     named = [agents.schedule(tasks, 20, s).select(F.lit(s).alias("strategy"), "task_id", "place") for s in agents.STRATEGIES]
     return reduce(DataFrame.unionByName, named)
 
 
-@query("session_memory", "SELECT user_id AS session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5")
+@query("session_memory",
+    "SELECT user_id AS session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS "
+    "n FROM events) WHERE n <= 5"
+)
 def session_memory(spark, d):
     items = S.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"))
     return agents.bounded(items, "session_id", 5).select("session_id", F.col("seq").alias("event_id"))

@@ -47,13 +47,22 @@ def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
 # -- index
 
 
-@query("tokenize_counts", f"WITH {sql.DOCS} SELECT doc_id, CAST(len({sql.raw('body')}) AS BIGINT) AS raw_tokens, CAST(len({sql.terms('body')}) AS BIGINT) AS terms, CAST(len(list_distinct({sql.terms('body')})) AS BIGINT) AS distinct_terms FROM docs")
+@query("tokenize_counts",
+    f"WITH {sql.DOCS} SELECT doc_id, CAST(len({sql.raw('body')}) AS BIGINT) AS raw_tokens, CAST(len({sql.terms('body')}) AS BIGINT) "
+    f"AS terms, CAST(len(list_distinct({sql.terms('body')})) AS BIGINT) AS distinct_terms FROM docs"
+)
 def tokenize_counts(spark, d):
     b = F.col("body")
-    return S.corpus(spark, d).select("doc_id", F.size(T.raw_tokens(b)).cast("long").alias("raw_tokens"), F.size(T.terms(b)).cast("long").alias("terms"), F.size(F.array_distinct(T.terms(b))).cast("long").alias("distinct_terms"))
+    return S.corpus(spark, d).select(
+        "doc_id", F.size(T.raw_tokens(b)).cast("long").alias("raw_tokens"), F.size(T.terms(b)).cast("long").alias("terms"),
+        F.size(F.array_distinct(T.terms(b))).cast("long").alias("distinct_terms")
+    )
 
 
-@query("postings_tf", f"WITH {sql.DOCS}, {sql.OCC} SELECT term, doc_id, field, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM occ GROUP BY term, doc_id, field")
+@query("postings_tf",
+    f"WITH {sql.DOCS}, {sql.OCC} SELECT term, doc_id, field, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) "
+    f"AS positions FROM occ GROUP BY term, doc_id, field"
+)
 def postings_tf(spark, d):
     return index.postings(S.corpus(spark, d)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
@@ -68,9 +77,14 @@ def corpus_stats(spark, d):
     return index.corpus_stats(_base(spark, d)[1]).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query("index_snapshot", f"WITH {sql.INDEX} SELECT term, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT term, doc_id FROM posts) GROUP BY term")
+@query("index_snapshot",
+    f"WITH {sql.INDEX} SELECT term, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT "
+    f"term, doc_id FROM posts) GROUP BY term"
+)
 def index_snapshot(spark, d):
-    return index.snapshot(index.postings(S.corpus(spark, d))).select("term", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
+    return index.snapshot(index.postings(S.corpus(spark, d))).select(
+        "term", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids")
+    )
 
 
 @query("vocabulary", f"WITH {sql.INDEX} SELECT DISTINCT term FROM posts")
@@ -78,7 +92,11 @@ def vocabulary(spark, d):
     return index.vocabulary(index.postings(S.corpus(spark, d)))
 
 
-@query("index_stats", f"WITH {sql.INDEX} SELECT (SELECT count(*) FROM docs) AS documents, (SELECT round(avg(word_count), 1) FROM counted) AS avg_doc_length, (SELECT count(DISTINCT term) FROM posts) AS terms, (SELECT count(*) FROM posts) AS postings, (SELECT count(*) FROM pages) AS pages")
+@query("index_stats",
+    f"WITH {sql.INDEX} SELECT (SELECT count(*) FROM docs) AS documents, (SELECT round(avg(word_count), 1) FROM counted) AS avg_doc_length, "
+    f"(SELECT count(DISTINCT term) FROM posts) AS terms, (SELECT count(*) FROM posts) AS postings, (SELECT count(*) FROM pages) "
+    f"AS pages"
+)
 def index_stats(spark, d):
     c, n = _base(spark, d)
     return index.index_stats(n, index.postings(c), S.table(spark, d, "pages"))
@@ -125,12 +143,18 @@ for _name, _text, _sql in (
     ("field_source", "source:src3", "(SELECT doc_id FROM docs WHERE lower(source) = 'src3')"),
     ("wildcard", "tio*", "(SELECT DISTINCT doc_id FROM posts WHERE starts_with(term, 'tio'))"),
     ("phrase", '"thou thor"', f"(SELECT DISTINCT doc_id FROM ({_PHRASE.format('thou', 'thor')}))"),
-    ("nested_bool", '(tion OR ther) AND NOT (ing OR "thou thor") bl*', f"((({_has('tion')} UNION {_has('ther')}) EXCEPT ({_has('ing')} UNION {_PHRASE.format('thou', 'thor')})) INTERSECT SELECT doc_id FROM posts WHERE starts_with(term, 'bl'))"),
+    (
+        "nested_bool", '(tion OR ther) AND NOT (ing OR "thou thor") bl*',
+        f"((({_has('tion')} UNION {_has('ther')}) EXCEPT ({_has('ing')} UNION {_PHRASE.format('thou', 'thor')})) INTERSECT SELECT doc_id FROM posts WHERE starts_with(term, 'bl'))"
+    ),
 ):
     query(_name, f"WITH {sql.INDEX} SELECT DISTINCT doc_id FROM {_sql}")(_boolean(_text))
 
 
-@query("bool_left_fold", f"WITH {sql.INDEX} SELECT DISTINCT doc_id FROM ((({_has('tion')} EXCEPT {_has('ther')}) INTERSECT {_has('ing')}) UNION (({_ALL} EXCEPT {_has('ble')}) INTERSECT {_has('thon')}))")
+@query("bool_left_fold",
+    f"WITH {sql.INDEX} SELECT DISTINCT doc_id FROM ((({_has('tion')} EXCEPT {_has('ther')}) INTERSECT {_has('ing')}) UNION (({_ALL} "
+    f"EXCEPT {_has('ble')}) INTERSECT {_has('thon')}))"
+)
 def bool_left_fold(spark, d):
     return Q.left_fold("tion NOT ther ing OR NOT ble thon", index_of(spark, d))
 
@@ -150,10 +174,16 @@ def batch_bm25(spark, d):
     return rank.bm25(index_of(spark, d), S.query_set(spark, d), 10)
 
 
-@query("bm25_explain", f"{_RANK}, {TOPICS_SQL}, {sql.BM25} SELECT query_id, doc_id, term, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, round(idf, 6) AS idf, round(tf_weight, 6) AS tf_weight, round(idf * tf_weight, 6) AS contribution FROM parts")
+@query("bm25_explain",
+    f"{_RANK}, {TOPICS_SQL}, {sql.BM25} SELECT query_id, doc_id, term, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, round(idf, "
+    f"6) AS idf, round(tf_weight, 6) AS tf_weight, round(idf * tf_weight, 6) AS contribution FROM parts"
+)
 def bm25_explain(spark, d):
     p = rank.bm25_terms(index_of(spark, d), topics(spark))
-    return p.select("query_id", "doc_id", "term", "df", "tf", F.round("idf", 6).alias("idf"), F.round("tf_weight", 6).alias("tf_weight"), F.round("score", 6).alias("contribution"))
+    return p.select(
+        "query_id", "doc_id", "term", "df", "tf", F.round("idf", 6).alias("idf"), F.round("tf_weight", 6).alias("tf_weight"),
+        F.round("score", 6).alias("contribution")
+    )
 
 
 _TFIDF = """n AS (SELECT count(*) AS n FROM counted), tfs AS (SELECT term, doc_id, tf FROM posts WHERE field = 'body'),
@@ -167,7 +197,10 @@ sc AS (SELECT d.query_id, d.doc_id, round(CASE WHEN nrm > 0 AND qn > 0 THEN dot
 tfidf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
-@query("tfidf_cosine", f"{_RANK}, {sql.queries()}, {_TFIDF} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM tfidf WHERE rank <= 10")
+@query("tfidf_cosine",
+    f"{_RANK}, {sql.queries()}, {_TFIDF} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM tfidf WHERE rank <= "
+    f"10"
+)
 def tfidf_cosine(spark, d):
     return rank.tfidf(index_of(spark, d), S.query_set(spark, d), 10)
 
@@ -198,6 +231,9 @@ def personal_boost(spark, d):
     return rank.personal_boost(S.clicks(S.log_events(spark, d)))
 
 
-@query("profile_history", f"WITH {sql.EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM searches) SELECT session_id, string_agg(query, ',' ORDER BY n) AS history FROM r WHERE n <= 20 GROUP BY session_id")
+@query("profile_history",
+    f"WITH {sql.EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM "
+    f"searches) SELECT session_id, string_agg(query, ',' ORDER BY n) AS history FROM r WHERE n <= 20 GROUP BY session_id"
+)
 def profile_history(spark, d):
     return rank.profile(S.searches(S.log_events(spark, d)), 20).select("session_id", F.array_join("history", ",").alias("history"))

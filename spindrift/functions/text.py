@@ -49,7 +49,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Distinct adjacent pairs of tokens."""
     t = raw_tokens(text)
-    return F.array_distinct(F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)))
+    return F.array_distinct(F.zip_with(
+        F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)
+    ))
 
 
 def sentences(text: Column) -> Column:

@@ -24,12 +24,17 @@ def _rows(docs: DataFrame, text: str, windows: Column, whole: Column) -> DataFra
     some = F.transform("x", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("whole")))
     rows = made.select("doc_id", "text", "w", F.posexplode(F.when(whole, one).otherwise(some)).alias("i", "s"))
     said = F.when(F.col("s.whole"), F.trim("text")).otherwise(F.array_join(F.expr("slice(w, s.start + 1, s.end - s.start)"), " "))
-    return rows.select("doc_id", F.concat_ws("_", "doc_id", "i").alias("chunk_id"), F.col("i").alias("chunk_index"), F.col("s.start").alias("start_offset"), F.col("s.end").alias("end_offset"), (F.col("s.end") - F.col("s.start")).alias("word_count"), said.alias("text"))
+    return rows.select(
+        "doc_id", F.concat_ws("_", "doc_id", "i").alias("chunk_id"), F.col("i").alias("chunk_index"), F.col("s.start").alias("start_offset"),
+        F.col("s.end").alias("end_offset"), (F.col("s.end") - F.col("s.start")).alias("word_count"), said.alias("text")
+    )
 
 
 def _windows(step: int, size: int) -> Column:
     n = F.col("n")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(
+        n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end")))
+    ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def fixed(docs: DataFrame, text: str = "text", size: int = SIZE, least: int = LEAST) -> DataFrame:
@@ -41,7 +46,9 @@ def fixed(docs: DataFrame, text: str = "text", size: int = SIZE, least: int = LE
 def sliding(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """Overlapping windows up to the first that reaches the end; a text no longer than one is a chunk as it is."""
     step = max(1, size - min(overlap, size - 1))
-    kept = F.filter(_windows(step, size), lambda x: (x["end"] - x["start"] >= least) & ((x["start"] == 0) | (x["start"] + (size - step) < F.col("n"))))
+    kept = F.filter(
+        _windows(step, size), lambda x: (x["end"] - x["start"] >= least) & ((x["start"] == 0) | (x["start"] + (size - step) < F.col("n")))
+    )
     return _rows(docs, text, kept, F.col("n") <= size)
 
 
@@ -87,7 +94,9 @@ def prefixed(text: Column, family: str, query: bool) -> Column:
     return F.concat(F.lit(PREFIXES.get(family, ("", ""))[0 if query else 1]), text)
 
 
-def model_embed(load: Callable[[], Callable[[list[str]], np.ndarray]], family: str = "", query: bool = False, size: int = 32) -> Callable[[Column], Column]:
+def model_embed(
+    load: Callable[[], Callable[[list[str]], np.ndarray]], family: str = "", query: bool = False, size: int = 32
+) -> Callable[[Column], Column]:
     """An embedding model as a column: loaded once in a task, texts in batches, unit vectors out."""
 
     @F.pandas_udf("array<float>")
@@ -101,12 +110,17 @@ def model_embed(load: Callable[[], Callable[[list[str]], np.ndarray]], family: s
     return lambda text: run(prefixed(text, family, query))
 
 
-def embed_missing(chunks: DataFrame, cache: DataFrame, model: str = "mock", dimension: int = 384, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+def embed_missing(
+    chunks: DataFrame, cache: DataFrame, model: str = "mock", dimension: int = 384, embedder: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """content_hash, embedding to append to the cache."""
     return missing(chunks, cache, model).select("content_hash", (embedder or embed(dimension))(F.col("text")).alias("embedding"))
 
 
-def embed_documents(docs: DataFrame, stored: DataFrame, cache: DataFrame, model: str = "mock", strategy: str = "fixed", dimension: int = 384, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+def embed_documents(
+    docs: DataFrame, stored: DataFrame, cache: DataFrame, model: str = "mock", strategy: str = "fixed", dimension: int = 384,
+    embedder: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """chunk_id, doc_id, chunk_index, text, content_hash, embedding, cached of the chunks of docs (doc_id, text) that `stored`
     (doc_id) doesn't have: the vectors to store. A text that the cache (content_hash, embedding) has isn't embedded
     again, and one that several chunks have is embedded once."""
@@ -114,7 +128,9 @@ def embed_documents(docs: DataFrame, stored: DataFrame, cache: DataFrame, model:
     parts = store.kept(chunk(new, strategy).withColumn("content_hash", content_hash(model, F.col("text"))))
     made = embed_missing(parts.select("text"), cache, model, dimension, embedder).withColumn("cached", F.lit(False))
     known = cache.select("content_hash", "embedding").dropDuplicates(["content_hash"]).withColumn("cached", F.lit(True))
-    return parts.join(made.unionByName(known), "content_hash").select("chunk_id", "doc_id", "chunk_index", "text", "content_hash", "embedding", "cached")
+    return parts.join(made.unionByName(known), "content_hash").select(
+        "chunk_id", "doc_id", "chunk_index", "text", "content_hash", "embedding", "cached"
+    )
 
 
 def of_document(docs: DataFrame, doc_id: int, **how) -> DataFrame:

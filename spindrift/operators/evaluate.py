@@ -23,7 +23,10 @@ def per_query(results: DataFrame, judged: DataFrame, ks: tuple[int, ...] = KS) -
     rows = rows.withColumn("n", F.count("rank").over(so_far))
     hits = lambda k: F.count(F.when(F.col("rank") <= k, 1))
     gain = lambda g, r: g / F.log2(r + F.lit(1.0))
-    aggs = [F.first("relevant").alias("relevant"), F.coalesce(F.lit(1.0) / F.min("rank"), F.lit(0.0)).alias("mrr"), (F.coalesce(F.sum(F.col("n") / F.col("rank")), F.lit(0.0)) / F.first("relevant")).alias("map")]
+    aggs = [
+        F.first("relevant").alias("relevant"), F.coalesce(F.lit(1.0) / F.min("rank"), F.lit(0.0)).alias("mrr"),
+        (F.coalesce(F.sum(F.col("n") / F.col("rank")), F.lit(0.0)) / F.first("relevant")).alias("map")
+    ]
     aggs += [(hits(k) / F.lit(k)).alias(f"precision_{k}") for k in ks] + [(hits(k) / F.first("relevant")).alias(f"recall_{k}") for k in ks]
     aggs += [F.coalesce(F.sum(F.when(F.col("rank") <= k, gain(F.col("grade"), F.col("rank")))), F.lit(0.0)).alias(f"dcg_{k}") for k in ks]
     got = rows.groupBy("system", "query_id").agg(*aggs)
@@ -31,7 +34,13 @@ def per_query(results: DataFrame, judged: DataFrame, ks: tuple[int, ...] = KS) -
     ideal = judged.where("grade > 0").withColumn("i", F.row_number().over(best))
     ideal = ideal.groupBy("query_id").agg(*[F.sum(F.when(F.col("i") <= k, gain(F.col("grade"), F.col("i")))).alias(f"ideal_{k}") for k in ks])
     both = got.join(ideal, "query_id")
-    return both.select("system", "query_id", "mrr", "map", *[c for k in ks for c in (f"precision_{k}", f"recall_{k}", F.when(F.col(f"ideal_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).otherwise(0.0).alias(f"ndcg_{k}"))])
+    return both.select(
+        "system", "query_id", "mrr", "map",
+        *[c for k in ks for c in (
+            f"precision_{k}", f"recall_{k}",
+            F.when(F.col(f"ideal_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).otherwise(0.0).alias(f"ndcg_{k}")
+        )]
+    )
 
 
 def metrics(ks: tuple[int, ...] = KS) -> list[str]:
@@ -45,17 +54,23 @@ def aggregate(results: DataFrame, judged: DataFrame, ks: tuple[int, ...] = KS) -
 
 def table(results: DataFrame, judged: DataFrame, ks: tuple[int, ...] = KS, systems: list[str] | None = None) -> DataFrame:
     """metric x system."""
-    long = aggregate(results, judged, ks).select("system", F.explode(F.create_map(*[x for m in metrics(ks) for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+    long = aggregate(results, judged, ks).select(
+        "system", F.explode(F.create_map(*[x for m in metrics(ks) for x in (F.lit(m), F.col(m))])).alias("metric", "value")
+    )
     return long.groupBy("metric").pivot("system", systems).agg(F.first("value"))
 
 
 def save(run: str, results: DataFrame, judged: DataFrame, path: str) -> None:
     """Adds the means of a run's systems to an experiment log: run, system, metric, value."""
-    long = aggregate(results, judged).select(F.lit(run).alias("run"), "system", F.explode(F.create_map(*[x for m in metrics() for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+    long = aggregate(results, judged).select(
+        F.lit(run).alias("run"), "system", F.explode(F.create_map(*[x for m in metrics() for x in (F.lit(m), F.col(m))])).alias("metric", "value")
+    )
     long.write.mode("append").parquet(path)
 
 
 def compare(log: DataFrame, first: str, second: str) -> DataFrame:
     """system, metric, before, after, difference of two runs of a log."""
     a, b = (log.where(F.col("run") == r).select("system", "metric", F.col("value").alias(n)) for r, n in ((first, "before"), (second, "after")))
-    return a.join(b, ["system", "metric"], "full_outer").select("system", "metric", "before", "after", F.round(F.col("after") - F.col("before"), 4).alias("difference"))
+    return a.join(b, ["system", "metric"], "full_outer").select(
+        "system", "metric", "before", "after", F.round(F.col("after") - F.col("before"), 4).alias("difference")
+    )

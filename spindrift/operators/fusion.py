@@ -56,7 +56,9 @@ def borda(lists: DataFrame, k: int | None = None) -> DataFrame:
     return _ordered(lists.withColumn("p", (n - F.col("rank")).cast("double")).groupBy("query_id", "doc_id").agg(F.sum("p").alias("score")), k)
 
 
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {"rrf": rrf, "combsum": combsum, "combmnz": combmnz, "weighted": weighted, "borda": borda, "linear": linear}
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {
+    "rrf": rrf, "combsum": combsum, "combmnz": combmnz, "weighted": weighted, "borda": borda, "linear": linear
+}
 
 
 def compare(lists: DataFrame, k: int = 10) -> DataFrame:
@@ -71,7 +73,9 @@ def compare(lists: DataFrame, k: int = 10) -> DataFrame:
 def hybrid(lexical: DataFrame, semantic: DataFrame, k: int = 10, strategy: str = "rrf", pool: int | None = None) -> DataFrame:
     """query_id, doc_id, score, rank, lexical_rank, semantic_rank: the first 2k (or `pool`) of both lists fused."""
     n = pool or 2 * k
-    cut = [x.where(F.col("rank") <= n).select("query_id", "doc_id", "score", "rank", F.lit(i).alias("list_id")) for i, x in ((1, lexical), (2, semantic))]
+    cut = [
+        x.where(F.col("rank") <= n).select("query_id", "doc_id", "score", "rank", F.lit(i).alias("list_id")) for i, x in ((1, lexical), (2, semantic))
+    ]
     fused = STRATEGIES[strategy](cut[0].unionByName(cut[1]), k)
     for x, name in zip(cut, ("lexical_rank", "semantic_rank")):
         fused = fused.join(x.select("query_id", "doc_id", F.col("rank").alias(name)), ["query_id", "doc_id"], "left")

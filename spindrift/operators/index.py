@@ -18,8 +18,12 @@ def with_counts(corpus: DataFrame) -> DataFrame:
 
 def occurrences(corpus: DataFrame, *more: str) -> DataFrame:
     """doc_id, the columns asked for, field, pos, term of every indexed token of title and body."""
-    fields = F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("body").alias("field"), F.col("body").alias("text")))
-    return T.positions(corpus.select("doc_id", *more, F.explode(fields).alias("f")).select("doc_id", *more, "f.field", "f.text"), "text", "doc_id", *more, "field")
+    fields = F.array(
+        F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("body").alias("field"), F.col("body").alias("text"))
+    )
+    return T.positions(
+        corpus.select("doc_id", *more, F.explode(fields).alias("f")).select("doc_id", *more, "f.field", "f.text"), "text", "doc_id", *more, "field"
+    )
 
 
 def postings(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -117,7 +121,9 @@ class Index:
         counted = with_counts(corpus)
         part = F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")
         rows = occurrences(counted, "word_count").withColumns({"bucket": bucket(F.col("term"), buckets), "part": part}).repartition(buckets * spread, "bucket", "part")
-        posts = rows.groupBy("bucket", "part", "term", "doc_id", "field", "word_count").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        posts = rows.groupBy("bucket", "part", "term", "doc_id", "field", "word_count").agg(
+            F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
+        )
         posts.drop("part").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         n, avgdl = counted.agg(F.count("*"), F.coalesce(F.avg("word_count"), F.lit(0.0))).first()
         posts = _read(spark, f"{path}/postings", "word_count int, term string, doc_id long, field string, tf long, positions array<int>, bucket int")

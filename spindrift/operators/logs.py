@@ -32,7 +32,10 @@ def count_where(rows: DataFrame, **equal) -> DataFrame:
 
 
 def query_rollup(searches: DataFrame) -> DataFrame:
-    return searches.groupBy("query").agg(F.count("*").alias("total"), F.round(F.avg("results_count"), 4).alias("avg_results"), F.round(F.avg("latency_ms"), 4).alias("avg_latency"), F.count(F.when(F.col("results_count") == 0, 1)).alias("zero_results"), F.max("ts").alias("last_searched"))
+    return searches.groupBy("query").agg(
+        F.count("*").alias("total"), F.round(F.avg("results_count"), 4).alias("avg_results"), F.round(F.avg("latency_ms"), 4).alias("avg_latency"),
+        F.count(F.when(F.col("results_count") == 0, 1)).alias("zero_results"), F.max("ts").alias("last_searched")
+    )
 
 
 def top_queries(searches: DataFrame, n: int = 10) -> DataFrame:
@@ -40,7 +43,9 @@ def top_queries(searches: DataFrame, n: int = 10) -> DataFrame:
 
 
 def failed_queries(searches: DataFrame, n: int = 10) -> DataFrame:
-    got = query_rollup(searches).where("zero_results > 0").select("query", "total", "zero_results", F.round(F.col("zero_results") / F.col("total"), 4).alias("failure_rate"))
+    got = query_rollup(searches).where("zero_results > 0").select(
+        "query", "total", "zero_results", F.round(F.col("zero_results") / F.col("total"), 4).alias("failure_rate")
+    )
     return got.orderBy(F.desc("zero_results"), "query").limit(n)
 
 
@@ -59,7 +64,9 @@ def click_through(searches: DataFrame, clicks: DataFrame) -> DataFrame:
     """ctr: sessions' queries that were clicked, of those searched."""
     s = searches.select("session_id", "query").distinct()
     hit = s.join(clicks.select("session_id", "query").distinct(), ["session_id", "query"], "left_semi").agg(F.count("*").alias("clicked"))
-    return s.agg(F.count("*").alias("searched")).crossJoin(hit).select(F.round(F.when(F.col("searched") > 0, F.col("clicked") / F.col("searched")).otherwise(0.0), 4).alias("ctr"))
+    return s.agg(F.count("*").alias("searched")).crossJoin(hit).select(F.round(
+        F.when(F.col("searched") > 0, F.col("clicked") / F.col("searched")).otherwise(0.0), 4
+    ).alias("ctr"))
 
 
 def click_position(clicks: DataFrame) -> DataFrame:
@@ -67,7 +74,10 @@ def click_position(clicks: DataFrame) -> DataFrame:
 
 
 def dashboard(searches: DataFrame, clicks: DataFrame) -> dict[str, DataFrame]:
-    return {"ctr": click_through(searches, clicks), "avg_click_position": click_position(clicks), "top_queries": top_queries(searches), "failed_queries": failed_queries(searches), "volume": search_volume(searches)}
+    return {
+        "ctr": click_through(searches, clicks), "avg_click_position": click_position(clicks), "top_queries": top_queries(searches),
+        "failed_queries": failed_queries(searches), "volume": search_volume(searches)
+    }
 
 
 # -- cost: rows (ts, category, tenant_id, provider, cost_usd)
@@ -87,8 +97,12 @@ def split_cost(calls: DataFrame) -> DataFrame:
     share = lambda c: F.when(n > 0, F.col(c) / n).otherwise(0.5)
     # Halves of a cost of six places are halves of the last place as well: both engines must round them alike.
     six = lambda x: F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
-    part = lambda name, c: F.struct(F.lit(name).alias("category"), F.col(c).cast("double").alias("units"), six(F.col("cost_usd") * share(c)).alias("cost_usd"))
-    return calls.select("call_id", F.explode(F.array(part("llm_input", "input_tokens"), part("llm_output", "output_tokens"))).alias("x")).select("call_id", "x.*")
+    part = lambda name, c: F.struct(
+        F.lit(name).alias("category"), F.col(c).cast("double").alias("units"), six(F.col("cost_usd") * share(c)).alias("cost_usd")
+    )
+    return calls.select(
+        "call_id", F.explode(F.array(part("llm_input", "input_tokens"), part("llm_output", "output_tokens"))).alias("x")
+    ).select("call_id", "x.*")
 
 
 def cheapest(prices: DataFrame, tier: int) -> DataFrame:
@@ -101,16 +115,23 @@ def cost_summary(costs: DataFrame) -> DataFrame:
         F.grouping_id().alias("g"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
     name = F.when(F.col("g") == 3, "category").when(F.col("g") == 5, "tenant").when(F.col("g") == 6, "provider").otherwise("total")
-    return got.select(name.alias("dimension"), F.coalesce("category", "tenant_id", "provider", F.lit("")).alias("value"), "cost_usd", "n", "first", "last")
+    return got.select(
+        name.alias("dimension"), F.coalesce("category", "tenant_id", "provider", F.lit("")).alias("value"), "cost_usd", "n", "first", "last"
+    )
 
 
 def in_period(costs: DataFrame, hours: int, now: str) -> DataFrame:
-    return costs.where((F.col("ts") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") <= F.lit(now).cast("timestamp")))
+    return costs.where(
+        (F.col("ts") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") <= F.lit(now).cast("timestamp"))
+    )
 
 
 def budget_status(costs: DataFrame, budget: float, hours: int, now: str) -> DataFrame:
     spent = in_period(costs, hours, now).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent"))
-    return spent.select(F.round("spent", 6).alias("spent"), F.lit(budget).alias("budget"), F.round(F.col("spent") / budget * 100, 2).alias("percentage"), (F.col("spent") >= budget).alias("over"))
+    return spent.select(
+        F.round("spent", 6).alias("spent"), F.lit(budget).alias("budget"), F.round(F.col("spent") / budget * 100, 2).alias("percentage"),
+        (F.col("spent") >= budget).alias("over")
+    )
 
 
 # -- tenancy
@@ -138,7 +159,9 @@ def visible(rows: DataFrame, tenant: str, source: str = "source") -> DataFrame:
 
 def quota_check(usage: DataFrame, quotas: DataFrame) -> DataFrame:
     """tenant_id, resource, used, allowed (used < most; without a quota it is)."""
-    return usage.join(quotas, ["tenant_id", "resource"], "left").select("tenant_id", "resource", "used", F.coalesce(F.col("used") < F.col("most"), F.lit(True)).alias("allowed"))
+    return usage.join(quotas, ["tenant_id", "resource"], "left").select(
+        "tenant_id", "resource", "used", F.coalesce(F.col("used") < F.col("most"), F.lit(True)).alias("allowed")
+    )
 
 
 # -- limits
@@ -194,11 +217,19 @@ def percentiles(rows: DataFrame, by: str, value: str, exact: bool = True, parts:
     name = {p: f"p{round(p * 100)}" for p in RANKS}
     if not exact:
         sketch = [F.round(F.percentile_approx(value, p), 2).alias(n) for p, n in name.items()]
-        return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 2).alias("mean"), *sketch, F.round(F.min(value), 2).alias("min"), F.round(F.max(value), 2).alias("max"))
+        return rows.groupBy(by).agg(
+            F.count("*").alias("n"), F.round(F.avg(value), 2).alias("mean"), *sketch, F.round(F.min(value), 2).alias("min"),
+            F.round(F.max(value), 2).alias("max")
+        )
     bounds = _cuts(rows, value, parts)
     per = rows.groupBy(by, value).agg(F.count("*").alias("c")).withColumn("part", F.size(F.filter(bounds, lambda c: c < F.col(value))))
-    sums = per.groupBy(by, "part").agg(F.sum("c").alias("m"), F.sum(F.col(value) * F.col("c")).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
-    all_ = sums.groupBy(by).agg(F.sum("m").alias("n"), F.round(F.sum("total") / F.sum("m"), 2).alias("mean"), F.round(F.min("low"), 2).alias("min"), F.round(F.max("high"), 2).alias("max"))
+    sums = per.groupBy(by, "part").agg(
+        F.sum("c").alias("m"), F.sum(F.col(value) * F.col("c")).alias("total"), F.min(value).alias("low"), F.max(value).alias("high")
+    )
+    all_ = sums.groupBy(by).agg(
+        F.sum("m").alias("n"), F.round(F.sum("total") / F.sum("m"), 2).alias("mean"), F.round(F.min("low"), 2).alias("min"),
+        F.round(F.max("high"), 2).alias("max")
+    )
     before = F.coalesce(F.sum("m").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.floor(F.col("n") * F.lit(p)).alias("at")) for p, n in name.items()]))
     wanted = all_.select(by, ranks.alias("r")).select(by, "r.name", "r.at")
@@ -230,7 +261,9 @@ def registry(beats: DataFrame, now: str, stale_s: int) -> DataFrame:
     last = beats.groupBy("service", "instance").agg(F.max_by(F.struct("ts", "draining"), "ts").alias("b"))
     stale = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("b.ts") > stale_s
     gone = stale & ~F.col("b.draining")
-    return last.groupBy("service").agg(F.count("*").alias("instances"), F.count(F.when(~stale, 1)).alias("healthy"), F.count(F.when(gone, 1)).alias("evicted"))
+    return last.groupBy("service").agg(
+        F.count("*").alias("instances"), F.count(F.when(~stale, 1)).alias("healthy"), F.count(F.when(gone, 1)).alias("evicted")
+    )
 
 
 def breaker(calls: DataFrame, failures: int = 5, wait_s: float = 30.0) -> DataFrame:
@@ -261,7 +294,9 @@ def breaker(calls: DataFrame, failures: int = 5, wait_s: float = 30.0) -> DataFr
 
     rows = calls.select("event_id", "service", F.col("ts").cast("double").alias("t"), "ok")
     kind = dict(rows.dtypes)["service"]
-    return rows.repartition("service").sortWithinPartitions("service", "t", "event_id").mapInPandas(ordered, f"event_id long, service {kind}, state string, allowed boolean")
+    return rows.repartition("service").sortWithinPartitions("service", "t", "event_id").mapInPandas(
+        ordered, f"event_id long, service {kind}, state string, allowed boolean"
+    )
 
 
 def health(beats: DataFrame, now: str, stale_s: int) -> DataFrame:
@@ -288,7 +323,10 @@ def numbered(rows: DataFrame, by: str, name: str = "number", parts: int = 256) -
 
 
 def call_stats(calls: DataFrame, by: str) -> DataFrame:
-    return calls.groupBy(by).agg(F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("failures"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("success_rate"), F.round(F.avg("ms"), 4).alias("mean_ms"))
+    return calls.groupBy(by).agg(
+        F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("failures"),
+        F.round(F.avg(F.col("ok").cast("int")), 4).alias("success_rate"), F.round(F.avg("ms"), 4).alias("mean_ms")
+    )
 
 
 def sessions(activity: DataFrame, gap: str = "1 hour", client: str = "session_id") -> DataFrame:
@@ -299,7 +337,10 @@ def sessions(activity: DataFrame, gap: str = "1 hour", client: str = "session_id
 
 def spans(trace: DataFrame) -> DataFrame:
     """trace_id, n_spans, duration_ms, errors of spans (trace_id, start_ms, end_ms, error)."""
-    return trace.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.round(F.max("end_ms") - F.min("start_ms"), 4).alias("duration_ms"), F.count(F.when(F.col("error"), 1)).alias("errors"))
+    return trace.groupBy("trace_id").agg(
+        F.count("*").alias("n_spans"), F.round(F.max("end_ms") - F.min("start_ms"), 4).alias("duration_ms"),
+        F.count(F.when(F.col("error"), 1)).alias("errors")
+    )
 
 
 def retry_delay(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:
@@ -314,7 +355,9 @@ ROLES = {
     "indexer": ("search:read", "index:write"),
     "operator": ("search:read", "index:write", "index:delete", "crawl:write", "analytics:read"),
     "agent_user": ("search:read", "agents:read", "agents:write"),
-    "admin": ("search:read", "index:write", "index:delete", "crawl:write", "analytics:read", "agents:read", "agents:write", "tenants:manage", "admin:*"),
+    "admin": (
+        "search:read", "index:write", "index:delete", "crawl:write", "analytics:read", "agents:read", "agents:write", "tenants:manage", "admin:*"
+    ),
 }
 
 
@@ -328,9 +371,17 @@ def permissions(users: DataFrame) -> DataFrame:
 def endpoint_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """path, rule: the exact rule (pattern, rule), else that of the longest pattern ending in / that the path begins with,
     else "authenticated"."""
-    keys = F.concat(F.array("path"), F.filter(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring("path", F.lit(1), n)), lambda p: p.endswith("/") & (p != F.col("path"))))
+    keys = F.concat(
+        F.array("path"),
+        F.filter(
+            F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring("path", F.lit(1), n)),
+            lambda p: p.endswith("/") & (p != F.col("path"))
+        )
+    )
     got = requests.select("path").distinct().select("path", F.explode(keys).alias("pattern")).join(rules, "pattern")
-    best = got.groupBy("path").agg(F.max_by("rule", F.when(F.col("pattern") == F.col("path"), 1_000_000).otherwise(F.length("pattern"))).alias("rule"))
+    best = got.groupBy("path").agg(F.max_by(
+        "rule", F.when(F.col("pattern") == F.col("path"), 1_000_000).otherwise(F.length("pattern"))
+    ).alias("rule"))
     return requests.join(best, "path", "left").select(*requests.columns, F.coalesce("rule", F.lit("authenticated")).alias("rule"))
 
 

@@ -51,7 +51,9 @@ def diversify(chunks: DataFrame, k: int = CHUNKS, same: float = SAME, mix: float
         out.insert(2, "dropped", dropped / len(g) if len(g) else 0.0)
         return out
 
-    return chunks.select("query_id", "doc_id", "title", "text", "score").groupBy("query_id").applyInPandas(run, "query_id long, place int, dropped double, doc_id long, title string, text string, score double")
+    return chunks.select("query_id", "doc_id", "title", "text", "score").groupBy("query_id").applyInPandas(
+        run, "query_id long, place int, dropped double, doc_id long, title string, text string, score double"
+    )
 
 
 def in_budget(placed: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -70,7 +72,10 @@ def build_context(chunks: DataFrame, budget: int = BUDGET, least: float = LEAST,
 def context_stats(context: DataFrame) -> DataFrame:
     """query_id, n_chunks, total_tokens, n_sources, diversity and redundancy (if `dropped` is there)."""
     red = F.round(F.max("dropped"), 3) if "dropped" in context.columns else F.lit(0.0)
-    return context.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("total_tokens"), F.countDistinct("doc_id").alias("n_sources"), F.round(F.countDistinct("doc_id") / F.count("*"), 3).alias("diversity"), red.alias("redundancy"))
+    return context.groupBy("query_id").agg(
+        F.count("*").alias("n_chunks"), F.sum("tokens").alias("total_tokens"), F.countDistinct("doc_id").alias("n_sources"),
+        F.round(F.countDistinct("doc_id") / F.count("*"), 3).alias("diversity"), red.alias("redundancy")
+    )
 
 
 def _in_order(value: Column, by: str) -> Column:
@@ -79,7 +84,10 @@ def _in_order(value: Column, by: str) -> Column:
 
 def assemble(context: DataFrame) -> DataFrame:
     """query_id, context: numbered blocks."""
-    block = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "title", F.lit(" (doc_id="), F.col("doc_id").cast("string"), F.lit(")\n"), F.trim("text"))
+    block = F.concat(
+        F.lit("["), F.col("place").cast("string"), F.lit("] "), "title", F.lit(" (doc_id="), F.col("doc_id").cast("string"), F.lit(")\n"),
+        F.trim("text")
+    )
     return context.groupBy("query_id").agg(F.array_join(_in_order(block, "place"), "\n\n").alias("context"))
 
 
@@ -87,12 +95,30 @@ def assemble(context: DataFrame) -> DataFrame:
 
 #: name: (version, system, user). The user part takes {history}, {context} and {question}.
 PROMPTS = {
-    "qa": ("1.0", "Answer from the numbered context only, cite it as [1], [2], and say so if it doesn't hold the answer.", "{history}Context:\n{context}\n\nQuestion: {question}\nAnswer:"),
-    "research": ("1.0", "Bring the numbered sources together into a structured answer; cite each claim; name gaps and contradictions.", "{history}Sources:\n{context}\n\nResearch question: {question}\nFindings:"),
-    "summarization": ("1.0", "Sum up the numbered sources in a few sentences, with nothing that they don't say.", "{history}Text:\n{context}\n\nSum up for: {question}\nSummary:"),
-    "documentation": ("1.0", "Write reference documentation from the numbered sources, with steps and examples, each cited.", "{history}Material:\n{context}\n\nTopic: {question}\nDocumentation:"),
-    "comparison": ("1.0", "Compare the subjects point by point on the numbered sources; cite each point.", "{history}Sources:\n{context}\n\nCompare: {question}\nComparison:"),
-    "troubleshooting": ("1.0", "Give likely causes, then steps to a fix, from the numbered sources only.", "{history}Known issues:\n{context}\n\nProblem: {question}\nDiagnosis and steps:"),
+    "qa": (
+        "1.0", "Answer from the numbered context only, cite it as [1], [2], and say so if it doesn't hold the answer.",
+        "{history}Context:\n{context}\n\nQuestion: {question}\nAnswer:"
+    ),
+    "research": (
+        "1.0", "Bring the numbered sources together into a structured answer; cite each claim; name gaps and contradictions.",
+        "{history}Sources:\n{context}\n\nResearch question: {question}\nFindings:"
+    ),
+    "summarization": (
+        "1.0", "Sum up the numbered sources in a few sentences, with nothing that they don't say.",
+        "{history}Text:\n{context}\n\nSum up for: {question}\nSummary:"
+    ),
+    "documentation": (
+        "1.0", "Write reference documentation from the numbered sources, with steps and examples, each cited.",
+        "{history}Material:\n{context}\n\nTopic: {question}\nDocumentation:"
+    ),
+    "comparison": (
+        "1.0", "Compare the subjects point by point on the numbered sources; cite each point.",
+        "{history}Sources:\n{context}\n\nCompare: {question}\nComparison:"
+    ),
+    "troubleshooting": (
+        "1.0", "Give likely causes, then steps to a fix, from the numbered sources only.",
+        "{history}Known issues:\n{context}\n\nProblem: {question}\nDiagnosis and steps:"
+    ),
 }
 
 
@@ -130,7 +156,9 @@ def cite(answers: DataFrame, context: DataFrame, style: str = "numbered", least:
     best = _best(_sentences(answers), context, T.token_set, T.jaccard).join(context.select("query_id", "place", "title"), ["query_id", "place"])
     mark = F.concat(F.lit(" ["), F.col("place").cast("string"), F.lit("]")) if style == "numbered" else F.concat(F.lit(" (Source: "), "title", F.lit(")"))
     said = F.when(F.col("best") >= least, F.concat(F.rtrim("sentence"), mark)).otherwise(F.col("sentence"))
-    return best.groupBy("query_id").agg(F.array_join(_in_order(said, "i"), " ").alias("annotated"), F.count(F.when(F.col("best") >= least, 1)).alias("n_cited"))
+    return best.groupBy("query_id").agg(
+        F.array_join(_in_order(said, "i"), " ").alias("annotated"), F.count(F.when(F.col("best") >= least, 1)).alias("n_cited")
+    )
 
 
 def references(context: DataFrame, chars: int = 100) -> DataFrame:
@@ -151,7 +179,9 @@ def ground(answers: DataFrame, context: DataFrame, **how) -> DataFrame:
     # Support has four places: its mean is made of whole numbers, so the order of summing can't tip a rounding.
     whole = F.sum(F.round(F.col("support") * 10_000).cast("long"))
     mean = F.floor((2 * whole + F.count("*")) / (2 * F.count("*"))) / 10_000
-    per = claims(answers, context, **how).groupBy("query_id").agg(mean.alias("g"), F.avg(F.col("supported").cast("int")).alias("s"), F.count("*").alias("n_claims"))
+    per = claims(answers, context, **how).groupBy("query_id").agg(
+        mean.alias("g"), F.avg(F.col("supported").cast("int")).alias("s"), F.count("*").alias("n_claims")
+    )
     out = answers.select("query_id").join(per, "query_id", "left").fillna(0.0, ["g", "s"]).fillna(0, ["n_claims"])
     risk = F.when(F.col("g") >= 0.5, "low").when(F.col("g") >= 0.25, "medium").otherwise("high")
     return out.select("query_id", F.col("g").alias("grounding_score"), F.round("s", 4).alias("support_score"), "n_claims", risk.alias("risk"))
@@ -186,18 +216,39 @@ def confidence(context: DataFrame, stats: DataFrame, grounding: DataFrame, cited
     cites = cited.select("query_id", F.when(F.size(parts) > 0, marked / F.size(parts)).otherwise(0.0).alias("k"))
     both = retrieval.join(stats, "query_id").join(grounding, "query_id").join(cites, "query_id")
     c = (F.col("diversity") + (F.lit(1.0) - F.col("redundancy"))) / 2
-    overall = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(weights[0]) * F.col("r") + F.lit(weights[1]) * c + F.lit(weights[2]) * F.col("grounding_score") + F.lit(weights[3]) * F.col("k"))), 4)
-    out = both.select("query_id", F.round("r", 4).alias("retrieval_confidence"), F.round(c, 4).alias("context_confidence"), F.col("grounding_score").alias("grounding_confidence"), F.round("k", 4).alias("citation_confidence"), overall.alias("overall"))
+    overall = F.round(
+        F.least(
+            F.lit(1.0),
+            F.greatest(
+                F.lit(0.0),
+                F.lit(weights[0]) * F.col("r") + F.lit(weights[1]) * c + F.lit(weights[2]) * F.col("grounding_score") + F.lit(weights[3]) * F.col("k")
+            )
+        ),
+        4
+    )
+    out = both.select(
+        "query_id", F.round("r", 4).alias("retrieval_confidence"), F.round(c, 4).alias("context_confidence"),
+        F.col("grounding_score").alias("grounding_confidence"), F.round("k", 4).alias("citation_confidence"), overall.alias("overall")
+    )
     return out.withColumn("tier", F.when(F.col("overall") >= TIERS[0], "high").when(F.col("overall") >= TIERS[1], "medium").otherwise("low"))
 
 
-METRICS = {"faithfulness": 0.25, "groundedness": 0.20, "answer_relevance": 0.20, "context_precision": 0.10, "context_recall": 0.10, "citation_accuracy": 0.10, "response_completeness": 0.05}
+METRICS = {
+    "faithfulness": 0.25, "groundedness": 0.20, "answer_relevance": 0.20, "context_precision": 0.10, "context_recall": 0.10,
+    "citation_accuracy": 0.10, "response_completeness": 0.05
+}
 
 
 def rag_metrics(cases: DataFrame, context: DataFrame) -> DataFrame:
     """query_id, the seven metrics and overall_score of cases (query_id, query, answer, ground_truth, support_score)."""
-    texts = context.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(T.raw_tokens(F.concat_ws(" ", "title", "text"))))).alias("ctx"), F.collect_list(T.token_set(F.col("text"))).alias("sets"), F.max("place").alias("sources"))
-    c = cases.join(texts, "query_id").withColumns({"a": T.token_set(F.col("answer")), "q": T.token_set(F.col("query")), "t": T.token_set(F.when(F.coalesce("ground_truth", F.lit("")) != "", F.col("ground_truth")).otherwise(F.col("answer")))})
+    texts = context.groupBy("query_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(T.raw_tokens(F.concat_ws(" ", "title", "text"))))).alias("ctx"),
+        F.collect_list(T.token_set(F.col("text"))).alias("sets"), F.max("place").alias("sources")
+    )
+    c = cases.join(texts, "query_id").withColumns({
+        "a": T.token_set(F.col("answer")), "q": T.token_set(F.col("query")),
+        "t": T.token_set(F.when(F.coalesce("ground_truth", F.lit("")) != "", F.col("ground_truth")).otherwise(F.col("answer")))
+    })
     share = lambda x, y: F.round(F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(0.0), 4)
     near = F.size(F.filter("sets", lambda s: F.size(F.array_intersect(s, F.col("a"))) / F.greatest(F.size("a"), F.lit(1)) >= 0.05))
     tags = F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
@@ -209,7 +260,9 @@ def rag_metrics(cases: DataFrame, context: DataFrame) -> DataFrame:
         share(F.col("q"), F.col("a")).alias("answer_relevance"),
         F.round(F.when((F.size("a") > 0) & (F.size("sets") > 0), near / F.size("sets")).otherwise(0.0), 4).alias("context_precision"),
         share(F.col("t"), F.col("ctx")).alias("context_recall"),
-        F.round(F.when(F.size(tags) > 0, F.size(F.filter(tags, lambda x: (x >= 1) & (x <= F.col("sources")))) / F.size(tags)).otherwise(0.5), 4).alias("citation_accuracy"),
+        F.round(
+            F.when(F.size(tags) > 0, F.size(F.filter(tags, lambda x: (x >= 1) & (x <= F.col("sources")))) / F.size(tags)).otherwise(0.5), 4
+        ).alias("citation_accuracy"),
         F.round(F.when(n_q == 0, 1.0).otherwise(F.least(F.lit(1.0), n_a / (n_q * 3))), 4).alias("response_completeness"),
     )
     # Weights have two places and metrics four: whole numbers are summed up, so no rounding hangs on the order.
@@ -246,7 +299,15 @@ def summarise(messages: DataFrame, window: int = 8, at: int = 30, asked: int = 3
     w = Window.partitionBy("conv_id")
     rows = messages.select("conv_id", "turn", "role", "text", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy("turn")).alias("i"))
     old = rows.where((F.col("n") >= at) & (F.col("i") <= F.col("n") - window))
-    quotes = F.slice(F.filter(_in_order(F.when(F.col("role") == "user", F.concat(F.lit("  User asked: "), F.substring("text", 1, 100))), "turn"), lambda x: x.isNotNull()), 1, asked)
+    quotes = F.slice(
+        F.filter(
+            _in_order(F.when(F.col("role") == "user", F.concat(F.lit("  User asked: "), F.substring("text", 1, 100))), "turn"),
+            lambda x: x.isNotNull()
+        ),
+        1, asked
+    )
     head = F.concat(F.lit("[Earlier in this conversation ("), F.count("*").cast("string"), F.lit(" messages)]"))
-    summary = old.groupBy("conv_id").agg(F.array_join(F.concat(F.array(head), quotes), "\n").alias("text"), (F.min("turn") - 1).alias("turn")).select("conv_id", "turn", F.lit("system").alias("role"), "text")
+    summary = old.groupBy("conv_id").agg(
+        F.array_join(F.concat(F.array(head), quotes), "\n").alias("text"), (F.min("turn") - 1).alias("turn")
+    ).select("conv_id", "turn", F.lit("system").alias("role"), "text")
     return rows.where((F.col("n") < at) | (F.col("i") > F.col("n") - window)).select("conv_id", "turn", "role", "text").unionByName(summary)

@@ -56,7 +56,9 @@ def widened(ix: Index, queries: DataFrame, expanded: DataFrame, k: int = 10) ->
     """query_id, doc_id, score, rank: documents with a term of the query or of expanded (query_id, term), its synonyms, ranked
     by the query's own terms; what only a synonym finds has score 0."""
     both = queries.select("query_id", "term").unionByName(expanded.select("query_id", "term")).distinct()
-    found = ix.of_terms(ix.postings.select(*[c for c in ix.postings.columns if c in ("bucket", "term", "doc_id")]), both).select("query_id", "doc_id").distinct()
+    found = ix.of_terms(
+        ix.postings.select(*[c for c in ix.postings.columns if c in ("bucket", "term", "doc_id")]), both
+    ).select("query_id", "doc_id").distinct()
     scored = bm25_parts(ix, queries).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     rows = found.join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     return top_k(rows, k, "query_id")
@@ -83,12 +85,17 @@ def recency(created: Column, as_of: str) -> Column:
     return F.when(created.isNotNull(), F.exp(F.lit(-0.01) * age)).otherwise(0.5)
 
 
-def tuned(ix: Index, queries: DataFrame, as_of: str, clicks: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, k: int = 10, boosts: DataFrame | None = None) -> DataFrame:
+def tuned(
+    ix: Index, queries: DataFrame, as_of: str, clicks: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, k: int = 10,
+    boosts: DataFrame | None = None
+) -> DataFrame:
     """query_id, doc_id, bm25_score, title_score, recency_score, click_score, score, rank. clicks: doc_id, clicks; boosts:
     query_id, doc_id, boost, added to the score of who asks."""
     parts = bm25_parts(ix, queries)
     asked = queries.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    docs = parts.groupBy("query_id", "doc_id").agg(F.sum("score").alias("bm25"), F.sum((F.col("field") == "title").cast("int")).alias("hits")).join(asked, "query_id").join(ix.docs.select("doc_id", "created_at"), "doc_id")
+    docs = parts.groupBy("query_id", "doc_id").agg(
+        F.sum("score").alias("bm25"), F.sum((F.col("field") == "title").cast("int")).alias("hits")
+    ).join(asked, "query_id").join(ix.docs.select("doc_id", "created_at"), "doc_id")
     best = F.max("bm25").over(Window.partitionBy("query_id"))
     if clicks is None:
         docs = docs.withColumn("clicks", F.lit(0)).withColumn("most", F.lit(1))
@@ -128,4 +135,6 @@ def profile(searches: DataFrame, most: int = 100, clicks: DataFrame | None = Non
     if clicks is None:
         return out
     none = F.array().cast("array<string>")
-    return out.join(newest(clicks, "clicked"), "session_id", "full_outer").select("session_id", F.coalesce("history", none).alias("history"), F.coalesce("clicked", none).alias("clicked"))
+    return out.join(newest(clicks, "clicked"), "session_id", "full_outer").select(
+        "session_id", F.coalesce("history", none).alias("history"), F.coalesce("clicked", none).alias("clicked")
+    )

@@ -44,7 +44,9 @@ def batched(name: str, load: Callable[[], Callable[[list[str]], list[str]]], siz
     return Model(name, lambda prompt, best: run(prompt))
 
 
-def ask(queries: DataFrame, chunks: DataFrame, model: Model, template: str = "qa", history: DataFrame | None = None, budget: int = rag.BUDGET, **how) -> DataFrame:
+def ask(
+    queries: DataFrame, chunks: DataFrame, model: Model, template: str = "qa", history: DataFrame | None = None, budget: int = rag.BUDGET, **how
+) -> DataFrame:
     """query_id, model, answer (with citations), refs, n_chunks, prompt_tokens, grounding_score, risk, confidence, tier for each
     of the queries (query_id, query) that has a context; the others: no answer, no confidence.
 
@@ -56,10 +58,17 @@ def ask(queries: DataFrame, chunks: DataFrame, model: Model, template: str = "qa
     past = F.lit("") if history is None else F.coalesce("history", F.lit(""))
     rows = rows if history is None else rows.join(history, "query_id", "left")
     prompted = rows.select("query_id", "best", rag.render(template, F.col("context"), F.col("query"), past).alias("prompt"))
-    said = store.kept(prompted.select("query_id", model.count_tokens(F.col("prompt")).alias("prompt_tokens"), model.generate(F.col("prompt"), F.col("best")).alias("answer")))
+    said = store.kept(prompted.select(
+        "query_id", model.count_tokens(F.col("prompt")).alias("prompt_tokens"), model.generate(F.col("prompt"), F.col("best")).alias("answer")
+    ))
     cited, ground, stats = rag.cite(said, ctx), rag.ground(said, ctx), rag.context_stats(ctx)
     sure = rag.confidence(ctx, stats, ground, cited).select("query_id", F.col("overall").alias("confidence"), "tier")
-    out = queries.select("query_id").join(said.select("query_id", "prompt_tokens"), "query_id", "left").join(cited.select("query_id", F.col("annotated").alias("answer")), "query_id", "left")
+    out = queries.select("query_id").join(said.select("query_id", "prompt_tokens"), "query_id", "left").join(
+        cited.select("query_id", F.col("annotated").alias("answer")), "query_id", "left"
+    )
     for more in (rag.references(ctx), stats.select("query_id", "n_chunks"), ground.select("query_id", "grounding_score", "risk"), sure):
         out = out.join(more, "query_id", "left")
-    return out.select("query_id", F.lit(model.name).alias("model"), "answer", "refs", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "prompt_tokens", "grounding_score", "risk", "confidence", "tier")
+    return out.select(
+        "query_id", F.lit(model.name).alias("model"), "answer", "refs", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "prompt_tokens",
+        "grounding_score", "risk", "confidence", "tier"
+    )

@@ -192,7 +192,9 @@ def phrase(ix: Index, terms: tuple[str, ...], field: str | None = None) -> DataF
     mine = reduce(DataFrame.unionByName, [ix.posts(t) for t in sorted(set(terms))])
     places = F.create_map(*[x for t in sorted(set(terms)) for x in (F.lit(t), F.array(*[F.lit(i) for i, u in enumerate(terms) if u == t]))])
     rows = _field(mine, field).select("doc_id", "field", places[F.col("term")].alias("at"), F.explode("positions").alias("pos"))
-    starts = rows.select("doc_id", "field", "pos", F.explode("at").alias("i")).select("doc_id", "field", "i", (F.col("pos") - F.col("i")).alias("start"))
+    starts = rows.select("doc_id", "field", "pos", F.explode("at").alias("i")).select(
+        "doc_id", "field", "i", (F.col("pos") - F.col("i")).alias("start")
+    )
     return starts.groupBy("doc_id", "field", "start").agg(F.countDistinct("i").alias("n")).where(F.col("n") == len(terms)).select("doc_id", "field").distinct()
 
 

@@ -26,18 +26,26 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title (first line), body, source, created_at."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     created = F.timestamp_add("DAY", F.pmod("doc_id", F.lit(365)).cast("int"), F.lit("2024-01-01").cast("timestamp"))
-    return docs.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "source", created.alias("created_at"))
+    return docs.select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "source", created.alias("created_at")
+    )
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, session_id, event_type, value, query, position; ts is a TIMESTAMP, as watermarks need."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), "event_type", "value", F.concat(F.lit("q"), k.cast("string")).alias("query"), F.pmod(k, F.lit(10)).alias("position"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), "event_type", "value",
+        F.concat(F.lit("q"), k.cast("string")).alias("query"), F.pmod(k, F.lit(10)).alias("position")
+    )
 
 
 def searches(events: DataFrame) -> DataFrame:
     """Views are searches with results, errors such without."""
-    return events.where(F.col("event_type").isin("view", "error")).select("event_id", "ts", "session_id", "query", (F.col("event_type") == "view").cast("int").alias("results_count"), F.col("value").alias("latency_ms"))
+    return events.where(F.col("event_type").isin("view", "error")).select(
+        "event_id", "ts", "session_id", "query", (F.col("event_type") == "view").cast("int").alias("results_count"),
+        F.col("value").alias("latency_ms")
+    )
 
 
 def clicks(events: DataFrame) -> DataFrame:
@@ -46,7 +54,11 @@ def clicks(events: DataFrame) -> DataFrame:
 
 def cost_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"), F.concat(F.lit("t"), F.pmod("user_id", F.lit(5)).cast("string")).alias("tenant_id"), F.concat(F.lit("p"), F.pmod("user_id", F.lit(3)).cast("string")).alias("provider"), (F.col("value") / 1000).alias("cost_usd"))
+    return e.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"),
+        F.concat(F.lit("t"), F.pmod("user_id", F.lit(5)).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("p"), F.pmod("user_id", F.lit(3)).cast("string")).alias("provider"), (F.col("value") / 1000).alias("cost_usd")
+    )
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -74,15 +86,21 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_directory(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """title (file stem), content, source of all *.txt files that aren't blank and whose source isn't known."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_name").alias("name"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(
+        "value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_name").alias("name")
+    )
     new = files.where(F.trim("value") != "").select(F.regexp_replace("name", r"\.txt$", "").alias("title"), F.col("value").alias("content"), "source")
     return new if known is None else new.join(known.select("source"), "source", "left_anti")
 
 
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
     """query_id, query, doc_id, grade from a JSON array; documents without a grade have 1."""
-    read = spark.read.schema("query_id string, query string, relevant_doc_ids array<long>, relevance_scores map<string,double>").json(path, multiLine=True)
-    return read.select("query_id", "query", F.explode("relevant_doc_ids").alias("doc_id"), "relevance_scores").select("query_id", "query", "doc_id", F.coalesce(F.col("relevance_scores")[F.col("doc_id").cast("string")], F.lit(1.0)).alias("grade"))
+    read = spark.read.schema(
+        "query_id string, query string, relevant_doc_ids array<long>, relevance_scores map<string,double>"
+    ).json(path, multiLine=True)
+    return read.select("query_id", "query", F.explode("relevant_doc_ids").alias("doc_id"), "relevance_scores").select(
+        "query_id", "query", "doc_id", F.coalesce(F.col("relevance_scores")[F.col("doc_id").cast("string")], F.lit(1.0)).alias("grade")
+    )
 
 
 def synonyms(spark: SparkSession, path: str) -> DataFrame:

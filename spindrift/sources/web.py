@@ -34,10 +34,15 @@ def url_norm(url: Column) -> Column:
     number = F.when(port != "", F.try_to_number(port, F.lit("9" * 20)))
     plain = number.isNull() | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
     path = F.rtrim(F.when(part(4) == "", "/").otherwise(part(4)), F.lit("/"))
-    pair = lambda p: F.struct(_encoded(F.substring_index(p, "=", 1)).alias("k"), _encoded(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v"))
+    pair = lambda p: F.struct(
+        _encoded(F.substring_index(p, "=", 1)).alias("k"),
+        _encoded(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")
+    )
     pairs = F.sort_array(F.filter(F.transform(F.filter(F.split(part(5), "&"), lambda p: p != ""), pair), lambda p: ~F.lower(p["k"]).isin(*TRACKING)))
     query = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    shown = F.concat(scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), number.cast("string"))), F.when(path == "", "/").otherwise(path))
+    shown = F.concat(
+        scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), number.cast("string"))), F.when(path == "", "/").otherwise(path)
+    )
     valid = url.rlike(_URL) & (number.isNull() | (number <= 65_535))
     return F.when(valid, F.when(query == "", shown).otherwise(F.concat(shown, F.lit("?"), query)))
 
@@ -128,7 +133,10 @@ def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
     names it or all, up to the next such line."""
     line = F.posexplode(F.transform(F.split("content", r"\r?\n"), F.trim)).alias("i", "line")
     rows = files.select("host", line).where(~F.col("line").startswith("#") & F.col("line").contains(":"))
-    rows = rows.select("host", "i", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("value"))
+    rows = rows.select(
+        "host", "i", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"),
+        F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("value")
+    )
     before = Window.partitionBy("host").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     who = F.last(F.when(F.col("key") == "user-agent", F.lower("value")), ignorenulls=True).over(before)
     rows = rows.withColumn("who", who).where(F.col("who").isin("*", agent.lower()) & F.col("key").isin("allow", "disallow") & (F.col("value") != ""))
@@ -139,20 +147,32 @@ def robots_directives(files: DataFrame, agent: str = "*") -> DataFrame:
     """host, crawl_delay (seconds, null without one that is a number; the longest that holds for the agent), sitemaps."""
     line = F.posexplode(F.transform(F.split("content", r"\r?\n"), F.trim)).alias("i", "line")
     rows = files.select("host", line).where(~F.col("line").startswith("#") & F.col("line").contains(":"))
-    rows = rows.select("host", "i", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("value"))
+    rows = rows.select(
+        "host", "i", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"),
+        F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("value")
+    )
     before = Window.partitionBy("host").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     who = F.last(F.when(F.col("key") == "user-agent", F.lower("value")), ignorenulls=True).over(before)
     rows = rows.withColumn("who", who)
     delay = F.max(F.when((F.col("key") == "crawl-delay") & F.col("who").isin("*", agent.lower()), F.expr("try_cast(value AS double)")))
-    maps = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when((F.col("key") == "sitemap") & (F.col("value") != ""), F.struct("i", "value")))), lambda x: x["value"]))
-    return files.select("host").distinct().join(rows.groupBy("host").agg(delay.alias("crawl_delay"), maps.alias("sitemaps")), "host", "left").select("host", "crawl_delay", F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
+    maps = F.array_distinct(F.transform(
+        F.sort_array(F.collect_list(F.when((F.col("key") == "sitemap") & (F.col("value") != ""), F.struct("i", "value")))), lambda x: x["value"]
+    ))
+    return files.select("host").distinct().join(rows.groupBy("host").agg(delay.alias("crawl_delay"), maps.alias("sitemaps")), "host", "left").select(
+        "host", "crawl_delay", F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps")
+    )
 
 
 def robots_check(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, allowed by the longest rule that the path begins with; without one it is. Allow wins between equals."""
-    u = urls.select("url", domain(F.col("url")).alias("host"), F.coalesce(F.nullif(F.regexp_extract("url", r"^[^:]+://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/")).alias("p"))
+    u = urls.select(
+        "url", domain(F.col("url")).alias("host"),
+        F.coalesce(F.nullif(F.regexp_extract("url", r"^[^:]+://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/")).alias("p")
+    )
     # A path's prefixes are the keys of an equi-join, so a host's rules don't meet all of its URLs.
-    keyed = u.select("url", "host", F.explode(F.transform(F.sequence(F.lit(1), F.length("p")), lambda n: F.substring("p", F.lit(1), n))).alias("path"))
+    keyed = u.select(
+        "url", "host", F.explode(F.transform(F.sequence(F.lit(1), F.length("p")), lambda n: F.substring("p", F.lit(1), n))).alias("path")
+    )
     hit = keyed.join(rules, ["host", "path"]).groupBy("url").agg(F.max(F.struct(F.length("path").alias("n"), "allowed")).alias("m"))
     return u.select("url").distinct().join(hit, "url", "left").select("url", F.coalesce("m.allowed", F.lit(True)).alias("allowed"))
 
@@ -174,7 +194,9 @@ def next_batch(frontier: DataFrame, n: int) -> DataFrame:
 def enqueue(frontier: DataFrame, found: DataFrame, seen: DataFrame, most: int = 1_000_000) -> DataFrame:
     """The frontier (url, priority, seq, status) with the URLs found (url, priority, seq) that neither it nor seen (url) has, as
     pending; each at its smallest priority. Of pending ones the `most` first stay; what was taken or done does."""
-    own = found.groupBy("url").agg(F.min(F.struct("priority", "seq")).alias("x")).select("url", "x.priority", "x.seq", F.lit("pending").alias("status"))
+    own = found.groupBy("url").agg(F.min(F.struct("priority", "seq")).alias("x")).select(
+        "url", "x.priority", "x.seq", F.lit("pending").alias("status")
+    )
     new = own.join(seen.select("url"), "url", "left_anti").join(frontier.select("url"), "url", "left_anti")
     rows = frontier.select("url", "priority", "seq", "status").unionByName(new)
     pending = rows.where("status = 'pending'").orderBy("priority", "seq", "url").limit(most)

@@ -43,15 +43,23 @@ def events(spark: SparkSession, folder: str, ends: bool = False) -> DataFrame:
     raw = files(spark, folder, "events", EVENTS)
     if ends:
         at = work_dir(spark)
-        spark.createDataFrame([(END,)], "event_id long").selectExpr("event_id", "TIMESTAMP_NTZ '9000-01-01' AS ts", f"CAST({END} AS BIGINT) AS user_id", "'end' AS event_type", "0D AS value", "'{}' AS props").write.parquet(f"{at}/end.parquet")
+        spark.createDataFrame([(END,)], "event_id long").selectExpr(
+            "event_id", "TIMESTAMP_NTZ '9000-01-01' AS ts", f"CAST({END} AS BIGINT) AS user_id", "'end' AS event_type", "0D AS value", "'{}' AS props"
+        ).write.parquet(f"{at}/end.parquet")
         raw = raw.unionByName(files(spark, at, "end", EVENTS))
-    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), "event_type", "value", F.concat(F.lit("events."), "event_type").alias("topic")).withWatermark("ts", WATERMARK)
+    return raw.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), "event_type", "value",
+        F.concat(F.lit("events."), "event_type").alias("topic")
+    ).withWatermark("ts", WATERMARK)
 
 
 def kafka(spark: SparkSession, servers: str, topics: str, schema: str) -> DataFrame:
     """Events of a message bus: JSON values, malformed ones as nulls in `event`. Needs the Kafka package."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).load()
-    return raw.select(F.col("topic"), F.col("key").cast("string").alias("event_id"), F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE"}).alias("event"), "timestamp")
+    return raw.select(
+        F.col("topic"), F.col("key").cast("string").alias("event_id"),
+        F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE"}).alias("event"), "timestamp"
+    )
 
 
 def to_kafka(rows: DataFrame, servers: str, topic: str, checkpoint: str):
@@ -142,7 +150,9 @@ def rate_limit(stream: DataFrame, limit: int, seconds: float) -> DataFrame:
             yield pd.DataFrame({"event_id": ids[i : i + 10_000], "session_id": key[0], "accepted": out[i : i + 10_000]})
 
     rows = stream.select("event_id", "session_id", "ts", F.col("ts").cast("double").alias("t"))
-    return rows.groupBy("session_id").applyInPandasWithState(run, "event_id long, session_id long, accepted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(
+        run, "event_id long, session_id long, accepted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def unique(stream: DataFrame) -> DataFrame:

@@ -43,7 +43,11 @@ def test_completion(spark):
 
 @pytest.mark.parametrize(
     "query,intent,confidence",
-    [("python error fix", "troubleshooting", 0.9), ("github.com login", "navigational", 0.85), ("install python", "transactional", 0.65), ("python tutorial", "documentation", 0.65), ("survey of benchmark methods", "research", 0.7), ("recent ideas now", "research", 0.6), ("recent ideas", "informational", 0.5), ("what is python", "informational", 0.8), ("", "informational", 0.5)],
+    [
+        ("python error fix", "troubleshooting", 0.9), ("github.com login", "navigational", 0.85), ("install python", "transactional", 0.65),
+        ("python tutorial", "documentation", 0.65), ("survey of benchmark methods", "research", 0.7), ("recent ideas now", "research", 0.6),
+        ("recent ideas", "informational", 0.5), ("what is python", "informational", 0.8), ("", "informational", 0.5)
+    ],
 )
 def test_intents(spark, query, intent, confidence):
     r = assist.classify(spark.createDataFrame([(query,)], "query string")).first()
@@ -70,14 +74,18 @@ def test_spelling_with_stored_deletions(spark):
     v = spark.createDataFrame([("python",), ("pythons",), ("java",)], "term string")
     w = spark.createDataFrame([("pyton",), ("jaav",), ("zzz",)], "word string")
     plain = sorted(assist.corrections(w, v).collect())
-    assert plain == sorted(assist.corrections(w, v, rests=assist.deletions(v)).collect()) and {(r.word, r.term) for r in plain} == {("pyton", "python"), ("pyton", "pythons"), ("jaav", "java")}
+    assert plain == sorted(
+        assist.corrections(w, v, rests=assist.deletions(v)).collect()
+    ) and {(r.word, r.term) for r in plain} == {("pyton", "python"), ("pyton", "pythons"), ("jaav", "java")}
 
 
 def test_embedding_of_documents_skips_what_is_known(spark):
     import numpy as np
 
     d = spark.createDataFrame([(1, "one text"), (2, "two text"), (3, "one text"), (4, "four")], "doc_id long, text string")
-    cache = d.where("doc_id = 2").select(chunk.content_hash("mock", F.col("text")).alias("content_hash"), chunk.embed(4)(F.col("text")).alias("embedding"))
+    cache = d.where("doc_id = 2").select(
+        chunk.content_hash("mock", F.col("text")).alias("content_hash"), chunk.embed(4)(F.col("text")).alias("embedding")
+    )
     got = {r.doc_id: r for r in chunk.embed_documents(d, d.where("doc_id = 4"), cache, dimension=4).collect()}
     assert {i: r.cached for i, r in got.items()} == {1: False, 2: True, 3: False} and got[1].embedding == got[3].embedding and got[1].chunk_id == "1_0"
     e5 = chunk.model_embed(lambda: lambda texts: np.array([[len(t), 0.0] for t in texts]), "e5", query=True)
@@ -92,7 +100,9 @@ def test_decompose_and_sanitise(spark):
 
 
 def chunks(spark, f, text, **how):
-    return [(r.chunk_index, r.start_offset, r.end_offset, r.text) for r in f(spark.createDataFrame([(7, text)], "doc_id long, text string"), **how).orderBy("chunk_index").collect()]
+    return [(r.chunk_index, r.start_offset, r.end_offset, r.text) for r in f(
+        spark.createDataFrame([(7, text)], "doc_id long, text string"), **how
+    ).orderBy("chunk_index").collect()]
 
 
 def test_fixed_and_sliding(spark):

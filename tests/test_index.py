@@ -54,5 +54,8 @@ def test_a_query_reads_the_buckets_of_its_terms_alone(spark, corpus4, tmp_path,
 
 def test_similarity_and_sentences(spark):
     d = spark.createDataFrame([("a b c", "b c d", "One. Two! Three? four")], "x string, y string, z string")
-    r = d.select(T.jaccard(T.token_set(F.col("x")), T.token_set(F.col("y"))), T.jaccard(T.bigrams(F.col("x")), T.bigrams(F.col("y"))), T.jaccard(T.token_set(F.lit("")), T.token_set(F.col("x"))), T.sentences(F.col("z"))).first()
+    r = d.select(
+        T.jaccard(T.token_set(F.col("x")), T.token_set(F.col("y"))), T.jaccard(T.bigrams(F.col("x")), T.bigrams(F.col("y"))),
+        T.jaccard(T.token_set(F.lit("")), T.token_set(F.col("x"))), T.sentences(F.col("z"))
+    ).first()
     assert r[0] == 0.5 and abs(r[1] - 1 / 3) < 1e-12 and r[2] == 0.0 and r[3] == ["One.", "Two!", "Three?", "four"]

@@ -56,7 +56,13 @@ def test_results(find):
 
 
 def test_phrase_needs_adjacency_in_one_field(spark):
-    d = spark.createDataFrame([(1, "x", "machine learning is powerful", "s"), (2, "x", "machine is used for deep learning", "s"), (3, "learning", "machine vision applications machine", "s"), (4, "x", "go go go", "s")], "doc_id long, title string, body string, source string")
+    d = spark.createDataFrame(
+        [
+            (1, "x", "machine learning is powerful", "s"), (2, "x", "machine is used for deep learning", "s"),
+            (3, "learning", "machine vision applications machine", "s"), (4, "x", "go go go", "s")
+        ],
+        "doc_id long, title string, body string, source string"
+    )
     ix = index.Index.build(d)
     run = lambda q: sorted(r[0] for r in Q.evaluate(Q.parse(q), ix).collect())
     assert run('"machine learning"') == [1]

@@ -20,7 +20,9 @@ def test_bm25_parts(spark):
 
 
 def test_ranking_of_many_queries(spark, corpus4):
-    q = spark.createDataFrame([(1, 0, "python"), (1, 1, "python"), (1, 2, "learning"), (2, 0, "nothing"), (3, 0, "basics")], "query_id int, place int, term string")
+    q = spark.createDataFrame(
+        [(1, 0, "python"), (1, 1, "python"), (1, 2, "learning"), (2, 0, "nothing"), (3, 0, "basics")], "query_id int, place int, term string"
+    )
     ix = index.Index.build(corpus4)
     got = rank.bm25(ix, q, 10).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: (r.query_id, r.rank)) if r.query_id == 1] == [1, 3, 4]
@@ -65,7 +67,9 @@ def test_fusion_closed_forms(spark, lists):
 
 
 def test_metrics_closed_forms(spark):
-    got = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 1, 12, 3), ("b", 1, 99, 1)], "system string, query_id int, doc_id long, rank int")
+    got = spark.createDataFrame(
+        [("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 1, 12, 3), ("b", 1, 99, 1)], "system string, query_id int, doc_id long, rank int"
+    )
     judged = spark.createDataFrame([(1, 10, 1.0), (1, 12, 1.0), (2, 5, 1.0), (3, 6, 0.0)], "query_id int, doc_id long, grade double")
     r = {(x.system, x.query_id): x for x in evaluate.per_query(got, judged).collect()}
     a = r["a", 1]
@@ -85,7 +89,11 @@ def test_vector_search_filters_first_and_takes_blocks(spark, monkeypatch):
     for a in range(7):
         best = sorted((round(math.cos(a - b), 6), -b) for b, _, l in rows if l == 1 and round(math.cos(a - b), 6) >= 0)[::-1][:5]
         want[a] = [-b for _, b in best]
-    run = lambda: {a: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == a] for got in [vector.search(v, q, 5, where=F.col("label") == 1).collect()] for a in range(7)}
+    run = lambda: {
+        a: [
+            r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == a
+        ] for got in [vector.search(v, q, 5, where=F.col("label") == 1).collect()] for a in range(7)
+    }
     assert run() == want
     monkeypatch.setattr(vector, "BLOCK", 6)
     assert run() == want

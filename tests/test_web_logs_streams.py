@@ -39,16 +39,25 @@ def test_pages_and_robots(spark):
     html = "<html><head><title> T </title></head><body><nav>menu</nav><h1>H</h1><p>Hello <b>world</b></p><script>x</script><a href='/a#z'>a</a><a href='mailto:x'>m</a><a href='#t'>t</a></body>"
     assert web.read_page(html, "http://e.com/") == ("T", "T H Hello world a m t", ["http://e.com/a#z"])
     assert web.read_page("<h1>H</h1>")[0] == "H" and web.read_page(None) == ("Untitled", "", [])
-    files = spark.createDataFrame([("e.com", "# c\nUser-agent: *\nDisallow: /p\nAllow: /p/ok\n\nUser-agent: bot\nDisallow: /\nCrawl-delay: 2")], "host string, content string")
+    files = spark.createDataFrame(
+        [("e.com", "# c\nUser-agent: *\nDisallow: /p\nAllow: /p/ok\n\nUser-agent: bot\nDisallow: /\nCrawl-delay: 2")], "host string, content string"
+    )
     urls = spark.createDataFrame([(u,) for u in ("http://e.com/p/x", "http://e.com/p/ok/1", "http://e.com/", "http://f.com/p")], "url string")
     got = {r.url: r.allowed for r in web.robots_check(urls, web.robots_rules(files)).collect()}
     assert list(got[u] for u in ("http://e.com/p/x", "http://e.com/p/ok/1", "http://e.com/", "http://f.com/p")) == [False, True, True, True]
-    assert not any(r.allowed for r in web.robots_check(urls.where("url LIKE '%e.com%'"), web.robots_rules(files, "bot").where("path = '/'")).collect())
+    assert not any(r.allowed for r in web.robots_check(
+        urls.where("url LIKE '%e.com%'"), web.robots_rules(files, "bot").where("path = '/'")
+    ).collect())
 
 
 def test_robots_directives_and_frontier(spark):
-    files = spark.createDataFrame([("e.com", "User-agent: *\nCrawl-delay: 2\nSitemap: http://e.com/m\n\nUser-agent: bot\nCrawl-delay: 7\nCrawl-delay: x"), ("f.com", "")], "host string, content string")
-    assert {r.host: (r.crawl_delay, r.sitemaps) for r in web.robots_directives(files).collect()} == {"e.com": (2.0, ["http://e.com/m"]), "f.com": (None, [])}
+    files = spark.createDataFrame(
+        [("e.com", "User-agent: *\nCrawl-delay: 2\nSitemap: http://e.com/m\n\nUser-agent: bot\nCrawl-delay: 7\nCrawl-delay: x"), ("f.com", "")],
+        "host string, content string"
+    )
+    assert {
+        r.host: (r.crawl_delay, r.sitemaps) for r in web.robots_directives(files).collect()
+    } == {"e.com": (2.0, ["http://e.com/m"]), "f.com": (None, [])}
     assert web.robots_directives(files, "bot").where("host = 'e.com'").first().crawl_delay == 7.0
     row = "url string, priority long, seq long"
     held = spark.createDataFrame([("a", 1, 1, "done"), ("b", 5, 2, "pending")], f"{row}, status string")
@@ -65,7 +74,10 @@ def test_crawl_of_many_levels_has_a_short_plan(spark, capsys):
 
 
 def test_crawl_keeps_the_host_and_the_depth(spark):
-    links = spark.createDataFrame([("http://a/1", "http://a/2"), ("http://a/2", "http://a/3"), ("http://a/1", "http://b/1"), ("http://a/3", "http://a/1")], "src string, dst string")
+    links = spark.createDataFrame(
+        [("http://a/1", "http://a/2"), ("http://a/2", "http://a/3"), ("http://a/1", "http://b/1"), ("http://a/3", "http://a/1")],
+        "src string, dst string"
+    )
     root = spark.createDataFrame([("http://a/1",)], "url string")
     assert {(r.url, r.depth) for r in web.crawl(links, root, 5).collect()} == {("http://a/1", 0), ("http://a/2", 1), ("http://a/3", 2)}
     assert {r.url for r in web.crawl(links, root, 1, same_host=False).collect()} == {"http://a/1", "http://a/2", "http://b/1"}
@@ -100,7 +112,10 @@ def test_sliding_limit_batch_and_stream(spark, tmp_path):
     d = spark.createDataFrame(rows, "event_id long, session_id long, t double").withColumn("ts", F.timestamp_seconds("t"))
     want = sliding(rows, 4, 60.0)
     assert {r.event_id: r.accepted for r in logs.accepted_sliding(d, 4, 60.0).collect()} == want
-    ev = d.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("session_id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    ev = d.select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("session_id").alias("user_id"), F.lit("view").alias("event_type"),
+        F.lit(1.0).alias("value"), F.lit("{}").alias("props")
+    )
     ev.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = streams.drain(streams.rate_limit(streams.events(spark, str(tmp_path)), 4, 60.0))
     assert {r.event_id: r.accepted for r in got.collect()} == want
@@ -113,7 +128,9 @@ def test_percentiles_with_a_hot_group_and_ties(spark):
     for parts in (4, 256):
         for r in logs.percentiles(d, "k", "v", parts=parts).collect():
             s = sorted(v for k, v in rows if k == r.k)
-            assert (r.n, r.p50, r.p95, r.p99, r.min, r.max) == (len(s), *(round(s[int(len(s) * p)], 2) for p in (0.5, 0.95, 0.99)), round(s[0], 2), round(s[-1], 2))
+            assert (r.n, r.p50, r.p95, r.p99, r.min, r.max) == (
+                len(s), *(round(s[int(len(s) * p)], 2) for p in (0.5, 0.95, 0.99)), round(s[0], 2), round(s[-1], 2)
+            )
 
 
 def plain_breaker(rows, failures, wait):
@@ -139,7 +156,10 @@ def test_circuit_breaker(spark):
 
 def test_a_stream_in_update_mode_keeps_the_last_row_of_a_key(spark, tmp_path):
     for n in range(3):  # three files, a batch each
-        ev = spark.range(4).selectExpr(f"id + {10 * n} AS event_id", f"TIMESTAMP_NTZ '2024-01-01 0{n}:30:00' AS ts", "id % 2 AS user_id", "'view' AS event_type", "1D AS value", "'{}' AS props")
+        ev = spark.range(4).selectExpr(
+            f"id + {10 * n} AS event_id", f"TIMESTAMP_NTZ '2024-01-01 0{n}:30:00' AS ts", "id % 2 AS user_id", "'view' AS event_type", "1D AS value",
+            "'{}' AS props"
+        )
         ev.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     raw = streams.files(spark, str(tmp_path), "events", streams.EVENTS, per_batch=1)
     counts = raw.groupBy(F.col("user_id")).agg(F.count("*").alias("n"))
@@ -158,7 +178,9 @@ def test_log_operators(spark):
     d = spark.createDataFrame([("a", float(v)) for v in range(100)] + [("b", 5.0)], "k string, v double")
     p = {r.k: r for r in logs.percentiles(d, "k", "v").collect()}
     assert (p["a"].p50, p["a"].p95, p["a"].p99, p["a"].min, p["a"].max, p["b"].p99) == (50.0, 95.0, 99.0, 0.0, 99.0, 5.0)
-    assert [r.number for r in logs.numbered(spark.range(1000).withColumn("x", F.col("id") * 3), "x", parts=7).orderBy("x").collect()] == list(range(1, 1001))
+    assert [r.number for r in logs.numbered(
+        spark.range(1000).withColumn("x", F.col("id") * 3), "x", parts=7
+    ).orderBy("x").collect()] == list(range(1, 1001))
     h = {r.le: r["count"] for r in logs.histogram(d, "v", (10, 50)).collect()}
     assert h == {"10": 12, "50": 52, "+Inf": 101}
     t = spark.createDataFrame([("events.view",), ("events.x.y",)], "topic string")
