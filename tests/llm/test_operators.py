@@ -377,7 +377,7 @@ def test_quality_counts_and_verdict(spark, texts):
     some = list(enumerate([*odd, *texts.values()]))
     d = spark.createDataFrame(some, "doc_id long, text string")
     got = {r.doc_id: r for r in quality.counts(d).collect()}
-    lazy = {r[0]: r[1] for r in d.select("doc_id", quality.repeated(quality.words(F.col("text")))).collect()}
+    lazy = {r[0]: r[1] for r in d.select("doc_id", quality.n_repeat_words(F.col("text"))).collect()}
     for i, t in some:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(t)[:5] and lazy[i] == r.n_repeat_words, t[:80]
