@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared, table
+from .common import by_arrow, shared, table
 
 SIZE = 4096
 #: Bins at least this full are emitted; the others are items of the next round.
@@ -41,8 +41,8 @@ class WordCoder:
 
     #: Outside U+024F; the separators FS to US and NEL, which libraries class differently; a letter whose lower case is two.
     _ODD = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\u0130]")
-    #: Words that are held, and characters of a word that is.
-    CACHE, LONGEST = 600_000, 64
+    #: Words that are held, those that are held between tasks, and characters of a word that is.
+    CACHE, BETWEEN, LONGEST = 600_000, 200_000, 64
 
     def __init__(self, vocab: str):
         import regex
@@ -92,6 +92,12 @@ class WordCoder:
         return out
 
 
+    def rest(self) -> None:
+        """Holds the words that came first, which are the frequent ones, until the next task."""
+        if len(self.cache) > self.BETWEEN:
+            self.cache = dict(islice(self.cache.items(), self.BETWEEN))
+
+
 @functools.lru_cache(2)
 def word_coder(vocab: str) -> WordCoder:
     return WordCoder(vocab)
@@ -209,8 +215,9 @@ def _local(docs: DataFrame, vocab: str, end: int, size: int, with_ids: bool, lea
                     yield from got
         if rows[0]:
             yield from pack(*rows, first, part, seen)[1]
+        c.rest()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).transform(by_arrow, run, out)
 
 
 _PLAN = "part int, fill long, lo long, hi long, shift long, per long, bin long, at long, new_fill long, number long"
@@ -268,7 +275,9 @@ def _merge(items: DataFrame, level: int, fan: int, size: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, vocab: str | None = None, end: int = 1, size: int = SIZE, fan: int = FAN, leaf: int = LEAF, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, vocab: str | None = None, end: int = 1, size: int = SIZE, fan: int = FAN, leaf: int = LEAF, with_ids: bool = False
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) for every piece of docs (doc_id, text).
 
     A document is its ids and `end`; only one that is longer than `size` is cut, into pieces of that size. Rounds go on
@@ -290,20 +299,26 @@ def pack(docs: DataFrame, vocab: str | None = None, end: int = 1, size: int = SI
         rounds.append(made)
         if not top:
             break
-        items = made.where((F.col("at") == 0) & (F.col("new_fill") < full)).select(F.col("parent").alias("bin"), F.col("new_fill").alias("fill"), "part", "number")
+        items = made.where((F.col("at") == 0) & (F.col("new_fill") < full)).select(
+            F.col("parent").alias("bin"), F.col("new_fill").alias("fill"), "part", "number"
+        )
     moved = None
     for made in reversed(rounds):
         step = made.select("bin", "parent", "at")
         if moved is not None:
             up = moved.select(F.col("bin").alias("parent"), F.col("parent").alias("up"), F.col("at").alias("up_at"))
-            step = step.join(up, "parent", "left").select("bin", F.coalesce("up", "parent").alias("parent"), (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at"))
+            step = step.join(up, "parent", "left").select(
+                "bin", F.coalesce("up", "parent").alias("parent"), (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at")
+            )
         moved = step
     ids = ["ids"] * with_ids
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if moved is None:
         return pieces.select(*columns, F.col("bin").alias("sequence_id"), "offset", *ids)
     found = pieces.join(moved, "bin", "left")
-    return found.select(*columns, F.coalesce("parent", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"), *ids)
+    return found.select(
+        *columns, F.coalesce("parent", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"), *ids
+    )
 
 
 def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
