@@ -88,6 +88,9 @@ def hot_join(rows: DataFrame, named: DataFrame, keys: str | list[str], n: str, t
     columns = [c for c in named.columns if c not in (*keys, n)]
     packed = named.select(*keys, n, F.struct(F.lit(True).alias("met"), *columns).alias("named"))
     hot = packed.where(F.col(n) > many).select(*keys, F.col("named").alias("hot"))
+    # One row that stands for no key, so that the plan is the same without hot keys; what meets it is as if it met nothing.
+    none = [F.lit(None if f.name == "hot" else 0).cast(f.dataType).alias(f.name) for f in hot.schema]
+    hot = hot.unionByName(rows.sparkSession.range(1).select(*none))
     met = rows.join(F.broadcast(hot), keys, "left")
     cold = met.where("hot IS NULL").drop("hot").join(packed.where(F.col(n) <= many).drop(n), keys)
     both = met.where("hot IS NOT NULL").withColumnRenamed("hot", "named").unionByName(cold)
