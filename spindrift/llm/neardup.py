@@ -170,8 +170,9 @@ def members(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
     held = sets(docs, one.join(ends, "sid", "left_semi"), words)
     sure = shared(verified(near, held))
     named = classes(nodes, sure)
+    stars = named.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     own = shared(one.join(named.select(F.col("node").alias("sid"), "root"), "sid"))
-    named = classes(nodes, sure.unionByName(band_links(docs, own, held, words)))
+    named = classes(nodes, stars.unionByName(band_links(docs, own, held, words)))
     found = hot_join(
         made.withColumnRenamed("sid", "node"), named.select("node", "n", F.col("root").alias("group"), F.col("top").alias("component_id")), "node",
         "n", made.count()

@@ -251,19 +251,24 @@ def links(nodes: DataFrame, tau: int, block: int = BLOCK, direct: bool = False)
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex reachable, for every vertex of the links (u, v) that has a smaller one. Large-star and
-    small-star steps in turn; every step is an aggregate and a join, and is written to the shared folder."""
+    small-star steps in turn, until all links are stars; every step is an aggregate and a join, and is written to the shared
+    folder, so no plan holds two steps: each reads what it starts from several times."""
     pairs = shared(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
     while True:
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+        ends = pairs.select(F.explode(F.array(
+            F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+            F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )).alias("e"))
+        at = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+        # A star: no vertex has two smaller ones, or a smaller and a larger one.
+        n, unlike = at.agg(F.sum("up"), F.max(F.col("up") + F.least("up", "down") > 1)).first()
+        if not unlike:
             return pairs.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        seen = tuple(state)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
-        large = hot_join(both, low, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = shared(hot_join(both, low, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small_star = hot_join(large, low, "u", "n", 2 * state[0]).select(F.explode(F.array(
+        small_star = hot_join(large, low, "u", "n", 2 * n).select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
         )).alias("p"))
         pairs = shared(small_star.select("p.u", "p.v").where("u != v").distinct())

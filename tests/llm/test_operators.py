@@ -489,6 +489,28 @@ def test_a_hot_bucket_is_dealt_in_blocks(spark):
     assert {x: roots.get(x, x) for x in at} == {x: top(x) for x in at}
 
 
+def test_steps_of_components_are_planned_apart(spark, monkeypatch):
+    """The driver plans and compiles one star step at a time, a join in three parts, and none for links that are stars."""
+    joins, keep = [], simhash.shared
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return keep(df)
+
+    monkeypatch.setattr(simhash, "shared", counted)
+    rng = np.random.default_rng(3)
+    name = rng.permutation(60).tolist()
+    path = [(name[i], name[i + 1]) for i in range(39)]
+    tree = [(name[i], name[int(rng.integers(40, i))]) for i in range(41, 60)]
+    got = {r.v: r.root for r in simhash.components(spark.createDataFrame([*path, *tree, path[0]], "u long, v long")).collect()}
+    assert {x: got.get(x, x) for x in name} == {x: min(part) for part in (name[:40], name[40:]) for x in part}
+    assert max(joins) == 3
+    joins.clear()
+    stars = spark.createDataFrame([(1, 7), (5, 1), (2, 6), (6, 2), (3, 3)], "u long, v long")
+    assert sorted(simhash.components(stars).collect()) == [(5, 1), (6, 2), (7, 1)]
+    assert joins == [0]
+
+
 def test_a_bucket_of_near_copies_gives_a_link_each():
     rng = np.random.default_rng(1)
     fp = np.unique(
